@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, simhash
+from quarry.llm import exact_dedup, license_scan, packing, simhash
 
 QUERIES = {
+    "op3_license_scan": license_scan.op3_license_scan,
+    "op4_packing": packing.op4_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {
+    "op3_license_scan": license_scan.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
