@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, license_scan, packing, simhash
+from quarry.llm import exact_dedup, license_scan, media, packing, simhash
 
 QUERIES = {
+    "op1_media_columns": media.op1_media_columns,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_packing": packing.op4_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
