@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, license_scan, media, packing, simhash
+from quarry.llm import exact_dedup, langid, license_scan, media, packing, quality, simhash
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_packing": packing.op4_packing,
+    "op5_quality": quality.op5_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
 
