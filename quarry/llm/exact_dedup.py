@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, parallelism, staged, table
+from quarry.llm.common import arrow_rows, fresh_name, parallelism, staged, table
 
 #: Characters that do not count: space, tab, LF, VT, FF, CR.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -211,29 +211,16 @@ def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    whole = staged(docs.withColumn("__pos", F.monotonically_increasing_id()), "dedup-rows")
-    # the row number stands in for a missing or repeated id from here on
-    by_pos = whole.select(F.col("__pos").alias("pos_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kept = _kept_positions(by_pos, **options)
-    return without(whole, kept, "__pos").drop("__pos")
-
-
-def _kept_positions(rows: DataFrame, **options) -> DataFrame:
-    """Positions (``__pos``) of the rows that go."""
-    marked = rows.select(F.col("pos_").alias("doc_id"), "text")
-    members, index, verified = compacted(marked, **options)
-    ids = rows.select(F.col("pos_").alias("__pos"), F.col("doc_id").alias("own_id"))
-    if verified:
-        found = members.select("digest", "n_chars", F.col("doc_id").alias("__pos"))
-    else:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        found = rows.select(F.regexp_replace(text, r"[\x20\x09-\x0D]", "").alias("digest"), F.length(text).cast("long").alias("n_chars"), F.col("pos_").alias("__pos"))
-        index = found.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    shared = index.filter("group_size > 1").select("digest")
-    found = found.join(shared, "digest").join(ids, "__pos")
-    rank = F.struct((-F.col("n_chars")).alias("less"), F.col("own_id").isNull().alias("no_id"), "own_id", "__pos")
-    best = found.groupBy("digest").agg(F.min(rank).alias("best"))
-    return found.join(best, "digest").filter(F.col("__pos") != F.col("best.__pos")).select("__pos")
+    row = fresh_name(docs, "row")
+    whole = staged(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    rows = whole.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    # the row number takes the place of an id that may be missing or repeated
+    found = find_copies(rows.select(F.col("row").alias("doc_id"), "text"), **options).filter("group_size > 1")
+    several = staged(found.select(F.col("doc_id").alias("row"), "text_sha256").join(rows.select("row", "id", F.length("text").alias("n")), "row"), "dedup-several")
+    order = F.struct((-F.coalesce("n", F.lit(0))).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row")
+    best = several.groupBy("text_sha256").agg(F.min(order).alias("best"))
+    drop = several.join(best, "text_sha256").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
+    return without(whole, drop, row).drop(row)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

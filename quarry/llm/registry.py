@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quarry.llm import exact_dedup, langid, license_scan, media, packing, quality, simhash
 
 QUERIES = {
@@ -12,9 +13,12 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op3_license_scan": license_scan.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

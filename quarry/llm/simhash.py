@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import parallelism, staged, table, utf8_texts
+from quarry.llm.common import fresh_name, parallelism, staged, table, utf8_texts
 from quarry.llm.exact_dedup import without
 
 BITS, TAU, SEGMENTS = 64, 2, 16
@@ -248,11 +248,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each near-duplicate group: smallest id, then input order."""
-    whole = staged(docs.withColumn("__pos", F.monotonically_increasing_id()), "near-rows")
-    found = staged(near_duplicates(whole.select("__pos", "text"), "__pos"), "near-groups").select(F.col("id").alias("__pos"), F.col("component_id").alias("group"))
+    row = fresh_name(docs, "row")
+    whole = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    rows = whole.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("own"), "text")
+    found = staged(near_duplicates(rows, "row"), "near-groups").select(F.col("id").alias("row"), F.col("component_id").alias("group"))
     sizes = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
-    ids = whole.select("__pos", F.col("doc_id").cast("long").alias("own"))
-    several = staged(found.join(sizes, "group").join(ids, "__pos"), "near-several")
-    best = several.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "__pos")).alias("best"))
-    drop = several.join(best, "group").filter(F.col("__pos") != F.col("best.__pos")).select("__pos")
-    return without(whole, drop, "__pos").drop("__pos")
+    several = staged(found.join(sizes, "group").join(rows.select("row", "own"), "row"), "near-several")
+    best = several.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "row")).alias("best"))
+    drop = several.join(best, "group").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
+    return without(whole, drop, row).drop(row)
