@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quarry.llm import exact_dedup, langid, license_scan, media, packing, quality, simhash
+from quarry.llm import bpe, exact_dedup, langid, license_scan, media, packing, quality, simhash
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
