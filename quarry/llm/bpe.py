@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.common import arrow_rows, table, texts
+from quarry.llm.common import arrow_rows, blocks, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
@@ -203,18 +203,6 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def blocks(values: list[str], chars: int = BLOCK_CHARS):
-    block, held = [], 0
-    for text in values:
-        block.append(text)
-        held += len(text)
-        if held >= chars:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -225,7 +213,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         own = bpe(path)
         for batch in batches:
-            ids = [x for block in blocks(texts(batch)) for x in own.encode_block(block)]
+            ids = [x for block in blocks(texts(batch), BLOCK_CHARS) for x in own.encode_block(block)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
@@ -240,7 +228,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             at = 0
-            for block in blocks(texts(batch)):
+            for block in blocks(texts(batch), BLOCK_CHARS):
                 out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
                 for encoded in own.encode_block(block):
                     out["n_tokens"].append(len(encoded) // 4)

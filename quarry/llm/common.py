@@ -81,3 +81,16 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def blocks(values: list[str], chars: int):
+    """Consecutive texts in lists of about ``chars`` characters; a longer text is a list of its own or ends one."""
+    block, held = [], 0
+    for text in values:
+        block.append(text)
+        held += len(text)
+        if held >= chars:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quarry.llm import bpe, exact_dedup, katz, langid, license_scan, media, packing, quality, simhash
+from quarry.llm import bpe, exact_dedup, html_extract, katz, langid, license_scan, media, packing, quality, simhash
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_lm_scoring": katz.op7_lm_scoring,
+    "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
