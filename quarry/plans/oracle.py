@@ -140,9 +140,9 @@ for _name, _seen in (("row_context", "TRUE"), ("row_context_compat", "b.sequence
   WHERE a.column_no = 3 AND a.text = '1-URGENT' GROUP BY a.file_id, a.row_no, a.sequence, a.text)""",
         f"cells AS ({CELLS_SQL})",
     )
-_SPANS = """spans AS (SELECT file_id, sequence, at, len FROM (
-  SELECT file_id, sequence, list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, {n}) = '{t}') AS s, {n} AS len FROM units WHERE contains(lower(text), '{t}')), unnest(s) AS u(at))"""
-_sql("highlight_spans", "SELECT file_id, sequence, at - 1 AS start_at, at + 3 AS end_at FROM spans", _FILES, _UNITS, _SPANS.format(n=4, t="tion"))
+_SPANS = """spans AS (SELECT file_id, sequence, pos, len FROM (
+  SELECT file_id, sequence, list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, {n}) = '{t}') AS s, {n} AS len FROM units WHERE contains(lower(text), '{t}')), unnest(s) AS u(pos))"""
+_sql("highlight_spans", "SELECT file_id, sequence, pos - 1 AS start_at, pos + 3 AS end_at FROM spans", _FILES, _UNITS, _SPANS.format(n=4, t="tion"))
 _sql(
     "merged_highlights",
     """SELECT file_id, sequence, CAST(sum(fresh) AS BIGINT) AS n_spans, count(*) AS n_marked FROM (

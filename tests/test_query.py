@@ -1,0 +1,94 @@
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry import model as M
+from quarry.plans.patterns import content_regex, matches, name_matches, unit_matches
+from quarry.plans.query import QueryError, Term, parse
+
+
+def texts(raw, **kw):
+    return [(t.text, t.phrase) for t in parse(raw, **kw).terms]
+
+
+def test_terms_and_phrases():
+    assert texts('budget "annual  report", x;') == [("budget", False), ("annual  report", True), ("x", False)]
+    assert texts('a "b" c', exact_phrase=True) == [("a b c", True)]
+    assert texts(",;:") == [(",;:", True)]
+    assert parse("ab").warnings == ("short_term_scan",) and parse("abc").warnings == ()
+
+
+@pytest.mark.parametrize("raw, code", [("", "query_empty"), (" \x00 ", "query_empty"), ("x" * 501, "query_too_long"), ("a " * 25, "query_too_complex"), ("a*b*c*d*e*f*g*h", "query_too_complex"), ("a*b*c*d*e a*b*c*d*e a*b*c*d*e*f", "query_too_complex")])
+def test_refused(raw, code):
+    with pytest.raises(QueryError) as e:
+        parse(raw)
+    assert e.value.code == code
+
+
+CASES = [
+    # text, pattern, whole word, match case, found
+    ("the annual budget", "budget", False, False, True), ("BUDGET", "budget", False, False, True), ("BUDGET", "budget", False, True, False),
+    ("xbudgetx", "budget", True, False, False), ("a budget.", "budget", True, False, True), ("budget", "b?dget", False, False, True),
+    ("bdget", "b?dget", False, False, False), ("a bud then et", "bud*et", False, False, True), ("et bud", "bud*et", False, False, False),
+    ("bud etx et", "bud*et", True, False, False), ("budgets budget", "*budget", True, False, False), ("a.b*c", "a.b", False, False, True),
+    ("axb", "a.b", False, False, False), ("line one\nline two", "one*two", False, False, True), ("งบประมาณ", "งบ*มาณ", False, False, True),
+    ("กงบ", "งบ", True, False, False), ("(x) [y]", "(x) [", False, False, True), ("", "a", False, False, False),
+]
+
+
+def test_content_matching(spark):
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, text string")
+    tests = [F.when(F.col("i") == i, unit_matches(Term(p), F.col("text"), case, whole)) for i, (_, p, whole, case, _) in enumerate(CASES)]
+    got = {r["i"]: r["m"] for r in rows.select("i", F.coalesce(*tests).alias("m")).collect()}
+    assert [got[i] for i in range(len(CASES))] == [c[-1] for c in CASES]
+
+
+def test_names_are_anchored(spark):
+    names = ["budget.xlsx", "my_budget.xlsx", "Budget 2561", "b"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    hit = lambda p: [r[0] for r in df.filter(name_matches(Term(p), F.col("n"), False, False)).collect()]
+    assert hit("budget*") == ["budget.xlsx", "Budget 2561"]
+    assert hit("budget") == names[:3]
+    assert hit("?") == ["b"] and hit("*") == names and hit("*.xlsx") == names[:2]
+
+
+def test_wildcards_alone_never_match_content(spark):
+    assert spark.range(1).select(unit_matches(Term("*"), F.lit("abc"), False, False).alias("m")).first()["m"] is False
+
+
+def test_pathological_patterns_are_linear(spark):
+    df = spark.createDataFrame([("a" * 200_000,)], "t string")
+    df.count()
+    began = time.time()
+    for p in ("a*a*a*b", "*a*a*a*a*a*", "a?a?a?a?a?b"):
+        df.filter(matches(Term(p), F.col("t"), False, False)).count()
+    assert time.time() - began < 20
+
+
+def brute(pattern: str, text: str) -> bool:
+    """Glob by backtracking over all splits, unanchored."""
+    def at(p, t):
+        if not p:
+            return True
+        if p[0] == "*":
+            return any(at(p[1:], t[i:]) for i in range(len(t) + 1))
+        return bool(t) and (p[0] == "?" or p[0] == t[0]) and at(p[1:], t[1:])
+
+    return any(at(pattern, text[i:]) for i in range(len(text) + 1))
+
+
+def test_regexes_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(5000):
+        pattern = "".join(rng.choice("ab.*?") for _ in range(rng.randint(1, 5)))
+        text = "".join(rng.choice("ab.\n") for _ in range(rng.randint(0, 8)))
+        if not pattern.strip("*"):
+            continue
+        assert bool(re.search(content_regex(pattern), text)) == brute(pattern, text), (pattern, text)
+
+
+def test_limits_are_the_documented_ones():
+    assert (M.MAX_QUERY_LENGTH, M.MAX_TERMS, M.MAX_WILDCARDS, M.MAX_LIMIT) == (500, 24, 12, 5000)
