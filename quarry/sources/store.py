@@ -11,6 +11,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from quarry import model as M
 
@@ -47,18 +48,19 @@ class SnapshotStore:
         at = self.current()
         if at is None or table not in at["tables"]:
             return None
-        return self.spark.read.parquet(f"{self.root}/{at['tables'][table]}")
+        schema = StructType.fromJson(at["schemas"][table])  # an empty table has no file to tell it
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{at['tables'][table]}")
 
     def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> str:
         """Writes the tables as a new version, then moves the pointer; tables not given stay as they are."""
         version = uuid.uuid4().hex
-        kept = (self.current() or {"tables": {}})["tables"]
+        before = self.current() or {"tables": {}, "schemas": {}}
         for name, df in tables.items():
             writer = df.write
             if by := (partition_by or {}).get(name):
                 writer = writer.partitionBy(*by)
             writer.parquet(f"{self.root}/{version}/{name}")
-        pointer = {"version": version, "schema_version": M.SCHEMA_VERSION, "tables": kept | {n: f"{version}/{n}" for n in tables}}
+        pointer = {"version": version, "schema_version": M.SCHEMA_VERSION, "tables": before["tables"] | {n: f"{version}/{n}" for n in tables}, "schemas": before["schemas"] | {n: df.schema.jsonValue() for n, df in tables.items()}}
         temp = self._path(f"{self.root}/{_POINTER}.{version}")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(pointer).encode()))
