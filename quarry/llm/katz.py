@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import crc_mod, staged, table, utf8_texts
 
 MAX_DISCOUNTED = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Input bytes for each shard of words or pairs.
 SHARD_BYTES = 4 << 20
 _CHUNK = 2 << 20
@@ -212,7 +212,7 @@ class Docs:
         self.ids = [None if gone else int(i) for i, gone in zip(ids, no_id)]
         self.held = self.held.astype(bool)
         self.n = self.n.astype(np.int64)
-        self.tokens = order.astype(np.int64)[unvarints(codes)]
+        self.tokens = order.astype(np.int32)[unvarints(codes)]
         self.ends = np.cumsum(self.n)
 
     def histories(self, end: int) -> np.ndarray:
@@ -311,8 +311,10 @@ class Pairs:
         n = len(counts)
         self.before = docs.histories(end)
         known = (counts[self.before] > 0) & (counts[docs.tokens] > 0)
-        code = self.before * n + docs.tokens
-        self.code, self.at = np.unique(code[known], return_inverse=True)
+        code = self.before.astype(np.int64) * n + docs.tokens
+        self.code = np.unique(code := code[known])
+        self.at = np.searchsorted(self.code, code).astype(np.int32)  # less memory than an inverse from sorting
+        del code
         self.known = known
         trained = known & np.repeat(~docs.held, docs.n)
         self.trained = np.bincount(self.at[trained[known]], minlength=len(self.code)).astype(np.uint32)
