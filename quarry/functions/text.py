@@ -222,3 +222,29 @@ def row_context(cell: Column, others: Column, limit: int = M.SNIPPET_LENGTH) ->
 def end_of_day(date: Column) -> Column:
     """Epoch seconds of the last second of a date."""
     return F.unix_timestamp(F.date_add(date, 1).cast("timestamp")).cast("double") - 1
+
+
+def format_timestamp(epoch: Column) -> Column:
+    """Session time zone, to the minute; empty for none."""
+    return F.coalesce(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm"), F.lit(""))
+
+
+def iso_timestamp(epoch: Column) -> Column:
+    """UTC to the second, as stored in text columns."""
+    return F.concat(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+STATUS_LABELS = {
+    "en": {"indexed": "Indexed", "no_text": "No text", "skipped": "Skipped", "failed": "Failed", "stale": "Out of date"},
+    "th": {"indexed": "จัดทำดัชนีแล้ว", "no_text": "ไม่มีข้อความ", "skipped": "ข้าม", "failed": "ล้มเหลว", "stale": "ล้าสมัย"},
+}
+SKIP_LABELS = {
+    "en": {"temporary": "Temporary file", "executable": "Executable", "not_supported": "Type not supported", "system": "System file", "hidden": "Hidden file", "link": "Link", "empty_file": "Empty file", "too_large": "Too large"},
+    "th": {"temporary": "ไฟล์ชั่วคราว", "executable": "ไฟล์โปรแกรม", "not_supported": "ชนิดไฟล์ไม่รองรับ", "system": "ไฟล์ระบบ", "hidden": "ไฟล์ซ่อน", "link": "ลิงก์", "empty_file": "ไฟล์ว่าง", "too_large": "ไฟล์ใหญ่เกินไป"},
+}
+
+
+def label(code: Column, table: dict[str, dict[str, str]], language: str = "en") -> Column:
+    """A code's text in a language; unknown codes as they are."""
+    pairs = [F.lit(x) for kv in table.get(language, table["en"]).items() for x in kv]
+    return F.coalesce(F.create_map(*pairs)[code], code)

@@ -50,3 +50,28 @@ def abandon_running(runs: DataFrame) -> DataFrame:
 
 def roots_by_name(roots: DataFrame) -> DataFrame:
     return roots.orderBy(F.lower("display_path"))
+
+
+def units_of(units: DataFrame, file_id: int, limit: int | None = None) -> DataFrame:
+    """A file's units in order."""
+    rows = units.filter(F.col("file_id") == file_id).orderBy("sequence")
+    return rows if limit is None else rows.limit(limit)
+
+
+def run_started(runs: DataFrame, root_id: int, mode: str, version: str) -> DataFrame:
+    """``runs`` with a running row of the next id."""
+    next_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
+    row = runs.sparkSession.range(1).select(
+        F.lit(next_id).cast("long").alias("run_id"), F.lit(root_id).alias("root_id"), F.current_timestamp().alias("started_at"),
+        F.lit("running").alias("status"), F.lit(mode).alias("mode"), F.lit(version).alias("application_version"),
+    )
+    return runs.unionByName(row, allowMissingColumns=True)
+
+
+def run_finished(runs: DataFrame, run_id: int, status: str) -> DataFrame:
+    own = F.col("run_id") == run_id
+    elapsed = F.unix_micros(F.current_timestamp()) / 1e6 - F.unix_micros("started_at") / 1e6
+    return runs.withColumns({
+        "finished_at": F.when(own, F.current_timestamp()).otherwise(F.col("finished_at")), "status": F.when(own, F.lit(status)).otherwise(F.col("status")),
+        "elapsed_seconds": F.when(own, elapsed).otherwise(F.col("elapsed_seconds")),
+    })

@@ -83,3 +83,17 @@ def touch(files: DataFrame, seen: DataFrame, run_id: int) -> DataFrame:
 
 def delete_root(table: DataFrame, root_id: int) -> DataFrame:
     return table.filter(F.col("root_id") != root_id)
+
+
+def delete_files(files: DataFrame, gone: DataFrame) -> DataFrame:
+    return files.join(gone.select("file_id").distinct(), "file_id", "left_anti")
+
+
+def mark_status(files: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    marked = ids.select("file_id").distinct().withColumn("marked", F.lit(True))
+    return files.join(marked, "file_id", "left").withColumn("content_status", F.when(F.col("marked"), F.lit(status)).otherwise(F.col("content_status"))).drop("marked")
+
+
+def cascade(units: DataFrame, files: DataFrame) -> DataFrame:
+    """Units whose file is still there."""
+    return units.join(files.select("file_id"), "file_id", "left_semi")

@@ -9,6 +9,7 @@ alone (``locations``).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -134,10 +135,24 @@ class SearchEngine:
         return own.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= per_file)
 
 
+@contextmanager
+def cancellable(spark, tag: str):
+    """Jobs started inside can be stopped from another thread with ``cancel``."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def existence(page: DataFrame, listing: DataFrame) -> DataFrame:
     """``exists``: is the file in the current listing?"""
     now = listing.select("normalized_path").distinct().withColumn("exists", F.lit(True))
     return page.join(now, "normalized_path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-__all__ = ["Page", "SearchEngine", "Term", "existence", "metadata_filter"]
+__all__ = ["Page", "SearchEngine", "Term", "cancel", "cancellable", "existence", "metadata_filter"]

@@ -210,3 +210,26 @@ _sql(
   WHEN file_id % 37 = 0 OR size_bytes = 0 THEN 'empty_file' WHEN size_bytes * 100000 > 524288000 THEN 'too_large' END AS skip_reason, count(*) AS n FROM files GROUP BY 1""",
     _FILES,
 )
+_sql("skip_counts", "SELECT CASE WHEN file_id % 5 = 0 THEN 'not_supported' ELSE 'hidden' END AS skip_reason, count(*) AS n, file_id % 5 <> 0 AS headline FROM files WHERE file_id % 5 = 0 OR file_id % 7 = 0 GROUP BY ALL", _FILES)
+_count = lambda o: f"count(*) FILTER (outcome = '{o}') AS files_{o}"
+_sql(
+    "run_counters",
+    f"SELECT run_id, count(*) AS files_discovered, {', '.join(map(_count, ('indexed', 'unchanged', 'no_text', 'failed', 'skipped', 'deleted')))} FROM (SELECT last_seen_run_id AS run_id, CASE WHEN file_id % 3 = 0 THEN 'unchanged' ELSE content_status END AS outcome FROM files) GROUP BY run_id",
+    _FILES,
+)
+_sql("touch_seen", "SELECT CAST(CASE WHEN file_id % 5 = 0 THEN 3 ELSE last_seen_run_id END AS BIGINT) AS last_seen_run_id, count(*) AS n FROM files GROUP BY 1", _FILES)
+_sql("remove_deleted", "SELECT file_id FROM files WHERE last_seen_run_id = 2", _FILES)
+_sql("delete_files", "SELECT root_id, count(*) AS n FROM files WHERE file_id % 5 <> 0 GROUP BY ALL", _FILES)
+_sql("mark_status", "SELECT root_id, CASE WHEN file_id % 5 = 0 THEN 'stale' ELSE content_status END AS content_status, count(*) AS n FROM files GROUP BY ALL", _FILES)
+_sql("cascade_delete", "SELECT root_id, count(*) AS n FROM units WHERE root_id <> 2 GROUP BY ALL", _FILES, _UNITS)
+_sql("existence_flag", "SELECT file_id, file_id % 4 <> 1 AS exists FROM files", _FILES)
+_sql(
+    "set_operations",
+    "SELECT file_id, CASE WHEN file_id IN (SELECT file_id FROM units WHERE contains(lower(text), 'tion')) THEN 'both' ELSE 'name' END AS side FROM files WHERE contains(lower(file_name), 'budget') OR contains(lower(relative_path), 'budget')",
+    _FILES, _UNITS,
+)
+_sql("format_timestamps", "SELECT file_id, strftime(to_timestamp(modified_time) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS shown, strftime(to_timestamp(modified_time) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM files", _FILES)
+_sql("location_labels", "SELECT file_id, sequence, 'Line ' || CAST(line_no AS VARCHAR) AS label FROM units", _FILES, _UNITS)
+_sql("display_text", rf"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '{_STRIP}', ' ', 'g'))) AS digest FROM documents")
+_sql("content_hashes", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+_sql("status_labels", "SELECT CASE content_status WHEN 'indexed' THEN 'Indexed' WHEN 'no_text' THEN 'No text' ELSE 'Failed' END AS label, count(*) AS n FROM files GROUP BY ALL", _FILES)

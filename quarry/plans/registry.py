@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import model as M
 from quarry.functions import text as X
 from quarry.operators import catalog, context, maintenance, ranking, snippets
-from quarry.operators.search import SearchEngine
+from quarry.operators.search import SearchEngine, existence
 from quarry.plans.oracle import ORACLE_SQL
 from quarry.plans.query import parse
 from quarry.sources import adapters, listing
@@ -301,6 +301,97 @@ def scan_skip_reasons(spark, sf_dir):
     return made.withColumn("skip_reason", listing.skip_reason()).groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query
+def skip_counts(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    reason = F.when(F.col("file_id") % 5 == 0, "not_supported").when(F.col("file_id") % 7 == 0, "hidden")
+    return catalog.skip_counts(f.withColumn("skip_reason", reason))
+
+
+@_query
+def run_counters(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    outcome = F.when(F.col("file_id") % 3 == 0, "unchanged").otherwise(F.col("content_status"))
+    return catalog.run_counters(f.select(F.col("last_seen_run_id").alias("run_id"), outcome.alias("outcome")))
+
+
+@_query
+def touch_seen(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    return maintenance.touch(f, f.filter("file_id % 5 = 0"), 3).groupBy("last_seen_run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def remove_deleted(spark, sf_dir):
+    return maintenance.without_unseen(adapters.files(spark, sf_dir), 2, True).select("file_id")
+
+
+@_query
+def delete_files(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    return maintenance.delete_files(f, f.filter("file_id % 5 = 0")).groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def mark_status(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    return catalog.status_counts(maintenance.mark_status(f, f.filter("file_id % 5 = 0"), "stale"))
+
+
+@_query
+def cascade_delete(spark, sf_dir):
+    files = maintenance.delete_root(adapters.files(spark, sf_dir), 2)
+    return maintenance.cascade(adapters.units(spark, sf_dir), files).groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def existence_flag(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    return existence(f.select("file_id", "normalized_path"), f.filter("file_id % 4 <> 1")).select("file_id", "exists")
+
+
+@_query
+def set_operations(spark, sf_dir):
+    """Files whose name holds one term and whose content holds the other, by sets."""
+    e = engine(spark, sf_dir)
+    by_name = e.hits(M.Request("budget", scope=NAME)).select("file_id")
+    by_text = e.hits(M.Request("tion", scope=CONTENT)).select("file_id")
+    both = by_name.intersect(by_text).withColumn("side", F.lit("both"))
+    return both.union(by_name.subtract(by_text).withColumn("side", F.lit("name")))
+
+
+@_query
+def format_timestamps(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    return f.select("file_id", X.format_timestamp(F.col("modified_time")).alias("shown"), X.iso_timestamp(F.col("modified_time")).alias("iso"))
+
+
+@_query
+def location_labels(spark, sf_dir):
+    units = adapters.units(spark, sf_dir)
+    none = lambda n, t: F.lit(None).cast(t).alias(n)
+    where = F.struct(F.col("line_no").alias("line"), *(none(f.name, f.dataType) for f in M.LOCATION if f.name != "line"))
+    return units.select("file_id", "sequence", X.location_label(F.col("location_type"), where).alias("label"))
+
+
+@_query
+def display_text(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.md5(X.for_display(F.col("text"))).alias("digest"))
+
+
+@_query
+def content_hashes(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", X.content_sha256(F.col("text")).alias("sha256"))
+
+
+@_query
+def status_labels(spark, sf_dir):
+    f = adapters.files(spark, sf_dir)
+    return f.groupBy(X.label(F.col("content_status"), X.STATUS_LABELS).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided search, ranked: the first page."""
     return _shown(engine(spark, sf_dir).ranked(M.Request("ort")), "rank", "file_name")

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry import model as M
 
 _POINTER = "_current"
 
+#: Steps from a schema version to the next: table name and DataFrame -> DataFrame.
+MIGRATIONS: dict[int, Callable[[str, DataFrame], DataFrame]] = {}
+
 
 class SchemaTooNew(RuntimeError):
     pass
@@ -69,6 +74,36 @@ class SnapshotStore:
         self._fs.rename(temp, self._path(f"{self.root}/{_POINTER}"))
         return version
 
+    def migrate(self) -> int:
+        """Rewrites the tables step by step until they have the current schema version."""
+        at = self.current()
+        if at is None:
+            return M.SCHEMA_VERSION
+        version, tables = at["schema_version"], {t: self.read(t) for t in at["tables"]}
+        if version == M.SCHEMA_VERSION:
+            return version
+        for step in range(version, M.SCHEMA_VERSION):
+            if step not in MIGRATIONS:
+                raise RuntimeError(f"no migration from schema {step}")
+            tables = {t: MIGRATIONS[step](t, df) for t, df in tables.items()}
+        self.publish(tables)
+        return M.SCHEMA_VERSION
+
+    def verify(self) -> dict[str, int]:
+        """Reads every row of every table; rows per table.  Raises where a file is missing or damaged."""
+        at = self.current()
+        out = {}
+        for table in at["tables"] if at else ():
+            df = self.read(table)
+            columns = [F.xxhash64(c) for c in df.columns]
+            out[table] = df.select(F.hash(*columns).alias("h")).agg(F.count("h")).first()[0]
+        return out
+
+    def backup(self, to: str) -> None:
+        """Copies the current version's tables into another store."""
+        at = self.current()
+        SnapshotStore(self.spark, to).publish({t: self.read(t) for t in at["tables"]} if at else {})
+
     def expire(self) -> list[str]:
         """Deletes version folders that the pointer does not use."""
         at = self.current()
