@@ -128,11 +128,9 @@ def format_size(size: Column) -> Column:
 
 def excel_column_name(index: int) -> str:
     """1 -> A, 27 -> AA."""
-    name = ""
-    while index > 0:
-        index, letter = divmod(index - 1, 26)
-        name = chr(65 + letter) + name
-    return name
+    if index < 1:
+        return ""
+    return excel_column_name((index - 1) // 26) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[(index - 1) % 26]
 
 
 def column_name(index: Column) -> Column:
@@ -177,11 +175,8 @@ def content_sha256(content: Column) -> Column:
 
 def fast_content_hash(data: bytes, edge: int = 256 << 10) -> str:
     """blake2b-16 of the size and both ends."""
-    h = hashlib.blake2b(str(len(data)).encode(), digest_size=16)
-    h.update(data[:edge])
-    if len(data) > edge:
-        h.update(data[-edge:])
-    return h.hexdigest()
+    ends = data if len(data) <= edge else data[:edge] + data[-edge:]
+    return hashlib.blake2b(b"%d" % len(data) + ends, digest_size=16).hexdigest()
 
 
 def sanitize_for_log(c: Column, limit: int = 200) -> Column:

@@ -13,10 +13,20 @@ from quarry import model as M
 from quarry.functions.text import display_path_str, extension_of, normalized_path_str
 
 # Names and extensions that are never read.
-EXCLUDED_DIRECTORIES = (".git", ".svn", ".hg", "node_modules", "__pycache__", "$recycle.bin", "system volume information")
-DRIVE_ROOT_DIRECTORIES = ("windows", "program files", "program files (x86)", "programdata")
+EXCLUDED_DIRECTORIES = (
+    "$recycle.bin", "system volume information", "$windows.~bt", "$windows.~ws", "recovery", "config.msi",
+    "node_modules", "__pycache__", ".git", ".svn", ".hg",
+)
+DRIVE_ROOT_DIRECTORIES = (
+    "windows", "program files", "program files (x86)", "programdata", "perflogs", "msocache", "$recycle.bin", "system volume information",
+)
+EXECUTABLE_EXTENSIONS = (
+    ".exe", ".dll", ".sys", ".msi", ".com", ".scr", ".cpl", ".ocx", ".drv",
+    ".bat", ".cmd", ".ps1", ".psm1", ".vbs", ".vbe", ".js", ".jse", ".wsf",
+    ".wsh", ".hta", ".jar", ".msc", ".pif", ".reg", ".lnk", ".url", ".scf",
+    ".docm", ".xlsm", ".xltm", ".dotm", ".pptm",
+)
 TEMP_PREFIXES = ("~$", ".~lock.")
-EXECUTABLE_EXTENSIONS = (".exe", ".dll", ".bat", ".cmd", ".com", ".msi", ".ps1", ".scr", ".vbs", ".js", ".jar", ".docm", ".xlsm", ".pptm")
 
 LISTING_DDL = "path string, file_name string, size_bytes long, created_time double, modified_time double, hidden boolean, system boolean, is_link boolean"
 
