@@ -304,7 +304,7 @@ def _block_words(group) -> tuple[Docs, np.ndarray, np.ndarray]:
 class Pairs:
     """A block's distinct pairs of known words and its known histories, dealt to shards.
 
-    ``pair_code`` is sorted; ``order`` lists the pairs by (shard, history, word).
+    ``code`` is sorted; ``order`` lists the pairs by (shard, history, word), in the shards' numbers.
     """
 
     def __init__(self, docs: Docs, counts: np.ndarray, numbers: np.ndarray, n_tokens: int, n_shards: int, end: int):
@@ -324,13 +324,13 @@ class Pairs:
         mixed = (numbers * _ODD) >> np.uint64(33)
         first = (mixed % np.uint64(n_shards)).astype(np.int64)
         shard = (first[self.v] + mixed[self.w].astype(np.int64) // n_shards % self.spread[self.v]) % n_shards
-        self.order = np.lexsort((self.w, self.v, shard))
+        self.order = np.lexsort((numbers[self.w], numbers[self.v], shard))  # small steps between numbers pack well
         self.edges = np.searchsorted(shard[self.order], np.arange(n_shards + 1))
         asked = np.unique(self.before[counts[self.before] > 0])
         self.history = np.repeat(asked, self.spread[asked])
         step = np.arange(len(self.history)) - np.repeat(np.cumsum(self.spread[asked]) - self.spread[asked], self.spread[asked])
         own = (first[self.history] + step) % n_shards
-        self.history_order = np.lexsort((self.history, own))
+        self.history_order = np.lexsort((numbers[self.history], own))
         self.history_edges = np.searchsorted(own[self.history_order], np.arange(n_shards + 1))
 
 
@@ -461,7 +461,7 @@ def score_documents(docs: DataFrame, *, training, shards: int | None = None, blo
     n_tokens, n_words, *n = _stats(words, MAX_DISCOUNTED + 3)
     unigrams = Unigrams(n_tokens, n_words, np.array(n))
     found = words.filter("kind = 'found'")
-    pairs = staged(own.union(found).groupBy("block").applyInArrow(_count_pairs(n_tokens, n_shards), _ROWS_DDL), "lm-pairs")
+    pairs = own.union(found).groupBy("block").applyInArrow(_count_pairs(n_tokens, n_shards), _ROWS_DDL)
     answers = staged(pairs.groupBy("shard").applyInArrow(_merge_pairs(unigrams), _ROWS_DDL), "lm-answers", "kind")
     d = discounts(np.array(_stats(answers, MAX_DISCOUNTED + 1)))
     everything = own.union(found).union(answers.filter("kind = 'answer'"))
