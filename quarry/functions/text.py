@@ -15,8 +15,12 @@ from quarry import model as M
 _SPACES = r"\x09-\x0d\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The same set as a string of characters.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^[{_SPACES}]+", ""), f"[{_SPACES}]+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def clean_text(c: Column, limit: int = M.MAX_UNIT_CHARS) -> Column:
