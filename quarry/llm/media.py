@@ -205,7 +205,8 @@ def _read_back(batches):
 def media_features(media: DataFrame) -> DataFrame:
     """One row per digest of a media table (digest, stored), computed from the stored bytes."""
     found = media.select("digest", "stored").mapInArrow(_read_back, _FEATURES_DDL)
-    return found.groupBy("digest").agg(*(F.min(n).alias(n) for n in _FEATURES.names[1:]))
+    # a table of its own, so that a join can split the rows of a frequent digest
+    return staged(found.groupBy("digest").agg(*(F.min(n).alias(n) for n in _FEATURES.names[1:])), "media-features")
 
 
 def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
