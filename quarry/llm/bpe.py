@@ -41,6 +41,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
 
+_BREAK = regex.compile(r"[ \n]")
 _FIRST_UNASSIGNED = "\u0378"
 
 
@@ -174,12 +175,20 @@ class Bpe:
                 self.cache[word] = b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode_block(self, block: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A text longer than a block is cut after blanks, which no word holds and no
+        normalisation crosses, and encoded by pieces.
+        """
+        if len(block) == 1 and len(block[0]) > 2 * BLOCK_CHARS:
+            return [b"".join(self._encode([piece])[0] for piece in pieces(block[0]))]
+        return self._encode(block)
+
+    def _encode(self, block: list[str]) -> list[bytes]:
         cut, wanted = [], set()
         for text in block:
             parts = []
-            pieces = self.split_special.split(text) if "<|" in text else (text,)
-            for piece in pieces:
+            for piece in self.split_special.split(text) if "<|" in text else (text,):
                 if piece in self.special:
                     parts.append(piece)
                 else:
@@ -198,6 +207,15 @@ class Bpe:
         return b" ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
+def pieces(text: str, size: int | None = None):
+    """A long text cut after spaces or line ends into pieces of about ``size`` characters."""
+    size, at = size or BLOCK_CHARS, 0
+    while len(text) - at > 2 * size and (cut := _BREAK.search(text, at + size)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
+
 @cache
 def bpe(path: str) -> Bpe:
     return Bpe(path)

@@ -84,9 +84,12 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
 
 
 def blocks(values: list[str], chars: int):
-    """Consecutive texts in lists of about ``chars`` characters; a longer text is a list of its own or ends one."""
+    """Consecutive texts in lists of about ``chars`` characters; a longer text is a list of its own."""
     block, held = [], 0
     for text in values:
+        if block and len(text) > chars:
+            yield block
+            block, held = [], 0
         block.append(text)
         held += len(text)
         if held >= chars:

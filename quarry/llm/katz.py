@@ -31,6 +31,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -143,9 +144,32 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def pieces(text: bytes, size: int = _CHUNK):
+    """A long text cut after blanks into pieces of about ``size`` bytes."""
+    at = 0
+    while len(text) - at > 2 * size and (cut := _BLANK.search(text, at + size)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
+
+def chunk_hashes(chunk: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``token_hashes`` in bounded memory: a text longer than a chunk is alone in it and is hashed by pieces."""
+    if len(chunk) > 1 or len(chunk[0]) <= 2 * _CHUNK:
+        return token_hashes(chunk)
+    h = np.concatenate([*(token_hashes([p])[0][:-1] for p in pieces(chunk[0])), np.array([END])])
+    return h, np.array([len(h)])
+
+
 def _chunks(texts):
     chunk, held = [], 0
     for t in texts:
+        if chunk and len(t) > _CHUNK:
+            yield chunk
+            chunk, held = [], 0
         chunk.append(t)
         held += len(t)
         if held >= _CHUNK:
@@ -187,7 +211,7 @@ def _blocks(n_shards: int, block_bytes: int):
             own, out = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             at = 0
             for chunk in _chunks(utf8_texts(batch)):
-                h, n = token_hashes(chunk)
+                h, n = chunk_hashes(chunk)
                 hashes.append(h)
                 lengths.append(n)
                 ids += own[at : at + len(chunk)]

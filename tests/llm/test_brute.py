@@ -328,3 +328,19 @@ def test_pigeonring_budgets():
         ring = np.array([diff], np.uint64)
         starts = [s for s in range(16) if int(simhash._rotated(ring, s)[0]) & int(simhash._CHAIN_MASK) == 0]
         assert any(len(simhash._within_budgets(simhash._rotated(ring, s))) for s in starts)
+
+
+def test_very_long_texts_by_pieces(monkeypatch):
+    text = ("The quick, brown é ﬁfox's <|endoftext|> jumps\n over 12 dogs " * 40).strip()
+    own = bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
+    (whole,) = own.encode_block([text])
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    assert len(list(bpe.pieces(text))) > 10 and own.encode_block([text]) == [whole]
+    data = text.encode()
+    assert b"".join(katz.pieces(data, 64)) == data
+    h, n = katz.token_hashes([data])
+    monkeypatch.setattr(katz, "_CHUNK", 64)
+    monkeypatch.setattr(katz.pieces, "__defaults__", (64,))
+    assert [list(map(len, c)) for c in katz._chunks([b"a", data, b"b"])] == [[1], [len(data)], [1]]
+    again, m = katz.chunk_hashes([data])
+    assert (again == h).all() and (m == n).all()
