@@ -218,7 +218,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     found = find_copies(rows.select(F.col("row").alias("doc_id"), "text"), **options).filter("group_size > 1")
     several = staged(found.select(F.col("doc_id").alias("row"), "text_sha256").join(rows.select("row", "id", F.length("text").alias("n")), "row"), "dedup-several")
     order = F.struct((-F.coalesce("n", F.lit(0))).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row")
-    best = several.groupBy("text_sha256").agg(F.min(order).alias("best"))
+    # a table of its own, so that the join can split the rows of a frequent text
+    best = staged(several.groupBy("text_sha256").agg(F.min(order).alias("best")), "dedup-best")
     drop = several.join(best, "text_sha256").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
     return without(whole, drop, row).drop(row)
 

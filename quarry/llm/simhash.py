@@ -252,8 +252,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     whole = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
     rows = whole.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("own"), "text")
     found = staged(near_duplicates(rows, "row"), "near-groups").select(F.col("id").alias("row"), F.col("component_id").alias("group"))
-    sizes = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    sizes = staged(found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group"), "near-sizes")
     several = staged(found.join(sizes, "group").join(rows.select("row", "own"), "row"), "near-several")
-    best = several.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "row")).alias("best"))
+    # tables of their own, so that joins can split the rows of a large group
+    best = staged(several.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "row")).alias("best")), "near-best")
     drop = several.join(best, "group").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
     return without(whole, drop, row).drop(row)
