@@ -53,7 +53,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     hash_of = xxhash.xxh64_intdigest
-    h = np.array([hash_of(g, SEED) for g in grams], dtype=np.uint64)
+    h = np.fromiter((hash_of(g, SEED) for g in grams), dtype=np.uint64)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
