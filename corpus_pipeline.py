@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, langid, packing, quality, simhash
+from quarry.llm import exact_dedup, langid, near_dedup, packing, quality
 from quarry.llm.common import staged, table
 
 
@@ -34,8 +34,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest id stays."""
-    return simhash.deduplicated(docs)
+    """Of each group linked by a similarity of 0.8 or more (5-word shingles) the smallest id stays."""
+    return near_dedup.deduplicated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
