@@ -42,6 +42,10 @@ TREES, DEPTH, RATE, BINS = 70, 4, 0.2, 32
 BLOCK_CHARS = 2_000_000
 
 SILENT = frozenset("script style template noscript head title iframe object svg math canvas audio video select button textarea datalist map".split())
+#: What may stand in a head; any other opening tag ends it.
+IN_HEAD = frozenset("head title base link meta style script noscript template basefont bgsound noframes html".split())
+#: Silent elements that end with the block that holds them, should their end tag be missing.
+LOOSE = frozenset("noscript object svg math canvas audio video select button datalist map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -70,6 +74,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
         self.silent: list[str] = []
+        self.inside: dict[str, int] = {}  # open blocks inside silent elements
         self.links = 0
 
     def text(self, data: str):
@@ -89,7 +94,30 @@ class _Tree(HTMLParser):
                 return
             node = node.parent
 
+    def ended(self, tag, opens: bool):
+        """Ends silent elements that ``tag`` cannot stand in, or that the block it closes holds."""
+        if self.silent[0] == "head":
+            inner = self.silent[-1]
+            if tag == "body" or opens and tag not in IN_HEAD and (inner == "head" or inner == "noscript" and tag in BLOCKS):
+                self.silent.clear()
+        elif not opens and tag in BLOCKS and all(x in LOOSE for x in self.silent):
+            node = self.at
+            # blocks opened inside the silent element close first
+            if self.inside.get(tag):
+                self.inside[tag] -= 1
+                return
+            while node is not None and node.tag != tag:
+                node = node.parent
+            if node is not None:
+                self.silent.clear()
+        elif opens and tag in BLOCKS and self.silent:
+            self.inside[tag] = self.inside.get(tag, 0) + 1
+        if not self.silent:
+            self.inside.clear()
+
     def handle_starttag(self, tag, attrs):
+        if self.silent:
+            self.ended(tag, True)
         if tag in SILENT:
             self.silent.append(tag)
         if self.silent or tag in ("html", "body") and self.at.parent is not None:
@@ -119,6 +147,8 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if self.silent:
+            self.ended(tag, False)
         if self.silent:
             if tag in self.silent:
                 del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
@@ -128,6 +158,8 @@ class _Tree(HTMLParser):
             self.up({tag})
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.silent.clear()
         if not self.silent:
             self.text(data)
             if self.links:
