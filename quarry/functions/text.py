@@ -23,14 +23,16 @@ def stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
-def clean_text(c: Column, limit: int = M.MAX_UNIT_CHARS) -> Column:
-    """Line separators to LF, controls to spaces, invisible characters out, runs of blanks to one space, strip, cut."""
+def clean_text(c: Column, limit: int | None = M.MAX_UNIT_CHARS) -> Column:
+    """Line separators to LF, controls to spaces, invisible characters out, runs of blanks to one space, strip, cut (whole where limit is None)."""
     c = F.coalesce(c, F.lit(""))
     c = F.regexp_replace(c, r"[\u2028\u2029\x0b\x0c\r]", "\n")
     c = F.regexp_replace(c, r"[\x00-\x08\x0e-\x1f\x7f]", " ")
     c = F.translate(c, "\ufeff\u200b\u200c\u200d\u2060\u00ad", "")
     c = F.regexp_replace(c, r"[ \t\u00a0]{2,}", " ")
     c = stripped(c)
+    if limit is None:
+        return c
     return F.when(F.length(c) > limit, F.regexp_replace(F.substring(c, 1, limit), f"[{_SPACES}]+$", "")).otherwise(c)
 
 

@@ -256,7 +256,7 @@ def replaced_units(spark, sf_dir):
 @_query
 def clean_text(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("digest"))
+    return d.select("doc_id", F.md5(X.clean_text(F.col("text"), None)).alias("digest"))
 
 
 @_query
