@@ -140,14 +140,13 @@ def excel_column_name(index: int) -> str:
 
 
 def column_name(index: Column) -> Column:
-    """``excel_column_name`` for up to three letters."""
-    letter = lambda n: F.chr(n + 65)
-    i = index - 1
-    one = letter(i % 26)
-    two = F.concat(letter(F.floor(i / 26) - 1), one)
-    j = i - 702
-    three = F.concat(letter(F.floor(j / 676)), letter(F.floor(j / 26) % 26), letter(j % 26))
-    return F.when(i < 26, one).when(i < 702, two).otherwise(three)
+    """``excel_column_name`` for any long: at most 14 letters."""
+    rest, name = F.greatest(index.cast("long"), F.lit(0)), F.lit("")
+    for _ in range(14):
+        before = rest - 1
+        name = F.concat(F.when(rest >= 1, F.chr(before % 26 + 65)).otherwise(""), name)
+        rest = F.call_function("div", before, F.lit(26))  # 0 stays 0
+    return F.when(index.isNotNull(), name)
 
 
 _CATEGORIES = {".pdf": "pdf", ".docx": "word", ".xlsx": "excel", ".txt": "text", ".md": "text", ".csv": "text", ".log": "text"}
