@@ -54,21 +54,24 @@ class Indexer:
         files, units, runs = self._table("files", M.FILES), self._table("units", M.UNITS), self._table("runs", M.RUNS)
         run_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
         base = F.lit(normalized_path_str(root) + "\\")
-        scan = listing.scanned(listing.list_files(self.spark, root), root, **self.options)
+        closed: list[str] = []
+        scan = listing.scanned(listing.list_files(self.spark, root, unreadable=closed), root, **self.options)
+        unreadable = self.spark.createDataFrame([(normalized_path_str(x),) for x in closed], "folder string")
         scan = scan.withColumn("root_id", F.lit(root_id)).withColumn("normalized_path", F.concat(base, F.lower("relative_path"))).persist()
         good = scan.filter("skip_reason IS NULL")
         others, own = files.filter(F.col("root_id") != root_id), files.filter(F.col("root_id") == root_id)
         kept_units, own_units = units.filter(F.col("root_id") != root_id), units.filter(F.col("root_id") == root_id)
-        old = own.limit(0) if rebuild else own
+        old = maintenance.under(own, unreadable) if rebuild else own
         change = maintenance.classify(old, good, M.PARSER_VERSION).persist()
         dirty = good.join(change.filter("change IN ('new', 'changed')").select("normalized_path", "old_id"), "normalized_path")
         written, new_units = self._extract(dirty, root_id, run_id)
         merged = maintenance.upsert(old, written.select(*(c for c in M.FILES.fieldNames() if c != "file_id")))
         merged = maintenance.touch(merged, merged.join(change.filter("change = 'unchanged'").select("normalized_path"), "normalized_path", "left_semi"), run_id)
-        merged = maintenance.without_unseen(merged, run_id, True).persist()
+        merged = maintenance.without_unseen(merged, run_id, True, unreadable).persist()
         ids = merged.select("file_id", "normalized_path")
         fresh = new_units.join(ids, "normalized_path").withColumn("root_id", F.lit(root_id)).withColumn("unit_id", F.col("file_id") * 1_000_000 + F.col("sequence"))
-        unchanged = own_units.join(change.filter("change = 'unchanged'").select(F.col("old_id").alias("file_id")), "file_id", "left_semi")
+        stays = change.filter("change IN ('unchanged', 'deleted')").select(F.col("old_id").alias("file_id")).join(merged, "file_id", "left_semi")
+        unchanged = own_units.join(stays, "file_id", "left_semi")
         all_units = kept_units.unionByName(unchanged.select(*M.UNITS.fieldNames())).unionByName(fresh.select(*M.UNITS.fieldNames()))
         counts = self._counters(scan, change, merged, run_id)
         now = dt.datetime.now(dt.timezone.utc)
@@ -111,11 +114,12 @@ class Indexer:
     def _counters(self, scan: DataFrame, change: DataFrame, merged: DataFrame, run_id: int) -> dict:
         n = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}  # four classes
         own = merged.join(change.filter("change IN ('new', 'changed')").select("normalized_path"), "normalized_path", "left_semi")
+        kept = change.filter("change = 'deleted'").join(merged, "normalized_path", "left_semi").count()  # under unreadable folders
         s = {r["content_status"]: r["count"] for r in own.groupBy("content_status").count().collect()}
         skipped = scan.filter("skip_reason IS NOT NULL AND skip_reason <> 'not_supported'").count()
         return {
             "files_discovered": sum(n.get(k, 0) for k in ("new", "changed", "unchanged")), "files_indexed": s.get("indexed", 0), "files_unchanged": n.get("unchanged", 0), "files_no_text": s.get("no_text", 0),
-            "files_failed": s.get("failed", 0), "files_skipped": skipped, "files_deleted": n.get("deleted", 0), "files_new": n.get("new", 0),
+            "files_failed": s.get("failed", 0), "files_skipped": skipped, "files_deleted": n.get("deleted", 0) - kept, "files_new": n.get("new", 0),
         }
 
     def delete_root(self, root: str) -> None:

@@ -58,13 +58,17 @@ def without_unseen(files: DataFrame, run_id: int, scan_complete: bool, unreadabl
         return files
     gone = stale_files(files, run_id).select("file_id", "normalized_path")
     if unreadable is not None:
-        folder = F.concat(unreadable["folder"], F.lit("\\"))
-        gone = gone.join(F.broadcast(unreadable.limit(10_000)), F.startswith(gone["normalized_path"], folder), "left_anti") if _few(unreadable) else gone.limit(0)
+        gone = gone.join(under(gone, unreadable).select("file_id"), "file_id", "left_anti")
     return files.join(gone.select("file_id"), "file_id", "left_anti")
 
 
-def _few(rows: DataFrame, most: int = 10_000) -> bool:
-    return len(rows.limit(most + 1).take(most + 1)) <= most
+def under(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """Files below any of ``folders`` (folder: a normalized path), by an equi-join on each path's ancestors."""
+    parts = F.split("normalized_path", r"\\")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
+    above = files.filter(F.contains("normalized_path", F.lit("\\"))).select("file_id", F.explode(ancestors).alias("folder"))
+    named = folders.select(F.regexp_replace("folder", r"\\+$", "").alias("folder")).distinct()
+    return files.join(above.join(named, "folder", "left_semi").select("file_id").distinct(), "file_id", "left_semi")
 
 
 def orphan_units(units: DataFrame, files: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def validate_root(raw: str, *, require_directory: bool = True) -> str:
     return "ok" if os.path.isdir(text) or not require_directory else "not_a_directory"
 
 
-def walk(root: str, hidden: bool = False) -> Iterator[tuple]:
-    """One stat per entry, links never followed; unreadable folders are left out."""
+def walk(root: str, hidden: bool = False, unreadable: list[str] | None = None) -> Iterator[tuple]:
+    """One stat per entry, links never followed; unreadable folders are left out and added to ``unreadable``."""
     stack = [root]
     at_top = os.path.dirname(root.rstrip("/")) in ("", "/")
     while stack:
@@ -59,6 +59,8 @@ def walk(root: str, hidden: bool = False) -> Iterator[tuple]:
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
+            if unreadable is not None:
+                unreadable.append(folder)
             continue
         for e in entries:
             low = e.name.lower()
@@ -71,9 +73,9 @@ def walk(root: str, hidden: bool = False) -> Iterator[tuple]:
                 yield e.path, e.name, st.st_size, st.st_ctime, st.st_mtime, e.name.startswith("."), False, e.is_symlink()
 
 
-def list_files(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
+def list_files(spark: SparkSession, root: str, hidden: bool = False, unreadable: list[str] | None = None) -> DataFrame:
     """A local tree as a DataFrame (for paths in a store, ``list_store``)."""
-    return spark.createDataFrame(list(walk(root, hidden)), LISTING_DDL)
+    return spark.createDataFrame(list(walk(root, hidden, unreadable)), LISTING_DDL)
 
 
 def list_store(spark: SparkSession, path: str) -> DataFrame:
