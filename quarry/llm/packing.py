@@ -13,7 +13,9 @@ its rest goes back into the multiset.
 
 Each document finds its place by its rank among the rests of its length: the
 rank inside its task plus the tasks before it (a running sum over tasks, per
-length), so no length is ever gathered in one task.  CRCs of cut pieces are
+length), so no length is ever gathered in one task; a task's running sums meet
+its rows by one shuffle on the task's number, and nothing but the plan (bounded
+by the capacity) is broadcast.  CRCs of cut pieces are
 derived from prefix CRCs stored every GRID ids.
 
 The number of patterns is bounded by the capacity alone: using a length k times
@@ -22,12 +24,15 @@ length l limits at most 1 + CAPACITY / l patterns; the sum over l is under
 20,000 for 2,048, with at most 63 different lengths in a pattern.
 
 Defined results: null and empty texts are the end id alone; repeated rows are
-packed each; an empty table gives an empty table; other columns are ignored.
+packed each; an empty table gives an empty table; other columns are ignored;
+a text of any length, one long word or one run of white space included, gives
+the ids of the tokenizers file (runs of white space over RUN are encoded apart).
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import cache
 
@@ -48,6 +53,9 @@ GRID = 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: An added token of byte_bpe_50k.json: in a text it is one id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: Longer runs of white space don't go through the word pattern, whose lookahead takes a stack as deep as the run.
+RUN = 10_000
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @cache
@@ -57,11 +65,28 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
 
+def _ordinary_ids(enc: tiktoken.Encoding, text: str):
+    """Arrays of the ids of a text without special tokens.
+
+    A long run of white space is one word of the pattern, but for its last
+    character, which belongs to what follows.
+    """
+    at = 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield enc.encode_to_numpy(text[at : run.start()], disallowed_special=())
+        yield enc._encode_single_piece(text[run.start() : end])
+        at = end
+    yield enc.encode_to_numpy(text[at:] if at else text, disallowed_special=())
+
+
 def token_ids(text: str, path: str | None = None) -> np.ndarray:
     """The ids of byte_bpe_50k.json, and the end id."""
     enc = _encoding(path or public_tokenizers.path(VOCABULARY))
-    ids = enc.encode_to_numpy(text, allowed_special="all") if SPECIAL in text else enc.encode_to_numpy(text, disallowed_special=())
-    return np.append(ids, END).astype("<u4")
+    parts = []
+    for k, piece in enumerate(text.split(SPECIAL)):
+        parts += [[SPECIAL_ID]] * (k > 0) + [*_ordinary_ids(enc, piece)]
+    return np.concatenate([*parts, [END]]).astype("<u4")
 
 
 _TOKENISED = pa.schema([
@@ -211,19 +236,23 @@ _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 def _place(plan, n_sequences: int, capacity: int):
-    """(tokenised row, rank) -> its pieces."""
+    """A task's tokenised rows and its bases (rests of each length in the tasks before it) -> the rows' pieces."""
 
-    def run(batches):
+    def run(key, own_rows, bases):
         places = plan.value
+        base = np.zeros(capacity, np.int64)
+        base[bases["rest"].to_numpy()] = bases["base"].to_numpy()
         order = np.lexsort((places[:, 1], places[:, 0], places[:, 3] > 0))
         uncut = places[order][: int((places[:, 3] == 0).sum())]
         cut = [p for p in places.tolist() if p[3] > 0]
         stride = np.int64(1) << 40
         firsts = uncut[:, 0] * stride + uncut[:, 1]
-        for batch in batches:
+        out = []
+        for batch in own_rows.to_batches(max_chunksize=10_000):
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             ids = cols["doc_id"].to_pylist()
-            tokens, part, first, rest, rank = (cols[x].to_numpy(zero_copy_only=False) for x in ("doc_tokens", "part", "first_full", "rest", "rank"))
+            tokens, part, first, rest, rank = (cols[x].to_numpy(zero_copy_only=False) for x in ("doc_tokens", "part", "first_full", "rest", "rest_rank"))
+            rank = rank + base[rest]
             pieces: list[tuple] = []
             for i, crcs in enumerate(cols["full_crcs"]):
                 crcs = crcs.as_py()
@@ -244,7 +273,8 @@ def _place(plan, n_sequences: int, capacity: int):
                 item += int(rank[i]) - lo
                 pieces.append((ids[i], int(tokens[i]) - own + start, length, crc, tokens[i], sequence + item // copies, offset + item % copies * length))
             columns = list(zip(*pieces)) or [[]] * len(_PIECES)
-            yield arrow_rows(_PIECES, {f.name: c for f, c in zip(_PIECES, columns)})
+            out.append(arrow_rows(_PIECES, {f.name: c for f, c in zip(_PIECES, columns)}))
+        return pa.Table.from_batches(out, _PIECES)
 
     return run
 
@@ -259,9 +289,9 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, path: str | None = None)
     places, n_sequences = solve(histogram, capacity)
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("rest", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = tokens.join(bases, ["rest", "part"]).withColumn("rank", F.col("rest_rank") + F.col("base"))
-    plan = spark.sparkContext.broadcast(places)
-    return ranked.select("doc_id", "doc_tokens", "part", "first_full", "full_crcs", "rest", "rank", "prefix_crcs").mapInArrow(_place(plan, n_sequences, capacity), _PIECES_DDL)
+    plan = spark.sparkContext.broadcast(places)  # its size depends on the capacity alone
+    # a task's rows are one input split's, so these groups are bounded
+    return tokens.groupBy("part").cogroup(bases.groupBy("part")).applyInArrow(_place(plan, n_sequences, capacity), _PIECES_DDL)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
