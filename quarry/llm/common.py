@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import struct
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +46,17 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     # the schema is given, so that an empty table can be read back too
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_path = path
+    return found
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing, no lazy result either, will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -97,3 +111,59 @@ def blocks(values: list[str], chars: int):
             block, held = [], 0
     if block:
         yield block
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as zstd-compressed byte planes."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        planes = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.size else b""
+        parts += [a.dtype.str.encode().ljust(4), struct.pack("<Q", a.size), planes]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(data):
+        kind = np.dtype(data[at : at + 4].decode().strip())
+        (n,) = struct.unpack_from("<Q", data, at + 4)
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at + 12).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += 12 + n * kind.itemsize
+    return out
+
+
+def deltas(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct numbers, ascending (by sorting, which is far faster than ``np.unique`` for whole numbers)."""
+    a = np.sort(a)
+    return a[_firsts(a)]
+
+
+def distinct_at(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and each number's place among them."""
+    order = np.argsort(a)
+    ranked = a[order]
+    new = _firsts(ranked)
+    at = np.empty(len(a), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
+
+
+def _firsts(ranked: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    return new
+
+
+def released() -> None:
+    """Gives memory that is free in this Python worker back to the system (workers are kept for further tasks)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass

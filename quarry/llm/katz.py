@@ -17,8 +17,8 @@ the order it asked.  Blocks then count their distinct pairs of known words the
 same way.  A frequent history is spread over as many shards as its share of the
 tokens asks for, by the hash of the second word; a block adds the partial sums
 of its shards.  All tables are Parquet in the shared folder, partitioned by
-kind, with a row per (block, shard) of packed arrays; the driver sees only
-counts of counts.  Each block finally evaluates the recursion for its tokens.
+kind, with a row of packed arrays per block and shard that has rows for the
+other (so at most as many rows as pairs); the driver sees only counts of counts.  Each block finally evaluates the recursion for its tokens.
 
 Hash collisions: two of n distinct words share a 64-bit hash with probability
 below n * n / 2**65 (3e-6 for ten million words).
@@ -31,23 +31,25 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, staged, table, utf8_texts
+from quarry.llm.common import crc_mod, deltas, distinct_at, pack, released, staged, table, unpack, utf8_texts
 
 MAX_DISCOUNTED = 5
 BLOCK_BYTES = 16 << 20
 #: Input bytes for each shard of words or pairs.
 SHARD_BYTES = 4 << 20
 _CHUNK = 2 << 20
+#: A block's documents travel in rows of this many bytes: the JVM gives larger arrays regions of their own.
+PIECE = 256 << 10
 _ROWS_DDL = "kind string, block long, shard long, payload binary"
 _ROWS = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
 
@@ -58,32 +60,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(0xD1B54A32D192ED03)
 
 
-# --- packed arrays -------------------------------------------------------------
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as zstd-compressed byte planes."""
-    parts = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.size else b""
-        parts += [a.dtype.str.encode().ljust(4), struct.pack("<Q", a.size), planes]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(data):
-        kind = np.dtype(data[at : at + 4].decode().strip())
-        (n,) = struct.unpack_from("<Q", data, at + 4)
-        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at + 12).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += 12 + n * kind.itemsize
-    return out
-
-
-def deltas(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=a.dtype.type(0))
+# --- packed numbers -------------------------------------------------------------
 
 
 def varints(a: np.ndarray) -> np.ndarray:
@@ -179,10 +156,18 @@ def _chunks(texts):
         yield chunk
 
 
-def _cells(edges: np.ndarray, *arrays: np.ndarray):
-    """The arrays cut at ``edges``."""
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield [x[a:b] for x in arrays]
+def _cells(shard: np.ndarray, *arrays: np.ndarray):
+    """(shard, arrays' stretches) for each shard that occurs in the ascending ``shard``: a cell is never empty."""
+    starts = np.flatnonzero(np.diff(shard, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)]):
+        yield int(shard[a]), [x[a:b] for x in arrays]
+
+
+def _rows_of(kind: str, block: int, cells):
+    """Rows of a block's (shard, payload) cells, some at a time."""
+    cells = iter(cells)
+    while some := list(itertools.islice(cells, 256)):
+        yield rows([kind] * len(some), [block] * len(some), [s for s, _ in some], [x for _, x in some])
 
 
 def _blocks(n_shards: int, block_bytes: int):
@@ -192,17 +177,18 @@ def _blocks(n_shards: int, block_bytes: int):
     def flush(block, ids, held, hashes, lengths):
         h, n = np.concatenate(hashes), np.concatenate(lengths)
         held = np.array(held, np.uint8)
-        words, local, total = np.unique(h, return_inverse=True, return_counts=True)
+        words, local = distinct_at(h)
+        del h, hashes
+        total = np.bincount(local, minlength=len(words))
         trained = np.bincount(local[np.repeat(held == 0, n)], minlength=len(words)).astype(np.uint32)
         order = np.argsort(-total, kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         no_id = np.array([x is None for x in ids], np.uint8)
         docs = pack(np.array([x or 0 for x in ids], np.int64), no_id, held, n.astype(np.uint32), varints(rank[local]), order.astype(np.uint32))
-        yield rows(["docs"], [block], [-1], [docs])
-        edges = np.concatenate([np.searchsorted(words >> shift, np.arange(n_shards, dtype=np.uint64)), [len(words)]]) if n_shards > 1 else np.array([0, len(words)])
-        cells = [pack(deltas(w), c) for w, c in _cells(edges, words, trained)]
-        yield rows(["words"] * n_shards, [block] * n_shards, list(range(n_shards)), cells)
+        yield from _rows_of("docs", block, enumerate(docs[i : i + PIECE] for i in range(0, len(docs), PIECE)))
+        shard = (words >> shift).astype(np.int64) if n_shards > 1 else np.zeros(len(words), np.int64)
+        yield from _rows_of("words", block, ((s, pack(deltas(w), c)) for s, (w, c) in _cells(shard, words, trained)))
 
     def run(batches):
         block = TaskContext.get().partitionId() << 24
@@ -229,14 +215,16 @@ def _blocks(n_shards: int, block_bytes: int):
 
 
 class Docs:
-    """A block's documents: ids, held-out flags, tokens of each, and the tokens as indexes into its sorted words."""
+    """A block's documents: ids, held-out flags, tokens of each, and the tokens as ranks of the words' numbers."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes, numbers: np.ndarray):
         ids, no_id, self.held, self.n, codes, order = unpack(payload)
         self.ids = [None if gone else int(i) for i, gone in zip(ids, no_id)]
         self.held = self.held.astype(bool)
         self.n = self.n.astype(np.int64)
-        self.tokens = order.astype(np.int32)[unvarints(codes)]
+        rank = np.empty(len(numbers), np.int32)
+        rank[np.argsort(numbers)] = np.arange(len(numbers), dtype=np.int32)
+        self.tokens = rank[order][unvarints(codes)]
         self.ends = np.cumsum(self.n)
 
     def histories(self, end: int) -> np.ndarray:
@@ -296,14 +284,13 @@ def _merge_words(n_shards: int):
         blocks = group["block"].to_pylist()
         cells = [unpack(x.as_py()) for x in group["payload"]]
         words = [np.cumsum(w, dtype=np.uint64) for w, _ in cells]
-        all_words = np.concatenate(words)
-        distinct, at = np.unique(all_words, return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([c for _, c in cells]), minlength=len(distinct)).astype(np.int64)
+        known, at = distinct_at(np.concatenate(words))
+        counts = np.bincount(at, weights=np.concatenate([c for _, c in cells]), minlength=len(known)).astype(np.int64)
         # frequent words get small numbers, which pack well
-        number = np.empty(len(distinct), np.uint64)
-        number[np.argsort(-counts, kind="stable")] = np.arange(len(distinct), dtype=np.uint64) * np.uint64(n_shards) + np.uint64(shard)
-        edges = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        out = [pack(c.astype(np.uint64), g) for c, g in _cells(edges, counts[at], number[at])]
+        number = np.empty(len(known), np.uint64)
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(known), dtype=np.uint64) * np.uint64(n_shards) + np.uint64(shard)
+        of_cell = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        out = [pack(c.astype(np.uint64), g) for _, (c, g) in _cells(of_cell, counts[at], number[at])]
         known = counts[counts > 0]
         stat = struct.pack(f"<{MAX_DISCOUNTED + 3}q", int(known.sum()), len(known), *counts_of_counts(known).tolist())
         n = len(out)
@@ -319,43 +306,63 @@ def _pick(group, kind: str) -> list[bytes]:
 
 
 def _block_words(group) -> tuple[Docs, np.ndarray, np.ndarray]:
-    """A block's documents, and the counts and numbers of its sorted words."""
-    docs = Docs(_pick(group, "docs")[0])
+    """A block's documents, and the counts and numbers of its words, ascending by number."""
     cells = [unpack(p) for p in _pick(group, "found")]
-    return docs, np.concatenate([c for c, _ in cells]).astype(np.int64), np.concatenate([g for _, g in cells])
+    counts, numbers = np.concatenate([c for c, _ in cells]).astype(np.int64), np.concatenate([g for _, g in cells])
+    docs = Docs(b"".join(_pick(group, "docs")), numbers)
+    order = np.argsort(numbers)
+    return docs, counts[order], numbers[order]
 
 
 class Pairs:
     """A block's distinct pairs of known words and its known histories, dealt to shards.
 
-    ``code`` is sorted; ``order`` lists the pairs by (shard, history, word), in the shards' numbers.
+    ``v`` and ``w`` are the pairs, ascending by the words' numbers; ``order``
+    lists them by (shard, history, word), ``shard`` in that order.
     """
 
-    def __init__(self, docs: Docs, counts: np.ndarray, numbers: np.ndarray, n_tokens: int, n_shards: int, end: int):
+    def __init__(self, docs: Docs, counts: np.ndarray, numbers: np.ndarray, n_tokens: int, n_shards: int):
         n = len(counts)
-        self.before = docs.histories(end)
-        known = (counts[self.before] > 0) & (counts[docs.tokens] > 0)
-        code = self.before.astype(np.int64) * n + docs.tokens
-        self.code = np.unique(code := code[known])
-        self.at = np.searchsorted(self.code, code).astype(np.int32)  # less memory than an inverse from sorting
-        del code
-        self.known = known
-        trained = known & np.repeat(~docs.held, docs.n)
-        self.trained = np.bincount(self.at[trained[known]], minlength=len(self.code)).astype(np.uint32)
-        self.v, self.w = self.code // n, self.code % n
+        self.before = docs.histories(docs.tokens[docs.ends[0] - 1])
+        self.known = (counts[self.before] > 0) & (counts[docs.tokens] > 0)
+        code = self.before[self.known] * np.int64(n) + docs.tokens[self.known]
+        order = np.argsort(code)
+        code = code[order]
+        new = np.ones(len(code), bool)
+        np.not_equal(code[1:], code[:-1], out=new[1:])
+        self.at = np.empty(len(code), np.int32)  # each known token's pair
+        self.at[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        code = code[new]
+        trained = np.repeat(~docs.held, docs.n)[self.known]
+        self.trained = np.bincount(self.at[trained], minlength=len(code)).astype(np.uint32)
+        self.v, self.w = (code // n).astype(np.int32), (code % n).astype(np.int32)
+        del code, new, trained
         # shards of a history: as many as its share of all tokens asks for
-        self.spread = np.maximum(1, np.ceil(counts / max(1, n_tokens) * n_shards)).astype(np.int64)
+        spread = np.maximum(1, np.ceil(counts / max(1, n_tokens) * n_shards)).astype(np.int32)
         mixed = (numbers * _ODD) >> np.uint64(33)
-        first = (mixed % np.uint64(n_shards)).astype(np.int64)
-        shard = (first[self.v] + mixed[self.w].astype(np.int64) // n_shards % self.spread[self.v]) % n_shards
-        self.order = np.lexsort((numbers[self.w], numbers[self.v], shard))  # small steps between numbers pack well
-        self.edges = np.searchsorted(shard[self.order], np.arange(n_shards + 1))
-        asked = np.unique(self.before[counts[self.before] > 0])
-        self.history = np.repeat(asked, self.spread[asked])
-        step = np.arange(len(self.history)) - np.repeat(np.cumsum(self.spread[asked]) - self.spread[asked], self.spread[asked])
-        own = (first[self.history] + step) % n_shards
-        self.history_order = np.lexsort((numbers[self.history], own))
-        self.history_edges = np.searchsorted(own[self.history_order], np.arange(n_shards + 1))
+        first = (mixed % np.uint64(n_shards)).astype(np.int32)
+        mixed = (mixed // np.uint64(n_shards)).astype(np.int32)
+        kind = np.uint16 if n_shards <= 1 << 16 else np.int32  # 16 bits sort by radix
+        shard = ((first[self.v] + mixed[self.w] % spread[self.v]) % n_shards).astype(kind)
+        self.order = np.argsort(shard, kind="stable").astype(np.int32)
+        self.shard = shard[self.order].astype(np.int64)
+        asked = np.zeros(n, bool)
+        asked[self.before] = True
+        asked = np.flatnonzero(asked & (counts > 0))
+        times = spread[asked]
+        history = np.repeat(asked, times)
+        step = np.arange(len(history)) - np.repeat(np.cumsum(times) - times, times)
+        own = (first[history] + step) % n_shards
+        by_shard = np.argsort(own, kind="stable")
+        self.history, self.history_shard = history[by_shard], own[by_shard].astype(np.int64)
+
+    def cells(self, *of_pairs: np.ndarray):
+        """(shard, histories asked there, the arrays' stretches for its pairs)."""
+        pairs = dict(_cells(self.shard, *of_pairs))
+        histories = {s: h for s, (h,) in _cells(self.history_shard, self.history)}
+        for s in sorted(pairs.keys() | histories.keys()):
+            yield s, histories.get(s, self.history[:0]), pairs.get(s, [x[:0] for x in of_pairs])
 
 
 def _count_pairs(n_tokens: int, n_shards: int):
@@ -364,14 +371,15 @@ def _count_pairs(n_tokens: int, n_shards: int):
     def count(key, group):
         block = key[0].as_py()
         docs, counts, numbers = _block_words(group)
-        pairs = Pairs(docs, counts, numbers, n_tokens, n_shards, docs.tokens[docs.ends[0] - 1])
-        v, w, c = (x[pairs.order] for x in (pairs.v, pairs.w, pairs.trained))
-        h = pairs.history[pairs.history_order]
-        out = []
-        for (cv, cw, cc), (ch,) in zip(_cells(pairs.edges, v, w, c), _cells(pairs.history_edges, h)):
-            step = np.diff(numbers[cv].view(np.int64), prepend=np.int64(0))
-            out.append(pack(step, numbers[cw], cc, counts[cw].astype(np.uint64), np.diff(numbers[ch].view(np.int64), prepend=np.int64(0))))
-        return pa.Table.from_batches([rows(["pairs"] * n_shards, [block] * n_shards, list(range(n_shards)), out)])
+        pairs = Pairs(docs, counts, numbers, n_tokens, n_shards)
+        del docs
+        step = lambda x: np.diff(numbers[x].view(np.int64), prepend=np.int64(0))
+        of_pairs = (x[pairs.order] for x in (pairs.v, pairs.w, pairs.trained))
+        cells = ((s, pack(step(v), numbers[w], c, counts[w].astype(np.uint64), step(h))) for s, h, (v, w, c) in pairs.cells(*of_pairs))
+        out = pa.Table.from_batches(list(_rows_of("pairs", block, cells)), _ROWS)
+        del pairs
+        released()
+        return out
 
     return count
 
@@ -394,7 +402,7 @@ def _merge_pairs(unigrams: Unigrams):
         counts = np.bincount(group_of, weights=np.concatenate([c[2] for c in cells]), minlength=len(first)).astype(np.int64)
         p = unigrams.p(np.concatenate([c[3] for c in cells])[first].astype(np.int64))
         seen = counts > 0
-        histories, at = np.unique(v[first][seen], return_inverse=True)
+        histories, at = distinct_at(v[first][seen])
         sums = [np.bincount(at, weights=(counts[seen] == r), minlength=len(histories)).astype(np.uint32) for r in range(1, MAX_DISCOUNTED + 1)]
         mass = np.bincount(at, weights=p[seen], minlength=len(histories))
         out, done = [], 0
@@ -407,6 +415,7 @@ def _merge_pairs(unigrams: Unigrams):
             answer.append(np.where(ok, mass[k], 0) if len(histories) else np.zeros(len(asked)))
             out.append(pack(counts[group_of[done : done + n]].astype(np.uint64), *answer))
             done += n
+        released()
         stat = struct.pack(f"<{MAX_DISCOUNTED + 1}q", *counts_of_counts(counts[seen]).tolist())
         n = len(out)
         return pa.Table.from_batches([rows(["answer"] * n + ["stat"], [*blocks, -1], [shard] * (n + 1), [*out, stat])])
@@ -422,11 +431,15 @@ def _score(unigrams: Unigrams, d: np.ndarray, n_shards: int):
 
     def score(key, group):
         docs, counts, numbers = _block_words(group)
-        pairs = Pairs(docs, counts, numbers, unigrams.n_tokens, n_shards, docs.tokens[docs.ends[0] - 1])
+        pairs = Pairs(docs, counts, numbers, unigrams.n_tokens, n_shards)
         cells = [unpack(p) for p in _pick(group, "answer")]
-        c = np.empty(len(pairs.code), np.int64)
-        c[pairs.order] = np.concatenate([x[0] for x in cells]).astype(np.int64)
-        h = pairs.history[pairs.history_order]
+        del group
+        c = np.zeros(len(pairs.v), np.int64)
+        h = pairs.history
+        if cells:
+            c[pairs.order] = np.concatenate([x[0] for x in cells]).astype(np.int64)
+        else:
+            cells = [[np.zeros(len(h))] * (MAX_DISCOUNTED + 2)]
         size = len(counts)
         per_count = [np.bincount(h, weights=np.concatenate([x[r] for x in cells]), minlength=size) for r in range(1, MAX_DISCOUNTED + 1)]
         mass = np.bincount(h, weights=np.concatenate([x[-1] for x in cells]), minlength=size)
@@ -440,14 +453,18 @@ def _score(unigrams: Unigrams, d: np.ndarray, n_shards: int):
         alpha = np.where(counts > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
         word_log = np.log10(unigrams.p(counts))
         result = np.log10(alpha)[pairs.before] + word_log[docs.tokens]
+        del cells, per_count, mass
         seen = c > 0
         ratio = shrink[pairs.v[seen]] * d[np.minimum(c[seen], MAX_DISCOUNTED + 1)] * c[seen] / total[pairs.v[seen]]
         pair_log = np.full(len(c), np.nan)
         pair_log[seen] = np.log10(ratio)
+        del c, seen, ratio
         own = pair_log[pairs.at]
         result[pairs.known] = np.where(np.isnan(own), result[pairs.known], own)
+        del own, pair_log, pairs
         starts = np.concatenate([[0], docs.ends[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
+        released()
         return pa.table({
             "doc_id": pa.array(docs.ids, pa.int64()), "held_out": pa.array(docs.held, pa.bool_()), "n_tokens": pa.array(docs.n, pa.int64()),
             "n_known": pa.array(add((counts[docs.tokens] > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(docs.n), unigrams.n_tokens), pa.int64()),
