@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from quarry import model as M
 
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-_TOKEN = re.compile(r'"([^"]*)"|(\S+)')
+# Characters that a query loses, and those that a bare word loses at its edges.
+_LOST = dict.fromkeys([*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F])
 _EDGES = " \t\r\n,;:!"
-_WILD = re.compile(r"[*?]+")
 
 
 class QueryError(ValueError):
@@ -33,8 +32,12 @@ class Term:
     @property
     def runs(self) -> tuple[str, ...]:
         """The literal runs between wildcards, longest first."""
-        found = [r for r in _WILD.split(self.text) if r] if self.glob else [self.text]
-        return tuple(sorted(dict.fromkeys(found), key=len, reverse=True))
+        found = self.text.replace("?", "*").split("*") if self.glob else [self.text]
+        return tuple(sorted(filter(None, dict.fromkeys(found)), key=len, reverse=True))
+
+    @property
+    def wildcards(self) -> int:
+        return self.text.count("*") + self.text.count("?")
 
     @property
     def fragments(self) -> tuple[str, ...]:
@@ -48,26 +51,49 @@ class Parsed:
     warnings: tuple[str, ...] = ()
 
 
+def _scan(query: str) -> Iterator[Term]:
+    """Terms from left to right: a closed pair of quotes holds a phrase, everything else is cut at blanks."""
+    at = 0
+    while at < len(query):
+        close = query.find('"', at + 1) if query[at] == '"' else -1
+        if close >= 0:
+            yield Term(query[at + 1 : close].strip(), phrase=True)
+            at = close + 1
+        else:
+            word = query[at:].split(maxsplit=1)[0] if not query[at].isspace() else ""
+            yield Term(word.strip(_EDGES))
+            at += len(word) or 1
+
+
+class _Budget:
+    """Takes the terms of one query and refuses the one that is too many."""
+
+    def __init__(self):
+        self.terms: list[Term] = []
+        self.wildcards = 0
+
+    def take(self, term: Term) -> None:
+        if not term.text:
+            return
+        self.terms.append(term)
+        self.wildcards += term.wildcards
+        if len(self.terms) > M.MAX_TERMS or self.wildcards > M.MAX_WILDCARDS or term.wildcards > M.MAX_WILDCARDS_PER_TERM:
+            raise QueryError("query_too_complex")
+
+
 def parse(raw: str, *, exact_phrase: bool = False) -> Parsed:
+    """The query's terms; a query of edge characters alone is a phrase, as is any query where ``exact_phrase``."""
     if len(raw) > M.MAX_QUERY_LENGTH:
         raise QueryError("query_too_long")
-    text = _CONTROL.sub("", raw).strip()
-    if not text:
-        raise QueryError("query_empty")
+    query, budget = raw.translate(_LOST).strip(), _Budget()
     if exact_phrase:
-        whole = text.replace('"', "").strip()
-        terms = [Term(whole, True)] if whole else []
+        budget.take(Term(query.replace('"', "").strip(), phrase=True))
     else:
-        terms = []
-        for quoted, bare in _TOKEN.findall(text):
-            own = bare.strip(_EDGES) if bare else quoted.strip()
-            if own:
-                terms.append(Term(own, not bare))
-        terms = terms or [Term(text, True)]
-    if not terms:
+        for term in _scan(query):
+            budget.take(term)
+        if not budget.terms:
+            budget.take(Term(query, phrase=True))
+    if not budget.terms:
         raise QueryError("query_empty")
-    wild = [sum(t.text.count(c) for c in "*?") for t in terms]
-    if len(terms) > M.MAX_TERMS or sum(wild) > M.MAX_WILDCARDS or max(wild) > M.MAX_WILDCARDS_PER_TERM:
-        raise QueryError("query_too_complex")
-    short = any(not t.fragments for t in terms)
-    return Parsed(tuple(terms), ("short_term_scan",) if short else ())
+    unindexed = [t for t in budget.terms if not t.fragments]
+    return Parsed(tuple(budget.terms), ("short_term_scan",) if unindexed else ())

@@ -97,17 +97,77 @@ def test_locations_and_existence(engine, spark):
     assert {r["file_id"]: r["exists"] for r in existence(engine.files, listing).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
-def test_snippets():
-    h = snippets.Highlighter(parse("budget").terms)
+def _snippet(spark, text, query, **options):
+    df = spark.createDataFrame([(text,)], "t string")
+    found = df.select(snippets.snippet(parse(query).terms, F.col("t"), **options).alias("s")).first()["s"]
+    return found and (found["snippet"], [tuple(h) for h in found["highlights"]])
+
+
+def _spans(spark, text, query, **options):
+    df = spark.createDataFrame([(text,)], "t string")
+    return [tuple(s) for s in df.select(snippets.spans(parse(query).terms, F.col("t"), **options).alias("s")).first()["s"]]
+
+
+def test_snippets(spark):
     text = "x " * 200 + "the Budget, again" + " y" * 400
-    shown, marks = snippets.snippet(text, h)
+    shown, marks = _snippet(spark, text, "budget")
     assert shown.startswith("… ") and shown.endswith(" …") and len(shown) <= M.SNIPPET_LENGTH + 4
     assert [shown[a:b] for a, b in marks] == ["Budget"]
-    assert snippets.snippet("nothing", h) is None and snippets.snippet("", h) is None
-    glob = snippets.Highlighter(parse("bud*et").terms)
-    assert glob.spans("bud x et bud") == [(0, 3), (6, 8), (9, 12)] and glob.spans("et bud") == []
-    assert snippets.merged([(0, 2), (2, 4), (6, 7), (3, 5)]) == [(0, 5), (6, 7)]
-    assert snippets.Highlighter(parse("a").terms, whole_word=True).spans("a ba a") == [(0, 1), (5, 6)]
+    assert _snippet(spark, "nothing", "budget") is None and _snippet(spark, "", "budget") is None and _snippet(spark, None, "budget") is None
+    assert _spans(spark, "bud x et bud", "bud*et") == [(0, 3), (6, 8), (9, 12)] and _spans(spark, "et bud", "bud*et") == []
+    assert _spans(spark, "a ba a", "a", whole_word=True) == [(0, 1), (5, 6)]
+    merged = spark.range(1).select(snippets.merged_spans(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in [(0, 2), (2, 4), (6, 7), (3, 5)]))).alias("m")).first()["m"]
+    assert [tuple(s) for s in merged] == [(0, 5), (6, 7)]
+
+
+def test_snippet_cases(spark):
+    shown, marks = _snippet(spark, "prefix " * 40 + "NEEDLE" + " suffix" * 40, "needle")
+    assert "NEEDLE" in shown and shown.startswith("… ") and shown.endswith(" …") and len(shown) <= M.SNIPPET_LENGTH + 4
+    shown, marks = _snippet(spark, "งบประมาณครุภัณฑ์ประจำปี ๒๕๖๘ ของสำนักงานอธิการบดี", "ครุภัณฑ์")
+    assert [shown[a:b] for a, b in marks] == ["ครุภัณฑ์"]
+    shown, marks = _snippet(spark, "x" * 300 + "needle" + "y" * 300, "needle")
+    assert shown.startswith("… ") and [shown[a:b] for a, b in marks] == ["needle"]
+    assert _snippet(spark, "one\n\t budget  x", "budget") == ("one budget x", [(4, 10)])
+
+
+def _plain_snippet(text, needle, context=130, longest=500, soft=" \t\n,.;:!?)]}ๆ"):
+    """The rule of a snippet's window, letter by letter, for one lower-case literal."""
+    at = [i for i in range(len(text)) if text.startswith(needle, i)][:32]
+    if not at:
+        return None
+
+    def snapped(start, end):
+        behind = [i + 1 for i in range(max(1, start - 13), min(start + 1, len(text))) if text[i] in soft] if start else []
+        ahead = [i + 1 for i in range(end, min(end + 14, len(text))) if text[i] in soft]
+        return (behind[-1] if behind else start), (ahead[0] if ahead else min(end, len(text)))
+
+    start = max(0, at[0] - context)
+    end = at[0] + len(needle)
+    for i in at:
+        if i + len(needle) - start > longest:
+            break
+        end = max(end, i + len(needle))
+    start, end = snapped(start, min(len(text), end + context))
+    if end - start > longest:
+        start, end = snapped(start, start + longest)
+    return "… " * (start > 0) + " ".join(text[start:end].split()) + " …" * (end < len(text))
+
+
+def test_snippets_against_the_rule(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["needle", "x" * rng.randint(1, 40), " ", ", ", ".\n", "ๆ"]) for _ in range(rng.randint(1, 160))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", snippets.snippet(parse("needle").terms, F.col("t"))["snippet"].alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _plain_snippet(t, "needle"), repr(t)
+
+
+def test_name_highlights(spark):
+    df = spark.createDataFrame([("My Budget budget.txt",), ("none",), (None,)], "n string")
+    got = [[tuple(s) for s in r[0]] for r in df.select(snippets.name_highlights(parse("budget my"), F.col("n"))).collect()]
+    assert got == [[(0, 2), (3, 9), (10, 16)], [], []]
 
 
 def test_snippet_column_widens_short_units(spark):
