@@ -33,6 +33,8 @@ MAX_DOCX_UNITS = 200_000
 MAX_CELLS = 500_000
 MAX_LINES = 2_000_000
 MAX_DOCUMENT_CHARS = 40_000_000
+#: A unit's id is its file's id times this, plus its sequence: a sequence is a position in an array, so ids never meet.
+UNIT_STRIDE = 1 << 31
 SCHEMA_VERSION = 1
 PARSER_VERSION = 1
 
@@ -42,6 +44,7 @@ LOCATION_TYPES = ("page", "paragraph", "table_cell", "header", "footer", "sheet_
 NEIGHBOUR_TYPES = ("line", "paragraph", "table_cell", "header", "footer")
 
 
+# The enumerations' names.
 class Scope(StrEnum):
     BOTH = "both"
     NAME = "name"

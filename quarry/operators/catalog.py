@@ -48,16 +48,6 @@ def abandon_running(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", F.when(F.col("status") == "running", "abandoned").otherwise(F.col("status")))
 
 
-def roots_by_name(roots: DataFrame) -> DataFrame:
-    return roots.orderBy(F.lower("display_path"))
-
-
-def units_of(units: DataFrame, file_id: int, limit: int | None = None) -> DataFrame:
-    """A file's units in order."""
-    rows = units.filter(F.col("file_id") == file_id).orderBy("sequence")
-    return rows if limit is None else rows.limit(limit)
-
-
 def run_started(runs: DataFrame, root_id: int, mode: str, version: str) -> DataFrame:
     """``runs`` with a running row of the next id."""
     next_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
@@ -68,8 +58,11 @@ def run_started(runs: DataFrame, root_id: int, mode: str, version: str) -> DataF
     return runs.unionByName(row, allowMissingColumns=True)
 
 
-def run_finished(runs: DataFrame, run_id: int, status: str) -> DataFrame:
+def run_finished(runs: DataFrame, run_id: int, status: str, counters: dict[str, int] | None = None) -> DataFrame:
+    """``runs`` with the run's end, and its counters where it has any."""
     own = F.col("run_id") == run_id
+    for name, n in (counters or {}).items():
+        runs = runs.withColumn(name, F.when(own, F.lit(n).cast("long")).otherwise(F.col(name)))
     elapsed = F.unix_micros(F.current_timestamp()) / 1e6 - F.unix_micros("started_at") / 1e6
     return runs.withColumns({
         "finished_at": F.when(own, F.current_timestamp()).otherwise(F.col("finished_at")), "status": F.when(own, F.lit(status)).otherwise(F.col("status")),

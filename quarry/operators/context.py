@@ -25,21 +25,21 @@ def with_neighbours(units: DataFrame, wanted: DataFrame, width: int = M.NEIGHBOU
 def with_row_context(cells: DataFrame, wanted: DataFrame, compat: bool = False) -> DataFrame:
     """For the wanted cells (file_id, sequence, sheet, row_no, text): ``context``, with up to ROW_CELLS others of the row.
 
-    compat: only cells among the file's first ROW_SCAN others count.
+    A row's first ROW_CELLS + 1 cells hold every cell's first ROW_CELLS others, so
+    only they are joined, however wide a row is.  compat: only cells among the
+    file's first ROW_SCAN others count.
     """
-    other = cells.select("file_id", "sheet", "row_no", F.col("sequence").alias("other"), F.col("text").alias("other_text"))
     keys = ["file_id", "sheet", "row_no"]
+    asked = wanted.select(*keys).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("sequence"))
+    first = cells.join(asked, keys, "left_semi").withColumn("place", place).filter(F.col("place") <= M.ROW_CELLS + 1)
+    other = first.select(*keys, F.col("sequence").alias("other"), F.col("text").alias("other_text"))
     pairs = wanted.select(*keys, "sequence", "text").join(other, keys, "left")
     own = F.col("other") == F.col("sequence")
     seen = F.col("other").isNotNull() & ~own
     if compat:  # the unit itself is left out before counting
         seen &= F.col("other") <= M.ROW_SCAN + F.when(F.col("sequence") <= M.ROW_SCAN, 1).otherwise(0)
-    listed = F.array_sort(F.collect_list(F.when(seen, F.struct("other", "other_text"))))
+    listed = F.array_sort(F.collect_list(F.when(seen, F.struct("other", "other_text"))))  # at most ROW_CELLS + 1 each
     found = pairs.groupBy(*keys, "sequence", "text").agg(listed.alias("others"))
     texts = F.transform(F.slice("others", 1, M.ROW_CELLS), lambda x: x["other_text"])
     return found.select(*keys, "sequence", "text", row_context(F.col("text"), texts).alias("context"))
-
-
-def first_per_file(units: DataFrame, n: int = M.SNIPPETS_PER_FILE) -> DataFrame:
-    order = Window.partitionBy("file_id").orderBy("sequence")
-    return units.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= n)

@@ -1,33 +1,41 @@
 """The indexing run: scan -> classify -> parse what changed -> merge -> publish.
 
-The snapshot is published only when everything succeeded, so a failed or
-cancelled run leaves the index as it was.  Contents are read for new and changed
-files alone.
+A run is recorded as running before it begins, and as completed, failed or
+cancelled when it ends.  Files and units are published together, when everything
+succeeded; a failed or cancelled run leaves them as they were.  Contents are read
+for new and changed files alone, and only the parts of ``units`` that hold changed
+or deleted files are written again.
 """
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry import model as M
 from quarry import __version__
+from quarry import model as M
 from quarry.functions.text import fingerprint, mime_category, normalized_path_str
-from quarry.operators import maintenance
+from quarry.operators import catalog, maintenance
 from quarry.sources import listing
 from quarry.sources.parsers import parse_files
 from quarry.sources.store import SnapshotStore
 
-_STATUS = {"ok": "indexed", "no_text": "no_text"}
+#: Files with neighbouring ids whose units are written together.
+FILES_PER_PART = 10_000
+
+
+def part_of(root_id: Column, file_id: Column) -> Column:
+    return F.concat_ws("-", root_id.cast("string"), F.floor(file_id / FILES_PER_PART).cast("string"))
 
 
 class Indexer:
     """Indexes one root into a store; tables files, units, runs, roots, and skips of the last run."""
 
-    def __init__(self, spark: SparkSession, store: SnapshotStore, **skip_options):
-        self.spark, self.store, self.options = spark, store, skip_options
+    def __init__(self, spark: SparkSession, store: SnapshotStore, *, exclude: tuple[str, ...] = (), max_mb: int = M.MAX_FILE_MB, **skip_options):
+        self.spark, self.store, self.exclude, self.max_mb = spark, store, exclude, max_mb
+        self.options = skip_options | {"max_mb": max_mb}
 
     def _table(self, name: str, schema) -> DataFrame:
         found = self.store.read(name)
@@ -45,60 +53,107 @@ class Indexer:
         row = self.spark.createDataFrame([(made, root, key)], ddl)
         return made, row if roots is None else roots.unionByName(row)
 
-    def run(self, root: str, rebuild: bool = False) -> dict:
+    def _finished(self, run_id: int, status: str, counters: dict | None = None) -> DataFrame:
+        return catalog.run_finished(self._table("runs", M.RUNS), run_id, status, counters)
+
+    def run(self, root: str, rebuild: bool = False, cancelled: Callable[[], bool] = lambda: False) -> dict:
+        """The run's row.  ``cancelled`` is asked between files and between steps."""
         verdict = listing.validate_root(root)
         if verdict != "ok":
             raise ValueError(f"root: {verdict}")
-        began = dt.datetime.now(dt.timezone.utc)
         root_id, roots = self.root_id(root)
-        files, units, runs = self._table("files", M.FILES), self._table("units", M.UNITS), self._table("runs", M.RUNS)
-        run_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
+        mode = "rebuild" if rebuild else "update"
+        runs = catalog.run_started(catalog.abandon_running(self._table("runs", M.RUNS)), root_id, mode, __version__)
+        self.store.publish({"runs": runs.select(*M.RUNS.fieldNames()), "roots": roots})
+        run_id = self.store.read("runs").agg(F.max("run_id")).first()[0]
+        held: list[DataFrame] = []
+        try:
+            self._update(root, root_id, run_id, rebuild, cancelled, held)
+        except listing.Cancelled:
+            self.store.publish({"runs": self._finished(run_id, "cancelled")})
+        except BaseException:
+            self.store.publish({"runs": self._finished(run_id, "failed")})
+            raise
+        finally:
+            for df in held:
+                df.unpersist()
+        return self.store.read("runs").filter(F.col("run_id") == run_id).first().asDict()
+
+    def _update(self, root: str, root_id: int, run_id: int, rebuild: bool, cancelled: Callable[[], bool], held: list[DataFrame]) -> None:
+        def persisted(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        def checked() -> None:
+            if cancelled():
+                raise listing.Cancelled
+
+        files = self._table("files", M.FILES)
         base = F.lit(normalized_path_str(root) + "\\")
         closed: list[str] = []
-        scan = listing.scanned(listing.list_files(self.spark, root, unreadable=closed), root, **self.options)
+        found = listing.list_files(self.spark, root, hidden=self.options.get("allow_hidden", False), unreadable=closed, exclude=self.exclude, cancelled=cancelled)
+        scan = listing.scanned(found, root, **self.options)
         unreadable = self.spark.createDataFrame([(normalized_path_str(x),) for x in closed], "folder string")
-        scan = scan.withColumn("root_id", F.lit(root_id)).withColumn("normalized_path", F.concat(base, F.lower("relative_path"))).persist()
+        scan = persisted(scan.withColumn("root_id", F.lit(root_id)).withColumn("normalized_path", F.concat(base, F.lower("relative_path"))))
         good = scan.filter("skip_reason IS NULL")
         others, own = files.filter(F.col("root_id") != root_id), files.filter(F.col("root_id") == root_id)
-        kept_units, own_units = units.filter(F.col("root_id") != root_id), units.filter(F.col("root_id") == root_id)
         old = maintenance.under(own, unreadable) if rebuild else own
-        change = maintenance.classify(old, good, M.PARSER_VERSION).persist()
+        change = persisted(maintenance.classify(old, good, M.PARSER_VERSION))
         dirty = good.join(change.filter("change IN ('new', 'changed')").select("normalized_path", "old_id"), "normalized_path")
-        written, new_units = self._extract(dirty, root_id, run_id)
+        checked()
+        written, new_units = self._extract(dirty, root_id, run_id, held)
         merged = maintenance.upsert(old, written.select(*(c for c in M.FILES.fieldNames() if c != "file_id")))
         merged = maintenance.touch(merged, merged.join(change.filter("change = 'unchanged'").select("normalized_path"), "normalized_path", "left_semi"), run_id)
-        merged = maintenance.without_unseen(merged, run_id, True, unreadable).persist()
-        ids = merged.select("file_id", "normalized_path")
-        fresh = new_units.join(ids, "normalized_path").withColumn("root_id", F.lit(root_id)).withColumn("unit_id", F.col("file_id") * 1_000_000 + F.col("sequence"))
-        stays = change.filter("change IN ('unchanged', 'deleted')").select(F.col("old_id").alias("file_id")).join(merged, "file_id", "left_semi")
-        unchanged = own_units.join(stays, "file_id", "left_semi")
-        all_units = kept_units.unionByName(unchanged.select(*M.UNITS.fieldNames())).unionByName(fresh.select(*M.UNITS.fieldNames()))
+        merged = persisted(maintenance.without_unseen(merged, run_id, True, unreadable))
         counts = self._counters(scan, change, merged, run_id)
-        now = dt.datetime.now(dt.timezone.utc)
-        row = {"run_id": run_id, "root_id": root_id, "started_at": began, "finished_at": now, "status": "completed", "mode": "rebuild" if rebuild else "update", "elapsed_seconds": (now - began).total_seconds(), "application_version": __version__}
-        runs = runs.unionByName(self.spark.createDataFrame([row | counts], M.RUNS))
-        self.store.publish({"files": others.unionByName(merged.select(*M.FILES.fieldNames())), "units": all_units, "runs": runs, "roots": roots, "skips": scan.filter("skip_reason IS NOT NULL").select("path", "skip_reason")}, {"files": ["root_id"], "units": ["root_id"]})
-        for df in (scan, change, merged):
-            df.unpersist()
-        return row | counts
-
-    def _extract(self, dirty: DataFrame, root_id: int, run_id: int) -> tuple[DataFrame, DataFrame]:
-        """File rows and units of new and changed files; each file is opened once, on an executor."""
+        checked()
+        # the parts of units that hold something new, changed or gone; the others are not even read
+        touched = change.filter("change <> 'unchanged'").select("normalized_path")
+        ids = merged.select("file_id", "normalized_path")
+        fresh = new_units.join(ids, "normalized_path").withColumn("root_id", F.lit(root_id)).withColumn("unit_id", F.col("file_id") * M.UNIT_STRIDE + F.col("sequence"))
+        where = merged.join(touched, "normalized_path", "left_semi").select("file_id").union(change.filter("change <> 'unchanged' AND old_id IS NOT NULL").select("old_id"))
+        parts = {r["part"] for r in where.select(part_of(F.lit(root_id), F.col("file_id")).alias("part")).distinct().collect()}  # a row for FILES_PER_PART files
+        known = self.store.parts("units")
+        if rebuild:
+            parts |= {p for p in known if p.startswith(f"{root_id}-")}
+        whole = "" in known  # a table that was written whole once: all of it is dealt to parts now
+        old_units = self.store.read("units", None if whole else parts)
+        old_units = old_units.select(*M.UNITS.fieldNames()) if old_units is not None else self.spark.createDataFrame([], M.UNITS)
+        stays = merged.join(change.filter("change IN ('new', 'changed')").select("normalized_path"), "normalized_path", "left_anti").select("file_id")
+        kept = old_units.filter(F.col("root_id") == root_id).join(stays, "file_id", "left_semi").unionByName(old_units.filter(F.col("root_id") != root_id))
+        units = kept.unionByName(fresh.select(*M.UNITS.fieldNames())).withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
+        if whole:
+            parts |= {r["part"] for r in units.select("part").distinct().collect()}
+        checked()
+        tables = {"files": others.unionByName(merged.select(*M.FILES.fieldNames())), "skips": scan.filter("skip_reason IS NOT NULL").select("path", "skip_reason"), "runs": self._finished(run_id, "completed", counts)}
+        self.store.replace({"units": (units, "part", parts)}, tables)
+
+    def _extract(self, dirty: DataFrame, root_id: int, run_id: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """File rows and units of new and changed files; each file is opened once, on an executor.
+
+        A file that is gone by now gives no row; one that may not be opened is a failed file.
+        """
 
         def load(batches):
             import pyarrow as pa
 
             for batch in batches:
                 for path in batch.column(0).to_pylist():
+                    data, problem = None, None
                     try:
                         with open(path, "rb") as f:
                             data = f.read()
+                    except FileNotFoundError:
+                        problem = "missing"
+                    except PermissionError:
+                        problem = "denied"
                     except OSError:
-                        data = None
-                    yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "content": pa.array([data], pa.binary())})
+                        problem = "error"
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "content": pa.array([data], pa.binary()), "problem": pa.array([problem], pa.string())})
 
         spread = dirty.select("path").repartition(max(1, min(1000, int(self.spark.sparkContext.defaultParallelism))))
-        parsed = parse_files(spread.mapInArrow(load, "path string, content binary")).persist()
+        parsed = parse_files(spread.mapInArrow(load, "path string, content binary, problem string"), self.max_mb).persist()
+        held.append(parsed)
         status = F.when(F.col("outcome") == "ok", "indexed").when(F.col("outcome") == "no_text", "no_text").otherwise("failed")
         rows = dirty.join(parsed, "path").filter("outcome <> 'missing'")
         written = rows.select(
@@ -122,9 +177,22 @@ class Indexer:
             "files_failed": s.get("failed", 0), "files_skipped": skipped, "files_deleted": n.get("deleted", 0) - kept, "files_new": n.get("new", 0),
         }
 
-    def delete_root(self, root: str) -> None:
+    def _without(self, root_id: int) -> dict:
+        """Files and units without a root's."""
+        files, units = self._table("files", M.FILES), self._table("units", M.UNITS)
+        known = self.store.parts("units")
+        parts = known if "" in known else [p for p in known if p.startswith(f"{root_id}-")]
+        left = maintenance.delete_root(units, root_id) if "" in known else units.limit(0)
+        left = left.withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
+        return {"parts": {"units": (left, "part", [p for p in parts if p])} if "" not in known else {}, "whole": {"files": maintenance.delete_root(files, root_id)} | ({"units": left.drop("part")} if "" in known else {})}
+
+    def clear_content(self, root: str) -> None:
+        """The root's files and units go; the root and its runs stay."""
         root_id, roots = self.root_id(root)
-        tables = {t: maintenance.delete_root(self.store.read(t), root_id) for t in ("files", "units", "runs") if self.store.read(t) is not None}
-        self.store.publish(tables | {"roots": roots.filter(F.col("root_id") != root_id)}, {"files": ["root_id"], "units": ["root_id"]})
-
+        without = self._without(root_id)
+        self.store.replace(without["parts"], without["whole"] | {"roots": roots})
 
+    def delete_root(self, root: str) -> None:
+        root_id, roots = self.root_id(root)
+        without = self._without(root_id)
+        self.store.replace(without["parts"], without["whole"] | {"runs": maintenance.delete_root(self._table("runs", M.RUNS), root_id), "roots": roots.filter(F.col("root_id") != root_id)})

@@ -35,16 +35,18 @@ def upsert(old: DataFrame, written: DataFrame) -> DataFrame:
     return known.unionByName(_numbered(fresh, top))
 
 
-def _numbered(rows: DataFrame, after: int, buckets: int = 64) -> DataFrame:
-    """file_id = after + 1, 2, ... by a bucket's offset plus the rank inside it; buckets are hashes of the path."""
-    b = rows.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(buckets)))
-    sizes = {r["bucket"]: r["n"] for r in b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `buckets` rows
-    offsets, at = [], after
-    for k in range(buckets):
-        offsets += [F.lit(k).cast("long"), F.lit(at).cast("long")]
-        at += sizes.get(k, 0)
+#: Hash ranges in which fresh rows are numbered.
+NUMBERING = 1024
+
+
+def _numbered(rows: DataFrame, after: int) -> DataFrame:
+    """file_id = after + 1, 2, ...: the rows of the hash ranges before, plus the rank inside the own one."""
+    b = rows.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(NUMBERING)))
+    sizes = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # at most NUMBERING rows
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("bucket", (F.coalesce(F.sum("n").over(before), F.lit(0)) + after).alias("start"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*_KEY))
-    return b.withColumn("file_id", F.create_map(*offsets)[F.col("bucket")] + rank).drop("bucket")
+    return b.withColumn("rank", rank).join(F.broadcast(starts), "bucket").withColumn("file_id", F.col("start") + F.col("rank")).drop("bucket", "rank", "start")
 
 
 def stale_files(files: DataFrame, run_id: int) -> DataFrame:
@@ -63,10 +65,10 @@ def without_unseen(files: DataFrame, run_id: int, scan_complete: bool, unreadabl
 
 
 def under(files: DataFrame, folders: DataFrame) -> DataFrame:
-    """Files below any of ``folders`` (folder: a normalized path), by an equi-join on each path's ancestors."""
+    """Files that are, or lie below, any of ``folders`` (folder: a normalized path), by an equi-join on each path and its ancestors."""
     parts = F.split("normalized_path", r"\\")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
-    above = files.filter(F.contains("normalized_path", F.lit("\\"))).select("file_id", F.explode(ancestors).alias("folder"))
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
+    above = files.select("file_id", F.explode(ancestors).alias("folder"))
     named = folders.select(F.regexp_replace("folder", r"\\+$", "").alias("folder")).distinct()
     return files.join(above.join(named, "folder", "left_semi").select("file_id").distinct(), "file_id", "left_semi")
 

@@ -5,8 +5,6 @@ Bands are fixed values, far enough apart that additions never cross them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +45,9 @@ def recency(modified: Column, newest: Column) -> Column:
     return F.when(known, F.lit(RECENCY) / (1.0 + days / HALF_LIFE_DAYS)).otherwise(0.0)
 
 
-def with_newest(hits: DataFrame) -> DataFrame:
-    """``newest``: the latest modification in the whole result, one row joined by a constant key."""
-    newest = hits.agg(F.max("modified_time").alias("newest")).withColumn("one", F.lit(1))
+def with_totals(hits: DataFrame) -> DataFrame:
+    """``newest``, the latest modification in the whole result, and ``n_hits``, its rows: one row joined by a constant key."""
+    newest = hits.agg(F.max("modified_time").alias("newest"), F.count(F.lit(1)).alias("n_hits")).withColumn("one", F.lit(1))
     return hits.withColumn("one", F.lit(1)).join(F.broadcast(newest), "one").drop("one")  # a single row
 
 
@@ -65,6 +63,3 @@ def order_by(sort: SortField, descending: bool) -> list[Column]:
     }[sort]
     return [*(way(k) for k in keys), F.col("file_id").asc()]
 
-
-def total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)

@@ -3,8 +3,10 @@
 Plan: the metadata filter and the root prune ``files``; units are scanned once,
 with cheap substring prefilters before regexes, and reduced map-side to one row
 per file; the join is on file_id, by which the aggregate is already partitioned.
-Scores need only flags and counts, so texts are read again for the page's rows
-alone (``locations``).
+The newest time and the number of hits need all hits before any can be scored:
+both branches read the same exchange of the per-file aggregate, which Spark then
+runs once.  ``search`` takes its total from the page's own rows.  Scores need only
+flags and counts, so texts are read again for the page's rows alone (``locations``).
 """
 
 from __future__ import annotations
@@ -47,6 +49,11 @@ class Page:
     warnings: tuple[str, ...]
 
 
+def _bounds(request: M.Request) -> tuple[int, int]:
+    """Limit and offset inside what is allowed."""
+    return min(max(request.limit or M.DEFAULT_LIMIT, 1), M.MAX_LIMIT), max(0, request.offset)
+
+
 class SearchEngine:
     """``files`` and ``units`` as in ``quarry.model``; display_path falls back to normalized_path."""
 
@@ -88,8 +95,8 @@ class SearchEngine:
         per_file = marked.groupBy("file_id").agg(F.count(F.lit(1)).alias("match_count"), F.bool_or("shown").alias("shown"), *(F.bool_or(n).alias(n) for n in names))
         return per_file.filter(all_of([F.col("shown"), *(F.col(n) for n in names)])).select("file_id", "match_count")
 
-    def hits(self, request: M.Request, parsed: Parsed | None = None) -> DataFrame:
-        """All matching files with match_source, match_count and score, in no order."""
+    def _hits(self, request: M.Request, parsed: Parsed | None = None) -> DataFrame:
+        """``hits`` with their number, ``n_hits``."""
         parsed = parsed or parse(request.query, exact_phrase=request.exact_phrase)
         files = self._files(request)
         by_name = self.name_hits(request, parsed) if request.scope != M.Scope.CONTENT else F.lit(False)
@@ -99,32 +106,44 @@ class SearchEngine:
             content = self.content_hits(request, parsed)
             rows = files.withColumn("by_name", by_name)
             rows = rows.join(content, "file_id", "inner" if request.scope == M.Scope.CONTENT else "left").filter(F.col("by_name") | F.col("match_count").isNotNull())
+            # the same columns in every branch that reads these rows, so that they share the exchange
+            rows = rows.filter(F.coalesce("match_count", F.lit(1)) > 0)
         has_content = F.col("match_count").isNotNull()
         source = F.when(F.col("by_name") & has_content, "both").when(F.col("by_name"), "name").otherwise("content")
         name_part = F.when(F.col("by_name"), ranking.name_score(parsed.terms, F.col("file_name"), request.match_case)).otherwise(0.0)
         content_part = F.when(has_content, ranking.content_score(parsed.terms, F.col("match_count"))).otherwise(0.0)
         rows = rows.withColumn("match_source", source).withColumn("part", F.greatest(name_part, content_part)).withColumn("match_count", F.coalesce("match_count", F.lit(0)))
-        rows = ranking.with_newest(rows.drop("by_name"))
+        rows = ranking.with_totals(rows.drop("by_name"))
         bonus = F.when(F.col("match_source") == "both", ranking.BOTH).otherwise(0.0)
         return rows.withColumn("score", F.col("part") + bonus + ranking.recency(F.col("modified_time"), F.col("newest"))).drop("part", "newest")
 
-    def ranked(self, request: M.Request) -> DataFrame:
-        """The requested page of hits with its ``rank`` (from 1 over the whole order)."""
+    def hits(self, request: M.Request, parsed: Parsed | None = None) -> DataFrame:
+        """All matching files with match_source, match_count and score, in no order."""
+        return self._hits(request, parsed).drop("n_hits")
+
+    def _page(self, request: M.Request, parsed: Parsed | None = None) -> DataFrame:
         keys = ranking.order_by(request.sort, request.descending)
-        limit, offset = min(max(request.limit or M.DEFAULT_LIMIT, 1), M.MAX_LIMIT), max(0, request.offset)
-        page = self.hits(request).orderBy(*keys).limit(offset + limit)  # a top-k of the executors, at most offset + limit rows
+        limit, offset = _bounds(request)
+        page = self._hits(request, parsed).orderBy(*keys).limit(offset + limit)  # a top-k of the executors, at most offset + limit rows
         numbered = page.withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long"))
         return numbered.filter(F.col("rank") > offset)
 
+    def ranked(self, request: M.Request) -> DataFrame:
+        """The requested page of hits with its ``rank`` (from 1 over the whole order)."""
+        return self._page(request).drop("n_hits")
+
     def search(self, request: M.Request) -> Page:
         """A page with totals; a malformed query is an empty page with a warning, never an exception."""
         try:
             parsed = parse(request.query, exact_phrase=request.exact_phrase)
         except QueryError as e:
             return Page(self.files.limit(0), 0, False, (e.code,))
-        total = self.hits(request, parsed).count()
-        last = max(0, request.offset) + min(max(request.limit or M.DEFAULT_LIMIT, 1), M.MAX_LIMIT)
-        return Page(self.ranked(request), total, total > last, parsed.warnings)
+        limit, offset = _bounds(request)
+        page = self._page(request, parsed)
+        found = page.collect()  # one page: at most MAX_LIMIT rows
+        total = found[0]["n_hits"] if found else self.hits(request, parsed).count() if offset else 0
+        rows = self.files.sparkSession.createDataFrame(found, page.schema).drop("n_hits")
+        return Page(rows, total, total > offset + limit, parsed.warnings)
 
     def locations(self, request: M.Request, page: DataFrame, per_file: int = M.SNIPPETS_PER_FILE) -> DataFrame:
         """The first verified units, by sequence, of each file of a page."""

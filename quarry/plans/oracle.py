@@ -158,6 +158,50 @@ _sql(
     "SELECT file_id, match_count, string_agg(CAST(sequence AS VARCHAR), ',' ORDER BY sequence) AS sequences FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS match_count FROM places) WHERE place <= 10 GROUP BY file_id, match_count",
     _FILES, _UNITS, _PLACES.format(t="ute"),
 )
+_SOFT = r"[ \t\n,.;:!?)\]}ๆ]"
+
+
+def _behind(at: str) -> str:
+    """The place behind the last soft break in the 14 characters up to ``at``, else ``at``."""
+    low = f"greatest(1, {at} - 13)"
+    found = f"length(regexp_extract(substr(t, {low} + 1, {at} + 1 - {low}), '(?s)^.*{_SOFT}'))"
+    return f"CASE WHEN {at} > 0 AND {found} > 0 THEN {low} + {found} ELSE {at} END"
+
+
+def _ahead(at: str) -> str:
+    return f"least({at} + length(regexp_extract(substr(t, {at} + 1, 14), '(?s)^.*?{_SOFT}')), length(t))"
+
+
+_BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_sql(
+    "snippets_page",
+    f"""SELECT a.file_id, a.sequence, place, CASE WHEN wider THEN b.snippet ELSE a.snippet END AS snippet, CASE WHEN wider THEN b.n ELSE a.n END AS n_highlights
+FROM (SELECT * FROM made WHERE side = 'own') a JOIN found USING (file_id, sequence) LEFT JOIN (SELECT * FROM made WHERE side = 'wide') b USING (file_id, sequence),
+  LATERAL (SELECT coalesce(length(a.snippet) < 150 AND length(b.snippet) > length(a.snippet), FALSE) AS wider) w""",
+    _FILES, _UNITS, _content([_has("tion")]), _CONTENT_HITS.format(where="TRUE"), _PLACES.format(t="tion"),
+    """page AS (SELECT file_id FROM (SELECT file_id, row_number() OVER (ORDER BY part + bonus + CASE WHEN coalesce(modified_time, 0) <> 0 AND newest > 0
+      THEN 15.0 / (1.0 + greatest(0.0, (newest - modified_time) / 86400.0) / 90.0) ELSE 0 END DESC, lower(file_name), normalized_path, file_id) AS rank FROM hits) WHERE rank <= 50)""",
+    "found AS (SELECT file_id, sequence, place, text FROM places JOIN page USING (file_id) WHERE place <= 10)",
+    "near AS (SELECT a.file_id, a.sequence, string_agg(trim(b.text), ' ' ORDER BY b.sequence) AS joined FROM found a JOIN units b ON a.file_id = b.file_id AND b.sequence BETWEEN a.sequence - 2 AND a.sequence + 2 GROUP BY ALL)",
+    "both_sides AS (SELECT file_id, sequence, 'own' AS side, text AS t, 130 AS context FROM found UNION ALL SELECT file_id, sequence, 'wide', joined, 260 FROM near)",
+    "marks AS (SELECT *, list_filter(range(1, length(t) + 1), lambda i: substr(lower(t), i, 4) = 'tion')[1:32] AS places_at FROM both_sides)",
+    "begins AS (SELECT *, greatest(0, places_at[1] - 1 - context) AS b FROM marks WHERE len(places_at) > 0)",
+    "ends AS (SELECT *, least(length(t), greatest(places_at[1] + 3, coalesce(list_max(list_filter(places_at, lambda i: i + 3 - b <= 500)) + 3, 0)) + context) AS e FROM begins)",
+    f"once AS (SELECT * EXCLUDE (b, e), {_behind('b')} AS b, {_ahead('e')} AS e FROM ends)",
+    f"twice AS (SELECT * EXCLUDE (b, e), CASE WHEN e - b <= 500 THEN b ELSE {_behind('b')} END AS b, CASE WHEN e - b <= 500 THEN e ELSE {_ahead('(b + 500)')} END AS e FROM once)",
+    f"shown AS (SELECT *, trim(regexp_replace(substr(t, b + 1, e - b), '{_BLANK}', ' ', 'g')) AS body FROM twice)",
+    "inside AS (SELECT *, list_filter(range(1, length(body) + 1), lambda i: substr(lower(body), i, 4) = 'tion')[1:32] AS again FROM shown)",
+    "made AS (SELECT file_id, sequence, side, CASE WHEN b > 0 THEN '… ' ELSE '' END || body || CASE WHEN e < length(t) THEN ' …' ELSE '' END AS snippet, len(list_filter(again, lambda i: NOT list_contains(again, i - 4))) AS n FROM inside)",
+)
+_sql(
+    "name_highlights",
+    """SELECT file_id, CAST(sum(fresh) AS BIGINT) AS n_spans, count(*) AS n_marked FROM (
+  SELECT file_id, CASE WHEN lag(p) OVER (PARTITION BY file_id ORDER BY p) = p - 1 THEN 0 ELSE 1 END AS fresh
+  FROM (SELECT DISTINCT file_id, p FROM (SELECT file_id, i, substr(n, i, 6) = 'budget' AS a, substr(n, i, 2) = 'ud' OR substr(n, i, 2) = 'nu' AS c
+      FROM (SELECT file_id, lower(file_name) AS n, unnest(range(1, length(file_name) + 1)) AS i FROM files)), unnest(CASE WHEN a THEN range(i, i + 6) WHEN c THEN range(i, i + 2) ELSE [] END) AS u(p)))
+GROUP BY file_id""",
+    _FILES,
+)
 _sql("paragraph_search", "SELECT conv_id AS file_id, count(*) AS match_count, CAST(min(turn) + 1 AS BIGINT) AS first_sequence FROM conversations WHERE contains(lower(text), 'tion') GROUP BY conv_id")
 _sql("status_counts", "SELECT root_id, content_status, count(*) AS n FROM files GROUP BY ALL", _FILES)
 _sql("extension_counts", "SELECT root_id, extension, count(*) AS n FROM files GROUP BY ALL", _FILES)
@@ -185,8 +229,8 @@ _sql("replaced_units", "SELECT file_id, count(*) AS n FROM units WHERE file_id %
 _STRIP = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _sql(
     "clean_text",
-    rf"""SELECT doc_id, md5(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
-  '[\x{{2028}}\x{{2029}}\x0b\x0c\r]', chr(10), 'g'), '[\x00-\x08\x0e-\x1f\x7f]', ' ', 'g'), '[\x{{feff}}\x{{200b}}\x{{200c}}\x{{200d}}\x{{2060}}\x{{ad}}]', '', 'g'), '[ \t\x{{a0}}]{{2,}}', ' ', 'g'), '^{_STRIP}|{_STRIP}$', '', 'g'), 200000)) AS digest FROM documents""",
+    rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+  '[\x{{2028}}\x{{2029}}\x0b\x0c\r]', chr(10), 'g'), '[\x00-\x08\x0e-\x1f\x7f]', ' ', 'g'), '[\x{{feff}}\x{{200b}}\x{{200c}}\x{{200d}}\x{{2060}}\x{{ad}}]', '', 'g'), '[ \t\x{{a0}}]{{2,}}', ' ', 'g'), '^{_STRIP}|{_STRIP}$', '', 'g')) AS digest FROM documents""",
 )
 _sql(
     "path_normalise",
@@ -196,12 +240,9 @@ _sql(
 )
 _sql("mime_categories", "SELECT CASE extension WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'word' WHEN '.xlsx' THEN 'excel' WHEN '.txt' THEN 'text' ELSE 'other' END AS category, count(*) AS n FROM files GROUP BY ALL", _FILES)
 _sql("fingerprints", "SELECT file_id, fingerprint AS made, TRUE AS same, size_bytes AS size, CAST(round(modified_time * 1000) AS BIGINT) AS mtime_ms FROM files", _FILES)
-_sql(
-    "excel_columns",
-    """SELECT p_partkey, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN chr(CAST(64 + i // 26 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER))
-  ELSE chr(CAST(65 + (i - 702) // 676 AS INTEGER)) || chr(CAST(65 + ((i - 702) // 26) % 26 AS INTEGER)) || chr(CAST(65 + (i - 702) % 26 AS INTEGER)) END AS column_name
-FROM (SELECT p_partkey, p_partkey - 1 AS i FROM part WHERE p_partkey BETWEEN 1 AND 18278)""",
-)
+# the letter at place j from the right stands in names of numbers from 26^0 + ... + 26^j on
+_LETTER = "CASE WHEN p_partkey >= {least} THEN chr(CAST(65 + ((p_partkey - {least}) // {power}) % 26 AS INTEGER)) ELSE '' END"
+_sql("excel_columns", f"SELECT p_partkey, {' || '.join(_LETTER.format(least=sum(26**i for i in range(j + 1)), power=26**j) for j in range(13, -1, -1))} AS column_name FROM part")
 _UNIT = "CASE WHEN s < 1024 THEN printf('%d B', s) WHEN s < 1048576 THEN format('{:,.1f} KB', s / 1024.0) WHEN s < 1073741824 THEN format('{:,.1f} MB', s / 1048576.0) WHEN s < 1099511627776 THEN format('{:,.1f} GB', s / 1073741824.0) ELSE format('{:,.1f} TB', s / 1099511627776.0) END"
 _sql("format_sizes", f"SELECT o_orderkey, {_UNIT} AS size FROM (SELECT o_orderkey, o_orderkey * 524288 AS s FROM orders)")
 _sql(

@@ -160,6 +160,15 @@ def snippets_page(spark, sf_dir):
     return found.withColumn("s", s).select("file_id", "sequence", "place", "s.snippet", F.size("s.highlights").cast("long").alias("n_highlights"))
 
 
+@_query
+def name_highlights(spark, sf_dir):
+    """Marks of three overlapping terms in the files' names."""
+    f = adapters.files(spark, sf_dir)
+    found = f.select("file_id", snippets.name_highlights(parse("budget ud nu"), F.col("file_name")).alias("m")).filter(F.size("m") > 0)
+    marked = F.aggregate("m", F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return found.select("file_id", F.size("m").cast("long").alias("n_spans"), marked.cast("long").alias("n_marked"))
+
+
 @_query
 def grouped_results(spark, sf_dir):
     """One row per file with its locations, in order."""
@@ -282,7 +291,7 @@ def fingerprints(spark, sf_dir):
 
 @_query
 def excel_columns(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey >= 1 AND p_partkey <= 18278")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.select("p_partkey", X.column_name(F.col("p_partkey")).alias("column_name"))
 
 

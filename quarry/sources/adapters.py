@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import model as M
 from quarry.functions.text import stripped
 
 #: Valid in Spark and in DuckDB alike; ``documents`` is the only input.
@@ -29,7 +30,7 @@ FROM (
 
 #: DuckDB's text of ``units``.
 UNITS_SQL = r"""
-SELECT file_id * 100000 + sequence AS unit_id, * FROM (
+SELECT file_id * 2147483648 + sequence AS unit_id, * FROM (
   SELECT file_id, root_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS INTEGER) AS sequence,
          'line' AS location_type, CAST(line_no AS INTEGER) AS line_no, text
   FROM (
@@ -63,7 +64,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = files_and_text(spark, sf_dir).filter("content_status = 'indexed'")
     exploded = docs.select("file_id", "root_id", F.posexplode(lines_of(F.col("text"))).alias("i", "line"))
     return exploded.select(
-        (F.col("file_id") * 100000 + F.col("i") + 1).alias("unit_id"), "file_id", "root_id", (F.col("i") + 1).alias("sequence"),
+        (F.col("file_id") * M.UNIT_STRIDE + F.col("i") + 1).alias("unit_id"), "file_id", "root_id", (F.col("i") + 1).alias("sequence"),
         F.lit("line").alias("location_type"), F.col("line.line_no").alias("line_no"), F.col("line.text").alias("text"),
     )
 

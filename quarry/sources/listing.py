@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import model as M
-from quarry.functions.text import display_path_str, extension_of, normalized_path_str
+from quarry.functions.text import display_path_str, extension_of, is_within, normalized_path_str
 
 # Names and extensions that are never read.
 EXCLUDED_DIRECTORIES = (
@@ -50,32 +50,59 @@ def validate_root(raw: str, *, require_directory: bool = True) -> str:
     return "ok" if os.path.isdir(text) or not require_directory else "not_a_directory"
 
 
-def walk(root: str, hidden: bool = False, unreadable: list[str] | None = None) -> Iterator[tuple]:
-    """One stat per entry, links never followed; unreadable folders are left out and added to ``unreadable``."""
-    stack = [root]
+class Cancelled(Exception):
+    """A run was asked to stop."""
+
+
+def _kind(entry: os.DirEntry) -> str:
+    if entry.is_symlink():
+        return "link"
+    return "folder" if entry.is_dir(follow_symlinks=False) else "file" if entry.is_file(follow_symlinks=False) else "other"
+
+
+def walk(root: str, hidden: bool = False, unreadable: list[str] | None = None, exclude: tuple[str, ...] = (), cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple]:
+    """One stat per entry, links never followed.
+
+    Entries that vanish meanwhile are left out; folders and files that can't be
+    read are left out and added to ``unreadable``.  ``exclude``: further folders
+    (the program's own data).  Raises Cancelled between entries.
+    """
+    stack, closed = [root], [] if unreadable is None else unreadable
     at_top = os.path.dirname(root.rstrip("/")) in ("", "/")
+    own = {os.path.realpath(x) for x in exclude}
     while stack:
         folder = stack.pop()
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            with os.scandir(folder) as found:
+                entries = sorted(found, key=lambda e: e.name)
+        except FileNotFoundError:
+            if folder == root:
+                closed.append(folder)  # a root that is gone tells nothing about its files
+            continue
         except OSError:
-            if unreadable is not None:
-                unreadable.append(folder)
+            closed.append(folder)
             continue
         for e in entries:
-            low = e.name.lower()
-            if e.is_dir(follow_symlinks=False):
-                if low in EXCLUDED_DIRECTORIES or at_top and low in DRIVE_ROOT_DIRECTORIES or low.startswith(".") and not hidden:
-                    continue
-                stack.append(e.path)
-            elif e.is_file(follow_symlinks=False) or e.is_symlink():
-                st = e.stat(follow_symlinks=False)
-                yield e.path, e.name, st.st_size, st.st_ctime, st.st_mtime, e.name.startswith("."), False, e.is_symlink()
-
-
-def list_files(spark: SparkSession, root: str, hidden: bool = False, unreadable: list[str] | None = None) -> DataFrame:
+            if cancelled():
+                raise Cancelled
+            try:
+                kind, low = _kind(e), e.name.lower()
+                if kind == "folder":
+                    top = at_top and folder == root and low in DRIVE_ROOT_DIRECTORIES
+                    if not (low in EXCLUDED_DIRECTORIES or top or low.startswith(".") and not hidden or os.path.realpath(e.path) in own):
+                        stack.append(e.path)
+                elif kind != "other":
+                    st = e.stat(follow_symlinks=False)
+                    yield e.path, e.name, st.st_size, st.st_ctime, st.st_mtime, e.name.startswith("."), False, kind == "link"
+            except FileNotFoundError:
+                continue
+            except OSError:
+                closed.append(e.path)
+
+
+def list_files(spark: SparkSession, root: str, hidden: bool = False, unreadable: list[str] | None = None, **options) -> DataFrame:
     """A local tree as a DataFrame (for paths in a store, ``list_store``)."""
-    return spark.createDataFrame(list(walk(root, hidden, unreadable)), LISTING_DDL)
+    return spark.createDataFrame(list(walk(root, hidden, unreadable, **options)), LISTING_DDL)
 
 
 def list_store(spark: SparkSession, path: str) -> DataFrame:
@@ -85,16 +112,29 @@ def list_store(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", name.alias("file_name"), F.col("length").alias("size_bytes"), F.lit(None).cast("double").alias("created_time"), F.col("modificationTime").cast("double").alias("modified_time"), name.startswith(".").alias("hidden"), F.lit(False).alias("system"), F.lit(False).alias("is_link"))
 
 
-def skip_reason(extensions: tuple[str, ...] = M.CORE_EXTENSIONS, max_mb: int = M.MAX_FILE_MB, allow_hidden: bool = False) -> Column:
-    """The first reason that applies, in this order; null for a candidate."""
+# Attribute bits of files that are temporary, or whose content is not on this machine (offline, recall on open, recall on access).
+TEMPORARY_BIT, PLACEHOLDER_BITS = 0x100, 0x1000 | 0x40000 | 0x400000
+
+
+def skip_reason(extensions: tuple[str, ...] = M.CORE_EXTENSIONS, max_mb: int = M.MAX_FILE_MB, allow_hidden: bool = False, attributes: str | None = None, path: str | None = None, root: str | None = None, own_data: str | None = None) -> Column:
+    """The first reason that applies, in this order; null for a candidate.
+
+    ``attributes``: a column of attribute bits; ``path``: a column of normalized
+    paths, to be within ``root`` and not within ``own_data``.
+    """
     name, ext = F.col("file_name"), extension_of(F.col("file_name"))
+    bits = F.col(attributes) if attributes else F.lit(0)
+    outside = ~is_within(F.col(path), F.lit(root)) if path and root else F.lit(False)
+    inside = is_within(F.col(path), F.lit(own_data)) if path and own_data else F.lit(False)
     temp = F.lit(False)
     for p in TEMP_PREFIXES:
         temp = temp | name.startswith(p)
     return (
         F.when(temp, "temporary").when(ext.isin(*EXECUTABLE_EXTENSIONS), "executable").when(~ext.isin(*extensions), "not_supported")
         .when(F.col("system"), "system").when(F.col("hidden") & ~F.lit(allow_hidden), "hidden").when(F.col("is_link"), "link")
+        .when(bits.bitwiseAND(F.lit(TEMPORARY_BIT)) != 0, "temporary").when(bits.bitwiseAND(F.lit(PLACEHOLDER_BITS)) != 0, "placeholder")
         .when(F.col("size_bytes") == 0, "empty_file").when(F.col("size_bytes") > max_mb * 1024 * 1024, "too_large")
+        .when(outside, "outside_root").when(inside, "own_data")
     )
 
 
@@ -105,4 +145,4 @@ def scanned(listing: DataFrame, root: str, **options) -> DataFrame:
     return listing.withColumn("skip_reason", skip_reason(**options)).withColumn("extension", extension_of(F.col("file_name"))).withColumn("relative_path", rel)
 
 
-__all__ = ["display_path_str", "list_files", "list_store", "normalized_path_str", "scanned", "skip_reason", "validate_root", "walk"]
+__all__ = ["Cancelled", "display_path_str", "list_files", "list_store", "normalized_path_str", "scanned", "skip_reason", "validate_root", "walk"]

@@ -1,15 +1,20 @@
-"""Snapshot store: Parquet version folders and a pointer that is written last.
+"""Snapshot store: Parquet version folders and numbered pointers.
 
-Readers open the version that the pointer names and are never disturbed by a
-writer; a failed write leaves the pointer where it was.  Paths go through
-Hadoop's file system, so any shared store works.
+A pointer is a small file that names each table's folders.  It is written beside
+and renamed to the next free number; readers take the last one.  So a reader sees
+a whole snapshot at any time, a crash before the rename leaves the old one, and
+nothing is ever deleted before its successor stands.  Paths go through Hadoop's
+file system, so any shared store works.
+
+A table is a list of parts, each a folder.  ``replace`` writes only the parts that
+changed; the others stay where earlier versions have put them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +22,10 @@ from pyspark.sql.types import StructType
 
 from quarry import model as M
 
-_POINTER = "_current"
+_POINTER = "_snapshot-"
+#: Pointers that stay beside the last one, for readers that have just listed them.
+_KEPT_POINTERS = 3
+_PART = "_part"
 
 #: Steps from a schema version to the next: table name and DataFrame -> DataFrame.
 MIGRATIONS: dict[int, Callable[[str, DataFrame], DataFrame]] = {}
@@ -27,51 +35,94 @@ class SchemaTooNew(RuntimeError):
     pass
 
 
+class Conflict(RuntimeError):
+    """Another writer has published meanwhile."""
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/{name}"))
+    def _pointers(self) -> list[str]:
+        """Names of the pointers, the last one last."""
+        at = self._path(self.root)
+        if not self._fs.exists(at):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(at)) if n.startswith(_POINTER))
 
     def current(self) -> dict | None:
-        """The pointer: version, schema_version, tables; None for an empty store."""
-        if not self._exists(_POINTER):
+        """The last pointer: number, version, schema_version, tables, schemas; None for an empty store."""
+        names = self._pointers()
+        if not names:
             return None
-        stream = self._fs.open(self._path(f"{self.root}/{_POINTER}"))
+        stream = self._fs.open(self._path(f"{self.root}/{names[-1]}"))
         try:
             found = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
         if found["schema_version"] > M.SCHEMA_VERSION:
             raise SchemaTooNew(f"schema {found['schema_version']} is newer than {M.SCHEMA_VERSION}")
-        return found
+        return found | {"number": int(names[-1].removeprefix(_POINTER))}
 
-    def read(self, table: str) -> DataFrame | None:
+    def read(self, table: str, parts: Iterable[str] | None = None) -> DataFrame | None:
+        """The table, or some of its parts."""
         at = self.current()
         if at is None or table not in at["tables"]:
             return None
         schema = StructType.fromJson(at["schemas"][table])  # an empty table has no file to tell it
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{at['tables'][table]}")
+        wanted = None if parts is None else set(parts)
+        paths = [f"{self.root}/{p}" for n, p in at["tables"][table].items() if wanted is None or n in wanted]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> str:
-        """Writes the tables as a new version, then moves the pointer; tables not given stay as they are."""
-        version = uuid.uuid4().hex
-        before = self.current() or {"tables": {}, "schemas": {}}
+        """Writes the tables whole as a new version, then moves the pointer; tables not given stay as they are."""
+        version, before = uuid.uuid4().hex, self.current()
         for name, df in tables.items():
             writer = df.write
             if by := (partition_by or {}).get(name):
                 writer = writer.partitionBy(*by)
             writer.parquet(f"{self.root}/{version}/{name}")
-        pointer = {"version": version, "schema_version": M.SCHEMA_VERSION, "tables": before["tables"] | {n: f"{version}/{n}" for n in tables}, "schemas": before["schemas"] | {n: df.schema.jsonValue() for n, df in tables.items()}}
-        temp = self._path(f"{self.root}/{_POINTER}.{version}")
+        return self._point(version, before, {n: {"": f"{version}/{n}"} for n in tables}, {n: df.schema for n, df in tables.items()})
+
+    def replace(self, parts: dict[str, tuple[DataFrame, str, Iterable[str]]], whole: dict[str, DataFrame] | None = None) -> str:
+        """Writes some parts of tables: table -> (rows, column that names a row's part, the parts that ``rows`` replaces).
+
+        Parts named without rows are gone afterwards; all others stay.  ``whole``: tables as in ``publish``.
+        """
+        version, before = uuid.uuid4().hex, self.current()
+        tables, schemas = {}, {}
+        for name, (df, column, named) in parts.items():
+            at, named = f"{version}/{name}", list(named)
+            kept = dict((before or {"tables": {}})["tables"].get(name, {}))
+            for part in ["", *named]:  # "": a table that was published whole
+                kept.pop(part, None)
+            if named:
+                df.withColumnRenamed(column, _PART).write.partitionBy(_PART).parquet(f"{self.root}/{at}")
+                made = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{at}"))]
+                kept |= {n.removeprefix(f"{_PART}="): f"{at}/{n}" for n in made if n.startswith(f"{_PART}=")}
+            tables[name], schemas[name] = kept, df.drop(column).schema
+        for name, df in (whole or {}).items():
+            df.write.parquet(f"{self.root}/{version}/{name}")
+            tables[name], schemas[name] = {"": f"{version}/{name}"}, df.schema
+        return self._point(version, before, tables, schemas)
+
+    def parts(self, table: str) -> list[str]:
+        at = self.current()
+        return list(at["tables"].get(table, {})) if at else []
+
+    def _point(self, version: str, before: dict | None, tables: dict, schemas: dict) -> str:
+        before = before or {"number": 0, "tables": {}, "schemas": {}}
+        pointer = {"version": version, "schema_version": M.SCHEMA_VERSION, "tables": before["tables"] | tables, "schemas": before["schemas"] | {n: s.jsonValue() for n, s in schemas.items()}}
+        temp, name = self._path(f"{self.root}/.{version}"), f"{_POINTER}{before['number'] + 1:012d}"
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/{_POINTER}"), False)
-        self._fs.rename(temp, self._path(f"{self.root}/{_POINTER}"))
+        if self._pointers()[-1:] > [f"{_POINTER}{before['number']:012d}"] or not self._fs.rename(temp, self._path(f"{self.root}/{name}")):
+            raise Conflict(name)
+        for old in self._pointers()[: -1 - _KEPT_POINTERS]:
+            self._fs.delete(self._path(f"{self.root}/{old}"), False)
         return version
 
     def migrate(self) -> int:
@@ -107,19 +158,19 @@ class SnapshotStore:
     def expire(self) -> list[str]:
         """Deletes version folders that the pointer does not use."""
         at = self.current()
-        used = {p.split("/")[0] for p in at["tables"].values()} if at else set()
+        used = {p.split("/")[0] for parts in at["tables"].values() for p in parts.values()} if at else set()
         gone = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and s.getPath().getName() not in used]
         for name in gone:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
         return gone
 
     def quarantine(self) -> str | None:
-        """Renames the pointer's file so that the store opens empty; the data stay for inspection."""
-        if not self._exists(_POINTER):
-            return None
-        name = f"{_POINTER}.bad-{uuid.uuid4().hex[:8]}"
-        self._fs.rename(self._path(f"{self.root}/{_POINTER}"), self._path(f"{self.root}/{name}"))
-        return name
+        """Renames the pointers so that the store opens empty; the data stay for inspection."""
+        mark = f"_bad-{uuid.uuid4().hex[:8]}"
+        names = self._pointers()
+        for name in names:
+            self._fs.rename(self._path(f"{self.root}/{name}"), self._path(f"{self.root}/{mark}-{name}"))
+        return mark if names else None
 
     def compact(self, table: str, keys: list[str], files: int) -> str:
         """Rewrites a table range-partitioned and sorted by ``keys``."""

@@ -28,15 +28,25 @@ def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 m
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+#: Files with neighbouring ids whose units are written together.
+FILES_PER_PART = 10_000
+
+
 def refresh(units: DataFrame, store: SnapshotStore, checkpoint: str, every: str = "20 seconds", once: bool = False) -> StreamingQuery:
-    """Merges each batch of units into the store: a file's units replace its old ones."""
+    """Merges each batch of units into the store: a file's units replace its old ones.  Only the parts of the batch's files are read and written."""
+    part = F.floor(F.col("file_id") / FILES_PER_PART).cast("string")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = store.read("units")
-        if old is None:
-            store.publish({"units": batch})
-        else:
-            store.publish({"units": replace_units(old, batch, batch)})
+        batch = batch.persist()
+        try:
+            parts = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]  # a row for FILES_PER_PART files
+            if not parts and store.read("units") is not None:
+                return
+            old = store.read("units", parts)
+            now = batch if old is None else replace_units(old, batch, batch)
+            store.replace({"units": (now.withColumn("part", part), "part", parts)})
+        finally:
+            batch.unpersist()
 
     writer = units.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

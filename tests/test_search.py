@@ -38,6 +38,33 @@ def test_scopes(engine):
     assert ids(engine, "งบ") == {1: "content"}
 
 
+@pytest.fixture()
+def stored(spark, sf_dir, tmp_path):
+    from quarry.sources import adapters
+
+    adapters.files(spark, sf_dir).write.parquet(str(tmp_path / "files"))
+    adapters.units(spark, sf_dir).write.parquet(str(tmp_path / "units"))
+    return SearchEngine(spark.read.parquet(str(tmp_path / "files")), spark.read.parquet(str(tmp_path / "units")))
+
+
+@pytest.mark.parametrize("scope", list(M.Scope))
+def test_units_are_scanned_once(stored, scope):
+    request = M.Request("tion", scope=scope)
+    for rows in (stored.hits(request), stored.ranked(request)):
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert sum("FileScan parquet" in line and "text#" in line for line in plan.splitlines()) == (scope != M.Scope.NAME), plan
+
+
+def test_search_runs_the_page_alone(stored, spark):
+    request = M.Request("tion", scope=M.Scope.CONTENT, limit=5)
+    page = stored.search(request)
+    assert page.total == stored.hits(request).count() > 5 and page.truncated and page.rows.count() == 5
+    assert [r["file_id"] for r in page.rows.orderBy("rank").collect()] == [r["file_id"] for r in stored.ranked(request).orderBy("rank").collect()]
+    beyond = stored.search(M.Request("tion", scope=M.Scope.CONTENT, limit=5, offset=10_000))
+    assert beyond.total == page.total and beyond.rows.count() == 0
+
+
 def test_every_term_needs_a_unit_of_the_file(engine):
     assert ids(engine, "annual report", scope=M.Scope.CONTENT) == {3: "content"}
     assert ids(engine, "annual nothing") == {}
