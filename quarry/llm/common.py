@@ -23,15 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder stands in.
+    Where that is unset, a temporary folder stands in, but only while driver and
+    executors are one process: on a cluster the executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        made = getattr(spark, "_quarry_shared_dir", None)
-        if made is None:
-            made = spark._quarry_shared_dir = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        return made
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    made = getattr(spark, "_quarry_shared_dir", None)
+    if made is None:
+        made = spark._quarry_shared_dir = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    return made
+
+
+#: Input bytes for each task that ``gathered`` leaves.
+TASK_BYTES = 4 << 20
+
+
+def gathered(docs: DataFrame) -> DataFrame:
+    """``docs`` in no more tasks than its size or the cluster's cores ask for: an input of many tiny files would make as many tiny files."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, min(1 << 30, size // TASK_BYTES)))
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -68,6 +82,27 @@ def crc_mod(column: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % F.lit(mod)
 
 
+def bounded(rows: DataFrame, label: str, limit: int, total: int, least: bool = False) -> list[tuple[str, object]]:
+    """(text, label) of distinct texts of ``rows`` (h, text, label) with the least ``h``: at most ``limit``, of at most ``total`` characters together.
+
+    The driver first sees hashes and lengths alone.  Of several labels of a text
+    the greatest counts (or the ``least``).
+    """
+    sizes = rows.groupBy("h").agg(F.max(F.length("text")).alias("n")).orderBy("h").limit(limit).collect()
+    last, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > total:
+            break
+        last = r["h"]
+    if last is None:
+        return []
+    # texts are picked by hash; two texts of one hash would both be there, and the first in order stays
+    pick = F.min if least else F.max
+    found = rows.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text"), pick(label).alias("label"))
+    return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: r["h"])]
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings, null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

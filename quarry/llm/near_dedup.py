@@ -1,20 +1,33 @@
-"""Near-dedup of the pipeline: every pair of texts with Jaccard similarity 0.8 or more links.
-
-A text is the set of its 5-word shingles (64-bit hashes stand for them; a text of
-fewer words is one shingle, a text without words the empty set).  Sets of n1 and
-n2 shingles with similarity 4/5 differ in at most (n1 + n2) / 9 shingles.  So cut
-the hashes into m ranges, more than that many: some range must hold the same
-shingles in both.  The ranges' contents are the shuffle keys, and no pair is lost.
-
-m follows from a size class; classes grow by 5/4, and a text also enters the next
-class, where the least of a larger partner's sizes lies.  ``_needed`` ranges agree
-at least; only a text with that many empty ranges has keys for the empty ones.
+"""Near-dedup of the pipeline: texts with Jaccard similarity 0.8 or more of their 5-word shingles link.
+
+Candidates come from two sources, and every link is checked on the whole texts.
+
+The SimHash operator's pigeonring filter, over fingerprints of 5-word shingles,
+finds texts that differ in up to ``simhash.TAU`` bits.  Alone it can't do: texts
+of similarity 0.8 differ in about 10 of 64 bits, which no chain of segments can
+look up.  So the pigeonhole is also put to the shingles themselves, exactly:
+
+A text is the set of its shingles (64-bit hashes stand for them; a text of fewer
+words is one shingle, a text without words the empty set).  Sets of n1 <= n2
+shingles with similarity 4/5 have n2 <= 5/4 n1 and differ in at most
+(n1 + n2) / 9 shingles.  A class of sizes cuts the hashes into ranges.  A set
+allows for D = (n + min(5/4 n, class top)) / 9 differing shingles, each of which
+spoils one range, and has its first D + 1 ranges that are not empty as keys.  Of
+a linked pair, take the set whose D + 1 ranges end first: one of them holds the
+same shingles in both, so both have it as a key, and no pair is lost.  (A set
+with fewer than D + 1 such ranges has all ranges as keys, the empty ones too; two
+such sets agree in one of them.)  Classes double, and a text whose partners may
+lie in the next class has keys there too.
 
 Large groups: members of a bucket are first compared with its least member and
 with their neighbours (linear in the bucket), then the pairs that these links
-leave in different components.  Links are checked on the whole sets.
+leave in different components, if their sizes and parity sketches allow a link:
+each differing shingle changes one bit of the parities of the shingles' hashes,
+so more differing bits than shingles may differ rule a pair out, for certain.
 
-Defined results: texts without words link with each other; repeated rows too.
+Defined results: texts without words link with each other; repeated rows too;
+null texts are texts without words; very long texts are like any other; other
+columns travel along; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,49 +36,37 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_name, parallelism, staged, utf8_texts
+from quarry.llm.common import deltas, discarded, distinct, distinct_at, fresh_name, gathered, pack, parallelism, released, staged, unpack, utf8_texts
 from quarry.llm.exact_dedup import without
-from quarry.llm.simhash import components
+from quarry.llm.simhash import components, fingerprint_of, links, shingle_hashes
 
 SHINGLE = 5
-SEED = 42
+#: Input bytes for each shard of keys.
+SHARD_BYTES = 2 << 20
 #: Pairs of a bucket that one batch holds.
 PAIRS = 1 << 18
 _BATCH_KEYS = 1 << 20
+_KEY_BITS = np.uint64(40)
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def shingles(text: bytes) -> np.ndarray:
     """The distinct shingle hashes of a UTF-8 text, ascending."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) > SHINGLE else [b" ".join(words)]
-    hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hash_of(g, SEED) for g in grams), dtype=np.uint64))
+    return distinct(shingle_hashes(text, SHINGLE))
 
 
-@cache
-def _tops() -> np.ndarray:
-    """The largest size of each class: a size up to 5/4 of another is in its class or the next."""
-    tops = [1]
-    while tops[-1] < 1 << 40:
-        tops.append((tops[-1] + 1) * 5 // 4)
-    return np.array(tops)
+def differing(n: int, top: int) -> int:
+    """Shingles in which a set of ``n`` may differ from a set of its size or more, up to ``top``."""
+    return (n + min(n * 5 // 4, top)) // 9
 
 
 def _ranges(top: int) -> int:
-    """Ranges of a class; some more than can differ, so that empty ones seldom matter."""
-    return 2 * top // 9 + 2 + top // 64
-
-
-def _needed(size: int, top: int) -> int:
-    """Ranges in which a set of ``size`` agrees at least with any linked set met in this class."""
-    return _ranges(top) - (size + min(size * 5 // 4, top)) // 9
+    """Ranges of a class: more than can differ, and mostly not empty for the class's sizes."""
+    return top // 4 + 4
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,76 +76,137 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def keys(own: np.ndarray) -> np.ndarray:
     """The keys of a set of shingles; two linked sets share one at least."""
-    if not len(own):
+    n = len(own)
+    if not n:
         return np.zeros(1, np.uint64)
-    first = int(np.searchsorted(_tops(), len(own)))
+    level = (n - 1).bit_length()  # sizes up to 2 ** level
     made = []
-    for level in (first, first + 1):
-        top = int(_tops()[level])
-        m = _ranges(top)
+    for level in (level, level + 1) if n * 5 // 4 > 1 << level else (level,):
+        top = 1 << level
+        m, wanted = _ranges(top), differing(n, top) + 1
         at = ((own >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as the hashes are
-        starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        used = at[starts]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         salt = _PRIMES[:1] * np.uint64(level)  # as an array, which wraps silently
-        made.append(_mixed(np.add.reduceat(own, starts) + salt + used * _PRIMES[1]))
-        if m - len(used) >= _needed(len(own), top):
-            made.append(_mixed(np.setdiff1d(np.arange(m, dtype=np.uint64), used) * _PRIMES[1] + salt))
+        made.append(_mixed(np.add.reduceat(own, starts)[:wanted] + salt + at[starts][:wanted] * _PRIMES[1]))
+        if len(starts) < wanted:
+            made.append(_mixed(np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts]) * _PRIMES[1] + salt))
     return np.concatenate(made)
 
 
-def _keyed(batches):
-    def out(parts, rows):
-        k = np.concatenate(parts).view(np.int64)
-        r = np.repeat(np.array(rows, dtype=np.int64), [len(p) for p in parts])
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(r)], names=["key", "row"])
-
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes over a power of two bits, about as many as the set has shingles (64 at least)."""
+    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _folded(words: np.ndarray, n: int) -> np.ndarray:
+    """Rows of sketch words folded to ``n`` words: what a smaller sketch of the same sets would hold."""
+    while words.shape[1] > n:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+_ENTRIES = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("payload", pa.binary())])
+_ENTRIES_DDL = "kind string, shard long, payload binary"
+
+
+def _entries(n_shards: int):
+    """(row, text) -> the cells of each shard (keys, rows), and of each row its fingerprint and size."""
+    bits = np.uint64(n_shards.bit_length() - 1)
+
+    def out(kind, found):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array([s for s, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], schema=_ENTRIES)
+
+    def flush(rows, parts, prints, sizes):
+        key = np.concatenate(parts)
+        row = np.repeat(np.array(rows, np.int64), [len(p) for p in parts])
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        shard = (key >> (np.uint64(64) - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        short = (key << bits) >> (np.uint64(64) - _KEY_BITS)
+        starts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+        yield out("cell", [(int(shard[a]), pack(deltas(short[a:b]), row[a:b])) for a, b in zip(starts, [*starts[1:], len(key)])])
+        yield out("print", [(0, pack(np.array(rows, np.int64), np.array(prints, np.uint64), np.array(sizes, np.int64)))])
+
+    def run(batches):
+        rows, parts, prints, sizes, held = [], [], [], [], 0
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), utf8_texts(batch)):
+                hashes = shingle_hashes(text, SHINGLE)
+                prints.append(fingerprint_of(hashes))
+                own = distinct(hashes)
+                parts.append(keys(own))
+                rows.append(row)
+                sizes.append(len(own))
+                held += len(parts[-1]) + 8
+                if held >= _BATCH_KEYS:
+                    yield from flush(rows, parts, prints, sizes)
+                    rows, parts, prints, sizes, held = [], [], [], [], 0
+        if rows:
+            yield from flush(rows, parts, prints, sizes)
+        released()
+
+    return run
+
+
+def _prints(batches):
     for batch in batches:
-        parts, rows, held = [], [], 0
-        for row, text in zip(batch.column(0).to_pylist(), utf8_texts(batch)):
-            parts.append(keys(shingles(text)))
-            rows.append(row)
-            held += len(parts[-1])
-            if held >= _BATCH_KEYS:
-                yield out(parts, rows)
-                parts, rows, held = [], [], 0
-        if parts:
-            yield out(parts, rows)
-
-
-def _crowded(batches):
-    """Sorted by key: the rows of keys that several rows have."""
-    last = None  # (key, row, already given out)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        same = key[1:] == key[:-1]
-        keep = np.concatenate([[last is not None and last[0] == key[0]], same])
-        keep[:-1] |= same
-        k, r = key[keep], row[keep]
-        if last is not None and last[0] == key[0] and not last[2]:
-            k, r = np.concatenate([[last[0]], k]), np.concatenate([[last[1]], r])
-        last = (key[-1], row[-1], bool(keep[-1]))
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(r, pa.int64())], names=["key", "row"])
+        for payload in batch.column(0):
+            row, fp, n = unpack(payload.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(fp.view(np.int64)), pa.array(n)], names=["row", "fp", "n"])
+
+
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, the lesser number first."""
+    values, at = distinct_at(np.concatenate([a, b]))
+    a, b = at[: len(a)], at[len(a) :]
+    code = distinct(np.minimum(a, b) * len(values) + np.maximum(a, b))
+    return values[code // max(1, len(values))], values[code % max(1, len(values))]
+
+
+_FOUND = pa.schema([("kind", pa.string()), ("x", pa.int64()), ("y", pa.int64())])
+
+
+def _crowded(key, group):
+    """A shard's cells -> its buckets (key, row) of several rows, and pairs: each row with the least of its bucket and with its neighbour."""
+    cells = [unpack(x.as_py()) for x in group["payload"]]
+    k = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in cells])
+    r = np.concatenate([x for _, x in cells])
+    order = np.lexsort((r, k))
+    k, r = k[order], r[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    k, r = k[fresh], r[fresh]
+    same = np.concatenate([[False], k[1:] == k[:-1]])  # as the one before
+    several = same.copy()
+    several[:-1] |= same[1:]
+    k, r, same = k[several], r[several], same[several]
+    least = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
+    later = np.flatnonzero(same)
+    a, b = _unique_pairs(np.concatenate([r[least[later]], r[later - 1]]), np.concatenate([r[later], r[later]]))
+    whole = (k | np.uint64(key[0].as_py() << int(_KEY_BITS))).view(np.int64) if len(k) else k.view(np.int64)
+    released()
+    return pa.table([pa.array(["bucket"] * len(k) + ["pair"] * len(a), pa.string()), pa.array(np.concatenate([whole, a])), pa.array(np.concatenate([r, b]))], schema=_FOUND)
 
 
 def _groups(batches):
-    """Sorted by key: the further columns of each key's rows, as arrays."""
+    """Sorted by key: the further columns of each key's rows, as lists of Arrow arrays' chunks joined."""
     held_key, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, *more = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        key = batch.column(0).to_numpy(zero_copy_only=False)
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        for s, e in zip(cuts[:-1], cuts[1:]):
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if held and key[s] != held_key:
-                yield [np.concatenate(x) for x in zip(*held)]
+                yield [pa.concat_arrays(x) for x in zip(*held)]
                 held = []
             held_key = key[s]
-            held.append([x[s:e].copy() for x in more])
+            held.append([c.slice(s, e - s) for c in batch.columns[1:]])
     if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+        yield [pa.concat_arrays(x) for x in zip(*held)]
 
 
 def _batched(pairs):
@@ -152,9 +214,7 @@ def _batched(pairs):
     held, n = [], 0
 
     def out():
-        a, b = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, i].copy(), pa.int64()) for i in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _unique_pairs(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))], names=["a", "b"])
 
     for a, b in pairs:
         held.append((a, b))
@@ -166,67 +226,128 @@ def _batched(pairs):
         yield out()
 
 
-def _near_pairs(batches):
-    """Of each key's rows: each with the least one and with its neighbour."""
-
-    def pairs():
-        for (row,) in _groups(batches):
-            row = np.unique(row)
-            yield np.repeat(row[:1], len(row) - 1), row[1:]
-            yield row[1:-1], row[2:]
-
-    return _batched(pairs())
+def _possible(row: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]):
+    """Pairs of one bucket's rows with different roots whose sizes and sketches allow a link."""
+    order = np.argsort(n, kind="stable")
+    row, root, n = row[order], root[order], n[order]
+    by_width: dict[int, list[int]] = {}
+    for i, at in enumerate(order.tolist()):
+        by_width.setdefault(len(sketches[at]), []).append(i)
+    # a set's partners have sketches as wide as its own or twice
+    for width, own in by_width.items():
+        low = np.stack([np.frombuffer(sketches[order[i]], np.uint64) for i in own])
+        wide = by_width.get(2 * width, [])
+        high = _folded(np.stack([np.frombuffer(sketches[order[i]], np.uint64) for i in wide]), width // 8) if wide else low[:0]
+        members, words = np.array(own + wide), np.concatenate([low, high])
+        size, group = n[members], root[members]
+        for k in range(len(own)):
+            end = int(np.searchsorted(size, size[k] * 5 // 4, side="right"))
+            if end <= k + 1:
+                continue
+            at = np.arange(k + 1, end)[group[k + 1 : end] != group[k]]
+            if len(at):
+                apart = np.bitwise_count(words[at] ^ words[k]).sum(axis=1, dtype=np.int64)
+                at = at[9 * apart <= size[at] + size[k]]
+                yield np.repeat(row[members[k]], len(at)), row[members[at]]
 
 
 def _cross_pairs(batches):
-    """Of each key's rows (row, root): all pairs with different roots."""
+    """Of each key's rows (row, root, n, sketch): the possible pairs with different roots."""
 
     def pairs():
-        for row, root in _groups(batches):
-            if (root == root[0]).all():
-                continue
-            for i in range(len(row) - 1):
-                other = row[i + 1 :][root[i + 1 :] != root[i]]
-                yield np.repeat(row[i : i + 1], len(other)), other
+        for row, root, n, sketches in _groups(batches):
+            row, root, n = (x.to_numpy(zero_copy_only=False) for x in (row, root, n))
+            if not (root == root[0]).all():
+                yield from _possible(row, root, n, sketches.to_pylist())
 
     return _batched(pairs())
 
 
-def _sets(batches):
+def _bodies(batches):
+    """(row, text) -> (row, sketch, the text's words compressed)."""
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        found = [shingles(x).view(np.int64) for x in utf8_texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "own"])
-
+        texts = [b" ".join(x.lower().split()) for x in utf8_texts(batch)]
+        sketches = [sketch(shingles(x)).tobytes() for x in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary()), pa.array(map(packer.compress, texts), pa.binary())], names=["row", "sketch", "body"])
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have similarity 4/5 at least, in whole numbers."""
-    a, b = sets.select(F.col("row").alias("a"), F.col("own").alias("of_a")), sets.select(F.col("row").alias("b"), F.col("own").alias("of_b"))
-    na, nb = F.size("of_a"), F.size("of_b")
-    near = pairs.join(a, "a").join(b, "b").filter((5 * na >= 4 * nb) & (5 * nb >= 4 * na))
-    return near.filter(9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (na + nb)).select("a", "b")
 
-
-def near_groups(texts: DataFrame) -> DataFrame:
-    """(node, root) for every row of ``texts`` (row, text; rows distinct) that links with another; root is the least row."""
+def _checked(batches):
+    """Sorted by a: the pairs (a, b, of_a, of_b) whose sets have similarity 4/5 at least, in whole numbers."""
+    last, own, unpacker = None, np.empty(0, np.uint64), zstandard.ZstdDecompressor()
+    for batch in batches:
+        keep = []
+        for a, of_a, of_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            if a != last:
+                last, own = a, shingles(unpacker.decompress(of_a.as_py()))
+            other = shingles(unpacker.decompress(of_b.as_py()))
+            both = np.concatenate([own, other])
+            both.sort()
+            keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _linked(pairs: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link.  Sizes come first; then one text of each pair travels, and meets the other."""
+    na, nb = sizes.select(F.col("row").alias("a"), F.col("n").alias("na")), sizes.select(F.col("row").alias("b"), F.col("n").alias("nb"))
+    near = staged(pairs.join(na, "a").join(nb, "b").filter("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b"), "near-sized")
+    of_a, of_b = bodies.select(F.col("row").alias("a"), F.col("body").alias("of_a")), bodies.select(F.col("row").alias("b"), F.col("body").alias("of_b"))
+    met = near.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a")
+    return met.select("a", "b", "of_a", "of_b").mapInArrow(_checked, "a long, b long")
+
+
+def _print_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) that SimHash links: rows of one fingerprint with the least of them, and the least rows of linked fingerprints."""
+    own = staged(prints.groupBy("fp").agg(F.min("row").alias("least")), "near-prints")
+    same = prints.join(own, "fp").filter("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    found = links(own).withColumnsRenamed({"a": "fa", "b": "fb"})
+    found = found.join(own.select(F.col("fp").alias("fa"), F.col("least").alias("x")), "fa").join(own.select(F.col("fp").alias("fb"), F.col("least").alias("y")), "fb")
+    return same.union(found.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
+def shard_count(rows: DataFrame) -> int:
+    """A power of two that grows with the input's size."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 1 << max(4, min(20, (size // SHARD_BYTES).bit_length()))
+
+
+def near_groups(texts: DataFrame, shards: int | None = None) -> DataFrame:
+    """(node, root) for every row of ``texts`` (row, text; rows distinct) that links with another; root is the least row.
+
+    Staged tables go as soon as nothing needs them any more.
+    """
     n = parallelism(texts.sparkSession)
+    n_shards = shards or shard_count(texts)
     texts = texts.select(F.col("row").cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    keyed = texts.mapInArrow(_keyed, "key long, row long").repartition(n, "key").sortWithinPartitions("key")
-    buckets = staged(keyed.mapInArrow(_crowded, "key long, row long"), "near-buckets")
-    members = staged(buckets.select("row").distinct(), "near-members")
-    sets = staged(texts.join(members, "row", "left_semi").mapInArrow(_sets, "row long, own array<long>"), "near-sets")
-    sorted_ = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
-    first = staged(sorted_(buckets).mapInArrow(_near_pairs, "a long, b long").distinct(), "near-pairs")
-    edges = staged(_linked(first, sets), "near-edges")
-    rooted = buckets.join(components(edges), buckets.row == F.col("node"), "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-    cross = staged(sorted_(rooted).mapInArrow(_cross_pairs, "a long, b long").distinct(), "near-pairs").join(first, ["a", "b"], "left_anti")
-    more = staged(_linked(cross, sets), "near-edges")
+    entries = staged(gathered(texts).mapInArrow(_entries(n_shards), _ENTRIES_DDL), "near-entries", "kind")
+    prints = staged(entries.filter("kind = 'print'").select("payload").mapInArrow(_prints, "row long, fp long, n long"), "near-rows")
+    found = staged(entries.filter("kind = 'cell'").groupBy("shard").applyInArrow(_crowded, "kind string, x long, y long"), "near-found", "kind")
+    discarded(entries)
+    buckets = found.filter("kind = 'bucket'").select(F.col("x").alias("key"), F.col("y").alias("row"))
+    pairs = found.filter("kind = 'pair'").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    first = staged(pairs.union(_print_pairs(prints)).distinct(), "near-pairs")
+    members = first.select(F.col("a").alias("row")).union(first.select("b")).distinct()
+    bodies = staged(texts.join(members, "row", "left_semi").mapInArrow(_bodies, "row long, sketch binary, body binary"), "near-bodies")
+    edges = staged(_linked(first, prints.select("row", "n"), bodies), "near-edges")
+    # only buckets whose members aren't all in one component yet go on
+    roots = components(edges)
+    known = bodies.select("row", "sketch").join(prints.select("row", "n"), "row").join(roots, F.col("row") == F.col("node"), "left")
+    known = staged(known.select("row", F.coalesce("root", "row").alias("root"), "n", "sketch"), "near-known")
+    rooted = buckets.join(known.select("row", "root"), "row")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    open_ = staged(buckets.join(open_, "key", "left_semi"), "near-open")
+    dealt = open_.join(known, "row").select("key", "row", "root", "n", "sketch").repartition(n, "key").sortWithinPartitions("key")
+    cross = staged(dealt.mapInArrow(_cross_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "near-cross")
+    discarded(found, open_, known, first)
+    more = staged(_linked(cross, prints.select("row", "n"), bodies), "near-edges")
+    discarded(bodies, prints, cross)
     return components(edges.unionByName(more))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each near-duplicate group: smallest id, then input order."""
     row = fresh_name(docs, "row")
-    whole = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    whole = staged(gathered(docs).withColumn(row, F.monotonically_increasing_id()), "near-rows")
     rows = whole.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("own"), "text")
     found = near_groups(rows.select("row", "text")).select(F.col("node").alias("row"), F.col("root").alias("group"))
     # ``components`` may leave the root itself out
@@ -235,4 +356,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # tables of their own, so that joins can split the rows of a large group
     best = staged(several.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "row")).alias("best")), "near-best")
     drop = several.join(best, "group").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
-    return without(whole, drop, row).drop(row)
+    left = without(whole, drop, row).drop(row)
+    discarded(several, best)
+    return left

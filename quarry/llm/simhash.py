@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import parallelism, staged, table, utf8_texts
+from quarry.llm.common import discarded, gathered, parallelism, staged, table, utf8_texts
 
 BITS, TAU, SEGMENTS = 64, 2, 16
 WIDTH = BITS // SEGMENTS
@@ -42,23 +42,29 @@ DIRECT = 256
 ONE = np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a UTF-8 text's shingles, repeats included; of fewer words, of the whole sequence."""
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
     hash_of = xxhash.xxh64_intdigest
-    h = np.fromiter((hash_of(g, SEED) for g in grams), dtype=np.uint64)
+    return np.fromiter((hash_of(g, SEED) for g in grams), dtype=np.uint64)
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The 64 bits that over half the hashes have set."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a UTF-8 text."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches):
     for batch in batches:
         prints = np.array([fingerprint(x) for x in utf8_texts(batch)], dtype=np.uint64).view(np.int64)
@@ -67,7 +73,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed 64-bit number."""
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    return gathered(docs).select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
 
 
 def _rotated(fp: np.ndarray, start: int) -> np.ndarray:
@@ -217,10 +223,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = staged(large, "cc")
+        discarded(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "u").alias("u"), "v", "m", F.col("u").alias("own"))
         small = small.select(F.explode(F.array(F.struct(F.col("own").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = staged(small.filter("u <> v").distinct(), "cc")
+        discarded(large)
         after = signature(now)
         if after == before:
             break
