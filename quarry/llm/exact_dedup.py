@@ -1,26 +1,33 @@
 """Exact dedup by a log-structured merge index.
 
 Tasks fill memtables keyed by the digest of the normalised text.  A full
-memtable is flushed as a run sorted by digest, with one entry per digest: its
-smallest identifier, its number of copies and its compressed body.  Equal
-digests inside a memtable are verified byte by byte on the spot.  Compaction
-merges the runs' entries by digest and keeps the smallest identifier.  Digests
-that more than one run holds are hits: a filter of fixed size over them picks
-the bodies that have to travel, and each hit's bodies are compared byte by byte.
-If two different texts ever share a digest, ``find_copies`` starts again with
-the text itself as the key, so the result is exact in any case.
+memtable is flushed as a run: one entry per digest (its smallest identifier and
+its number of copies), sorted by digest, cut into segments by digest range, each
+with a filter of its own; the compressed bodies go beside it.  Equal digests
+inside a memtable are verified byte by byte on the spot.  Compaction takes one
+range of all runs: entries that no second run's filter may hold pass as they
+are, the others are merged in digest order, where the smallest identifier comes
+first.  Digests that more than one run holds are hits: their bodies are picked by
+a filter sized from the number of hits (by a semi-join where there are too many
+to broadcast one), and each hit's bodies are compared byte by byte.  If two
+different texts ever share a digest, ``find_copies`` starts again with the text
+itself as the key, so the result is exact in any case.
 
 Order of identifiers: most code points in the original text, then smallest
 ``doc_id`` (nulls last), then position in the input.
 
 Defined results: null text counts as empty; empty and blank texts are copies of
-each other; of repeated rows (same id, same text) exactly one is kept; an empty
-table gives an empty table; other columns are ignored.
+each other; of repeated rows (same id, same text) exactly one is kept; very long
+texts are like any other (a memtable holds one text at least); an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,81 +36,106 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, fresh_name, parallelism, staged, table
+from quarry.llm.common import arrow_rows, discarded, fresh_name, gathered, parallelism, staged, table
 
 #: Characters that do not count: space, tab, LF, VT, FF, CR.
 BLANKS = b" \t\n\x0b\x0c\r"
 MEMTABLE_BYTES = 32 << 20
-#: Bits of the hit filter.  Its size does not depend on the data: with more hits
-#: more bodies travel, never fewer.
-FILTER_BITS = 1 << 25
+#: Input bytes for each digest range.
+RANGE_BYTES = 16 << 20
+#: Bits of a segment's filter.  More entries than it is made for make compaction merge more, never less.
+SEGMENT_BITS = 1 << 14
 FILTER_HASHES = 3
+#: Up to this many hits, a filter over them (two bytes each) is broadcast; more of them are shuffled.
+BROADCAST_HITS = 4_000_000
 
-_RUN_FIELDS = [
-    ("kind", pa.string()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("pos", pa.int64()),
-    ("n_chars", pa.int64()), ("n", pa.int64()), ("run_id", pa.int64()), ("body", pa.binary()),
-]
-_RUN_SCHEMA = pa.schema(_RUN_FIELDS)
-_RUN_DDL = "kind string, digest binary, doc_id long, pos long, n_chars long, n long, run_id long, body binary"
+_LEVEL0 = pa.schema([
+    ("kind", pa.string()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("n_chars", pa.int64()),
+    ("range", pa.int64()), ("entries", pa.binary()), ("filter", pa.binary()), ("body", pa.binary()),
+])
+_LEVEL0_DDL = "kind string, digest binary, doc_id long, pos long, n_chars long, range long, entries binary, filter binary, body binary"
+_ENTRY = pa.schema([("digest", pa.binary()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int64())])
 
 
 def sha256(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()
 
 
-def _flush_runs(digest_of, memtable_bytes: int):
-    """mapInArrow: (doc_id, text) -> members (a row per document) and sorted runs."""
+def _identifier(doc_id, pos, n_chars):
+    """Smallest first: the order that the module's docstring names."""
+    return -n_chars, doc_id is None, doc_id or 0, pos
 
-    def order(entry):
-        doc_id, pos, n_chars = entry[:3]
-        return -n_chars, doc_id is None, doc_id or 0, pos
+
+def _level0(kind: str, n: int, **columns) -> pa.RecordBatch:
+    return arrow_rows(_LEVEL0, {name: columns.get(name, [None] * n) for name in _LEVEL0.names} | {"kind": [kind] * n})
+
+
+def _bits_of(digests: list[bytes], bits: int) -> np.ndarray:
+    """The filter positions of each digest, a row of FILTER_HASHES each."""
+    words = np.array([[int.from_bytes((d + bytes(24))[i * 8 : i * 8 + 8], "little") for i in range(FILTER_HASHES)] for d in digests], dtype=np.uint64)
+    return (words % np.uint64(bits)).astype(np.int64).reshape(-1, FILTER_HASHES)
+
+
+def _set_bits(known: np.ndarray, digests: list[bytes]) -> None:
+    at = _bits_of(digests, 8 * len(known)).ravel()
+    np.bitwise_or.at(known, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _maybe(known: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    at = _bits_of(digests, 8 * len(known))
+    return ((known[at >> 3] >> (at & 7)) & 1).all(axis=1)
+
+
+def _flush_runs(digest_of, memtable_bytes: int, ranges: int, bits: int):
+    """mapInArrow: (doc_id, text) -> members (a row per document), segments of sorted runs, and bodies."""
+
+    def range_of(digest: bytes) -> int:
+        return int.from_bytes(digest[:4].ljust(4, b"\0")) * ranges >> 32
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        pos, runs, held = part << 36, part << 24, 0
+        pos = TaskContext.get().partitionId() << 36
         memtable: dict[bytes, list] = {}
+        held = 0
         pack = zstandard.ZstdCompressor(level=1)
 
         def flush():
-            nonlocal runs, held
-            keys = sorted(memtable)
-            for at in range(0, len(keys), 2000):
-                some = [memtable[k] for k in keys[at : at + 2000]]
-                yield arrow_rows(_RUN_SCHEMA, {
-                    "kind": ["run"] * len(some), "digest": keys[at : at + 2000],
-                    "doc_id": [x[0] for x in some], "pos": [x[1] for x in some], "n_chars": [x[2] for x in some],
-                    "n": [x[3] for x in some], "run_id": [runs] * len(some), "body": [pack.compress(x[4]) for x in some],
-                })
+            nonlocal held
+            for own, digests in itertools.groupby(sorted(memtable), key=range_of):
+                digests = list(digests)
+                some = [memtable[k] for k in digests]
+                entries = arrow_rows(_ENTRY, {"digest": digests, "doc_id": [x[0] for x in some], "pos": [x[1] for x in some], "n_chars": [x[2] for x in some], "n": [x[3] for x in some]})
+                known = np.zeros(bits // 8, np.uint8)
+                _set_bits(known, digests)
+                yield _level0("segment", 1, range=[own], entries=[entries.serialize().to_pybytes()], filter=[known.tobytes()])
+                for at in range(0, len(digests), 2000):
+                    bodies = [pack.compress(x[4]) for x in some[at : at + 2000]]
+                    yield _level0("body", len(bodies), digest=digests[at : at + 2000], body=bodies)
             memtable.clear()
-            runs += 1
             held = 0
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            members = {"digest": [], "pos": [], "n_chars": [], "n": []}
+            members = {"digest": [], "pos": [], "n_chars": []}
             for doc_id, value in zip(ids, batch.column(1)):
                 text = value.as_py() or ""
                 n_chars, body = len(text), text.encode().translate(None, BLANKS)
                 digest = digest_of(body)
                 entry = memtable.get(digest)
+                if entry is not None and entry[4] != body:  # another text under this digest: a run of its own, so that compaction sees both
+                    yield from flush()
+                    entry = None
                 if entry is None:
                     memtable[digest] = [doc_id, pos, n_chars, 1, body]
                     held += len(body) + 300
-                elif entry[4] == body:
+                else:
                     entry[3] += 1
-                    if order((doc_id, pos, n_chars)) < order(entry):
+                    if _identifier(doc_id, pos, n_chars) < _identifier(*entry[:3]):
                         entry[:3] = doc_id, pos, n_chars
-                else:  # another text under this digest: a run of its own, so that compaction sees both
-                    yield from flush()
-                    memtable[digest] = [doc_id, pos, n_chars, 1, body]
-                    held = len(body)
                 members["digest"].append(digest)
                 members["pos"].append(pos)
                 members["n_chars"].append(n_chars)
-                members["n"].append(1)
                 pos += 1
-            none = [None] * len(ids)
-            yield arrow_rows(_RUN_SCHEMA, members | {"kind": ["member"] * len(ids), "doc_id": ids, "run_id": none, "body": none})
+            yield _level0("member", len(ids), doc_id=ids, **members)
             if held > memtable_bytes:
                 yield from flush()
         yield from flush()
@@ -111,23 +143,47 @@ def _flush_runs(digest_of, memtable_bytes: int):
     return run
 
 
-def _filter_bits(digests: list[bytes], bits: int) -> np.ndarray:
-    """The filter positions of each digest, a row of FILTER_HASHES each."""
-    words = np.array([[int.from_bytes((d + bytes(24))[i * 8 : i * 8 + 8], "little") for i in range(FILTER_HASHES)] for d in digests], dtype=np.uint64)
-    return (words % np.uint64(bits)).astype(np.int64).reshape(-1, FILTER_HASHES)
+_INDEX = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_pos", pa.int64()), ("group_size", pa.int64()), ("runs", pa.int64())])
+_INDEX_DDL = "digest binary, keep_id long, keep_pos long, group_size long, runs long"
+
+
+def _compact(key, group):
+    """One digest range of all runs -> its index entries, ascending."""
+    filters = [np.frombuffer(x.as_py(), np.uint8) for x in group["filter"]]
+    once, twice = np.zeros_like(filters[0]), np.zeros_like(filters[0])
+    for own in filters:  # what at least two runs' filters hold
+        twice |= once & own
+        once |= own
+    alone, runs = [], []
+    for entries in group["entries"]:
+        run = pa.ipc.read_record_batch(pa.BufferReader(entries.as_buffer()), _ENTRY)
+        shared = _maybe(twice, run.column(0).to_pylist())
+        alone.append(run.filter(pa.array(~shared)))
+        several = run.filter(pa.array(shared))
+        columns = (several.column(i).to_pylist() for i in range(5))
+        runs.append([(d, *_identifier(i, p, c), i, n) for d, c, i, p, n in zip(*columns)])
+    merged = []
+    for digest, found in itertools.groupby(heapq.merge(*runs, key=lambda x: x[:5]), key=itemgetter(0)):
+        found = list(found)
+        *_, pos, doc_id, _ = found[0]
+        merged.append((digest, doc_id, pos, sum(x[-1] for x in found), len(found)))
+    alone = pa.Table.from_batches(alone, _ENTRY)
+    alone = pa.table([alone["digest"], alone["doc_id"], alone["pos"], alone["n"], pa.array([1] * len(alone), pa.int64())], schema=_INDEX)
+    merged = pa.table([pa.array(x, f.type) for x, f in zip(list(zip(*merged)) or [[]] * 5, _INDEX)], schema=_INDEX)
+    return pa.concat_tables([alone, merged]).sort_by("digest")
 
 
 def hit_filter(hits: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter over the digests of ``hits``; ``bits`` / 8 bytes, whatever the data."""
+    """A filter of ``bits`` over the digests of ``hits``, put together on the executors by pages."""
+    page = 4096
 
     def partial(batches):
         own = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             if batch.num_rows:
-                at = _filter_bits(batch.column(0).to_pylist(), bits).ravel()
-                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for page in np.flatnonzero(own.reshape(-1, 4096).any(axis=1)):
-            yield pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int64()), "bits": pa.array([own[page * 4096 : page * 4096 + 4096].tobytes()], pa.binary())})
+                _set_bits(own, batch.column(0).to_pylist())
+        for at in np.flatnonzero(own.reshape(-1, page).any(axis=1)):
+            yield pa.RecordBatch.from_pydict({"page": pa.array([at], pa.int64()), "bits": pa.array([own[at * page : at * page + page].tobytes()], pa.binary())})
 
     def merged(key, pages):
         one = np.bitwise_or.reduce(np.stack([np.frombuffer(x.as_py(), np.uint8) for x in pages["bits"]]))
@@ -135,66 +191,79 @@ def hit_filter(hits: DataFrame, bits: int) -> np.ndarray:
 
     whole = np.zeros(bits // 8, dtype=np.uint8)
     pages = hits.select("digest").coalesce(parallelism(hits.sparkSession)).mapInArrow(partial, "page long, bits binary")
-    for page in pages.groupBy("page").applyInArrow(merged, "page long, bits binary").collect():  # FILTER_BITS / 8 bytes in all
-        whole[page["page"] * 4096 : page["page"] * 4096 + 4096] = np.frombuffer(page["bits"], np.uint8)
+    for found in pages.groupBy("page").applyInArrow(merged, "page long, bits binary").collect():  # bits / 8 bytes in all
+        whole[found["page"] * page : found["page"] * page + page] = np.frombuffer(found["bits"], np.uint8)
     return whole
 
 
-def _might_contain(filter_bytes, bits: int):
+def _picked(known):
     def run(batches):
-        known = np.frombuffer(filter_bytes.value, np.uint8)
+        own = np.frombuffer(known.value, np.uint8)
         for batch in batches:
             if batch.num_rows:
-                at = _filter_bits(batch.column(0).to_pylist(), bits)
-                found = ((known[at >> 3] >> (at & 7)) & 1).all(axis=1)
-                yield batch.filter(pa.array(found))
+                yield batch.filter(pa.array(_maybe(own, batch.column(0).to_pylist())))
 
     return run
 
 
-def _best(doc_id="doc_id"):
-    """A struct that orders rows as this module says; the least one stays."""
-    return F.struct((-F.col("n_chars")).alias("less"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col("pos").alias("pos"))
+def verified(index: DataFrame, bodies: DataFrame, broadcast_hits: int = BROADCAST_HITS) -> bool:
+    """Whether the bodies of each hit are equal, byte by byte."""
+    spark = index.sparkSession
+    hits = index.filter("runs > 1").select("digest")
+    n = hits.count()
+    if not n:
+        return True
+    if n <= broadcast_hits:
+        known = spark.sparkContext.broadcast(hit_filter(hits, max(1 << 15, 1 << (16 * n - 1).bit_length())).tobytes())
+        bodies = bodies.mapInArrow(_picked(known), "digest binary, body binary")
+    else:
+        bodies = bodies.join(hits.hint("merge"), "digest", "left_semi")
+    # One compressor at one level: bodies are equal if and only if their compressed bytes are.
+    return bodies.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").isEmpty()
 
 
-def compacted(docs: DataFrame, *, digest_of=sha256, memtable_bytes: int = MEMTABLE_BYTES, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, bool]:
-    """(members, index, verified): a row per document, a row per digest, whether all hits are equal texts."""
-    spark = docs.sparkSession
-    flushed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_flush_runs(digest_of, memtable_bytes), _RUN_DDL)
+def range_count(docs: DataFrame) -> int:
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(16, min(1 << 20, size // RANGE_BYTES))
+
+
+def _copies(docs: DataFrame, digest_of=sha256, memtable_bytes: int = MEMTABLE_BYTES, filter_bits: int = SEGMENT_BITS, ranges: int | None = None, broadcast_hits: int = BROADCAST_HITS) -> tuple[DataFrame, list[DataFrame]]:
+    """(a row per document as ``find_copies`` says, the staged tables that it reads)."""
+    rows = gathered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    flushed = rows.mapInArrow(_flush_runs(digest_of, memtable_bytes, ranges or range_count(docs), filter_bits), _LEVEL0_DDL)
     level0 = staged(flushed, "dedup-runs", "kind")
-    members = level0.filter("kind = 'member'").select("doc_id", "digest", "pos", "n_chars")
-    runs = level0.filter("kind = 'run'")
-    index = staged(runs.groupBy("digest").agg(F.min(_best()).alias("best"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("runs")), "dedup-index")
-    hits = index.filter("runs > 1").select("digest")
-    known = spark.sparkContext.broadcast(hit_filter(hits, filter_bits).tobytes())
-    bodies = runs.select("digest", "body").mapInArrow(_might_contain(known, filter_bits), "digest binary, body binary")
-    # One compressor at one level: bodies are equal if and only if their compressed bytes are.
-    differ = bodies.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b")
-    return members, index, differ.isEmpty()
+    index = staged(level0.filter("kind = 'segment'").groupBy("range").applyInArrow(_compact, _INDEX_DDL), "dedup-index")
+    if not verified(index, level0.filter("kind = 'body'").select("digest", "body"), broadcast_hits):
+        discarded(level0, index)
+        return _by_text(docs)
+    members = level0.filter("kind = 'member'").select("doc_id", "digest", "pos")
+    found = members.join(index, "digest").select(
+        "doc_id", "keep_id", "group_size", (F.col("pos") == F.col("keep_pos")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "pos", "keep_pos",
+    )
+    return found, [level0, index]
 
 
 def find_copies(docs: DataFrame, **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, pos, keep_pos: one row per document."""
-    members, index, verified = compacted(docs, **options)
-    if not verified:
-        return _by_text(docs)
-    found = members.join(index, "digest")
-    return found.select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("pos") == F.col("best.pos")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "pos", F.col("best.pos").alias("keep_pos"),
-    )
+    return _copies(docs, **options)[0]
+
+
+def _best():
+    """A struct that orders rows as this module says; the least one stays."""
+    return F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("pos").alias("pos"))
 
 
-def _by_text(docs: DataFrame) -> DataFrame:
+def _by_text(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """The same with whole texts as keys, for a digest that two texts share."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(text, r"[\x20\x09-\x0D]", "").alias("digest"), F.length(text).cast("long").alias("n_chars"))
     rows = staged(rows.withColumn("pos", F.monotonically_increasing_id()), "dedup-texts")
     index = rows.groupBy("digest").agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(index, "digest").select(
+    found = rows.join(index, "digest").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("pos") == F.col("best.pos")).alias("kept"),
         F.sha2(F.col("digest"), 256).alias("text_sha256"), "pos", F.col("best.pos").alias("keep_pos"),
     )
+    return found, [rows]
 
 
 #: Above this many rows to drop, ``deduplicated`` shuffles instead of broadcasting them (8 bytes each).
@@ -212,16 +281,20 @@ def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     row = fresh_name(docs, "row")
-    whole = staged(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    whole = staged(gathered(docs).withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
     rows = whole.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # the row number takes the place of an id that may be missing or repeated
-    found = find_copies(rows.select(F.col("row").alias("doc_id"), "text"), **options).filter("group_size > 1")
-    several = staged(found.select(F.col("doc_id").alias("row"), "text_sha256").join(rows.select("row", "id", F.length("text").alias("n")), "row"), "dedup-several")
+    found, read = _copies(rows.select(F.col("row").alias("doc_id"), "text"), **options)
+    found = found.filter("group_size > 1").select(F.col("doc_id").alias("row"), "text_sha256")
+    several = staged(found.join(rows.select("row", "id", F.length("text").alias("n")), "row"), "dedup-several")
+    discarded(*read)
     order = F.struct((-F.coalesce("n", F.lit(0))).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row")
     # a table of its own, so that the join can split the rows of a frequent text
     best = staged(several.groupBy("text_sha256").agg(F.min(order).alias("best")), "dedup-best")
     drop = several.join(best, "text_sha256").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
-    return without(whole, drop, row).drop(row)
+    left = without(whole, drop, row).drop(row)
+    discarded(several, best)
+    return left
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,4 +315,4 @@ r AS (
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r
 """
 
-__all__ = ["find_copies", "deduplicated", "compacted", "op6_exact_dedup", "OP6_SQL"]
+__all__ = ["find_copies", "deduplicated", "without", "op6_exact_dedup", "OP6_SQL"]
