@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, deltas, distinct_at, pack, released, staged, table, unpack, utf8_texts
+from quarry.llm.common import crc_mod, deltas, distinct_at, gathered, pack, released, staged, table, unpack, utf8_texts
 
 MAX_DISCOUNTED = 5
 BLOCK_BYTES = 16 << 20
@@ -495,7 +495,7 @@ def shard_count(docs: DataFrame) -> int:
 def score_documents(docs: DataFrame, *, training, shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document; ``training``: a boolean column, true where the model learns."""
     n_shards = shards or shard_count(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~training).alias("held_out"))
+    texts = gathered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~training).alias("held_out"))
     blocks = staged(texts.mapInArrow(_blocks(n_shards, block_bytes), _ROWS_DDL), "lm-blocks", "kind")
     own = blocks.filter("kind = 'docs'")
     words = staged(blocks.filter("kind = 'words'").groupBy("shard").applyInArrow(_merge_words(n_shards), _ROWS_DDL), "lm-words", "kind")

@@ -1,18 +1,26 @@
 """Media columns: interleaved document sequences with digest-resolved payloads.
 
 ``parse_interleaved`` turns HTML into an ordered sequence of text and media
-reference structs (position, kind, text, digest, caption).  Media references
-are ``media:<sha256>`` URLs; ``resolve`` joins them by digest with a media
-table, so payloads are stored once per digest and task and never travel with
-the documents: what the join moves is the digest and the payload's features.
-Positions and captions stay on the reference row, so they remain aligned.
+reference structs (position, kind, text, digest, caption).  Media references are
+``media:<sha256>`` URLs.  ``resolve`` joins them by digest with a media table, in
+which a payload is stored once per digest and task: the join brings the payload's
+features, and the payload itself where it has INLINE bytes at most; larger ones
+stay in the table, so that they never travel with the documents.  Positions and
+captions stay on the reference, so they remain aligned.
 
 Payloads are stored as the 8-bit grey samples of a PNG, 64 samples a row
-(lossless), and features are computed from the samples read back.
-
-Defined results: null text counts as empty (a payload of 64 zero bytes);
-repeated rows repeat; an empty table gives an empty table; other columns are
-ignored; references to unknown digests keep their position with null features.
+(lossless); features and inline payloads are computed from the samples read back.
+
+``text_media`` makes such documents of plain texts: every line that is not blank
+is a text block; a figure with the whole text as its payload follows the first
+block, a figure with the payload's last 64 bytes the last one, each with the
+beginning of the block before it as its caption.
+
+Defined results: null text counts as empty (a payload of 64 zero bytes), and a
+text without words has no block and null captions; very long texts are one
+payload like any other; repeated rows repeat; equal payloads share one digest; an
+empty table gives an empty table; other columns are ignored; references to unknown
+digests keep their position with null features.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,9 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, staged, table, utf8_texts
+from quarry.llm.common import arrow_rows, gathered, staged, table, utf8_texts
 
 WIDTH = 64
+#: Payloads up to this size travel with the references that the join resolves.
+INLINE = 64
+CAPTION = 80
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _URL = "media:"
 
@@ -180,10 +192,10 @@ def references(rows: DataFrame) -> DataFrame:
 
 
 _FEATURES = pa.schema([
-    ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("payload", pa.binary()),
     ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
 ])
-_FEATURES_DDL = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FEATURES_DDL = "digest string, payload_bytes long, payload_sha256 string, payload binary, media_bytes long, media_sha256 string, feature string"
 
 
 def _read_back(batches):
@@ -195,7 +207,7 @@ def _read_back(batches):
             payload = samples.tobytes()
             out["payload_bytes"].append(len(payload))
             out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-            out["tail_crc32"].append(zlib.crc32(payload[-64:]))
+            out["payload"].append(payload if len(payload) <= INLINE else None)
             out["media_bytes"].append(len(stored))
             out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
             out["feature"].append(feature(samples))
@@ -209,43 +221,71 @@ def media_features(media: DataFrame) -> DataFrame:
     return staged(found.groupBy("digest").agg(*(F.min(n).alias(n) for n in _FEATURES.names[1:])), "media-features")
 
 
-def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, features: DataFrame, digest: str = "digest") -> DataFrame:
     """Digest join: every reference keeps its row, position and caption."""
-    return refs.join(features, "digest", "left")
+    return refs.join(features.withColumnRenamed("digest", digest), digest, "left")
+
+
+def article(text: bytes, digests: tuple[str, str]) -> str:
+    """The HTML of a text: its lines, a figure behind the first and one behind the last."""
+    lines = [" ".join(x.split()) for x in text.decode().split("\n")]
+    said = [x for x in lines if x]
+    parts = [f"<p>{escape(x, quote=False)}</p>" for x in said]
+    figures = [f'<figure><img src="{_URL}{d}"><figcaption>{escape(x[:CAPTION], quote=False)}</figcaption></figure>' for d, x in zip(digests, (said[0], said[-1]) if said else ("", ""))]
+    return "<article>" + "".join([*parts[:1], figures[0], *parts[1:], figures[1]]) + "</article>"
 
 
-_STORED = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("stored", pa.binary())])
-_STORED_DDL = "kind string, doc_id long, n_bytes long, html string, digest string, stored binary"
+_REFERENCE = pa.struct([("position", pa.int32()), ("digest", pa.string()), ("caption", pa.string())])
+_STORED = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_items", pa.int32()), ("references", pa.list_(_REFERENCE)), ("digest", pa.string()), ("stored", pa.binary())])
+_STORED_DDL = "kind string, doc_id long, n_bytes long, n_items int, references array<struct<position:int,digest:string,caption:string>>, digest string, stored binary"
 
 
 def _store(batches):
-    """Each text becomes a media entry (once per digest and task) and a document that refers to it."""
+    """Each text becomes media entries (once per digest and task) and a document whose parsed sequence refers to them."""
     stored: set[bytes] = set()
     for batch in batches:
-        docs = {"kind": [], "n_bytes": [], "html": [], "digest": [], "stored": []}
+        docs = {"n_bytes": [], "n_items": [], "references": []}
         media: dict[str, list] = {"digest": [], "stored": []}
         for text in utf8_texts(batch):
-            payload = padded(text)
-            digest = hashlib.sha256(payload)
+            whole = padded(text)
+            digests = []
+            for payload in (whole, whole[-WIDTH:]):
+                digest = hashlib.sha256(payload)
+                digests.append(digest.hexdigest())
+                if digest.digest() not in stored:
+                    stored.add(digest.digest())
+                    media["digest"].append(digest.hexdigest())
+                    media["stored"].append(encode_png(payload))
+            items = parse_interleaved(article(text, tuple(digests)))
             docs["n_bytes"].append(len(text))
-            docs["html"].append(f'<article><figure><img src="{_URL}{digest.hexdigest()}"><figcaption>{len(text)} bytes</figcaption></figure></article>')
-            if digest.digest() not in stored:
-                stored.add(digest.digest())
-                media["digest"].append(digest.hexdigest())
-                media["stored"].append(encode_png(payload))
+            docs["n_items"].append(len(items))
+            docs["references"].append([{k: x[k] for k in ("position", "digest", "caption")} for x in items if x["kind"] == "media"])
         n, m = batch.num_rows, len(media["digest"])
-        yield arrow_rows(_STORED, docs | {"kind": ["doc"] * n, "doc_id": batch.column(0), "digest": [None] * n, "stored": [None] * n})
-        yield arrow_rows(_STORED, media | {"kind": ["media"] * m, "doc_id": [None] * m, "n_bytes": [None] * m, "html": [None] * m})
+        none = lambda names, k: {x: [None] * k for x in names}
+        yield arrow_rows(_STORED, docs | {"kind": ["doc"] * n, "doc_id": batch.column(0)} | none(("digest", "stored"), n))
+        yield arrow_rows(_STORED, media | {"kind": ["media"] * m} | none(("doc_id", "n_bytes", "n_items", "references"), m))
 
 
 def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with an HTML that refers to their payload, media table), both in the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(documents: doc_id, n_bytes, n_items, references; media table), both in the shared folder."""
+    rows = gathered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = staged(rows.mapInArrow(_store, _STORED_DDL), "media", "kind")
-    return both.filter("kind = 'doc'").select("doc_id", "n_bytes", "html"), both.filter("kind = 'media'").select("digest", "stored")
+    return both.filter("kind = 'doc'").select("doc_id", "n_bytes", "n_items", "references"), both.filter("kind = 'media'").select("digest", "stored")
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """A row per document: the features of its whole payload, and its last bytes' CRC from the payload that the second figure resolves to."""
+    found, media = text_media(docs)
+    features = media_features(media)
+    whole, tail = F.col("references")[0], F.col("references")[1]
+    refs = found.select(
+        "doc_id", "n_bytes", "n_items", whole["digest"].alias("whole"), whole["position"].alias("position"), whole["caption"].alias("caption"),
+        tail["digest"].alias("tail"), tail["position"].alias("tail_position"), tail["caption"].alias("tail_caption"),
+    )
+    refs = resolve(refs, features.select("digest", F.crc32("payload").alias("tail_crc32")), "tail").drop("tail")
+    return resolve(refs, features.drop("payload"), "whole").drop("whole")
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, media = text_media(table(spark, sf_dir, "documents"))
-    found = resolve(references(sequences(docs)), media_features(media))
-    return found.select("doc_id", "n_bytes", *_FEATURES.names[1:], "position", "caption")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "tail_position", "tail_caption", "n_items"]
+    return describe(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", *names)

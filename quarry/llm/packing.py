@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, crc32, staged, table
+from quarry.llm.common import arrow_rows, crc32, gathered, staged, table
 
 CAPACITY = 2048
 END = 1
@@ -282,7 +282,7 @@ def _place(plan, n_sequences: int, capacity: int):
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = gathered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = staged(rows.mapInArrow(_tokenise(capacity, path), _TOKENISED_DDL), "packing-tokens")
     counts = staged(tokens.groupBy("rest", "part").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
     histogram = {r["rest"]: r["n"] for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

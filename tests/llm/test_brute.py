@@ -44,13 +44,57 @@ def test_sql(name, spark, sf_dir):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def _png(payload):
+    """The bytes of an 8-bit grey PNG, 64 samples a row, by the PNG format."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+
+
+def _feature(payload):
+    """Average hash of 8 x 8 block means, mean and entropy, sample by sample."""
+    height = len(payload) // 64
+    edges = [int(x) for x in np.linspace(0, height, 9)]
+    means = []
+    for lo, hi in zip(edges, edges[1:]):
+        lo = min(lo, height - 1)
+        hi = max(hi, lo + 1)
+        for c in range(8):
+            cell = [payload[64 * r + 8 * c + i] for r in range(lo, hi) for i in range(8)]
+            means.append(sum(cell) / (hi - lo))
+    bits = "".join("1" if m > sum(means) / 64 else "0" for m in means)
+    share = [n / len(payload) for n in Counter(payload).values()]
+    return int(bits, 2), sum(payload) / len(payload), -sum(x * math.log2(x) for x in share)
+
+
 def test_media(spark, sf_dir, rows):
     got = {r["doc_id"]: r for r in registry.QUERIES["op1_media_columns"](spark, sf_dir).collect()}
+    assert got.keys() == {i for i, _ in rows}
     for i, text in rows:
         data = (text or "").encode()
         payload = data + b"\0" * (-len(data) % 64 if data else 64)
+        stored = _png(payload)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        bits, mean, entropy = r["feature"].split("-")
+        want = _feature(payload)
+        assert bin(int(bits, 16) ^ want[0]).count("1") <= 1 and abs(float(mean) - want[1]) < 1e-3 and abs(float(entropy) - want[2]) < 1e-3
+        # the sequence: text blocks, the whole behind the first, the tail behind the last
+        blocks = [b for b in (" ".join(x.split()) for x in (text or "").split("\n")) if b]
+        first, last = (" ".join(b[:80].split()) for b in ((blocks[0], blocks[-1]) if blocks else ("", "")))
+        assert (r["n_items"], r["position"], r["tail_position"]) == (len(blocks) + 2, min(1, len(blocks)), len(blocks) + 1)
+        assert (r["caption"] or "", r["tail_caption"] or "") == (first, last)
+
+
+def test_unknown_digests_and_inline_payloads(spark):
+    pages = spark.createDataFrame([(1, '<p>a</p><img src="media:none" alt="x"><p>b</p><img src="media:k" alt="y">')], "doc_id long, html string")
+    refs = media.references(media.sequences(pages))
+    table_ = spark.createDataFrame([("k", bytearray(media.encode_png(b"q" * 64))), ("big", bytearray(media.encode_png(b"r" * 128)))], "digest string, stored binary")
+    features = media.media_features(table_)
+    got = {r["position"]: (r["caption"], r["payload"] and bytes(r["payload"]), r["payload_bytes"]) for r in media.resolve(refs, features).collect()}
+    assert got == {1: ("x", None, None), 3: ("y", b"q" * 64, 64)}
+    assert {r["digest"]: r["payload"] is None for r in features.collect()} == {"k": False, "big": True}
 
 
 def test_media_sequences():

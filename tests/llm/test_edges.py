@@ -32,13 +32,8 @@ def model(spark, sf_dir):
     return langid.train(langid.labelled_sample(d)), quality.train(quality.labelled_sample(d, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def _op1(d):
-    pages, stored = media.text_media(d)
-    return media.resolve(media.references(media.sequences(pages)), media.media_features(stored))
-
-
 OPERATORS = {
-    "op1": lambda d, m: _op1(d), "op2": lambda d, m: bpe.digests(d), "op3": lambda d, m: license_scan.scan_licenses(d), "op5": lambda d, m: quality.classify(d, m[1]),
+    "op1": lambda d, m: media.describe(d), "op2": lambda d, m: bpe.digests(d), "op3": lambda d, m: license_scan.scan_licenses(d), "op5": lambda d, m: quality.classify(d, m[1]),
     "op6": lambda d, m: exact_dedup.find_copies(d), "op7": lambda d, m: katz.score_documents(d, training=F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)), shards=16),
     "op9": lambda d, m: langid.identify(d, m[0]), "op10": lambda d, m: simhash.near_duplicates(d),
 }
