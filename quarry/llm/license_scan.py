@@ -1,20 +1,25 @@
 """License scans by a positional rare-token index.
 
-Templates are word sequences with mandatory key phrases.  The index maps each
-licence word to its postings (template, position).  A file's licence words are
-taken from the highest IDF down: the places of the rarest words, shifted by
-their template positions, are intersected, and what is left of a template's
-diagonals is verified against its key phrases word by word.  IDF comes from the
-document frequencies of the licence words over the whole table (a count per
-licence word, so its size does not depend on the data).  IDF orders the lookups
-and never changes what is found: each place holds all words of its phrase.
+Templates are word sequences with mandatory key phrases: short names, and whole
+licence notices of which the key phrases must stand where the template has them.
+The index maps every licence word to all its postings (template, position).  A
+file's licence words are looked up from the highest IDF down: each occurrence,
+shifted by the word's template position, is a diagonal of the template, and the
+file's rarest words that a template needs intersect their diagonals, until one is
+left or PROBES words were looked up.  What remains is verified against the key
+phrases, word by word; a template of which the file lacks a needed word is never
+looked at.  IDF comes from the document frequencies of the licence words over the
+whole table (a count per licence word, so its size does not depend on the data).
+IDF orders the lookups and never changes what is found: each place holds all
+words of its key phrases.
 
 Words: maximal runs of ASCII letters and digits (lower-cased) and of any
 characters beyond ASCII.
 
 Defined results: null text counts as empty; no words: zero counts, null
-positions, empty labels, score 0; repeated rows repeat; other columns are
-ignored.
+positions, empty labels, score 0; places may overlap and each counts, so ties need
+no rule; very long texts are scanned whole like any other; repeated rows repeat;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,12 +63,36 @@ TEMPLATES = (
     _template("gpl-2.0", "gnu general public license version 2"),
     _template("gpl-3.0", "gnu general public license version 3"),
     _template("apache-2.0", "apache license version 2 0"),
-    _template("bsd", "redistribution and use in source and binary forms with or without modification", ["redistribution and use in source and binary forms"]),
+    _template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        ["redistribution and use in source and binary forms"],
+    ),
+    _template(
+        "bsd-notice",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        ["redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice"],
+    ),
     _template("cc-by-text", "creative commons attribution"),
     _template("cc0", "creative commons zero"),
     _template("epl", "eclipse public license"),
     _template("isc", "permission to use copy modify and or distribute this software for any purpose"),
     _template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy", ["permission is hereby granted free of charge", "any person obtaining a copy"]),
+    _template(
+        "mit-notice",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in "
+        "the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+        "software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the software",
+        ["permission is hereby granted free of charge", "to deal in the software without restriction", "shall be included in all copies or substantial portions"],
+    ),
+    _template(
+        "apache-notice",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        ["licensed under the apache license version 2 0", "you may not use this file except in compliance"],
+    ),
     _template("mpl", "mozilla public license"),
     _template("spdx", "spdx license identifier"),
     _template("unlicense", "free and unencumbered software released into the public domain"),
@@ -99,44 +128,60 @@ def document_frequencies(docs: DataFrame, templates: Iterable[Template] = TEMPLA
     return {bytes(r["word"]): r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
+#: Words of a template that are looked up before its key phrases are verified.
+PROBES = 3
+
+
 class RareTokenIndex:
-    """Postings of the licence words, and each template's words from the highest IDF down."""
+    """Postings of all words of all templates, and the words that each template needs."""
 
     def __init__(self, frequencies: dict[bytes, int], templates: Iterable[Template] = TEMPLATES):
         self.templates = tuple(templates)
         total = frequencies.get(b"", 0)
         self.idf = {w: math.log((total + 1) / (frequencies.get(w, 0) + 1)) for w in licence_words(self.templates)}
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.needed: list[list[tuple[bytes, int]]] = []
+        #: Word -> template -> the positions of the template's key phrases at which the word stands.
+        self.postings: dict[bytes, dict[int, list[int]]] = {}
+        needed = []
         for t, template in enumerate(self.templates):
             own = [(template.words[i], i) for first, n in template.keys for i in range(first, first + n)]
-            own.sort(key=lambda x: (-self.idf[x[0]], x))
-            self.needed.append(own)
-            self.postings.setdefault(own[0][0], []).append((t, own[0][1]))
-        self.anchors = frozenset(self.postings)
-        self.vocabulary = frozenset(self.idf)
+            for w, i in own:
+                self.postings.setdefault(w, {}).setdefault(t, []).append(i)
+            needed.append(frozenset(w for w, _ in own))
+        self.needed = tuple(needed)
+        self.vocabulary = frozenset(self.postings)
+        #: Every template needs one of these: its rarest word.  A file without any of them is done.
+        self.rarest = frozenset(min(own, key=lambda w: (-self.idf[w], w)) for own in needed)
 
     def places(self, words: list[bytes]) -> list[tuple[int, int]]:
         """All (template, word position) where every key phrase of the template stands."""
-        if self.anchors.isdisjoint(words):
+        if self.rarest.isdisjoint(words):
             return []
         at: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
             if w in self.vocabulary:
                 at.setdefault(w, []).append(i)
-        found = []
-        for w in sorted(self.anchors & at.keys(), key=lambda w: (-self.idf[w], w)):
-            for t, offset in self.postings[w]:
-                starts = {p - offset for p in at[w]}
-                for other, shift in self.needed[t][1:3]:
-                    starts &= {p - shift for p in at.get(other, ())}
-                    if not starts:
-                        break
-                template = self.templates[t]
-                for start in starts:
-                    if all(start + i >= 0 and tuple(words[start + i : start + i + n]) == template.words[i : i + n] for i, n in template.keys):
-                        found.append((t, start + template.keys[0][0]))
-        return found
+        held = at.keys()
+        diagonals: dict[int, set[int]] = {}
+        probes: dict[int, int] = {}
+        for w in sorted(held, key=lambda w: (-self.idf[w], w)):
+            for t, offsets in self.postings[w].items():
+                if not self.needed[t] <= held:
+                    continue
+                n = probes.get(t, 0)
+                if n >= PROBES or n and len(diagonals[t]) <= 1:
+                    continue
+                # a word that a template has twice lies on a diagonal by each of its positions: all of them must
+                for offset in offsets:
+                    found = {p - offset for p in at[w]}
+                    diagonals[t] = diagonals[t] & found if t in diagonals else found
+                probes[t] = n + 1
+        out = []
+        for t, starts in diagonals.items():
+            template = self.templates[t]
+            for start in starts:
+                if all(start + i >= 0 and tuple(words[start + i : start + i + n]) == template.words[i : i + n] for i, n in template.keys):
+                    out.append((t, start + template.keys[0][0]))
+        return out
 
 
 _SCHEMA = pa.schema([
