@@ -9,12 +9,15 @@ of the sample kept aside calibrates the scores, and the rejection threshold is
 the score that all but REJECTED of that part's rightly labelled texts reach,
 at most 0.5.
 
-The sample: SAMPLE distinct texts with the least xxhash64, none longer than
-SAMPLE_CHARS; its size does not depend on the data.
+The sample: of each language the distinct texts with the least xxhash64, of at most
+SAMPLE_CHARS characters each: SAMPLE texts in all, shared evenly by the languages
+(a rare one gives all it has), and SAMPLE_TOTAL characters in all; so its size does
+not depend on the data, and no language is too rare to be learned.
 
 Defined results: ``und`` with score 0 (and rejected) for null, empty and
-letterless texts; without any labelled text every document is ``und``; repeated
-rows repeat; other columns are ignored.
+letterless texts; of several labels of one text the least counts; very long texts
+are read whole; without any labelled text every document is ``und``; repeated rows
+repeat; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, crc_mod, table, texts
+from quarry.llm.common import arrow_rows, bounded, crc_mod, table, texts
 
 BUCKETS = 1 << 16
 DIM = 16
 SAMPLE = 6000
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS, SAMPLE_TOTAL = 200_000, 30_000_000
+#: Languages that are learned at most: those with the most texts.
+LANGUAGES = 1000
 EPOCHS = 4
 #: Share of rightly labelled texts that the rejection may cost.
 REJECTED = 0.002
@@ -140,14 +145,36 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def labelled_sample(docs: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, lang) of the training part: the distinct texts with the least hashes."""
+    """(text, lang) of the training part, the least hashes of each language."""
     rows = docs.filter((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.select(F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    last = rows.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h").alias("h")).first()["h"]
-    if last is None:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
         return []
-    sample = rows.filter(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
-    return [(r["text"], r["lang"]) for r in sorted(sample.collect(), key=lambda r: r["h"])]
+    # every language's share: what a rare one leaves goes to the others
+    share, left, need = {}, limit, len(counts)
+    for lang, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
+        share[lang] = min(n, max(1, left // need))
+        left, need = left - share[lang], need - 1
+    # hashes are even: twice the share below this bound, so that repeated texts seldom leave too few
+    spread = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * share[lang] + 50) / n)))))[F.col("lang")]
+    near = rows.filter(F.pmod("h", F.lit(1 << 32)) < spread * float(1 << 32))
+    out = []
+    for lang, own in _by_lang(bounded(near, "lang", 4 * limit + 50 * len(counts), 2 * SAMPLE_TOTAL, least=True)).items():
+        total = 0
+        for text in own[: share.get(lang, 0)]:
+            total += len(text)
+            if total > SAMPLE_TOTAL * max(share[lang], 1) // limit + SAMPLE_CHARS:
+                break
+            out.append((text, lang))
+    return out
+
+
+def _by_lang(found: list[tuple[str, str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for text, lang in found:
+        out.setdefault(lang, []).append(text)
+    return dict(sorted(out.items()))
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])

@@ -9,13 +9,18 @@ Only documents carry labels.  Training starts with each line under its
 document's label, then relabels the lines of bad documents by their marginals
 (the worst line stays bad) and fits again.
 
-The sample: the SAMPLE labelled documents of the training part with the least
-xxhash64 of their id, none longer than SAMPLE_CHARS; its size does not depend on
-the data.  Labels, lang, source and doc_id are never inputs of a score.
+The sample: the SAMPLE labelled ids of the training part with the least xxhash64,
+of their distinct texts those of at most SAMPLE_CHARS characters and SAMPLE_LINES
+lines each, and of these, by their hash, as many as have SAMPLE_TOTAL characters
+together, at most SAMPLE; so neither the driver's
+memory nor its time depends on the data.  Labels, lang, source and doc_id are
+never inputs of a score.
 
 Defined results: null text counts as empty; an empty text is one empty line and
-gets a score like any other; without any labelled document every score is 0.5;
-repeated rows repeat; other columns are ignored.
+gets a score like any other; very long texts are scored whole; of different labels
+of one id or text the greater counts; without any labelled document every score is
+0.5; repeated rows repeat; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, crc_mod, table, utf8_texts
+from quarry.llm.common import arrow_rows, bounded, crc_mod, table, utf8_texts
 
 SAMPLE = 6000
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS, SAMPLE_LINES, SAMPLE_TOTAL = 200_000, 4000, 30_000_000
 THRESHOLD = 0.7
 ROUNDS = 3
 
@@ -196,13 +201,15 @@ def train(sample: list[tuple[bytes, int]]) -> Crf:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """(text, quality) of labelled documents whose crc32 remainder by 4 is not 2."""
+    """(text, quality) of labelled documents whose crc32 remainder by 4 is not 2; ``limit`` and SAMPLE_TOTAL bound it."""
     known = labels.filter(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most `limit` rows
-    rows = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(F.broadcast(some), "doc_id").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.max("quality").alias("quality"))
-    return [(r["text"].encode(), r["quality"]) for r in sorted(found.collect(), key=lambda r: (r["h"], r["text"]))]
+    text = F.col("text").cast("string")
+    rows = docs.filter((F.length(text) <= SAMPLE_CHARS) & (F.size(F.split(text, "\n")) <= SAMPLE_LINES))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    labelled = rows.join(F.broadcast(some), "doc_id").select("h", "text", "quality")
+    return [(text.encode(), quality) for text, quality in bounded(labelled, "quality", limit, SAMPLE_TOTAL)]
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
