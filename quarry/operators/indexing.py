@@ -33,8 +33,9 @@ def part_of(root_id: Column, file_id: Column) -> Column:
 class Indexer:
     """Indexes one root into a store; tables files, units, runs, roots, and skips of the last run."""
 
-    def __init__(self, spark: SparkSession, store: SnapshotStore, *, exclude: tuple[str, ...] = (), max_mb: int = M.MAX_FILE_MB, **skip_options):
-        self.spark, self.store, self.exclude, self.max_mb = spark, store, exclude, max_mb
+    def __init__(self, spark: SparkSession, store: SnapshotStore, *, exclude: tuple[str, ...] = (), max_mb: int = M.MAX_FILE_MB, docx_headers: bool = True, **skip_options):
+        """Options as ``Settings.for_indexer`` gives them; ``exclude``: folders of the program's own data."""
+        self.spark, self.store, self.exclude, self.max_mb, self.docx_headers = spark, store, exclude, max_mb, docx_headers
         self.options = skip_options | {"max_mb": max_mb}
 
     def _table(self, name: str, schema) -> DataFrame:
@@ -152,7 +153,7 @@ class Indexer:
                     yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "content": pa.array([data], pa.binary()), "problem": pa.array([problem], pa.string())})
 
         spread = dirty.select("path").repartition(max(1, min(1000, int(self.spark.sparkContext.defaultParallelism))))
-        parsed = parse_files(spread.mapInArrow(load, "path string, content binary, problem string"), self.max_mb).persist()
+        parsed = parse_files(spread.mapInArrow(load, "path string, content binary, problem string"), self.max_mb, self.docx_headers).persist()
         held.append(parsed)
         status = F.when(F.col("outcome") == "ok", "indexed").when(F.col("outcome") == "no_text", "no_text").otherwise("failed")
         rows = dirty.join(parsed, "path").filter("outcome <> 'missing'")

@@ -11,15 +11,18 @@ flags and counts, so texts are read again for the page's rows alone (``locations
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import model as M
 from quarry.functions.text import normalized_path_str
-from quarry.operators import ranking
+from quarry.operators import context, ranking, snippets
 from quarry.plans.patterns import all_of, any_of, candidate, name_matches, unit_matches
 from quarry.plans.query import Parsed, QueryError, Term, parse
 
@@ -153,6 +156,59 @@ class SearchEngine:
         order = Window.partitionBy("file_id").orderBy("sequence")
         return own.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= per_file)
 
+    def snippets(self, request: M.Request, page: DataFrame, per_file: int = M.SNIPPETS_PER_FILE) -> DataFrame:
+        """``locations`` with snippet and highlights: cells show their row, other short units their neighbourhood."""
+        parsed, units = parse(request.query, exact_phrase=request.exact_phrase), self._units(request)
+        args = (request.match_case, request.whole_word)
+        found = self.locations(request, page, per_file)
+        short = found.filter(F.col("location_type").isin(*M.NEIGHBOUR_TYPES) & (F.length("text") < M.NEIGHBOUR_CHARS))
+        around = context.with_neighbours(units, short).select("file_id", "sequence", "joined")
+        shown = snippets.snippet_column(parsed, F.col("text"), *args, joined=F.col("joined"))
+        found = found.join(around, ["file_id", "sequence"], "left").withColumn("shown", shown).drop("joined")
+        if "location" in units.columns:
+            place = [F.col("location.sheet").alias("sheet"), F.col("location.row").alias("row_no")]
+            cells = units.filter("location_type = 'sheet_cell'").select("file_id", "sequence", *place, "text")
+            rows = context.with_row_context(cells, found.filter("location_type = 'sheet_cell'").select("file_id", "sequence", *place, "text"))
+            found = found.join(rows.select("file_id", "sequence", "context"), ["file_id", "sequence"], "left")
+            marks = snippets.merged_spans(snippets.spans(parsed.terms, F.col("context"), *args))
+            found = found.withColumn("shown", F.when(F.col("context").isNotNull(), F.struct(F.col("context").alias("snippet"), marks.alias("highlights"))).otherwise(F.col("shown"))).drop("context")
+        return found.select(*(c for c in found.columns if c != "shown"), "shown.snippet", "shown.highlights")
+
+    def term_units(self, request: M.Request) -> DataFrame:
+        """(term, file_id, unit_id): the units that each term's full semantics match; terms by their number in the query."""
+        parsed = parse(request.query, exact_phrase=request.exact_phrase)
+        tests = [unit_matches(t, F.col("text"), request.match_case, request.whole_word) for t in parsed.terms]
+        numbers = F.filter(F.array(*(F.when(t, i) for i, t in enumerate(tests))), lambda x: x.isNotNull())
+        return self._units(request).filter(any_of(tests)).select(F.explode(numbers).alias("term"), "file_id", "unit_id")
+
+
+def within_root(filters: M.Filters, root: str) -> M.Filters:
+    """The filters for a search of ``root``: a subfolder that lies outside it is ignored."""
+    if not filters.subfolder:
+        return filters
+    base, folder = normalized_path_str(root).rstrip("\\"), normalized_path_str(filters.subfolder)
+    return filters if folder == base or folder.startswith(base + "\\") else replace(filters, subfolder=None)
+
+
+#: Seconds before a search is tried again.
+RETRY_AFTER = 0.12
+
+
+def search_store(store, request: M.Request, attempts: int = 2) -> Page:
+    """A search of a snapshot store's files and units.
+
+    A snapshot that is expired while it is read makes a search fail; it is then
+    opened anew, once by default.
+    """
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return SearchEngine(store.read("files"), store.read("units")).search(request)
+        except (Py4JJavaError, PySparkException):
+            if not left:
+                raise
+            time.sleep(RETRY_AFTER)
+    raise ValueError("attempts must be positive")
+
 
 @contextmanager
 def cancellable(spark, tag: str):
@@ -174,4 +230,4 @@ def existence(page: DataFrame, listing: DataFrame) -> DataFrame:
     return page.join(now, "normalized_path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-__all__ = ["Page", "SearchEngine", "Term", "cancel", "cancellable", "existence", "metadata_filter"]
+__all__ = ["Page", "SearchEngine", "Term", "cancel", "cancellable", "existence", "metadata_filter", "search_store", "within_root"]

@@ -273,4 +273,12 @@ _sql("format_timestamps", "SELECT file_id, strftime(to_timestamp(modified_time)
 _sql("location_labels", "SELECT file_id, sequence, 'Line ' || CAST(line_no AS VARCHAR) AS label FROM units", _FILES, _UNITS)
 _sql("display_text", rf"SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '{_STRIP}', ' ', 'g'))) AS digest FROM documents")
 _sql("content_hashes", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+_sql("end_of_days", "SELECT o_orderkey, epoch(CAST(CAST(o_orderdate AS DATE) + 1 AS TIMESTAMP)) - 1 AS last_second FROM orders")
+_sql(
+    "log_lines",
+    r"""SELECT file_id, left(regexp_replace(regexp_replace('could not read D:\corpus\' || relative_path || ' and /tmp/x' || chr(9) || 'now',
+  '[\x00-\x1f\x7f]+', ' ', 'g'), '([A-Za-z]:|\\\\|/)[^\s''"]*', '<path>', 'g'), 200) AS line FROM files""",
+    _FILES,
+)
+_sql("term_units", "SELECT term, file_id, unit_id FROM (SELECT file_id, unit_id, unnest([CASE WHEN contains(lower(text), 'tion') THEN 0 END, CASE WHEN regexp_matches(lower(text), '(?s)th.*?ing') THEN 1 END, CASE WHEN contains(lower(text), 'ute') THEN 2 END]) AS term FROM units) WHERE term IS NOT NULL", _FILES, _UNITS)
 _sql("status_labels", "SELECT CASE content_status WHEN 'indexed' THEN 'Indexed' WHEN 'no_text' THEN 'No text' ELSE 'Failed' END AS label, count(*) AS n FROM files GROUP BY ALL", _FILES)

@@ -114,6 +114,12 @@ def top_locations(spark, sf_dir):
     return e.locations(r, e.hits(r)).select("file_id", "unit_id", "sequence", "line_no", "place")
 
 
+@_query
+def term_units(spark, sf_dir):
+    """The units of each of three terms."""
+    return engine(spark, sf_dir).term_units(M.Request("tion th*ing ute"))
+
+
 @_query
 def neighbour_context(spark, sf_dir):
     units = adapters.units(spark, sf_dir)
@@ -395,6 +401,21 @@ def content_hashes(spark, sf_dir):
     return d.select("doc_id", X.content_sha256(F.col("text")).alias("sha256"))
 
 
+@_query
+def end_of_days(spark, sf_dir):
+    """The last second of each order's day."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", X.end_of_day(F.col("o_orderdate").cast("date")).alias("last_second"))
+
+
+@_query
+def log_lines(spark, sf_dir):
+    """Paths and controls out of what is logged."""
+    f = adapters.files(spark, sf_dir)
+    said = F.concat(F.lit("could not read "), F.lit("D:\\corpus\\"), F.col("relative_path"), F.lit(" and /tmp/x\tnow"))
+    return f.select("file_id", X.sanitize_for_log(said).alias("line"))
+
+
 @_query
 def status_labels(spark, sf_dir):
     f = adapters.files(spark, sf_dir)

@@ -31,8 +31,15 @@ TEMP_PREFIXES = ("~$", ".~lock.")
 LISTING_DDL = "path string, file_name string, size_bytes long, created_time double, modified_time double, hidden boolean, system boolean, is_link boolean"
 
 
-def validate_root(raw: str, *, require_directory: bool = True) -> str:
-    """A verdict, decided on the string before the file system is touched; ``ok`` is good."""
+#: Kinds of drives that are no roots, and their verdicts.
+_DRIVES = {"remote": "remote", "cdrom": "cdrom", "unknown": "unknown_drive"}
+
+
+def validate_root(raw: str, *, require_directory: bool = True, drive_kind: Callable[[str], str] | None = None) -> str:
+    """A verdict, decided on the string before the file system is touched; ``ok`` is good.
+
+    ``drive_kind``: what the system calls the drive of a letter (fixed, removable, remote, cdrom, unknown).
+    """
     text = raw.strip()
     if not text:
         return "empty"
@@ -42,9 +49,11 @@ def validate_root(raw: str, *, require_directory: bool = True) -> str:
         return "device"
     if text.startswith("\\\\") and not text.startswith("\\\\?\\"):
         return "network"
-    local = text.startswith("/") if os.name == "posix" else re.match(r"[A-Za-z]:", text)
-    if not local:
+    drive = re.match(r"(?:\\\\\?\\)?([A-Za-z]):", text)
+    if not (text.startswith("/") if os.name == "posix" and drive_kind is None else drive):
         return "no_drive"
+    if drive_kind is not None and (kind := drive_kind(drive[1].upper())) in _DRIVES:
+        return _DRIVES[kind]
     if not os.path.exists(text):
         return "not_found"
     return "ok" if os.path.isdir(text) or not require_directory else "not_a_directory"

@@ -6,6 +6,8 @@ import json
 import os
 from dataclasses import asdict, dataclass, fields
 
+from quarry import model as M
+
 _CLAMPS = {"result_limit": (10, 5000), "max_file_mb": (1, 4096), "snippets_per_file": (1, 100)}
 
 
@@ -18,6 +20,15 @@ class Settings:
     hidden_files: bool = False
     docx_headers: bool = True
 
+    def for_indexer(self) -> dict:
+        """Options of an ``Indexer``."""
+        extensions = M.CORE_EXTENSIONS + (M.OPTIONAL_EXTENSIONS if self.optional_formats else ())
+        return {"extensions": extensions, "max_mb": self.max_file_mb, "allow_hidden": self.hidden_files, "docx_headers": self.docx_headers}
+
+    def request(self, query: str, **options) -> M.Request:
+        """A search with this limit, unless it names another."""
+        return M.Request(query, **({"limit": self.result_limit} | options))
+
 
 def load(path: str) -> Settings:
     try:
