@@ -260,6 +260,26 @@ def test_katz(docs, rows, block):
         assert math.isclose(r["score"], sum(log_p(a, b) for a, b in zip(["\n", *own], own)), rel_tol=1e-9)
 
 
+def test_katz_cells_grow_with_the_input(spark, monkeypatch):
+    """More shards than a block has words: a cell for each word at most, none that is empty."""
+    import pyarrow as pa
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(katz, "TaskContext", Context)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c", "c d"]), pa.array([False, False])], names=["doc_id", "text", "held_out"])
+    for shards in (16, 1 << 16):
+        kinds = [k for b in katz._blocks(shards, 1 << 20)([batch]) for k in b.column(0).to_pylist()]
+        assert kinds.count("docs") == 1 and 0 < kinds.count("words") <= 5
+
+
 def test_katz_parts():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 28, 1000)
@@ -282,6 +302,21 @@ def test_html(spark, sf_dir):
     assert got == {i: plain(h) for i, h in pages.items()}
 
 
+def test_html_foreign_attributes_and_deep_pages():
+    """Attribute words that no made-up page has, and pages nested 100,000 deep."""
+    import time
+
+    trees = html_extract.model()
+    prose = "".join(f"<p>Sentence number {i} of the story, which goes on for a while. It has two sentences.</p>" for i in range(6))
+    page = f'<html><body><nav class="qzmenu"><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li><li><a href="/c">Help</a></li></ul></nav><article class="xqtopic">{prose}</article><footer class="zzend">All rights.</footer></body></html>'
+    want = " ".join(f"Sentence number {i} of the story, which goes on for a while. It has two sentences." for i in range(6))
+    assert html_extract.main_texts([page], trees) == [want]
+    began = time.time()
+    for tag in ("center", "div", "td", "li"):
+        html_extract.main_texts([f"<{tag}>" * 100_000 + "deep" + "</section>" * 100_000], trees)
+    assert time.time() - began < 60
+
+
 def test_html_on_pages_not_seen():
     rng, trees = random.Random(77), html_extract.model()
     made = [html_extract.made_page(rng) for _ in range(150)]

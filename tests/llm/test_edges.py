@@ -47,6 +47,33 @@ def test_one_row_for_each_document(name, docs, none, model):
     assert OPERATORS[name](none, model).collect() == []
 
 
+def test_values_of_missing_and_blank_texts(docs, model):
+    """Rows 1 to 3 are null, empty and blank; the last one has neither id nor text."""
+    import hashlib
+
+    nothing, found = hashlib.sha256(b"").hexdigest(), {}
+    for name in OPERATORS:
+        for r in OPERATORS[name](docs, model).collect():
+            key = r["doc_id"] if "doc_id" in r.asDict() else r["id"]
+            if key in (1, 2, 3):
+                found[name, key] = r
+    for k in (1, 2):
+        r = found["op1", k]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["n_items"], r["position"], r["caption"]) == (0, 64, hashlib.sha256(bytes(64)).hexdigest(), 2, 0, None)
+        assert found["op1", 3]["n_bytes"] == 4 and found["op1", 3]["n_items"] == 2
+        assert (found["op2", k]["n_tokens"], found["op2", k]["ids_sha256"], found["op2", k]["decoded_sha256"]) == (0, nothing, nothing)
+        r = found["op3", k]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == (0, 0, None, None, "", "", 0)
+        assert found["op5", k]["score"] == found["op5", 1]["score"] and 0 <= found["op5", k]["score"] <= 1
+        assert (found["op6", k]["keep_id"], found["op6", k]["group_size"], found["op6", k]["text_sha256"]) == (3, 4, nothing)
+        assert (found["op7", k]["n_tokens"], found["op7", k]["n_known"]) == (1, 1) and found["op7", k]["score"] < 0
+        assert (found["op9", k]["lang_pred"], found["op9", k]["score"], found["op9", k]["rejected"]) == ("und", 0, True)
+        assert (found["op10", k]["fp"], found["op10", k]["component_id"]) == (0, 1)
+    for name in ("op2", "op3", "op9", "op10"):
+        drop = ("doc_id", "id", "held_out")
+        assert [v for c, v in found[name, 3].asDict().items() if c not in drop] == [v for c, v in found[name, 1].asDict().items() if c not in drop], name
+
+
 def test_packing_edges(docs, none):
     got = packing.pack(docs).collect()
     assert packing.pack(none).collect() == []

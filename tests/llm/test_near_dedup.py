@@ -67,6 +67,35 @@ def test_near_copies_stage_on_documents(spark, sf_dir):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == _kept(rows)
 
 
+def test_common_passage_in_many_texts(spark):
+    """Half of each text is one passage: no two link, whatever buckets they share, but for the planted pairs."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(400):
+        own = [f"u{k}_{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((k, " ".join(own + passage)))
+        if k % 100 == 0:
+            rows.append((1000 + k, " ".join(own[:-2] + ["other", "words"] + passage)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == list(range(400))
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        n = int(rng.integers(1, 400))
+        both = rng.integers(0, 2**64, n, dtype=np.uint64)
+        a = np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 8)), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 8)), dtype=np.uint64)]))
+        if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            continue
+        rows, n_of = np.array([1, 2]), np.array([len(a), len(b)])
+        found = list(near_dedup._possible(rows, rows, n_of, [near_dedup.sketch(x).tobytes() for x in (a, b)]))
+        apart = len(np.setxor1d(a, b))
+        assert len(found) == 1 or 9 * apart > len(a) + len(b)
+
+
 def test_similar_sets_share_a_key():
     """Any sizes, differences at the very bound; few hashes, so that ranges are empty."""
     rng = np.random.default_rng(3)
