@@ -11,24 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import __version__
 from quarry import model as M
 from quarry.functions.text import fingerprint, mime_category, normalized_path_str
 from quarry.operators import catalog, maintenance
+from quarry.operators.grams import GRAMS, gram_filters
 from quarry.sources import listing
 from quarry.sources.parsers import parse_files
-from quarry.sources.store import SnapshotStore
-
-#: Files with neighbouring ids whose units are written together.
-FILES_PER_PART = 10_000
-
-
-def part_of(root_id: Column, file_id: Column) -> Column:
-    return F.concat_ws("-", root_id.cast("string"), F.floor(file_id / FILES_PER_PART).cast("string"))
-
+from quarry.sources.store import SnapshotStore, part_of
 
 class Indexer:
     """Indexes one root into a store; tables files, units, runs, roots, and skips of the last run."""
@@ -122,12 +115,17 @@ class Indexer:
         old_units = old_units.select(*M.UNITS.fieldNames()) if old_units is not None else self.spark.createDataFrame([], M.UNITS)
         stays = merged.join(change.filter("change IN ('new', 'changed')").select("normalized_path"), "normalized_path", "left_anti").select("file_id")
         kept = old_units.filter(F.col("root_id") == root_id).join(stays, "file_id", "left_semi").unionByName(old_units.filter(F.col("root_id") != root_id))
+        # the gram index goes with the units: filters of files that stay, and new ones
+        old_grams = self.store.read("grams", None if whole else parts)
+        old_grams = old_grams.select(*GRAMS.fieldNames()) if old_grams is not None else self.spark.createDataFrame([], GRAMS)
+        grams = old_grams.join(kept.select("file_id").distinct(), "file_id", "left_semi").unionByName(gram_filters(fresh))
+        grams = grams.withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
         units = kept.unionByName(fresh.select(*M.UNITS.fieldNames())).withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
         if whole:
             parts |= {r["part"] for r in units.select("part").distinct().collect()}
         checked()
         tables = {"files": others.unionByName(merged.select(*M.FILES.fieldNames())), "skips": scan.filter("skip_reason IS NOT NULL").select("path", "skip_reason"), "runs": self._finished(run_id, "completed", counts)}
-        self.store.replace({"units": (units, "part", parts)}, tables)
+        self.store.replace({"units": (units, "part", parts), "grams": (grams, "part", parts)}, tables)
 
     def _extract(self, dirty: DataFrame, root_id: int, run_id: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
         """File rows and units of new and changed files; each file is opened once, on an executor.
@@ -185,7 +183,9 @@ class Indexer:
         parts = known if "" in known else [p for p in known if p.startswith(f"{root_id}-")]
         left = maintenance.delete_root(units, root_id) if "" in known else units.limit(0)
         left = left.withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
-        return {"parts": {"units": (left, "part", [p for p in parts if p])} if "" not in known else {}, "whole": {"files": maintenance.delete_root(files, root_id)} | ({"units": left.drop("part")} if "" in known else {})}
+        own = [p for p in self.store.parts("grams") if p.startswith(f"{root_id}-")]
+        grams = {"grams": (self.spark.createDataFrame([], GRAMS).withColumn("part", F.lit("")), "part", own)}
+        return {"parts": grams | ({"units": (left, "part", [p for p in parts if p])} if "" not in known else {}), "whole": {"files": maintenance.delete_root(files, root_id)} | ({"units": left.drop("part")} if "" in known else {})}
 
     def clear_content(self, root: str) -> None:
         """The root's files and units go; the root and its runs stay."""

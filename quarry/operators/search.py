@@ -12,6 +12,7 @@ flags and counts, so texts are read again for the page's rows alone (``locations
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from quarry import model as M
 from quarry.functions.text import normalized_path_str
-from quarry.operators import context, ranking, snippets
+from quarry.operators import context, grams, ranking, snippets
 from quarry.plans.patterns import all_of, any_of, candidate, name_matches, unit_matches
 from quarry.plans.query import Parsed, QueryError, Term, parse
+from quarry.sources.store import part_of
 
 
 def metadata_filter(f: M.Filters, compat: bool = False) -> Column:
@@ -58,19 +60,38 @@ def _bounds(request: M.Request) -> tuple[int, int]:
 
 
 class SearchEngine:
-    """``files`` and ``units`` as in ``quarry.model``; display_path falls back to normalized_path."""
+    """``files`` and ``units`` as in ``quarry.model``; display_path falls back to normalized_path.
 
-    def __init__(self, files: DataFrame, units: DataFrame):
+    ``grams``: filters of ``quarry.operators.grams``, for searching only files that
+    may match; ``read_parts``: reads the units of some parts of the files' ids.
+    """
+
+    def __init__(self, files: DataFrame, units: DataFrame, grams: DataFrame | None = None, read_parts: Callable[[list[str]], DataFrame] | None = None):
         if "display_path" not in files.columns:
             files = files.withColumn("display_path", F.col("normalized_path"))
-        self.files, self.units = files, units
+        self.files, self.units, self.grams, self.read_parts = files, units, grams, read_parts
+
+    @classmethod
+    def open(cls, store, indexed: bool = False) -> SearchEngine:
+        """An engine over a snapshot store; ``indexed``: with its gram index, if it has one."""
+        grams = store.read("grams") if indexed else None
+        parts = "" not in store.parts("units")
+        return cls(store.read("files"), store.read("units"), grams, (lambda names: store.read("units", names)) if grams is not None and parts else None)
 
     def _files(self, request: M.Request) -> DataFrame:
         rows = self.files if request.root_id is None else self.files.filter(F.col("root_id") == request.root_id)
         return rows.filter(metadata_filter(request.filters, request.compat)) if request.filters.active else rows
 
-    def _units(self, request: M.Request) -> DataFrame:
-        return self.units if request.root_id is None else self.units.filter(F.col("root_id") == request.root_id)
+    def _units(self, request: M.Request, parsed: Parsed | None = None) -> DataFrame:
+        """The units of the request's root; for a parsed query only those of files that may match."""
+        units = self.units
+        found = grams.candidates(self.grams, parsed) if self.grams is not None and parsed is not None else None
+        if found is not None:
+            found = found if request.root_id is None else found.filter(F.col("root_id") == request.root_id)
+            if self.read_parts is not None:  # a name for FILES_PER_PART files
+                units = self.read_parts([r["part"] for r in found.select(part_of(F.col("root_id"), F.col("file_id")).alias("part")).distinct().collect()])
+            units = units.join(found.select("file_id"), "file_id", "left_semi")
+        return units if request.root_id is None else units.filter(F.col("root_id") == request.root_id)
 
     def name_hits(self, request: M.Request, parsed: Parsed) -> Column:
         """Every term matches the file name or the relative path."""
@@ -88,7 +109,7 @@ class SearchEngine:
         verified = [unit_matches(t, text, *args) for t in parsed.terms]
         flags = [candidate(t, text) for t in parsed.terms] if request.compat else verified
         names = [f"m{i}" for i in range(len(flags))]
-        found = self._units(request).filter(any_of(flags))
+        found = self._units(request, parsed).filter(any_of(flags))
         if request.compat:
             first = Window.partitionBy("file_id").orderBy("unit_id")
             found = found.withColumn("early", F.row_number().over(first) <= M.CANDIDATE_UNITS_PER_FILE)
@@ -194,7 +215,7 @@ def within_root(filters: M.Filters, root: str) -> M.Filters:
 RETRY_AFTER = 0.12
 
 
-def search_store(store, request: M.Request, attempts: int = 2) -> Page:
+def search_store(store, request: M.Request, attempts: int = 2, indexed: bool = False) -> Page:
     """A search of a snapshot store's files and units.
 
     A snapshot that is expired while it is read makes a search fail; it is then
@@ -202,7 +223,7 @@ def search_store(store, request: M.Request, attempts: int = 2) -> Page:
     """
     for left in range(attempts - 1, -1, -1):
         try:
-            return SearchEngine(store.read("files"), store.read("units")).search(request)
+            return SearchEngine.open(store, indexed).search(request)
         except (Py4JJavaError, PySparkException):
             if not left:
                 raise

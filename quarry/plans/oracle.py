@@ -99,6 +99,7 @@ _content_query("search_glob_qmark", ["regexp_matches(lower(text), '(?s)e.t')"])
 _content_query("search_glob_many", ["regexp_matches(lower(text), '(?s)a.*?e.*?i.*?o')"])
 _content_query("search_glob_whole_word", [f"regexp_matches(lower(text), '(^|{_NW})the')"])
 _content_query("search_wildcard_only", ["FALSE"])
+_content_query("search_with_grams", [_has("ention"), "regexp_matches(lower(text), '(?s)ther.*?ing')"])
 _name_query("search_name_only", "contains(lower(file_name), 'budget') OR contains(lower(relative_path), 'budget')", "budget")
 _glob = lambda rx: f"regexp_matches(lower(file_name), '{rx}') OR regexp_matches(lower(relative_path), '{rx}')"
 _name_query("search_name_glob", _glob(r"(?s)^budget.*$"), "budget*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry import model as M
 from quarry.functions import text as X
-from quarry.operators import catalog, context, maintenance, ranking, snippets
+from quarry.operators import catalog, context, grams, maintenance, ranking, snippets
 from quarry.operators.search import SearchEngine, existence
 from quarry.plans.oracle import ORACLE_SQL
 from quarry.plans.query import parse
@@ -101,6 +101,13 @@ for _sort in ("name", "type", "size", "modified", "path"):
 _ranked("page_offset", "tion", scope=CONTENT, limit=20, offset=40)
 
 
+@_query
+def search_with_grams(spark, sf_dir):
+    """Two terms, looked for only in files whose gram filters allow them."""
+    files, units = adapters.files(spark, sf_dir), adapters.units(spark, sf_dir)
+    return _shown(SearchEngine(files, units, grams.gram_filters(units)).hits(M.Request("ention ther*ing", scope=CONTENT)))
+
+
 @_query
 def name_scores(spark, sf_dir):
     """Bands of every name that holds the term."""

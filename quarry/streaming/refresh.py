@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.maintenance import replace_units
 from quarry.sources.adapters import lines_of
-from quarry.sources.store import SnapshotStore
+from quarry.sources.store import FILES_PER_PART, SnapshotStore
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,10 +28,6 @@ def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 m
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-#: Files with neighbouring ids whose units are written together.
-FILES_PER_PART = 10_000
-
-
 def refresh(units: DataFrame, store: SnapshotStore, checkpoint: str, every: str = "20 seconds", once: bool = False) -> StreamingQuery:
     """Merges each batch of units into the store: a file's units replace its old ones.  Only the parts of the batch's files are read and written."""
     part = F.floor(F.col("file_id") / FILES_PER_PART).cast("string")

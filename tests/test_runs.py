@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import model as M
-from quarry.operators import indexing, maintenance
+from quarry.operators import maintenance
 from quarry.operators.indexing import Indexer
 from quarry.sources import listing
+from quarry.sources import store as store_module
 from quarry.sources.parsers import parse_bytes
 from quarry.sources.store import Conflict, SnapshotStore
 
@@ -147,7 +148,7 @@ def test_a_crash_before_the_pointer_moves_leaves_the_old_version(spark, tmp_path
 
 
 def test_only_changed_parts_are_written(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(indexing, "FILES_PER_PART", 2)
+    monkeypatch.setattr(store_module, "FILES_PER_PART", 2)
     root, store = tmp_path / "docs", SnapshotStore(spark, str(tmp_path / "store"))
     _tree(root, [f"f{i}.txt" for i in range(7)])
     index = Indexer(spark, store)
