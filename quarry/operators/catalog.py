@@ -48,6 +48,16 @@ def abandon_running(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", F.when(F.col("status") == "running", "abandoned").otherwise(F.col("status")))
 
 
+def roots_by_name(roots: DataFrame) -> DataFrame:
+    return roots.orderBy(F.lower("display_path"))
+
+
+def units_of(units: DataFrame, file_id: int, limit: int | None = None) -> DataFrame:
+    """A file's units in order, or the first ``limit`` of them."""
+    rows = units.filter(F.col("file_id") == file_id).orderBy("sequence")
+    return rows if limit is None else rows.limit(limit)
+
+
 def run_started(runs: DataFrame, root_id: int, mode: str, version: str) -> DataFrame:
     """``runs`` with a running row of the next id."""
     next_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1

@@ -207,6 +207,8 @@ _sql("paragraph_search", "SELECT conv_id AS file_id, count(*) AS match_count, CA
 _sql("status_counts", "SELECT root_id, content_status, count(*) AS n FROM files GROUP BY ALL", _FILES)
 _sql("extension_counts", "SELECT root_id, extension, count(*) AS n FROM files GROUP BY ALL", _FILES)
 _sql("root_counts", "SELECT root_id, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM files GROUP BY ALL", _FILES)
+_sql("roots_by_name", r"SELECT n_nationkey AS root_id, 'D:\' || n_name AS display_path FROM nation ORDER BY lower(display_path)")
+_sql("units_of_file", "SELECT file_id, sequence, line_no, text FROM units WHERE file_id = 7 ORDER BY sequence LIMIT 50", _FILES, _UNITS)
 _RUNS = "runs AS (SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS root_id, CASE WHEN o_orderkey % 5 = 0 THEN 'running' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'completed' END AS status FROM orders)"
 _sql("latest_run", "SELECT root_id, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY run_id DESC) AS r FROM runs) WHERE r = 1", _RUNS)
 _sql("abandoned_runs", "SELECT root_id, CASE status WHEN 'running' THEN 'abandoned' ELSE status END AS status, count(*) AS n FROM runs GROUP BY ALL", _RUNS)

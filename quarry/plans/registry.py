@@ -212,6 +212,19 @@ def root_counts(spark, sf_dir):
     return catalog.root_counts(adapters.files(spark, sf_dir))
 
 
+@_query
+def roots_by_name(spark, sf_dir):
+    """Suppliers' nations as roots, in the order of their names."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return catalog.roots_by_name(n.select(F.col("n_nationkey").alias("root_id"), F.concat(F.lit("D:\\"), F.col("n_name")).alias("display_path")))
+
+
+@_query
+def units_of_file(spark, sf_dir):
+    """The first units of one file, in order (a listing's limit is the feature)."""
+    return catalog.units_of(adapters.units(spark, sf_dir), 7, 50).select("file_id", "sequence", "line_no", "text")
+
+
 def _runs(spark, sf_dir):
     """Orders as index runs: a run per order, a root per order status."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

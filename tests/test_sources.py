@@ -115,6 +115,14 @@ def test_parse_files_is_total(spark):
     assert got == {"a.docx": ("ok", 8), "b.txt": ("ok", 2), "c.pdf": ("corrupt", 0)}
 
 
+def test_listing_of_a_store(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, data in {"a.txt": b"one", "sub/b.pdf": b"four", ".hidden.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["file_name"]: (r["size_bytes"], r["hidden"], r["modified_time"] > 1e9) for r in listing.list_store(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] == (3, False, True) and got["b.pdf"] == (4, False, True)
+
+
 def test_root_verdicts(tmp_path):
     for raw, want in {"": "empty", "http://x/y": "url", "\\\\.\\C:": "device", "\\\\srv\\x": "network", "rel": "no_drive", "/no/such": "not_found", __file__: "not_a_directory", str(tmp_path): "ok"}.items():
         assert listing.validate_root(raw) == want
