@@ -11,8 +11,10 @@ ranks behind the pair it came from and one ascending pass is exact.
 Encoded words are kept from block to block up to CACHE_WORDS, so memory is
 bounded whatever the texts; a single very long text is its own block.
 
-Defined results: null counts as empty; an empty text has no ids; repeated rows
-repeat; other columns are ignored.
+Defined results: null counts as empty; an empty text has no ids and decodes to the
+empty text; very long texts are cut after blanks and encoded whole, a very long
+word is one word; repeated rows repeat; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -38,22 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of ``df`` as its plan estimates it; where the plan can't tell, 64 MB for each shuffle partition."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else parallelism(df.sparkSession) << 26
+
+
 #: Input bytes for each task that ``gathered`` leaves.
 TASK_BYTES = 4 << 20
 
 
 def gathered(docs: DataFrame) -> DataFrame:
     """``docs`` in no more tasks than its size or the cluster's cores ask for: an input of many tiny files would make as many tiny files."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, min(1 << 30, size // TASK_BYTES)))
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, min(1 << 30, input_bytes(docs) // TASK_BYTES)))
+
+
+#: Shuffle partitions that one task of a narrow table writes together.
+NARROW = 16
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def staged(df: DataFrame, name: str, *partition_by: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     A lost executor costs only the files' readers a retry, nothing upstream.
+    ``narrow``: rows of a few numbers, of which a shuffle partition makes too small
+    a file; every file costs the store several calls.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, parallelism(spark) // NARROW))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, discarded, fresh_name, gathered, parallelism, staged, table
+from quarry.llm.common import arrow_rows, discarded, fresh_name, gathered, input_bytes, parallelism, staged, table
 
 #: Characters that do not count: space, tab, LF, VT, FF, CR.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -223,8 +223,7 @@ def verified(index: DataFrame, bodies: DataFrame, broadcast_hits: int = BROADCAS
 
 
 def range_count(docs: DataFrame) -> int:
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(16, min(1 << 20, size // RANGE_BYTES))
+    return max(16, min(1 << 20, input_bytes(docs) // RANGE_BYTES))
 
 
 def _copies(docs: DataFrame, digest_of=sha256, memtable_bytes: int = MEMTABLE_BYTES, filter_bits: int = SEGMENT_BITS, ranges: int | None = None, broadcast_hits: int = BROADCAST_HITS) -> tuple[DataFrame, list[DataFrame]]:
@@ -272,7 +271,7 @@ BROADCAST_ROWS = 1_000_000
 
 def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     """Anti-join on ``key``; the rows to drop are broadcast only when they were counted and are few."""
-    drop = staged(drop.select(key), "drop")
+    drop = staged(drop.select(key), "drop", narrow=True)
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
     return rows.join(drop, key, "left_anti")
@@ -286,11 +285,11 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     # the row number takes the place of an id that may be missing or repeated
     found, read = _copies(rows.select(F.col("row").alias("doc_id"), "text"), **options)
     found = found.filter("group_size > 1").select(F.col("doc_id").alias("row"), "text_sha256")
-    several = staged(found.join(rows.select("row", "id", F.length("text").alias("n")), "row"), "dedup-several")
+    several = staged(found.join(rows.select("row", "id", F.length("text").alias("n")), "row"), "dedup-several", narrow=True)
     discarded(*read)
     order = F.struct((-F.coalesce("n", F.lit(0))).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row")
     # a table of its own, so that the join can split the rows of a frequent text
-    best = staged(several.groupBy("text_sha256").agg(F.min(order).alias("best")), "dedup-best")
+    best = staged(several.groupBy("text_sha256").agg(F.min(order).alias("best")), "dedup-best", narrow=True)
     drop = several.join(best, "text_sha256").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
     left = without(whole, drop, row).drop(row)
     discarded(several, best)

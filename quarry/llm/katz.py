@@ -25,8 +25,9 @@ below n * n / 2**65 (3e-6 for ten million words).
 
 Defined results: null and empty texts are their end token alone; a table
 without training documents has N = V = 0: base_score is then log10(1) per token
-and unknown words have probability 1; repeated rows repeat; other columns are
-ignored.
+and unknown words have probability 1; a very long text is hashed by pieces and
+lies in one block; repeated rows repeat; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, deltas, distinct_at, gathered, pack, released, staged, table, unpack, utf8_texts
+from quarry.llm.common import crc_mod, deltas, distinct_at, gathered, input_bytes, pack, released, staged, table, unpack, utf8_texts
 
 MAX_DISCOUNTED = 5
 BLOCK_BYTES = 16 << 20
@@ -488,8 +489,7 @@ def _stats(table_: DataFrame, n: int) -> list[int]:
 
 def shard_count(docs: DataFrame) -> int:
     """A power of two that grows with the input's size."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 1 << max(4, min(20, (size // SHARD_BYTES).bit_length()))
+    return 1 << max(4, min(20, (input_bytes(docs) // SHARD_BYTES).bit_length()))
 
 
 def score_documents(docs: DataFrame, *, training, shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -19,11 +19,14 @@ with fewer than D + 1 such ranges has all ranges as keys, the empty ones too; tw
 such sets agree in one of them.)  Classes double, and a text whose partners may
 lie in the next class has keys there too.
 
-Large groups: members of a bucket are first compared with its least member and
-with their neighbours (linear in the bucket), then the pairs that these links
-leave in different components, if their sizes and parity sketches allow a link:
-each differing shingle changes one bit of the parities of the shingles' hashes,
-so more differing bits than shingles may differ rule a pair out, for certain.
+Large groups: members of a bucket are first checked against its least member and
+their neighbours.  In buckets that these links leave in several components, each
+member then meets the nearest one of another component, round after round (as in
+Boruvka's algorithm, so a round is linear in the bucket too), until a round finds no
+link; last come the pairs that are still possible.  Near and possible are told by
+sizes and parity sketches: each differing shingle changes one bit of the parities
+of the shingles' hashes, so more differing bits than shingles may differ rule a
+pair out, for certain.
 
 Defined results: texts without words link with each other; repeated rows too;
 null texts are texts without words; very long texts are like any other; other
@@ -32,7 +35,7 @@ columns travel along; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +43,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import deltas, discarded, distinct, distinct_at, fresh_name, gathered, pack, parallelism, released, staged, unpack, utf8_texts
+from quarry.llm.common import deltas, discarded, distinct, distinct_at, fresh_name, gathered, input_bytes, pack, parallelism, released, staged, unpack, utf8_texts
 from quarry.llm.exact_dedup import without
 from quarry.llm.simhash import components, fingerprint_of, links, shingle_hashes
 
 SHINGLE = 5
 #: Input bytes for each shard of keys.
 SHARD_BYTES = 2 << 20
+#: Rounds in which each member meets the nearest one of another component.
+ROUNDS = 4
+#: Bits of a sketch at least.
+LEAST_BITS = 512
 #: Pairs of a bucket that one batch holds.
 PAIRS = 1 << 18
 _BATCH_KEYS = 1 << 20
@@ -94,8 +101,8 @@ def keys(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
-    """Parities of the set's hashes over a power of two bits, about as many as the set has shingles (64 at least)."""
-    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    """Parities of the set's hashes over a power of two bits, two to four for each shingle."""
+    bits = max(LEAST_BITS, 2 << (len(own) - 1).bit_length()) if len(own) else LEAST_BITS
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
@@ -226,41 +233,59 @@ def _batched(pairs):
         yield out()
 
 
-def _possible(row: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]):
-    """Pairs of one bucket's rows with different roots whose sizes and sketches allow a link."""
+def _compared(root: np.ndarray, n: np.ndarray, sketches: list[bytes]):
+    """(member, others, differing bits): each member against all that come after it by size, have another root, and may link as sizes and sketches tell."""
     order = np.argsort(n, kind="stable")
-    row, root, n = row[order], root[order], n[order]
     by_width: dict[int, list[int]] = {}
-    for i, at in enumerate(order.tolist()):
-        by_width.setdefault(len(sketches[at]), []).append(i)
+    for at in order.tolist():
+        by_width.setdefault(len(sketches[at]), []).append(at)
     # a set's partners have sketches as wide as its own or twice
     for width, own in by_width.items():
-        low = np.stack([np.frombuffer(sketches[order[i]], np.uint64) for i in own])
+        low = np.stack([np.frombuffer(sketches[i], np.uint64) for i in own])
         wide = by_width.get(2 * width, [])
-        high = _folded(np.stack([np.frombuffer(sketches[order[i]], np.uint64) for i in wide]), width // 8) if wide else low[:0]
+        high = _folded(np.stack([np.frombuffer(sketches[i], np.uint64) for i in wide]), width // 8) if wide else low[:0]
         members, words = np.array(own + wide), np.concatenate([low, high])
         size, group = n[members], root[members]
         for k in range(len(own)):
             end = int(np.searchsorted(size, size[k] * 5 // 4, side="right"))
-            if end <= k + 1:
-                continue
             at = np.arange(k + 1, end)[group[k + 1 : end] != group[k]]
             if len(at):
                 apart = np.bitwise_count(words[at] ^ words[k]).sum(axis=1, dtype=np.int64)
-                at = at[9 * apart <= size[at] + size[k]]
-                yield np.repeat(row[members[k]], len(at)), row[members[at]]
+                may = 9 * apart <= size[at] + size[k]
+                if may.any():
+                    yield members[k], members[at[may]], apart[may]
+
+
+def _possible(row: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]):
+    """All pairs of one bucket's rows with different roots that may link."""
+    for i, others, _ in _compared(root, n, sketches):
+        yield np.repeat(row[i], len(others)), row[others]
+
+
+def _nearest(row: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]):
+    """Each of one bucket's rows with the one of another root that it may link with and that is nearest."""
+    best, who = np.full(len(row), np.iinfo(np.int64).max), np.full(len(row), -1)
+    for i, others, apart in _compared(root, n, sketches):
+        k = int(apart.argmin())
+        if apart[k] < best[i]:
+            best[i], who[i] = apart[k], others[k]
+        better = apart < best[others]
+        best[others[better]], who[others[better]] = apart[better], i
+    has = np.flatnonzero(who >= 0)
+    if len(has):
+        yield row[has], row[who[has]]
 
 
-def _cross_pairs(batches):
-    """Of each key's rows (row, root, n, sketch): the possible pairs with different roots."""
+def _crossing(pairs_of):
+    """Of each key's rows (row, root, n, sketch): pairs with different roots, as ``pairs_of`` picks them."""
 
-    def pairs():
+    def pairs(batches):
         for row, root, n, sketches in _groups(batches):
             row, root, n = (x.to_numpy(zero_copy_only=False) for x in (row, root, n))
             if not (root == root[0]).all():
-                yield from _possible(row, root, n, sketches.to_pylist())
+                yield from pairs_of(row, root, n, sketches.to_pylist())
 
-    return _batched(pairs())
+    return lambda batches: _batched(pairs(batches))
 
 
 def _bodies(batches):
@@ -287,10 +312,21 @@ def _checked(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link.  Sizes come first; then one text of each pair travels, and meets the other."""
-    na, nb = sizes.select(F.col("row").alias("a"), F.col("n").alias("na")), sizes.select(F.col("row").alias("b"), F.col("n").alias("nb"))
-    near = staged(pairs.join(na, "a").join(nb, "b").filter("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b"), "near-sized")
+def _may_link(batches):
+    """The pairs (a, b, sketch of a, of b, shingles of both) that their sketches allow."""
+    for batch in batches:
+        keep = []
+        for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+            x, y = sorted((np.frombuffer(v.as_py(), np.uint64)[None] for v in (x, y)), key=lambda v: v.shape[1])
+            keep.append(9 * int(np.bitwise_count(x ^ _folded(y, x.shape[1])).sum()) <= n)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _linked(pairs: DataFrame, described: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link.  Sizes and sketches come first; then one text of each pair left travels, and meets the other."""
+    of = lambda x: described.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    sized = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").filter("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
+    near = staged(sized.select("a", "b", "sa", "sb", F.expr("na + nb").alias("n")).mapInArrow(_may_link, "a long, b long"), "near-sized", narrow=True)
     of_a, of_b = bodies.select(F.col("row").alias("a"), F.col("body").alias("of_a")), bodies.select(F.col("row").alias("b"), F.col("body").alias("of_b"))
     met = near.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a")
     return met.select("a", "b", "of_a", "of_b").mapInArrow(_checked, "a long, b long")
@@ -298,7 +334,7 @@ def _linked(pairs: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def _print_pairs(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) that SimHash links: rows of one fingerprint with the least of them, and the least rows of linked fingerprints."""
-    own = staged(prints.groupBy("fp").agg(F.min("row").alias("least")), "near-prints")
+    own = staged(prints.groupBy("fp").agg(F.min("row").alias("least")), "near-prints", narrow=True)
     same = prints.join(own, "fp").filter("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
     found = links(own).withColumnsRenamed({"a": "fa", "b": "fb"})
     found = found.join(own.select(F.col("fp").alias("fa"), F.col("least").alias("x")), "fa").join(own.select(F.col("fp").alias("fb"), F.col("least").alias("y")), "fb")
@@ -307,8 +343,7 @@ def _print_pairs(prints: DataFrame) -> DataFrame:
 
 def shard_count(rows: DataFrame) -> int:
     """A power of two that grows with the input's size."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 1 << max(4, min(20, (size // SHARD_BYTES).bit_length()))
+    return 1 << max(4, min(20, (input_bytes(rows) // SHARD_BYTES).bit_length()))
 
 
 def near_groups(texts: DataFrame, shards: int | None = None) -> DataFrame:
@@ -325,23 +360,37 @@ def near_groups(texts: DataFrame, shards: int | None = None) -> DataFrame:
     discarded(entries)
     buckets = found.filter("kind = 'bucket'").select(F.col("x").alias("key"), F.col("y").alias("row"))
     pairs = found.filter("kind = 'pair'").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = staged(pairs.union(_print_pairs(prints)).distinct(), "near-pairs")
+    first = staged(pairs.union(_print_pairs(prints)).distinct(), "near-pairs", narrow=True)
     members = first.select(F.col("a").alias("row")).union(first.select("b")).distinct()
     bodies = staged(texts.join(members, "row", "left_semi").mapInArrow(_bodies, "row long, sketch binary, body binary"), "near-bodies")
-    edges = staged(_linked(first, prints.select("row", "n"), bodies), "near-edges")
-    # only buckets whose members aren't all in one component yet go on
-    roots = components(edges)
-    known = bodies.select("row", "sketch").join(prints.select("row", "n"), "row").join(roots, F.col("row") == F.col("node"), "left")
-    known = staged(known.select("row", F.coalesce("root", "row").alias("root"), "n", "sketch"), "near-known")
-    rooted = buckets.join(known.select("row", "root"), "row")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    open_ = staged(buckets.join(open_, "key", "left_semi"), "near-open")
-    dealt = open_.join(known, "row").select("key", "row", "root", "n", "sketch").repartition(n, "key").sortWithinPartitions("key")
-    cross = staged(dealt.mapInArrow(_cross_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "near-cross")
-    discarded(found, open_, known, first)
-    more = staged(_linked(cross, prints.select("row", "n"), bodies), "near-edges")
-    discarded(bodies, prints, cross)
-    return components(edges.unionByName(more))
+    described = staged(bodies.select("row", "sketch").join(prints.select("row", "n"), "row"), "near-described")
+    edges = [staged(_linked(first, described, bodies), "near-edges")]
+    checked, rounds = [first], 0
+    all_of = lambda tables: reduce(DataFrame.unionByName, tables)
+    while True:
+        roots = components(all_of(edges))
+        known = staged(described.join(roots, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("root"), "n", "sketch"), "near-known", narrow=True)
+        # only buckets whose members aren't all in one component go on
+        spread = buckets.join(known.select("row", "root"), "row").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        open_ = staged(buckets.join(spread.filter("least <> most").select("key"), "key", "left_semi"), "near-open", narrow=True)
+        if open_.isEmpty():
+            discarded(known, open_)
+            break
+        dealt = open_.join(known, "row").select("key", "row", "root", "n", "sketch").repartition(n, "key").sortWithinPartitions("key")
+        last = rounds == ROUNDS
+        met = dealt.mapInArrow(_crossing(_possible if last else _nearest), "a long, b long").distinct()
+        fresh = staged(met.join(all_of(checked), ["a", "b"], "left_anti"), "near-cross", narrow=True)
+        discarded(known, open_)
+        more = staged(_linked(fresh, described, bodies), "near-edges")
+        edges.append(more)
+        checked.append(fresh)
+        if last:
+            break
+        rounds = rounds + 1 if not more.isEmpty() else ROUNDS  # no link any more: what is left comes last
+    discarded(found, bodies, prints, described, *checked)
+    roots = components(all_of(edges))
+    discarded(*edges)
+    return roots
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -352,9 +401,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = near_groups(rows.select("row", "text")).select(F.col("node").alias("row"), F.col("root").alias("group"))
     # ``components`` may leave the root itself out
     found = found.union(found.select(F.col("group").alias("row"), "group")).distinct()
-    several = staged(found.join(rows.select("row", "own"), "row"), "near-several")
+    several = staged(found.join(rows.select("row", "own"), "row"), "near-several", narrow=True)
     # tables of their own, so that joins can split the rows of a large group
-    best = staged(several.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "row")).alias("best")), "near-best")
+    best = staged(several.groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "row")).alias("best")), "near-best", narrow=True)
     drop = several.join(best, "group").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
     left = without(whole, drop, row).drop(row)
     discarded(several, best)

@@ -215,6 +215,23 @@ def test_dedup_in_many_runs_and_with_colliding_digests(docs, rows, digest, memta
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
 
 
+def test_dedup_of_more_hits_than_are_broadcast(docs):
+    few, many = (sorted(map(tuple, exact_dedup.find_copies(docs, memtable_bytes=500, ranges=3, broadcast_hits=n).select("doc_id", "keep_id", "group_size", "kept").collect())) for n in (0, 10**6))
+    assert few == many
+    two = docs.limit(2).selectExpr("doc_id", "concat('text ', doc_id) AS text")
+    for n in (0, 10):
+        index = two.selectExpr("CAST('d' AS binary) AS digest", "2L AS runs").distinct()
+        bodies = two.selectExpr("CAST('d' AS binary) AS digest", "CAST(text AS binary) AS body")
+        assert not exact_dedup.verified(index, bodies, n) and exact_dedup.verified(index, bodies.limit(1), n)
+
+
+def test_unknown_sizes(spark):
+    """A plan that can't tell its size gets a bounded number of shards."""
+    rdd = spark.sparkContext.parallelize([(1, "a b")])
+    df = spark.createDataFrame(rdd, "doc_id long, text string")
+    assert katz.shard_count(df) <= 1 << 8 and exact_dedup.range_count(df) <= 64
+
+
 @pytest.mark.parametrize("block", [katz.BLOCK_BYTES, 60_000])
 def test_katz(docs, rows, block):
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), "\n"] for i, t in rows}
