@@ -206,9 +206,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most `limit` rows
     text = F.col("text").cast("string")
-    rows = docs.filter((F.length(text) <= SAMPLE_CHARS) & (F.size(F.split(text, "\n")) <= SAMPLE_LINES))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    labelled = rows.join(F.broadcast(some), "doc_id").select("h", "text", "quality")
+    rows = docs.filter(F.length(text) <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # counted behind the join, where few rows are left: the condition names both sides, so that it stays there
+    short = F.when(F.col("quality").isNotNull(), F.size(F.split("text", "\n")) <= SAMPLE_LINES)
+    labelled = rows.join(F.broadcast(some), "doc_id").filter(short).select("h", "text", "quality")
     return [(text.encode(), quality) for text, quality in bounded(labelled, "quality", limit, SAMPLE_TOTAL)]
 
 
