@@ -156,11 +156,11 @@ def labelled_sample(docs: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str
     for lang, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
         share[lang] = min(n, max(1, left // need))
         left, need = left - share[lang], need - 1
-    # hashes are even: twice the share below this bound, so that repeated texts seldom leave too few
-    spread = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * share[lang] + 50) / n)))))[F.col("lang")]
+    # hashes are even: a little more than the share lies below this bound
+    spread = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (1.1 * share[lang] + 50) / n)))))[F.col("lang")]
     near = rows.filter(F.pmod("h", F.lit(1 << 32)) < spread * float(1 << 32))
     out = []
-    for lang, own in _by_lang(bounded(near, "lang", 4 * limit + 50 * len(counts), 2 * SAMPLE_TOTAL, least=True)).items():
+    for lang, own in _by_lang(bounded(near, "lang", 2 * limit + 50 * len(counts), SAMPLE_TOTAL, least=True)).items():
         total = 0
         for text in own[: share.get(lang, 0)]:
             total += len(text)
