@@ -93,8 +93,16 @@ class Indexer:
         others, own = files.filter(F.col("root_id") != root_id), files.filter(F.col("root_id") == root_id)
         old = maintenance.under(own, unreadable) if rebuild else own
         change = persisted(maintenance.classify(old, good, M.PARSER_VERSION))
-        dirty = good.join(change.filter("change IN ('new', 'changed')").select("normalized_path", "old_id"), "normalized_path")
+        found_changes = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}  # four classes
+        skips = scan.filter("skip_reason IS NOT NULL").select("path", "skip_reason")
         checked()
+        if not rebuild and found_changes.keys() == {"unchanged"}:  # every file is as it was: only the time it was seen moves
+            seen = own.withColumn("last_seen_run_id", F.lit(run_id).cast("long"))
+            counts = dict.fromkeys(("files_indexed", "files_no_text", "files_failed", "files_deleted", "files_new"), 0)
+            counts |= {"files_discovered": found_changes.get("unchanged", 0), "files_unchanged": found_changes.get("unchanged", 0), "files_skipped": skips.filter("skip_reason <> 'not_supported'").count()}
+            self.store.replace({}, {"files": others.unionByName(seen.select(*M.FILES.fieldNames())), "skips": skips, "runs": self._finished(run_id, "completed", counts)})
+            return
+        dirty = good.join(change.filter("change IN ('new', 'changed')").select("normalized_path", "old_id"), "normalized_path")
         written, new_units = self._extract(dirty, root_id, run_id, held)
         merged = maintenance.upsert(old, written.select(*(c for c in M.FILES.fieldNames() if c != "file_id")))
         merged = maintenance.touch(merged, merged.join(change.filter("change = 'unchanged'").select("normalized_path"), "normalized_path", "left_semi"), run_id)
@@ -124,7 +132,7 @@ class Indexer:
         if whole:
             parts |= {r["part"] for r in units.select("part").distinct().collect()}
         checked()
-        tables = {"files": others.unionByName(merged.select(*M.FILES.fieldNames())), "skips": scan.filter("skip_reason IS NOT NULL").select("path", "skip_reason"), "runs": self._finished(run_id, "completed", counts)}
+        tables = {"files": others.unionByName(merged.select(*M.FILES.fieldNames())), "skips": skips, "runs": self._finished(run_id, "completed", counts)}
         self.store.replace({"units": (units, "part", parts), "grams": (grams, "part", parts)}, tables)
 
     def _extract(self, dirty: DataFrame, root_id: int, run_id: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
