@@ -111,6 +111,7 @@ class Request:
     limit: int = DEFAULT_LIMIT
     offset: int = 0
     compat: bool = False
+    snippets_per_file: int = SNIPPETS_PER_FILE
 
 
 LOCATION = T.StructType([
@@ -137,9 +138,11 @@ FILES = T.StructType([
         ("mime_category", T.StringType()), ("size_bytes", T.LongType()), ("created_time", T.DoubleType()), ("modified_time", T.DoubleType()),
         ("fingerprint", T.StringType()), ("content_status", T.StringType()), ("parser_version", T.IntegerType()), ("unit_count", T.IntegerType()),
         ("char_count", T.LongType()), ("indexed_at", T.TimestampType()), ("last_seen_run_id", T.LongType()), ("error_code", T.StringType()),
-        ("error_message", T.StringType()),
+        ("error_message", T.StringType()), ("truncated", T.BooleanType()), ("warnings", T.StringType()),
     )
 ])
+SKIPS = T.StructType([T.StructField("root_id", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("skip_reason", T.StringType())])
+ROOTS = T.StructType([T.StructField("root_id", T.IntegerType()), T.StructField("display_path", T.StringType()), T.StructField("normalized_path", T.StringType())])
 UNITS = T.StructType([T.StructField("unit_id", T.LongType()), T.StructField("file_id", T.LongType()), T.StructField("root_id", T.IntegerType()), *UNIT.fields])
 RUNS = T.StructType([
     T.StructField(n, t) for n, t in (

@@ -58,9 +58,9 @@ def units_of(units: DataFrame, file_id: int, limit: int | None = None) -> DataFr
     return rows if limit is None else rows.limit(limit)
 
 
-def run_started(runs: DataFrame, root_id: int, mode: str, version: str) -> DataFrame:
-    """``runs`` with a running row of the next id."""
-    next_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
+def run_started(runs: DataFrame, root_id: int, mode: str, version: str, run_id: int | None = None) -> DataFrame:
+    """``runs`` with a running row of the given id, or of the next one."""
+    next_id = run_id or (runs.agg(F.max("run_id")).first()[0] or 0) + 1
     row = runs.sparkSession.range(1).select(
         F.lit(next_id).cast("long").alias("run_id"), F.lit(root_id).alias("root_id"), F.current_timestamp().alias("started_at"),
         F.lit("running").alias("status"), F.lit(mode).alias("mode"), F.lit(version).alias("application_version"),

@@ -1,79 +1,149 @@
-"""The indexing run: scan -> classify -> parse what changed -> merge -> publish.
+"""The indexing run: scan -> classify -> parse what changed -> commit.
 
 A run is recorded as running before it begins, and as completed, failed or
-cancelled when it ends.  Files and units are published together, when everything
-succeeded; a failed or cancelled run leaves them as they were.  Contents are read
-for new and changed files alone, and only the parts of ``units`` that hold changed
-or deleted files are written again.
+cancelled when it ends.  Files, units and the gram index are committed together, when
+everything succeeded; a failed or cancelled run leaves them as they were.  Contents
+are read for new and changed files alone, and only the parts of ``units`` that hold
+changed or deleted files are written again.  Every table is parted by root, so runs of
+several roots, and a streaming refresh of other files, go on side by side; a run whose
+own parts another writer has changed meanwhile merges anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from quarry import __version__
 from quarry import model as M
 from quarry.functions.text import fingerprint, mime_category, normalized_path_str
-from quarry.operators import catalog, maintenance
-from quarry.operators.grams import GRAMS, gram_filters
+from quarry.operators import catalog, grams, maintenance
 from quarry.sources import listing
-from quarry.sources.parsers import parse_files
-from quarry.sources.store import SnapshotStore, part_of
+from quarry.sources.parsers import parse_bytes
+from quarry.sources.store import WHOLE, Change, Damaged, Snapshot, SnapshotStore, number_of, part_of
+
+#: Bytes of contents that one parsing task reads, about.
+TASK_BYTES = 16 << 20
+_COUNTERS = ("files_discovered", "files_indexed", "files_unchanged", "files_no_text", "files_failed", "files_skipped", "files_deleted", "files_new")
+
+
+def by_root(at: Snapshot, name: str, schema: StructType, root_id: int, rows: DataFrame) -> tuple[DataFrame, str, list[str]]:
+    """A ``Change`` of one root's rows of a table; a table that was written whole is parted on the way."""
+    rows, named = rows.select(*schema.fieldNames()), [str(root_id)]
+    if WHOLE in at.parts(name):
+        others = at.table(name, schema).filter(F.col("root_id") != root_id)
+        named += [str(r["root_id"]) for r in others.select("root_id").distinct().collect()]  # a row for each root
+        rows = others.unionByName(rows)
+    return rows.withColumn("part", F.col("root_id").cast("string")), "part", named
+
+
+def of_root(at: Snapshot, name: str, schema: StructType, root_id: int) -> DataFrame:
+    return at.table(name, schema).filter(F.col("root_id") == root_id)
+
+
+def units_change(at: Snapshot, root_id: int, gone: DataFrame, fresh: DataFrame, numbers: Iterable[int], rebuild: bool = False) -> dict:
+    """The ``parts`` of a change that takes the units of files ``gone`` (file_id) out and puts ``fresh`` ones in, with their postings.
+
+    ``numbers``: which parts of the root that touches, each FILES_PER_PART files.
+    """
+    known, parts = at.parts("units"), {f"{root_id}-{k}" for k in numbers}
+    if rebuild:
+        parts |= {p for p in known if p.startswith(f"{root_id}-")}
+    whole = WHOLE in known  # a table that was written whole once: all of it is dealt to parts now
+    old = at.read("units", None if whole else parts & set(known))
+    own = at.table("units", M.UNITS) if old is None else old
+    own = own.select(*((F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in M.UNITS))  # an adapter's table lacks some
+    mine = F.col("root_id") == root_id
+    kept = own.filter(~mine) if rebuild else own.filter(~mine).unionByName(own.filter(mine).join(gone.select("file_id"), "file_id", "left_anti"))
+    fresh = fresh.select(*M.UNITS.fieldNames())
+    units = kept.unionByName(fresh).withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
+    if whole:
+        parts |= {r["part"] for r in units.select("part").distinct().collect()}  # a row for FILES_PER_PART files
+    lists, column, names = grams.postings(units if whole else fresh)
+    return {"units": (units, "part", parts), grams.TABLE: (lists, column, names + (at.parts(grams.TABLE) if whole else []))}
+
 
 class Indexer:
-    """Indexes one root into a store; tables files, units, runs, roots, and skips of the last run."""
+    """Indexes roots into a store; tables files, units, postings, runs, roots, and skips of each root's last run."""
 
     def __init__(self, spark: SparkSession, store: SnapshotStore, *, exclude: tuple[str, ...] = (), max_mb: int = M.MAX_FILE_MB, docx_headers: bool = True, **skip_options):
         """Options as ``Settings.for_indexer`` gives them; ``exclude``: folders of the program's own data."""
         self.spark, self.store, self.exclude, self.max_mb, self.docx_headers = spark, store, exclude, max_mb, docx_headers
         self.options = skip_options | {"max_mb": max_mb}
 
-    def _table(self, name: str, schema) -> DataFrame:
-        found = self.store.read(name)
-        return found.select(*schema.fieldNames()) if found is not None else self.spark.createDataFrame([], schema)
-
-    def root_id(self, root: str) -> tuple[int, DataFrame]:
+    def root_id(self, root: str, at: Snapshot | None = None) -> tuple[int, DataFrame]:
         """The id of a root, and the roots table with it."""
-        ddl = "root_id int, display_path string, normalized_path string"
-        roots = self.store.read("roots")
-        known = {r["normalized_path"]: r["root_id"] for r in roots.collect()} if roots is not None else {}  # one row per configured root
+        roots = (at or self.store.snapshot()).table("roots", M.ROOTS)
+        known = {r["normalized_path"]: r["root_id"] for r in roots.collect()}  # one row per configured root
         key = normalized_path_str(root)
         if key in known:
             return known[key], roots
         made = max(known.values(), default=0) + 1
-        row = self.spark.createDataFrame([(made, root, key)], ddl)
-        return made, row if roots is None else roots.unionByName(row)
+        return made, roots.unionByName(self.spark.createDataFrame([(made, root, key)], M.ROOTS))
+
+    def _next(self, counter: str, n: int, at: Snapshot, table: str) -> int:
+        """``n`` numbers after the returned one; a store without that counter begins after its table's largest."""
+        least = 0 if counter in at.counters or table not in at.tables else at.read(table).agg(F.max(counter)).first()[0] or 0
+        return self.store.reserve(counter, n, least)
+
+    def _started(self, root: str, mode: str) -> tuple[int, int]:
+        """(root_id, run_id) of a run that is recorded as running."""
+        run_id = self._next("run_id", 1, self.store.snapshot(), "runs") + 1
+        found = []
+
+        def build(at: Snapshot) -> Change:
+            root_id, roots = self.root_id(root, at)
+            found[:] = [root_id]
+            runs = catalog.run_started(catalog.abandon_running(of_root(at, "runs", M.RUNS, root_id)), root_id, mode, __version__, run_id)
+            new = not at.tables.get("roots") or at.read("roots").filter(F.col("root_id") == root_id).isEmpty()
+            return Change({"runs": by_root(at, "runs", M.RUNS, root_id, runs)}, {"roots": roots} if new else {}, reads=frozenset({"roots"} if new else ()))
 
-    def _finished(self, run_id: int, status: str, counters: dict | None = None) -> DataFrame:
-        return catalog.run_finished(self._table("runs", M.RUNS), run_id, status, counters)
+        self.store.update(build)
+        return found[0], run_id
+
+    def _finished(self, at: Snapshot, root_id: int, run_id: int, status: str, counters: dict | None = None) -> DataFrame:
+        return catalog.run_finished(of_root(at, "runs", M.RUNS, root_id), run_id, status, counters)
+
+    def _ended(self, root_id: int, run_id: int, status: str) -> None:
+        self.store.update(lambda at: Change({"runs": by_root(at, "runs", M.RUNS, root_id, self._finished(at, root_id, run_id, status))}))
 
     def run(self, root: str, rebuild: bool = False, cancelled: Callable[[], bool] = lambda: False) -> dict:
         """The run's row.  ``cancelled`` is asked between files and between steps."""
         verdict = listing.validate_root(root)
         if verdict != "ok":
             raise ValueError(f"root: {verdict}")
-        root_id, roots = self.root_id(root)
-        mode = "rebuild" if rebuild else "update"
-        runs = catalog.run_started(catalog.abandon_running(self._table("runs", M.RUNS)), root_id, mode, __version__)
-        self.store.publish({"runs": runs.select(*M.RUNS.fieldNames()), "roots": roots})
-        run_id = self.store.read("runs").agg(F.max("run_id")).first()[0]
+        root_id, run_id = self._started(root, "rebuild" if rebuild else "update")
         held: list[DataFrame] = []
+
+        def build(at: Snapshot) -> Change:
+            self._released(held)
+            return self._update(at, root, root_id, run_id, rebuild, cancelled, held)
+
         try:
-            self._update(root, root_id, run_id, rebuild, cancelled, held)
+            self.store.update(build)
+            grams.merged(self.store)
         except listing.Cancelled:
-            self.store.publish({"runs": self._finished(run_id, "cancelled")})
+            self._ended(root_id, run_id, "cancelled")
         except BaseException:
-            self.store.publish({"runs": self._finished(run_id, "failed")})
+            self._ended(root_id, run_id, "failed")
             raise
         finally:
-            for df in held:
-                df.unpersist()
-        return self.store.read("runs").filter(F.col("run_id") == run_id).first().asDict()
+            self._released(held)
+        return self.store.read("runs", [str(root_id)]).filter(F.col("run_id") == run_id).first().asDict()
 
-    def _update(self, root: str, root_id: int, run_id: int, rebuild: bool, cancelled: Callable[[], bool], held: list[DataFrame]) -> None:
+    @staticmethod
+    def _released(held: list[DataFrame]) -> None:
+        for df in held:
+            df.unpersist()
+            listing.forget(df)
+        held.clear()
+
+    def _update(self, at: Snapshot, root: str, root_id: int, run_id: int, rebuild: bool, cancelled: Callable[[], bool], held: list[DataFrame]) -> Change:
         def persisted(df: DataFrame) -> DataFrame:
             held.append(df.persist())
             return held[-1]
@@ -82,126 +152,148 @@ class Indexer:
             if cancelled():
                 raise listing.Cancelled
 
-        files = self._table("files", M.FILES)
-        base = F.lit(normalized_path_str(root) + "\\")
-        closed: list[str] = []
-        found = listing.list_files(self.spark, root, hidden=self.options.get("allow_hidden", False), unreadable=closed, exclude=self.exclude, cancelled=cancelled)
-        scan = listing.scanned(found, root, **self.options)
-        unreadable = self.spark.createDataFrame([(normalized_path_str(x),) for x in closed], "folder string")
-        scan = persisted(scan.withColumn("root_id", F.lit(root_id)).withColumn("normalized_path", F.concat(base, F.lower("relative_path"))))
-        good = scan.filter("skip_reason IS NULL")
-        others, own = files.filter(F.col("root_id") != root_id), files.filter(F.col("root_id") == root_id)
-        old = maintenance.under(own, unreadable) if rebuild else own
-        change = persisted(maintenance.classify(old, good, M.PARSER_VERSION))
-        found_changes = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}  # four classes
-        skips = scan.filter("skip_reason IS NOT NULL").select("path", "skip_reason")
+        found = listing.list_files(self.spark, root, hidden=self.options.get("allow_hidden", False), exclude=self.exclude, cancelled=cancelled)
+        held.append(found)
+        base = normalized_path_str(root) + "\\"
+        scan = listing.scanned(found, root, **self.options).withColumn("root_id", F.lit(root_id)).withColumn("normalized_path", F.concat(F.lit(base), F.lower("relative_path")))
+        scan = persisted(scan.withColumn("skip_reason", F.when(F.col("problem").isNull(), F.col("skip_reason")).otherwise(F.col("problem"))))
+        seen = {r["skip_reason"]: r["n"] for r in scan.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each reason
+        skips = scan.filter("skip_reason IS NOT NULL").select("root_id", "path", "skip_reason")
+        files = of_root(at, "files", M.FILES, root_id)
+        if seen.get("unreadable"):
+            folders = scan.filter("problem = 'unreadable'").select(F.when(F.col("path") == root, F.lit(normalized_path_str(root))).otherwise(F.col("normalized_path")).alias("folder"))
+            stays = maintenance.under(files, folders).select("normalized_path")
+        else:
+            stays = files.select("normalized_path").limit(0)
+        change = maintenance.classify(files, scan.filter("skip_reason IS NULL"), M.PARSER_VERSION)
+        change = change.join(stays.withColumn("stays", F.lit(True)), "normalized_path", "left")
+        kind = F.when((F.col("change") == "deleted") & F.col("stays"), "kept")
+        if rebuild:
+            kind = kind.when(F.col("change") == "unchanged", "changed")
+        change = persisted(change.withColumn("change", kind.otherwise(F.col("change"))).drop("stays"))
+        n = {r["change"]: (r["n"], r["bytes"] or 0) for r in change.groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes")).collect()}  # five classes
         checked()
-        if not rebuild and found_changes.keys() == {"unchanged"}:  # every file is as it was: only the time it was seen moves
-            seen = own.withColumn("last_seen_run_id", F.lit(run_id).cast("long"))
-            counts = dict.fromkeys(("files_indexed", "files_no_text", "files_failed", "files_deleted", "files_new"), 0)
-            counts |= {"files_discovered": found_changes.get("unchanged", 0), "files_unchanged": found_changes.get("unchanged", 0), "files_skipped": skips.filter("skip_reason <> 'not_supported'").count()}
-            self.store.replace({}, {"files": others.unionByName(seen.select(*M.FILES.fieldNames())), "skips": skips, "runs": self._finished(run_id, "completed", counts)})
-            return
-        dirty = good.join(change.filter("change IN ('new', 'changed')").select("normalized_path", "old_id"), "normalized_path")
-        written, new_units = self._extract(dirty, root_id, run_id, held)
-        merged = maintenance.upsert(old, written.select(*(c for c in M.FILES.fieldNames() if c != "file_id")))
-        merged = maintenance.touch(merged, merged.join(change.filter("change = 'unchanged'").select("normalized_path"), "normalized_path", "left_semi"), run_id)
-        merged = persisted(maintenance.without_unseen(merged, run_id, True, unreadable))
-        counts = self._counters(scan, change, merged, run_id)
+        count = lambda c: n.get(c, (0, 0))[0]
+        counts = dict.fromkeys(_COUNTERS, 0) | {
+            "files_discovered": sum(count(c) for c in ("new", "changed", "unchanged")), "files_unchanged": count("unchanged"), "files_new": count("new"), "files_deleted": count("deleted"),
+            "files_skipped": sum(v for reason, v in seen.items() if reason not in (None, "not_supported", "unreadable")),
+        }
+
+        def committed(rows: DataFrame, parts: dict) -> Change:
+            runs = self._finished(at, root_id, run_id, "completed", counts)
+            return Change(parts | {"files": by_root(at, "files", M.FILES, root_id, rows), "skips": by_root(at, "skips", M.SKIPS, root_id, skips), "runs": by_root(at, "runs", M.RUNS, root_id, runs)}, options=grams.OPTIONS)
+
+        touched = files.withColumn("last_seen_run_id", F.lit(run_id).cast("long"))
+        if n.keys() <= {"unchanged"}:  # every file is as it was: only the time it was seen moves
+            return committed(touched, {})
+        written = persisted(self._extracted(scan, change, at, n, run_id))
+        states = {r["content_status"]: r["n"] for r in written.groupBy("content_status").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few states
+        counts |= {f"files_{c}": states.get(c, 0) for c in ("indexed", "no_text", "failed")}
         checked()
-        # the parts of units that hold something new, changed or gone; the others are not even read
-        touched = change.filter("change <> 'unchanged'").select("normalized_path")
-        ids = merged.select("file_id", "normalized_path")
-        fresh = new_units.join(ids, "normalized_path").withColumn("root_id", F.lit(root_id)).withColumn("unit_id", F.col("file_id") * M.UNIT_STRIDE + F.col("sequence"))
-        where = merged.join(touched, "normalized_path", "left_semi").select("file_id").union(change.filter("change <> 'unchanged' AND old_id IS NOT NULL").select("old_id"))
-        parts = {r["part"] for r in where.select(part_of(F.lit(root_id), F.col("file_id")).alias("part")).distinct().collect()}  # a row for FILES_PER_PART files
-        known = self.store.parts("units")
-        if rebuild:
-            parts |= {p for p in known if p.startswith(f"{root_id}-")}
-        whole = "" in known  # a table that was written whole once: all of it is dealt to parts now
-        old_units = self.store.read("units", None if whole else parts)
-        old_units = old_units.select(*M.UNITS.fieldNames()) if old_units is not None else self.spark.createDataFrame([], M.UNITS)
-        stays = merged.join(change.filter("change IN ('new', 'changed')").select("normalized_path"), "normalized_path", "left_anti").select("file_id")
-        kept = old_units.filter(F.col("root_id") == root_id).join(stays, "file_id", "left_semi").unionByName(old_units.filter(F.col("root_id") != root_id))
-        # the gram index goes with the units: filters of files that stay, and new ones
-        old_grams = self.store.read("grams", None if whole else parts)
-        old_grams = old_grams.select(*GRAMS.fieldNames()) if old_grams is not None else self.spark.createDataFrame([], GRAMS)
-        grams = old_grams.join(kept.select("file_id").distinct(), "file_id", "left_semi").unionByName(gram_filters(fresh))
-        grams = grams.withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
-        units = kept.unionByName(fresh.select(*M.UNITS.fieldNames())).withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
-        if whole:
-            parts |= {r["part"] for r in units.select("part").distinct().collect()}
+        same = touched.join(change.filter("change = 'unchanged'").select("normalized_path"), "normalized_path", "left_semi")
+        same = same.unionByName(files.join(change.filter("change = 'kept'").select("normalized_path"), "normalized_path", "left_semi"))
+        rows = same.unionByName(written.filter("content_status IS NOT NULL").select(*M.FILES.fieldNames()))
+        moved = change.filter("change IN ('changed', 'deleted')").select(F.col("old_id").alias("file_id"))
+        fresh = written.select("file_id", "root_id", F.explode("units").alias("u")).select("file_id", "root_id", "u.*")
+        fresh = fresh.withColumn("unit_id", F.col("file_id") * M.UNIT_STRIDE + F.col("sequence"))
+        number = number_of(F.col("file_id")).alias("k")
+        numbers = [r["k"] for r in moved.select(number).union(written.select(number)).distinct().collect()]  # a row for FILES_PER_PART files
         checked()
-        tables = {"files": others.unionByName(merged.select(*M.FILES.fieldNames())), "skips": skips, "runs": self._finished(run_id, "completed", counts)}
-        self.store.replace({"units": (units, "part", parts), "grams": (grams, "part", parts)}, tables)
+        return committed(rows, units_change(at, root_id, moved, fresh, numbers))
 
-    def _extract(self, dirty: DataFrame, root_id: int, run_id: int, held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-        """File rows and units of new and changed files; each file is opened once, on an executor.
+    def _extracted(self, scan: DataFrame, change: DataFrame, at: Snapshot, n: dict, run_id: int) -> DataFrame:
+        """A row of ``files`` for each new and changed file, with ``units``.  Each file is opened once, on an executor.
 
-        A file that is gone by now gives no row; one that may not be opened is a failed file.
+        A file that is gone by now gives a row without a state; one that may not be opened is a failed file.
         """
+        new = change.filter("change = 'new'").select("root_id", "normalized_path")
+        after = self._next("file_id", n["new"][0], at, "files") if "new" in n else 0
+        ids = maintenance.numbered(new, after).select("normalized_path", "file_id").unionByName(change.filter("change = 'changed'").select("normalized_path", F.col("old_id").alias("file_id")))
+        dirty = scan.join(ids, "normalized_path").select("file_id", "root_id", "path", "normalized_path", "relative_path", "file_name", "extension", "size_bytes", "created_time", "modified_time")
+        return self.parsed(dirty, sum(n.get(c, (0, 0))[0] for c in ("new", "changed")), sum(n.get(c, (0, 0))[1] for c in ("new", "changed")), run_id)
+
+    def parsed(self, dirty: DataFrame, n_files: int, n_bytes: int, run_id: int) -> DataFrame:
+        """``dirty`` files (file_id, root_id, path and what the listing tells) -> rows of ``files`` with ``units``."""
+        max_mb, docx_headers, schema = self.max_mb, self.docx_headers, StructType([*dirty.schema.fields, *(f for f in M.PARSED if f.name != "path")])
+        arrow = to_arrow_schema(schema)
 
-        def load(batches):
-            import pyarrow as pa
+        def read(path: str) -> tuple[bytes | None, M.Outcome | None]:
+            try:
+                with open(path, "rb") as f:
+                    return f.read(), None
+            except FileNotFoundError:
+                return None, M.Outcome.MISSING
+            except PermissionError:
+                return None, M.Outcome.DENIED
+            except OSError:
+                return None, M.Outcome.ERROR
 
+        def run(batches):
             for batch in batches:
-                for path in batch.column(0).to_pylist():
-                    data, problem = None, None
-                    try:
-                        with open(path, "rb") as f:
-                            data = f.read()
-                    except FileNotFoundError:
-                        problem = "missing"
-                    except PermissionError:
-                        problem = "denied"
-                    except OSError:
-                        problem = "error"
-                    yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "content": pa.array([data], pa.binary()), "problem": pa.array([problem], pa.string())})
-
-        spread = dirty.select("path").repartition(max(1, min(1000, int(self.spark.sparkContext.defaultParallelism))))
-        parsed = parse_files(spread.mapInArrow(load, "path string, content binary, problem string"), self.max_mb, self.docx_headers).persist()
-        held.append(parsed)
-        status = F.when(F.col("outcome") == "ok", "indexed").when(F.col("outcome") == "no_text", "no_text").otherwise("failed")
-        rows = dirty.join(parsed, "path").filter("outcome <> 'missing'")
-        written = rows.select(
-            "root_id", F.col("path").alias("display_path"), "normalized_path", "relative_path", "file_name", F.lower("file_name").alias("file_name_folded"), "extension",
+                for own in batch.to_pylist():
+                    data, problem = read(own["path"])
+                    row = own | parse_bytes(own["path"], data, max_mb, problem, docx_headers)
+                    for u in row["units"]:
+                        u["location"] = {f.name: u["location"].get(f.name) for f in M.LOCATION}
+                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+        cores = int(self.spark.sparkContext.defaultParallelism)
+        spread = dirty.repartition(max(1, min(n_files, max(cores, n_bytes // TASK_BYTES))))
+        rows = spread.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
+        status = F.when(F.col("outcome") == "ok", "indexed").when(F.col("outcome") == "no_text", "no_text").when(F.col("outcome") != "missing", "failed")
+        return rows.select(
+            "file_id", "root_id", F.col("path").alias("display_path"), "normalized_path", "relative_path", "file_name", F.lower("file_name").alias("file_name_folded"), "extension",
             mime_category(F.col("extension")).alias("mime_category"), "size_bytes", "created_time", "modified_time", fingerprint(F.col("size_bytes"), F.col("modified_time"), F.lit(M.PARSER_VERSION)).alias("fingerprint"),
             status.alias("content_status"), F.lit(M.PARSER_VERSION).alias("parser_version"), F.size("units").alias("unit_count"),
             F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + F.length(u["text"])).alias("char_count"), F.current_timestamp().alias("indexed_at"),
-            F.lit(run_id).cast("long").alias("last_seen_run_id"), "error_code", "error_message",
+            F.lit(run_id).cast("long").alias("last_seen_run_id"), "error_code", "error_message", F.coalesce("truncated", F.lit(False)).alias("truncated"), F.array_join("warnings", ",").alias("warnings"), "units",
         )
-        units = rows.select("normalized_path", F.explode("units").alias("u")).select("normalized_path", "u.*")
-        return written, units
-
-    def _counters(self, scan: DataFrame, change: DataFrame, merged: DataFrame, run_id: int) -> dict:
-        n = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}  # four classes
-        own = merged.join(change.filter("change IN ('new', 'changed')").select("normalized_path"), "normalized_path", "left_semi")
-        kept = change.filter("change = 'deleted'").join(merged, "normalized_path", "left_semi").count()  # under unreadable folders
-        s = {r["content_status"]: r["count"] for r in own.groupBy("content_status").count().collect()}
-        skipped = scan.filter("skip_reason IS NOT NULL AND skip_reason <> 'not_supported'").count()
-        return {
-            "files_discovered": sum(n.get(k, 0) for k in ("new", "changed", "unchanged")), "files_indexed": s.get("indexed", 0), "files_unchanged": n.get("unchanged", 0), "files_no_text": s.get("no_text", 0),
-            "files_failed": s.get("failed", 0), "files_skipped": skipped, "files_deleted": n.get("deleted", 0) - kept, "files_new": n.get("new", 0),
-        }
 
-    def _without(self, root_id: int) -> dict:
-        """Files and units without a root's."""
-        files, units = self._table("files", M.FILES), self._table("units", M.UNITS)
-        known = self.store.parts("units")
-        parts = known if "" in known else [p for p in known if p.startswith(f"{root_id}-")]
-        left = maintenance.delete_root(units, root_id) if "" in known else units.limit(0)
-        left = left.withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
-        own = [p for p in self.store.parts("grams") if p.startswith(f"{root_id}-")]
-        grams = {"grams": (self.spark.createDataFrame([], GRAMS).withColumn("part", F.lit("")), "part", own)}
-        return {"parts": grams | ({"units": (left, "part", [p for p in parts if p])} if "" not in known else {}), "whole": {"files": maintenance.delete_root(files, root_id)} | ({"units": left.drop("part")} if "" in known else {})}
+    def repair(self) -> list[tuple[str, str, str]]:
+        """Mends damaged parts, and returns what was damaged.
+
+        Units are parsed again for the files of their parts alone, and what of these
+        files is gone is left out; a damaged gram index is built anew from the units.
+        Damage to other tables, which hold what no file tells, is raised.
+        """
+        damaged = self.store.damaged()
+        others = [d for d in damaged if d[0] not in ("units", grams.TABLE) or d[:2] == ("units", WHOLE)]
+        if others:
+            raise Damaged(others)
+        for _, part, _ in (d for d in damaged if d[0] == "units"):
+            root, number = part.split("-")
+
+            def build(at: Snapshot, root_id: int = int(root), number: int = int(number), part: str = part) -> Change:
+                files = at.read("files").filter((F.col("root_id") == root_id) & (number_of(F.col("file_id")) == number))
+                size = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes")).first()
+                again = self.parsed(files.select("file_id", "root_id", F.col("display_path").alias("path"), "normalized_path", "relative_path", "file_name", "extension", "size_bytes", "created_time", "modified_time"), size["n"], size["bytes"] or 0, 0)
+                units = again.select("file_id", "root_id", F.explode("units").alias("u")).select("file_id", "root_id", "u.*").withColumn("unit_id", F.col("file_id") * M.UNIT_STRIDE + F.col("sequence"))
+                return Change({"units": (units.select(*M.UNITS.fieldNames()).withColumn("part", F.lit(part)), "part", [part])})
+
+            self.store.update(build)
+        if any(d[0] == grams.TABLE for d in damaged):
+            grams.rebuilt(self.store)
+        return damaged
+
+    def _without(self, at: Snapshot, root_id: int) -> dict:
+        """The parts of a change that takes a root's files, units and skips out."""
+        nothing = lambda schema: self.spark.createDataFrame([], schema)
+        units = units_change(at, root_id, nothing("file_id long"), nothing(M.UNITS), [], rebuild=True) if "units" in at.tables else {}
+        return units | {name: by_root(at, name, schema, root_id, nothing(schema)) for name, schema in (("files", M.FILES), ("skips", M.SKIPS)) if name in at.tables}
 
     def clear_content(self, root: str) -> None:
         """The root's files and units go; the root and its runs stay."""
-        root_id, roots = self.root_id(root)
-        without = self._without(root_id)
-        self.store.replace(without["parts"], without["whole"] | {"roots": roots})
+
+        def build(at: Snapshot) -> Change:
+            root_id, roots = self.root_id(root, at)
+            return Change(self._without(at, root_id), {"roots": roots})
+
+        self.store.update(build)
 
     def delete_root(self, root: str) -> None:
-        root_id, roots = self.root_id(root)
-        without = self._without(root_id)
-        self.store.replace(without["parts"], without["whole"] | {"runs": maintenance.delete_root(self._table("runs", M.RUNS), root_id), "roots": roots.filter(F.col("root_id") != root_id)})
+        def build(at: Snapshot) -> Change:
+            root_id, roots = self.root_id(root, at)
+            runs = {"runs": by_root(at, "runs", M.RUNS, root_id, self.spark.createDataFrame([], M.RUNS))} if "runs" in at.tables else {}
+            return Change(self._without(at, root_id) | runs, {"roots": roots.filter(F.col("root_id") != root_id)})
+
+        self.store.update(build)

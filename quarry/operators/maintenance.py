@@ -20,6 +20,11 @@ def classify(old: DataFrame, scan: DataFrame, parser_version: int) -> DataFrame:
     return both.select(*_KEY, "old_id", "size_bytes", "modified_time", change.alias("change"))
 
 
+def numbered(rows: DataFrame, after: int) -> DataFrame:
+    """``rows`` with dense file_ids above ``after``."""
+    return _numbered(rows, after)
+
+
 def upsert(old: DataFrame, written: DataFrame) -> DataFrame:
     """Rows by (root_id, normalized_path): written ones replace old ones and keep their ids; new rows get fresh ids.
 

@@ -12,7 +12,6 @@ flags and counts, so texts are read again for the page's rows alone (``locations
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
@@ -26,7 +25,11 @@ from quarry.functions.text import normalized_path_str
 from quarry.operators import context, grams, ranking, snippets
 from quarry.plans.patterns import all_of, any_of, candidate, name_matches, unit_matches
 from quarry.plans.query import Parsed, QueryError, Term, parse
-from quarry.sources.store import part_of
+from quarry.sources.store import WHOLE, Snapshot, SnapshotStore
+
+
+#: Units from which on a search asks the gram index first: below, one scan takes less time than the index's two small jobs.
+INDEXED_ROWS = 1_000_000
 
 
 def metadata_filter(f: M.Filters, compat: bool = False) -> Column:
@@ -62,35 +65,48 @@ def _bounds(request: M.Request) -> tuple[int, int]:
 class SearchEngine:
     """``files`` and ``units`` as in ``quarry.model``; display_path falls back to normalized_path.
 
-    ``grams``: filters of ``quarry.operators.grams``, for searching only files that
-    may match; ``read_parts``: reads the units of some parts of the files' ids.
+    ``at``: the snapshot that both are from; its parts are pruned by root and, where
+    ``indexed``, by the gram index.  ``roots``: the paths of roots by their ids.
     """
 
-    def __init__(self, files: DataFrame, units: DataFrame, grams: DataFrame | None = None, read_parts: Callable[[list[str]], DataFrame] | None = None):
+    def __init__(self, files: DataFrame, units: DataFrame, at: Snapshot | None = None, indexed: bool = False, roots: dict[int, str] | None = None):
         if "display_path" not in files.columns:
             files = files.withColumn("display_path", F.col("normalized_path"))
-        self.files, self.units, self.grams, self.read_parts = files, units, grams, read_parts
+        self.files, self.units, self.at, self.indexed, self.roots = files, units, at, indexed and at is not None, roots or {}
 
     @classmethod
-    def open(cls, store, indexed: bool = False) -> SearchEngine:
-        """An engine over a snapshot store; ``indexed``: with its gram index, if it has one."""
-        grams = store.read("grams") if indexed else None
-        parts = "" not in store.parts("units")
-        return cls(store.read("files"), store.read("units"), grams, (lambda names: store.read("units", names)) if grams is not None and parts else None)
+    def open(cls, store: SnapshotStore, indexed: bool | None = None) -> SearchEngine:
+        """An engine over the store's present snapshot.
+
+        ``indexed``: whether to ask the gram index first; by default where ``units``
+        has INDEXED_ROWS rows or more.  The hits are the same.
+        """
+        at = store.snapshot()
+        roots = {r["root_id"]: r["display_path"] for r in at.read("roots").collect()} if "roots" in at.tables else {}  # one row per configured root
+        if indexed is None:
+            indexed = sum(p.get("rows", 0) for p in at.tables.get("units", {}).values()) >= INDEXED_ROWS
+        return cls(at.read("files"), at.read("units"), at, indexed, roots)
 
     def _files(self, request: M.Request) -> DataFrame:
-        rows = self.files if request.root_id is None else self.files.filter(F.col("root_id") == request.root_id)
-        return rows.filter(metadata_filter(request.filters, request.compat)) if request.filters.active else rows
+        if request.root_id is None:
+            rows, filters = self.files, request.filters
+        else:
+            rows = self.files.filter(F.col("root_id") == request.root_id)
+            filters = within_root(request.filters, self.roots[request.root_id]) if request.root_id in self.roots else request.filters
+        return rows.filter(metadata_filter(filters, request.compat)) if filters.active else rows
 
     def _units(self, request: M.Request, parsed: Parsed | None = None) -> DataFrame:
         """The units of the request's root; for a parsed query only those of files that may match."""
         units = self.units
-        found = grams.candidates(self.grams, parsed) if self.grams is not None and parsed is not None else None
+        found = grams.candidates(self.at, units.sparkSession, parsed) if self.indexed and parsed is not None else None
+        if self.at is not None and WHOLE not in (parts := self.at.parts("units")):
+            if request.root_id is not None:
+                parts = [p for p in parts if p.startswith(f"{request.root_id}-")]
+            if found is not None:
+                parts = found.parts(parts)
+            units = self.at.read("units", parts)
         if found is not None:
-            found = found if request.root_id is None else found.filter(F.col("root_id") == request.root_id)
-            if self.read_parts is not None:  # a name for FILES_PER_PART files
-                units = self.read_parts([r["part"] for r in found.select(part_of(F.col("root_id"), F.col("file_id")).alias("part")).distinct().collect()])
-            units = units.join(found.select("file_id"), "file_id", "left_semi")
+            units = units.join(found.rows, "file_id", "left_semi")
         return units if request.root_id is None else units.filter(F.col("root_id") == request.root_id)
 
     def name_hits(self, request: M.Request, parsed: Parsed) -> Column:
@@ -169,15 +185,15 @@ class SearchEngine:
         rows = self.files.sparkSession.createDataFrame(found, page.schema).drop("n_hits")
         return Page(rows, total, total > offset + limit, parsed.warnings)
 
-    def locations(self, request: M.Request, page: DataFrame, per_file: int = M.SNIPPETS_PER_FILE) -> DataFrame:
-        """The first verified units, by sequence, of each file of a page."""
+    def locations(self, request: M.Request, page: DataFrame, per_file: int | None = None) -> DataFrame:
+        """The first verified units, by sequence, of each file of a page; ``per_file`` of them, or as many as the request says."""
         parsed = parse(request.query, exact_phrase=request.exact_phrase)
         shown = any_of([unit_matches(t, F.col("text"), request.match_case, request.whole_word) for t in parsed.terms])
         own = self._units(request).filter(shown).join(page.select("file_id"), "file_id", "left_semi")
         order = Window.partitionBy("file_id").orderBy("sequence")
-        return own.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= per_file)
+        return own.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= (per_file or request.snippets_per_file))
 
-    def snippets(self, request: M.Request, page: DataFrame, per_file: int = M.SNIPPETS_PER_FILE) -> DataFrame:
+    def snippets(self, request: M.Request, page: DataFrame, per_file: int | None = None) -> DataFrame:
         """``locations`` with snippet and highlights: cells show their row, other short units their neighbourhood."""
         parsed, units = parse(request.query, exact_phrase=request.exact_phrase), self._units(request)
         args = (request.match_case, request.whole_word)
@@ -215,7 +231,7 @@ def within_root(filters: M.Filters, root: str) -> M.Filters:
 RETRY_AFTER = 0.12
 
 
-def search_store(store, request: M.Request, attempts: int = 2, indexed: bool = False) -> Page:
+def search_store(store: SnapshotStore, request: M.Request, attempts: int = 2, indexed: bool | None = None) -> Page:
     """A search of a snapshot store's files and units.
 
     A snapshot that is expired while it is read makes a search fail; it is then

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from quarry.operators.search import SearchEngine, existence
 from quarry.plans.oracle import ORACLE_SQL
 from quarry.plans.query import parse
 from quarry.sources import adapters, listing
+from quarry.sources.store import SnapshotStore, part_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _HIT = ["file_id", "match_source", "match_count", "score"]
@@ -101,11 +104,23 @@ for _sort in ("name", "type", "size", "modified", "path"):
 _ranked("page_offset", "tion", scope=CONTENT, limit=20, offset=40)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """The tables in a store of their own, with units in parts and a gram index, in the folder that the cluster shares."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    store = SnapshotStore(spark, f"{(found or 'file://' + tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/store-{uuid.uuid4().hex}")
+    units = adapters.units(spark, sf_dir).withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
+    parts = [r["part"] for r in adapters.files(spark, sf_dir).select(part_of(F.col("root_id"), F.col("file_id")).alias("part")).distinct().collect()]  # a row for FILES_PER_PART files
+    store.replace({"units": (units, "part", parts)}, {"files": adapters.files(spark, sf_dir)})
+    grams.rebuilt(store)
+    return store
+
+
 @_query
 def search_with_grams(spark, sf_dir):
-    """Two terms, looked for only in files whose gram filters allow them."""
-    files, units = adapters.files(spark, sf_dir), adapters.units(spark, sf_dir)
-    return _shown(SearchEngine(files, units, grams.gram_filters(units)).hits(M.Request("ention ther*ing", scope=CONTENT)))
+    """Two terms, looked for only in files that a stored gram index names."""
+    return _shown(SearchEngine.open(_stored(spark, sf_dir), indexed=True).hits(M.Request("ention ther*ing", scope=CONTENT)))
 
 
 @_query

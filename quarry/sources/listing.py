@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ EXECUTABLE_EXTENSIONS = (
 TEMP_PREFIXES = ("~$", ".~lock.")
 
 LISTING_DDL = "path string, file_name string, size_bytes long, created_time double, modified_time double, hidden boolean, system boolean, is_link boolean"
+ROWS_DDL = LISTING_DDL + ", problem string"
 
 
 #: Kinds of drives that are no roots, and their verdicts.
@@ -69,56 +73,170 @@ def _kind(entry: os.DirEntry) -> str:
     return "folder" if entry.is_dir(follow_symlinks=False) else "file" if entry.is_file(follow_symlinks=False) else "other"
 
 
-def walk(root: str, hidden: bool = False, unreadable: list[str] | None = None, exclude: tuple[str, ...] = (), cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple]:
-    """One stat per entry, links never followed.
+class _Tree:
+    """How one folder is looked at; what it holds is not followed."""
 
-    Entries that vanish meanwhile are left out; folders and files that can't be
-    read are left out and added to ``unreadable``.  ``exclude``: further folders
-    (the program's own data).  Raises Cancelled between entries.
-    """
-    stack, closed = [root], [] if unreadable is None else unreadable
-    at_top = os.path.dirname(root.rstrip("/")) in ("", "/")
-    own = {os.path.realpath(x) for x in exclude}
-    while stack:
-        folder = stack.pop()
+    def __init__(self, root: str, hidden: bool = False, exclude: tuple[str, ...] = ()):
+        self.root, self.hidden = root, hidden
+        self.at_top = os.path.dirname(root.rstrip("/")) in ("", "/")
+        self.own = {os.path.realpath(x) for x in exclude}
+
+    def visit(self, folder: str) -> Iterator[tuple[str, object]]:
+        """("file", row of LISTING_DDL), ("folder", path) and ("unreadable", path), as the system gives them.
+
+        One stat per entry, links never followed.  Entries that vanish meanwhile are left out.
+        """
         try:
             with os.scandir(folder) as found:
-                entries = sorted(found, key=lambda e: e.name)
+                for e in found:
+                    yield from self._entry(folder, e)
+        except FileNotFoundError:
+            if folder == self.root:
+                yield "unreadable", folder  # a root that is gone tells nothing about its files
+        except OSError:
+            yield "unreadable", folder
+
+    def _entry(self, folder: str, e: os.DirEntry) -> Iterator[tuple[str, object]]:
+        try:
+            kind, low = _kind(e), e.name.lower()
+            if kind == "folder":
+                top = self.at_top and folder == self.root and low in DRIVE_ROOT_DIRECTORIES
+                if not (low in EXCLUDED_DIRECTORIES or top or low.startswith(".") and not self.hidden or os.path.realpath(e.path) in self.own):
+                    yield "folder", e.path
+            elif kind != "other":
+                st = e.stat(follow_symlinks=False)
+                yield "file", (e.path, e.name, st.st_size, st.st_ctime, st.st_mtime, e.name.startswith("."), False, kind == "link")
         except FileNotFoundError:
-            if folder == root:
-                closed.append(folder)  # a root that is gone tells nothing about its files
-            continue
+            return
         except OSError:
-            closed.append(folder)
-            continue
-        for e in entries:
+            yield "unreadable", e.path
+
+
+def walk(root: str, hidden: bool = False, unreadable: list[str] | None = None, exclude: tuple[str, ...] = (), cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple]:
+    """The files of a tree, in this process.
+
+    Folders and files that can't be read are left out and added to ``unreadable``.
+    ``exclude``: further folders (the program's own data).  Raises Cancelled between entries.
+    """
+    tree, stack, closed = _Tree(root, hidden, exclude), [root], [] if unreadable is None else unreadable
+    while stack:
+        for kind, what in tree.visit(stack.pop()):
             if cancelled():
                 raise Cancelled
-            try:
-                kind, low = _kind(e), e.name.lower()
+            if kind == "file":
+                yield what
+            else:
+                (stack if kind == "folder" else closed).append(what)
+
+
+#: Entries of a tree that are looked at before executors are asked: a small tree needs no job.
+HEAD_ENTRIES = 4096
+#: Entries after which a task gives the folders that it still has back, to be dealt anew.
+TASK_ENTRIES = 50_000
+#: Open folders for each task of a round.
+TASK_FOLDERS = 16
+_ROWS = 2048
+
+
+def _row(kind: str, what) -> tuple:
+    """A row of ROWS_DDL."""
+    return (*what, None) if kind == "file" else (what, *[None] * 7, kind)
+
+
+def _staging(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return f"{found.rstrip('/')}/listing-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return "file://" + tempfile.mkdtemp(prefix="quarry-listing-")
+
+
+def _round(tree: _Tree, entries: int):
+    """mapInArrow: folders -> rows of ``list_files``, and the folders left over after ``entries`` entries (problem "open")."""
+    fields = [f.strip().split(" ")[0] for f in ROWS_DDL.split(",")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[f.strip().split(" ")[1]]) for n, f in zip(fields, ROWS_DDL.split(","))])
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches):
+        stack, rows, seen = [], [], 0
+        for b in batches:
+            stack += b.column(0).to_pylist()
+        while stack and seen < entries:
+            for kind, what in tree.visit(stack.pop()):
+                seen += 1
                 if kind == "folder":
-                    top = at_top and folder == root and low in DRIVE_ROOT_DIRECTORIES
-                    if not (low in EXCLUDED_DIRECTORIES or top or low.startswith(".") and not hidden or os.path.realpath(e.path) in own):
-                        stack.append(e.path)
-                elif kind != "other":
-                    st = e.stat(follow_symlinks=False)
-                    yield e.path, e.name, st.st_size, st.st_ctime, st.st_mtime, e.name.startswith("."), False, kind == "link"
-            except FileNotFoundError:
-                continue
-            except OSError:
-                closed.append(e.path)
+                    stack.append(what)
+                else:
+                    rows.append(_row(kind, what))
+                if len(rows) >= _ROWS:
+                    yield batch(rows)
+                    rows = []
+        rows += [_row("open", folder) for folder in stack]
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def list_files(spark: SparkSession, root: str, hidden: bool = False, exclude: tuple[str, ...] = (), cancelled: Callable[[], bool] = lambda: False, head: int = HEAD_ENTRIES) -> DataFrame:
+    """The files of a tree, a row each, and a row with problem "unreadable" for what can't be read.
+
+    Beyond the first ``head`` entries the executors look: round by round, each task
+    walks down from some folders, and gives back what it has not come to when it has
+    seen TASK_ENTRIES entries, so that deep and wide trees spread over all tasks.  The
+    driver holds ``head`` rows and no more, and counts the open folders of a round.
+    Rounds are written to the shared folder; ``forget`` deletes them.
+    """
+    tree, stack, rows, seen = _Tree(root, hidden, exclude), [root], [], 0
+    while stack and seen < head:
+        folder, own, below = stack.pop(), [], []
+        for kind, what in tree.visit(folder):
+            if cancelled():
+                raise Cancelled
+            seen += 1
+            if kind == "folder":
+                below.append(what)
+            else:
+                own.append(_row(kind, what))
+            if seen >= head:  # too large a folder: an executor begins it anew
+                own, below = [], [folder]
+                break
+        rows += own
+        stack += below
+    found = spark.createDataFrame(rows, ROWS_DDL)
+    if not stack:
+        return found
+    staging, frontier, n, made = _staging(spark), spark.createDataFrame([(x,) for x in stack], "path string"), len(stack), []
+    while n:
+        if cancelled():
+            raise Cancelled
+        tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, n // TASK_FOLDERS)))
+        made.append(f"{staging}/{len(made)}")
+        frontier.repartition(tasks).mapInArrow(_round(tree, TASK_ENTRIES), ROWS_DDL).write.parquet(made[-1])
+        frontier = spark.read.schema(ROWS_DDL).parquet(made[-1]).filter("problem = 'open'").select("path")
+        n = frontier.count()
+    found = found.unionByName(spark.read.schema(ROWS_DDL).parquet(*made).filter("problem IS NULL OR problem <> 'open'"))
+    found._staging = staging
+    return found
 
 
-def list_files(spark: SparkSession, root: str, hidden: bool = False, unreadable: list[str] | None = None, **options) -> DataFrame:
-    """A local tree as a DataFrame (for paths in a store, ``list_store``)."""
-    return spark.createDataFrame(list(walk(root, hidden, unreadable, **options)), LISTING_DDL)
+def forget(listing: DataFrame) -> None:
+    """Deletes what ``list_files`` has written, when nothing reads it any more."""
+    if staging := getattr(listing, "_staging", None):
+        spark = listing.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def list_store(spark: SparkSession, path: str) -> DataFrame:
     """Any store that Spark reads: paths, sizes and times only; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return found.select("path", name.alias("file_name"), F.col("length").alias("size_bytes"), F.lit(None).cast("double").alias("created_time"), F.col("modificationTime").cast("double").alias("modified_time"), name.startswith(".").alias("hidden"), F.lit(False).alias("system"), F.lit(False).alias("is_link"))
+    return found.select("path", name.alias("file_name"), F.col("length").alias("size_bytes"), F.lit(None).cast("double").alias("created_time"), F.col("modificationTime").cast("double").alias("modified_time"), name.startswith(".").alias("hidden"), F.lit(False).alias("system"), F.lit(False).alias("is_link"), F.lit(None).cast("string").alias("problem"))
 
 
 # Attribute bits of files that are temporary, or whose content is not on this machine (offline, recall on open, recall on access).
@@ -154,4 +272,4 @@ def scanned(listing: DataFrame, root: str, **options) -> DataFrame:
     return listing.withColumn("skip_reason", skip_reason(**options)).withColumn("extension", extension_of(F.col("file_name"))).withColumn("relative_path", rel)
 
 
-__all__ = ["Cancelled", "display_path_str", "list_files", "list_store", "normalized_path_str", "scanned", "skip_reason", "validate_root", "walk"]
+__all__ = ["Cancelled", "display_path_str", "forget", "list_files", "list_store", "normalized_path_str", "scanned", "skip_reason", "validate_root", "walk"]

@@ -26,8 +26,8 @@ class Settings:
         return {"extensions": extensions, "max_mb": self.max_file_mb, "allow_hidden": self.hidden_files, "docx_headers": self.docx_headers}
 
     def request(self, query: str, **options) -> M.Request:
-        """A search with this limit, unless it names another."""
-        return M.Request(query, **({"limit": self.result_limit} | options))
+        """A search with this limit and these snippets, unless it names others."""
+        return M.Request(query, **({"limit": self.result_limit, "snippets_per_file": self.snippets_per_file} | options))
 
 
 def load(path: str) -> Settings:

@@ -11,7 +11,7 @@ from quarry.operators.indexing import Indexer
 from quarry.sources import listing
 from quarry.sources import store as store_module
 from quarry.sources.parsers import parse_bytes
-from quarry.sources.store import Conflict, SnapshotStore
+from quarry.sources.store import Change, Conflict, SnapshotStore
 
 
 def _tree(root, names):
@@ -40,7 +40,7 @@ def test_cancelled_and_failed_runs_change_nothing(spark, tmp_path, monkeypatch):
         raise OSError("the disk is full")
 
     with monkeypatch.context() as m:
-        m.setattr(maintenance, "upsert", broken)
+        m.setattr(maintenance, "classify", broken)
         with pytest.raises(OSError):
             index.run(str(root))
     assert _names(store) == ["a.txt", "b.txt"]
@@ -140,10 +140,10 @@ def test_a_crash_before_the_pointer_moves_leaves_the_old_version(spark, tmp_path
     reader = store.read("t")
     store.publish({"t": spark.range(7)})
     assert reader.count() == 5 and store.read("t").count() == 7  # an open reader keeps its version
-    stale = store.current()
+    stale = store.snapshot()
     store.publish({"t": spark.range(8)})
     with pytest.raises(Conflict):
-        store._point("v", stale, {}, {})
+        store.commit(Change(whole={"t": spark.range(9)}), stale)
     assert store.read("t").count() == 8
 
 

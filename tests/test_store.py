@@ -1,0 +1,223 @@
+"""Two writers, crashes, expiry beside a writer, quarantine, savepoints, damage and repair."""
+
+import glob
+import os
+import time
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from quarry import model as M
+from quarry.operators import grams
+from quarry.operators.indexing import Indexer
+from quarry.operators.search import search_store
+from quarry.sources import store as store_module
+from quarry.sources.store import WHOLE, Change, Conflict, Damaged, SnapshotStore
+
+
+def rows(spark, **parts):
+    """A table of parts: each with the given numbers."""
+    return spark.createDataFrame([(p, i) for p, own in parts.items() for i in own], "part string, id long")
+
+
+def held(store, table="t"):
+    return sorted(r["id"] for r in store.read(table).collect())
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    made = SnapshotStore(spark, str(tmp_path / "s"))
+    made.replace({"t": (rows(spark, a=[1, 2], b=[3]), "part", ["a", "b"])})
+    return made
+
+
+def test_writers_of_different_parts_both_succeed(spark, store):
+    base = store.snapshot()
+    store.commit(Change({"t": (rows(spark, a=[10]), "part", ["a"])}), base)
+    store.commit(Change({"t": (rows(spark, b=[30], c=[40]), "part", ["b", "c"])}, {"other": spark.range(2)}), base)
+    assert held(store) == [10, 30, 40] and store.read("other").count() == 2
+    store.verify()
+
+
+def test_writers_of_one_part_merge(spark, store):
+    base = store.snapshot()
+    store.commit(Change({"t": (rows(spark, a=[1, 2, 10]), "part", ["a"])}), base)
+    with pytest.raises(Conflict):
+        store.commit(Change({"t": (rows(spark, a=[1, 2, 20]), "part", ["a"])}), base)
+    asked = []
+
+    def build(at):
+        asked.append(at.number)
+        if len(asked) == 1:  # another writer is faster
+            store.commit(Change({"t": (at.read("t", ["a"]).union(spark.range(30, 31)).withColumn("part", F.lit("a")), "part", ["a"])}), at)
+        return Change({"t": (at.read("t", ["a"]).union(spark.range(20, 21)).withColumn("part", F.lit("a")), "part", ["a"])})
+
+    store.update(build)
+    assert len(asked) == 2 and held(store) == [1, 2, 3, 10, 20, 30]
+
+
+def test_tables_that_were_read_may_not_change(spark, store):
+    store.publish({"names": spark.range(3)})
+    base = store.snapshot()
+    store.publish({"names": spark.range(4)})
+    with pytest.raises(Conflict):
+        store.commit(Change({"t": (rows(spark, a=[5]), "part", ["a"])}, reads=frozenset({"names"})), base)
+    store.commit(Change({"t": (rows(spark, a=[5]), "part", ["a"])}), base)
+    with pytest.raises(Conflict):  # a table that was replaced whole conflicts with its parts
+        store.publish({"t": spark.range(2)})
+        store.commit(Change({"t": (rows(spark, z=[5]), "part", ["z"])}), base)
+
+
+def test_numbers_are_given_once(store, spark):
+    assert [store.reserve("n", 3), store.reserve("n", 2), store.reserve("m", 1, 100), store.reserve("n", 1, 50)] == [0, 3, 100, 50]
+    other = SnapshotStore(spark, store.root)
+    assert other.reserve("n", 1) == 51 and held(store) == [1, 2, 3]
+    assert not store._claim(_small(store), "_snapshot-000000000001")  # a number that is there is not replaced
+
+
+def _small(store):
+    store._put(".x", {})
+    return ".x"
+
+
+@pytest.mark.parametrize("step", ["_written", "_sums", "_claim", "_next"])
+def test_a_crash_at_any_step_leaves_the_old_version(store, spark, monkeypatch, step):
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotStore, step, lambda *args, **kw: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            store.replace({"t": (rows(spark, a=[9]), "part", ["a"])})
+    assert held(store) == [1, 2, 3] and store.verify() == {"t": 3}
+    store.replace({"t": (rows(spark, a=[9]), "part", ["a"])})
+    assert held(store) == [3, 9]
+
+
+def test_expire_beside_a_writer(store, spark, monkeypatch):
+    original, gone = SnapshotStore._sums, []
+
+    def sums(self, *args):  # the folders are written, and no pointer names them yet
+        gone.extend(SnapshotStore(spark, store.root).expire())
+        return original(self, *args)
+
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotStore, "_sums", sums)
+        store.replace({"t": (rows(spark, b=[7]), "part", ["b"])})
+    assert gone == [] and held(store) == [1, 2, 7]
+    with monkeypatch.context() as m:  # a writer that died leaves its mark, which counts for the lease
+        m.setattr(SnapshotStore, "_point", lambda *args: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            store.replace({"t": (rows(spark, b=[8]), "part", ["b"])})
+    dead = store.expire()
+    assert len(dead) == 1 and held(store) == [1, 2, 7]
+    store._put("_writing-abandoned", {"began": time.time() - 100})
+    os.mkdir(f"{store.root}/abandoned")
+    assert store.expire(lease=1000) == [] and store.expire(lease=10) == ["abandoned"] and store.expire(lease=10) == []
+    store.verify()
+
+
+def test_quarantined_data_stay(store, spark):
+    store.replace({"t": (rows(spark, a=[5]), "part", ["a"])})
+    mark = store.quarantine()
+    assert mark and store.current() is None and store.read("t") is None
+    assert store.expire() == []
+    pointer = store._json(store._names(mark)[-1])
+    assert sorted(r["id"] for p in pointer["tables"]["t"].values() for r in spark.read.parquet(store.path(p["at"])).collect()) == [3, 5]
+    store.publish({"t": spark.range(2)})
+    store.expire()
+    assert held(store) == [0, 1] and store._names(mark)
+    assert SnapshotStore(spark, store.root + "-none").quarantine() is None
+
+
+def test_savepoints(store, spark):
+    store.savepoint("first")
+    for i in range(6):  # more commits than pointers stay
+        store.replace({"t": (rows(spark, a=[100 + i], b=[200 + i]), "part", ["a", "b"])})
+    store.reserve("n", 5)
+    assert store.expire() and store.savepoints() == ["first"]
+    store.restore("first")
+    assert held(store) == [1, 2, 3] and store.verify() == {"t": 3} and store.reserve("n", 1) == 5
+    store.release("first")
+    assert store.savepoints() == [] and held(store) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        SnapshotStore(spark, store.root + "-none").savepoint("x")
+
+
+def flipped(folder):
+    """The last byte of a column's dictionary, or of its data, is another one."""
+    path = max(glob.glob(f"{folder}/**/part-*.parquet", recursive=True), key=os.path.getsize)
+    column = max((pq.ParquetFile(path).metadata.row_group(0).column(i) for i in range(pq.ParquetFile(path).metadata.num_columns)), key=lambda c: c.total_compressed_size)
+    at = column.data_page_offset - 1 if column.dictionary_page_offset else column.data_page_offset + column.total_compressed_size - 1
+    data = bytearray(open(path, "rb").read())
+    data[at] ^= 0x41
+    with open(path, "wb") as f:
+        f.write(data)
+    crc = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+
+
+def test_damage_is_named(store, spark):
+    store.publish({"whole": spark.range(1000)})
+    assert store.damaged() == []
+    tables = store.current()["tables"]
+    flipped(store.path(tables["t"]["a"]["at"]))
+    flipped(store.path(tables["whole"][WHOLE]["at"]))
+    found = store.damaged()
+    assert {d[:2] for d in found} == {("t", "a"), ("whole", WHOLE)} and {d[2] for d in found} <= {"changed", "unreadable"}
+    with pytest.raises(Damaged) as e:
+        store.verify()
+    assert "t/a" in str(e.value)
+
+
+def test_rows_that_vanished_are_damage(store, spark):
+    at = store.current()["tables"]["t"]["a"]["at"]
+    spark.createDataFrame([(1,), (1,)], "id long").write.mode("overwrite").parquet(store.path(at))
+    assert store.damaged() == [("t", "a", "changed")]  # as many rows, others
+
+
+def test_units_are_repaired_from_their_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FILES_PER_PART", 2)
+    root, store = tmp_path / "docs", SnapshotStore(spark, str(tmp_path / "store"))
+    root.mkdir()
+    for i in range(6):
+        (root / f"f{i}.txt").write_bytes(f"common token{i}x{i}\nline two".encode())
+    index = Indexer(spark, store)
+    index.run(str(root))
+    assert index.repair() == []
+    units = sorted(map(repr, store.read("units").collect()))
+    before = store.current()["tables"]["units"]
+    part = sorted(before)[1]
+    flipped(store.path(before[part]["at"]))
+    assert [d[:2] for d in index.repair()] == [("units", part)]
+    after = store.current()["tables"]["units"]
+    assert [p for p in before if before[p] != after[p]] == [part]
+    assert sorted(map(repr, store.read("units").collect())) == units
+    assert sum(store.verify().values()) > 0
+    lists = store.current()["tables"][grams.TABLE]
+    flipped(store.path(max(lists.values(), key=lambda x: x["rows"])["at"]))
+    assert index.repair()[0][0] == grams.TABLE
+    assert all(search_store(store, M.Request(f"token{i}x{i}", scope=M.Scope.CONTENT), indexed=True).total == 1 for i in range(6))
+    store.verify()
+    flipped(store.path(store.current()["tables"]["files"]["1"]["at"]))
+    with pytest.raises(Damaged):
+        index.repair()
+
+
+def test_two_roots_have_ids_of_their_own(spark, tmp_path):
+    """Files of two roots never share an id, and each root's tables are parts of their own."""
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    index = Indexer(spark, store)
+    for name in "ab":
+        root = tmp_path / name
+        root.mkdir()
+        for i in range(3):
+            (root / f"{name}{i}.txt").write_bytes(f"shared words of {name}".encode())
+        assert index.run(str(root))["files_new"] == 3
+    files = store.read("files")
+    assert files.select("file_id").distinct().count() == 6 and set(store.parts("files")) == {"1", "2"}
+    assert search_store(store, M.Request("shared", scope=M.Scope.CONTENT)).total == 6
+    assert search_store(store, M.Request("shared", scope=M.Scope.CONTENT, root_id=2)).total == 3
+    first = store.current()["tables"]["files"]["1"]
+    os.remove(tmp_path / "b" / "b0.txt")
+    index.run(str(tmp_path / "b"))
+    assert store.current()["tables"]["files"]["1"] == first and search_store(store, M.Request("shared", scope=M.Scope.CONTENT)).total == 5
