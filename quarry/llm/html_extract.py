@@ -13,8 +13,9 @@ descendant never contradict.
 
 Scripts, styles, templates, comments, form controls and the head never hold
 text; they are removed while the tree is built.  Building it is linear in the
-page, however deep it nests: every node knows the open elements that an opening
-tag may close, and end tags without an open element are told by counters.
+page, however deep it nests and however broken it is: tags are read without going
+back, every node knows the open elements that an opening tag may close, and end tags
+without an open element are told by counters.
 
 The trees are trained here, in numpy, on PAGES made-up pages (``made_page``)
 whose main blocks are known: navigation, headers, footers, sidebars, adverts,
@@ -37,7 +38,7 @@ import re
 import zlib
 from collections import Counter
 from functools import cache, lru_cache
-from html.parser import HTMLParser
+from html import unescape
 from typing import NamedTuple
 
 import numpy as np
@@ -89,26 +90,96 @@ class Node:
         self.near: tuple[Node | None, ...] = tuple(None if tag in hides else self if tag in closed and parent is not None else n for (closed, hides), n in zip(_ENDED, above))
 
 
-class _Tree(HTMLParser):
+#: Elements whose content is no markup, up to their end tag.
+_RAW = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in ("script", "style")}
+_NAME = re.compile(r"[a-zA-Z][^\s/>\0]*+")
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?+""")
+_TAG_END = re.compile(r"[\s/]*+>")
+#: More digits than ``unescape`` can read; no such character exists.
+_ENDLESS = re.compile("&#[0-9]{1000,};?")
+
+
+def _unescaped(text: str) -> str:
+    return unescape(_ENDLESS.sub("\ufffd", text)) if "&" in text else text
+
+
+class _Tree:
+    """Reads a page from left to right, every character a bounded number of times."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
         self.silent: list[str] = []
+        self.held: Counter[str] = Counter()  # tags in ``silent``
+        self.tight = 0  # how many of them are not LOOSE
         self.inside: dict[str, int] = {}  # open blocks inside silent elements
         self.open: Counter[str] = Counter()  # tags of the open blocks
         self.links = 0
-
-    def text(self, data: str):
-        own = self.at.children
-        if own and isinstance(own[-1], str):
-            own[-1] += data
-        else:
-            own.append(data)
+        self.run: list[str] = []  # the pieces of the text that ``at`` ends with
+
+    def read(self, page: str):
+        """Tags, texts and comments in turn; what a page that is cut off has begun, a tag or a comment, is dropped."""
+        at, n = 0, len(page)
+        while at < n:
+            found = page.find("<", at)
+            if found < 0:
+                found = n
+            if found > at:
+                self.data(_unescaped(page[at:found]))
+            at = found
+            if at == n:
+                break
+            mark = page[at + 1 : at + 2]
+            if mark.isascii() and mark.isalpha():
+                at = self.start(page, at + 1)
+            elif mark == "/" and (name := _NAME.match(page, at + 2)) is not None:
+                end = page.find(">", name.end())
+                if end >= 0:
+                    self.end_tag(name[0].lower())
+                at = end + 1 if end >= 0 else n
+            elif mark in ("/", "!", "?") and mark:
+                comment = page.startswith("<!--", at)
+                close = "-->" if comment else ">"
+                end = at + 4 if comment and page.startswith(">", at + 4) else page.find(close, at + 2 + 2 * comment)
+                at = n if end < 0 else at + 5 if comment and end == at + 4 and page[end] == ">" else end + len(close)
+            else:
+                self.data("<")
+                at += 1
+        self.flush()
+
+    def start(self, page: str, at: int) -> int:
+        """The opening tag whose name begins at ``at``; where it ends."""
+        name = _NAME.match(page, at)
+        tag, at, said = name[0].lower(), name.end(), []
+        while (end := _TAG_END.match(page, at)) is None:
+            found = _ATTRIBUTE.match(page, at)
+            if found is None or found.end() == len(page):
+                return len(page)
+            at = found.end()
+            if found[1].lower() in ("class", "id", "role", "aria-label", "itemprop"):
+                value = next((v for v in found.groups()[1:] if v is not None), None)
+                if value:
+                    said.append(_unescaped(value))
+            elif found[0].endswith("=") and page[at : at + 1] in ('"', "'"):  # a value that is never closed
+                return len(page)
+        at = end.end()
+        self.start_tag(tag, said)
+        if "/" in end[0] and tag not in VOID:
+            self.end_tag(tag)
+        elif tag in _RAW:
+            closing = _RAW[tag].search(page, at)
+            return closing.start() if closing is not None else len(page)
+        return at
+
+    def flush(self):
+        if self.run:
+            self.at.children.append("".join(self.run))
+            self.run = []
 
     def leave(self, node: Node | None):
         """Closes an open block, and the blocks inside it."""
         if node is None:
             return
+        self.flush()
         while self.at is not node.parent:
             self.open[self.at.tag] -= 1
             self.at = self.at.parent
@@ -123,29 +194,45 @@ class _Tree(HTMLParser):
             node = node.parent
         return node
 
-    def ended(self, tag, opens: bool):
+    def hush(self, tag: str):
+        self.silent.append(tag)
+        self.held[tag] += 1
+        self.tight += tag not in LOOSE
+
+    def unhush(self):
+        tag = self.silent.pop()
+        self.held[tag] -= 1
+        self.tight -= tag not in LOOSE
+
+    def heard(self):
+        """Nothing is silent any more."""
+        self.silent.clear()
+        self.held.clear()
+        self.tight = 0
+
+    def ended(self, tag: str, opens: bool):
         """Ends silent elements that ``tag`` cannot stand in, or that the block it closes holds."""
         if self.silent[0] == "head":
             inner = self.silent[-1]
             if tag == "body" or opens and tag not in IN_HEAD and (inner == "head" or inner == "noscript" and tag in BLOCKS):
-                self.silent.clear()
-        elif not opens and tag in BLOCKS and all(x in LOOSE for x in self.silent):
+                self.heard()
+        elif not opens and tag in BLOCKS and not self.tight:
             # blocks opened inside the silent element close first
             if self.inside.get(tag):
                 self.inside[tag] -= 1
                 return
             if self.open[tag] or tag == self.root.tag:
-                self.silent.clear()
+                self.heard()
         elif opens and tag in BLOCKS and self.silent:
             self.inside[tag] = self.inside.get(tag, 0) + 1
         if not self.silent:
             self.inside.clear()
 
-    def handle_starttag(self, tag, attrs):
+    def start_tag(self, tag: str, said: list[str]):
         if self.silent:
             self.ended(tag, True)
         if tag in SILENT:
-            self.silent.append(tag)
+            self.hush(tag)
         if self.silent or tag in ("html", "body") and self.at.parent is not None:
             return
         if tag in BLOCKS:
@@ -154,48 +241,44 @@ class _Tree(HTMLParser):
             self.leave(self.at.near[0])
             if tag in _CLOSES:
                 self.leave(self.at.near[_CLOSES[tag]])
-            said = " ".join(f"{v}" for k, v in attrs if k in ("class", "id", "role", "aria-label", "itemprop") and v)
-            node = Node(tag, said, self.at)
+            self.flush()
+            node = Node(tag, " ".join(said), self.at)
             self.at.children.append(node)
             self.at = node
             self.open[tag] += 1
             self.links = 0
         elif tag in ("br", "hr"):
-            self.text(" ")
+            self.run.append(" ")
         else:
             self.at.tags += 1
             if tag == "a":
                 self.links = 1
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def end_tag(self, tag: str):
         if self.silent:
             self.ended(tag, False)
         if self.silent:
-            if tag in self.silent:
-                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+            if self.held[tag]:
+                while self.silent[-1] != tag:
+                    self.unhush()
+                self.unhush()
         elif tag == "a":
             self.links = 0
         elif tag in BLOCKS and tag not in ("html", "body"):
             self.leave(self.nearest(tag))
 
-    def handle_data(self, data):
-        if self.silent == ["head"] and data.strip():
-            self.silent.clear()
+    def data(self, text: str):
+        if self.silent == ["head"] and text.strip():
+            self.heard()
         if not self.silent:
-            self.text(data)
+            self.run.append(text)
             if self.links:
-                self.at.links += len(data.strip())
+                self.at.links += len(text.strip())
 
 
 def parse(html: str) -> Node:
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree.read(html)
     return tree.root
 
 

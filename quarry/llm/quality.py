@@ -17,7 +17,8 @@ memory nor its time depends on the data.  Labels, lang, source and doc_id are
 never inputs of a score.
 
 Defined results: null text counts as empty; an empty text is one empty line and
-gets a score like any other; very long texts are scored whole; of different labels
+gets a score like any other; very long texts are scored whole, a few bytes in memory for
+each of their lines; of different labels
 of one id or text the greater counts; without any labelled document every score is
 0.5; repeated rows repeat; an empty table gives an empty table; other columns are
 ignored.
@@ -26,6 +27,8 @@ ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +42,16 @@ SAMPLE_CHARS, SAMPLE_LINES, SAMPLE_TOTAL = 200_000, 4000, 30_000_000
 THRESHOLD = 0.7
 ROUNDS = 3
 
+_ASCII = bytes(range(128))
 _UPPER, _LOWER, _DIGITS = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 _SYMBOLS = b"!*$%#&|<>{}[]=_~^\\/@+"
 _POINTS = b".,;:'\"?-()"
 N_FEATURES = 20
 
 
-def line_features(line: bytes, before: bytes | None, seen: bool) -> list[float]:
+@lru_cache(4096)
+def _own_features(line: bytes) -> tuple[float, ...]:
+    """A line's features, apart from those that other lines give it (16 and 17, here 0)."""
     n, words = len(line), line.split()
     nw = len(words) or 1
     upper, lower = n - len(line.translate(None, _UPPER)), n - len(line.translate(None, _LOWER))
@@ -55,27 +61,56 @@ def line_features(line: bytes, before: bytes | None, seen: bool) -> list[float]:
     caps = upper / (upper + lower + beyond / 2 + 1)
     repeats = 1 - len(set(words)) / nw if len(words) >= 4 else 0.0
     first = line[:1]
-    return [
+    return (
         1.0, caps, float(caps > 0.3), min(1.0, symbols / nw / 3), float(symbols > 0.2 * nw), min(1.0, line.count(b"|") / nw),
         min(1.0, line.count(b"!!") / nw), (n - len(line.translate(None, _DIGITS))) / (n + 1), repeats, float(repeats > 0.5),
         min(1.0, n / nw / 20), float(n > 40 * nw), float(line[-1:] in b".!?" and n > 0), float(first.isupper() or first > b"\x7f"),
-        float(len(words) < 3), min(1.0, math.log1p(n) / 8), float(line == before), float(seen), points / (n + 1), float(not words),
-    ]
+        float(len(words) < 3), min(1.0, math.log1p(n) / 8), 0.0, 0.0, points / (n + 1), float(not words),
+    )
 
 
-_ASCII = bytes(range(128))
+_LIKE_LAST, _SEEN = 16, 17
+#: Lines longer than this are not remembered; lines that are taken up together.
+_SHORT, LINES = 80, 4096
+
+
+def lines_of(text: bytes) -> Iterator[list[bytes]]:
+    """The lines of a text, LINES at a time, so that a text of many lines is never held as lines."""
+    at, block = 0, []
+    while (end := text.find(b"\n", at)) >= 0:
+        block.append(text[at:end])
+        at = end + 1
+        if len(block) == LINES:
+            yield block
+            block = []
+    yield [*block, text[at:]]
+
+
+def _repeated(text: bytes) -> np.ndarray:
+    """For each line, whether an equal one stands above it."""
+    keys = np.concatenate([np.fromiter(map(hash, block), np.int64, len(block)) for block in lines_of(text)])
+    first = np.zeros(len(keys), bool)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first[order[np.concatenate([[True], keys[1:] != keys[:-1]])]] = True
+    return ~first
+
+
+def feature_blocks(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines x N_FEATURES, weight of each line: its length, at least 1), LINES lines at a time."""
+    seen, at, before = _repeated(text), 0, None
+    for block in lines_of(text):
+        x = np.array([_own_features(line) if len(line) <= _SHORT else _own_features.__wrapped__(line) for line in block], np.float32)
+        x[:, _LIKE_LAST] = [a == b for a, b in zip(block, [before, *block[:-1]])]
+        x[:, _SEEN] = seen[at : at + len(block)]
+        yield x, np.array([max(1, len(line)) for line in block], np.float32)
+        at, before = at + len(block), block[-1]
 
 
 def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x N_FEATURES, weight of each line: its length, at least 1)."""
-    rows, weights, before, seen = [], [], None, set()
-    for line in text.split(b"\n"):
-        key = hash(line)
-        rows.append(line_features(line, before, key in seen))
-        seen.add(key)
-        weights.append(max(1, len(line)))
-        before = line
-    return np.array(rows, np.float32), np.array(weights, np.float64)
+    """All blocks as one."""
+    x, weights = zip(*feature_blocks(text))
+    return np.concatenate(x), np.concatenate(weights).astype(np.float64)
 
 
 class Crf:
@@ -86,37 +121,73 @@ class Crf:
         self.move = np.zeros((2, 2))
         self.slope, self.shift = 0.0, 0.0
 
-    def potentials(self, x: np.ndarray) -> np.ndarray:
+    def potentials(self, x: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """Of a text's lines, or of some between the lines ``before`` and ``after``."""
         u = x @ self.own
         u[1:] += x[:-1] @ self.prev
         u[:-1] += x[1:] @ self.next
+        if before is not None:
+            u[0] += before @ self.prev
+        if after is not None:
+            u[-1] += after @ self.next
         return u
 
-    def marginals(self, x: np.ndarray) -> np.ndarray:
-        """P(good) of each line, by scaled forward-backward."""
-        odds = np.exp(np.clip(self.potentials(x), -30, 30)).tolist()
+    def _forward(self, odds: list[float], good: float | None) -> list[float]:
+        """P(good) of each line given the lines above; ``good``: that of the line before, None at the top."""
+        (m00, m01), (m10, m11) = np.exp(self.move).tolist()
+        out = []
+        for odd in odds:
+            if good is None:
+                good = 1 - 1 / (1 + odd)
+            else:
+                b, g = (1 - good) * m00 + good * m10, ((1 - good) * m01 + good * m11) * odd
+                good = g / (b + g)
+            out.append(good)
+        return out
+
+    def _backward(self, odds: list[float], forward: list[float], below: tuple[float, float]) -> tuple[list[float], tuple[float, float]]:
+        """P(good) of each line, and what the line above these gets from below; ``below``: what the last of these gets."""
         (m00, m01), (m10, m11) = np.exp(self.move).tolist()
-        n = len(odds)
-        a, forward = 1 / (1 + odds[0]), [0.0] * n
-        forward[0] = 1 - a
-        for t in range(1, n):
-            bad, good = 1 - forward[t - 1], forward[t - 1]
-            b, g = bad * m00 + good * m10, (bad * m01 + good * m11) * odds[t]
-            forward[t] = g / (b + g)
-        out = [0.0] * n
-        bb, bg = 0.5, 0.5
-        for t in range(n - 1, -1, -1):
+        out, (bb, bg) = [0.0] * len(odds), below
+        for t in range(len(odds) - 1, -1, -1):
             g, b = forward[t] * bg, (1 - forward[t]) * bb
             out[t] = g / (g + b)
             gg = bg * odds[t]
             bb, bg = m00 * bb + m01 * gg, m10 * bb + m11 * gg
             s = bb + bg
             bb, bg = bb / s, bg / s
-        return np.array(out)
+        return out, (bb, bg)
+
+    def marginals(self, x: np.ndarray) -> np.ndarray:
+        """P(good) of each line, by scaled forward-backward."""
+        odds = np.exp(np.clip(self.potentials(x), -30, 30)).tolist()
+        return np.array(self._backward(odds, self._forward(odds, None), (0.5, 0.5))[0])
 
     def quality(self, text: bytes) -> float:
-        x, weights = document_features(text)
-        return float(self.marginals(x) @ weights / weights.sum())
+        """The length-weighted mean of the marginals.
+
+        A text is taken up LINES lines at a time; of each line a potential and a
+        weight stay.  Forward goes down once and leaves its state at each block's top;
+        backward comes up block by block and goes down each block again.
+        """
+        u, weights, last = [], [], None
+        for x, w in feature_blocks(text):
+            if last is not None:
+                u[-1][-1] += x[0] @ self.next
+            u.append(self.potentials(x, before=last))
+            weights.append(w)
+            last = x[-1]
+        odds = [np.exp(np.clip(own, -30, 30)) for own in u]
+        del u
+        tops: list[float | None] = [None]
+        for own in odds[:-1]:
+            tops.append(self._forward(own.tolist(), tops[-1])[-1])
+        total, below = 0.0, (0.5, 0.5)
+        for own, w, top in zip(reversed(odds), reversed(weights), reversed(tops)):
+            own = own.tolist()
+            out, below = self._backward(own, self._forward(own, top), below)
+            total += float(np.array(out) @ w.astype(np.float64))
+        return total / sum(float(w.sum(dtype=np.float64)) for w in weights)
 
     def score(self, text: bytes) -> float:
         z = self.slope * self.quality(text) + self.shift

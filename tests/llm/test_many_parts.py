@@ -1,0 +1,103 @@
+"""Texts of very many lines and broken pages: bounded memory, time in proportion, the same results in blocks."""
+
+import subprocess
+import sys
+import time
+
+import duckdb
+import numpy as np
+import pytest
+
+from quarry.llm import html_extract, quality
+
+
+@pytest.fixture(scope="module")
+def model(sf_dir):
+    found = duckdb.sql(f"SELECT text, quality FROM '{sf_dir}/documents.parquet' JOIN '{sf_dir}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    return quality.train([(t.encode(), q) for t, q in found])
+
+
+def _line_by_line(model, text):
+    """Features and marginals straight from the definitions: every line at once, probabilities by products of matrices."""
+    lines, seen, rows = text.split(b"\n"), set(), []
+    for i, line in enumerate(lines):
+        row = list(quality._own_features.__wrapped__(line))
+        row[16], row[17] = float(i > 0 and line == lines[i - 1]), float(line in seen)
+        seen.add(line)
+        rows.append(row)
+    x = np.array(rows, np.float32).astype(float)
+    u = x @ model.own
+    for i in range(len(x)):
+        u[i] += (x[i - 1] @ model.prev if i else 0) + (x[i + 1] @ model.next if i + 1 < len(x) else 0)
+    phi, move = np.stack([np.ones(len(u)), np.exp(np.clip(u, -30, 30))], axis=1), np.exp(model.move)
+    down, up = [phi[0] / phi[0].sum()], [np.ones(2)]
+    for p in phi[1:]:
+        v = (down[-1] @ move) * p
+        down.append(v / v.sum())
+    for p in phi[:0:-1]:
+        v = move @ (p * up[-1])
+        up.append(v / v.sum())
+    both = np.array(down) * np.array(up[::-1])
+    good = both[:, 1] / both.sum(axis=1)
+    weights = np.array([max(1, len(line)) for line in lines])
+    return good @ weights / weights.sum()
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 7, 4096])
+def test_blocks_of_lines_change_nothing(model, sf_dir, monkeypatch, lines):
+    monkeypatch.setattr(quality, "LINES", lines)
+    texts = [(t or "").encode() for (t,) in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet' ORDER BY doc_id LIMIT 60").fetchall()]
+    for text in [*texts, b"", b"\n", b"\n\n\n", b"a\na\nb\na\n\n", b"x" * 1000, b"ABC!! | 9\n" * 9]:
+        assert abs(model.quality(text) - _line_by_line(model, text)) < 1e-9
+
+
+def test_a_text_of_very_many_lines(model):
+    """In a process of its own, which tells its memory: ten million line ends, and three million different lines."""
+    code = (
+        "import resource\nfrom quarry.llm import quality\n"
+        "crf = quality.Crf()\ncrf.score(b'a')\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "text = eval(%r)\n"
+        "assert 0 < crf.score(text) < 1\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    for text in ("b'\\n' * 10_000_000", "b'\\n'.join(b'line %d' % i for i in range(3_000_000))"):
+        run = subprocess.run([sys.executable, "-c", code % text], capture_output=True, text=True, timeout=600, check=True)
+        assert int(run.stdout) < 500
+
+
+MILLION = 1_000_000
+BROKEN = {
+    "open tags": "<p>" + "<a " * (MILLION // 3), "open comments": "<!--" * (MILLION // 4), "open quotes": "<a b='" * (MILLION // 6), "bare marks": "<" * MILLION, "bare ends": "</" * (MILLION // 2),
+    "silent": "<svg>" * (MILLION // 10) + "</p></x>" * (MILLION // 16), "inline": "<p>" + "<b>x</b> y" * (MILLION // 10), "blanks": "<a" + " " * MILLION, "attributes": "<a " + "x=1 " * (MILLION // 4) + ">text",
+    "references": "&#" + "9" * MILLION + ";" + "&amp" * 1000, "breaks": "<p>x<br>" * (MILLION // 8), "open script": "<p>x<script>" + "</scrip" * (MILLION // 7), "declarations": "<!" * (MILLION // 2), "processing": "<?x " * (MILLION // 4),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_time_in_proportion(name):
+    began = time.process_time()
+    root = html_extract.parse(BROKEN[name])
+    assert time.process_time() - began < 5
+    assert root.tag == "html"
+
+
+def test_broken_pages_have_texts(spark):
+    """Through the operator, beside a sound page that no broken one changes."""
+    sound = "<html><body><nav><a href=/>Home</a></nav><article>" + "<p>A long enough paragraph, really, with &lt;marks&gt;. It has two sentences.</p>" * 5 + "</article></body></html>"
+    pages = [(0, "u", sound), *((i, "u", page[:60_000] + sound) for i, page in enumerate(BROKEN.values(), 1))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(pages) and got[0].count("It has two sentences.") == 5 and "<marks>" in got[0]
+
+
+def test_markup_is_read_as_browsers_do():
+    def text(node):
+        return " ".join(" ".join(c if isinstance(c, str) else text(c) for c in node.children).split())
+
+    cases = {
+        "a < b and 3 <4 &lt; 5 &amp;&nbsp;&eacute;": "a < b and 3 <4 < 5 & é", "<p>one<!-- <p>no --> two": "one two", "<p>one<!-->two": "onetwo", "<p>x<!-- never closed <p>y": "x",
+        "<p class='a>b'>x</p >y": "x y", '<p title="</p>">x': "x", "<SCRIPT>if (a </p>) </scripty> b</Script >after": "after", "x<br/>y": "x y", "</>a</3>b": "ab", "<?php echo ?>x": "x",
+        "<p>cut <b": "cut", "<p>cut <a href='x": "cut", "<p>cut &am": "cut &am", "": "", "<": "<",
+    }
+    for page, want in cases.items():
+        assert text(html_extract.parse(page)) == want, page
