@@ -10,9 +10,11 @@ the score that all but REJECTED of that part's rightly labelled texts reach,
 at most 0.5.
 
 The sample: of each language the distinct texts with the least xxhash64, of at most
-SAMPLE_CHARS characters each: SAMPLE texts in all, shared evenly by the languages
-(a rare one gives all it has), and SAMPLE_TOTAL characters in all; so its size does
-not depend on the data, and no language is too rare to be learned.
+SAMPLE_CHARS characters each: SAMPLE texts, or one of each language where there are
+more languages, and SAMPLE_TOTAL characters.  Both are shared evenly by the languages
+(what a rare one leaves of its texts goes to the others) and taken language by
+language, the first text of each whatever its length; so no language is too rare to
+be learned, and the size depends on the number of languages alone.
 
 Defined results: ``und`` with score 0 (and rejected) for null, empty and
 letterless texts; of several labels of one text the least counts; very long texts
@@ -27,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, bounded, crc_mod, table, texts
+from quarry.llm.common import arrow_rows, crc_mod, table, texts
 
 BUCKETS = 1 << 16
 DIM = 16
 SAMPLE = 6000
 SAMPLE_CHARS, SAMPLE_TOTAL = 200_000, 30_000_000
-#: Languages that are learned at most: those with the most texts.
-LANGUAGES = 1000
 EPOCHS = 4
 #: Share of rightly labelled texts that the rejection may cost.
 REJECTED = 0.002
@@ -144,37 +144,42 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model:
     return Model(langs, weights, bias, float(temperature), threshold)
 
 
-def labelled_sample(docs: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
+def shares(counts: dict[str, int], limit: int) -> dict[str, int]:
+    """How many texts each language gives: an even share, what a rare one leaves goes to the others, and one at least."""
+    out, left, need = {}, limit, len(counts)
+    for lang, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
+        out[lang] = min(n, max(1, left // need))
+        left, need = left - out[lang], need - 1
+    return out
+
+
+def labelled_sample(docs: DataFrame, limit: int = SAMPLE, total: int = SAMPLE_TOTAL) -> list[tuple[str, str]]:
     """(text, lang) of the training part, the least hashes of each language."""
+    spark = docs.sparkSession
     rows = docs.filter((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.select(F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class of the model
     if not counts:
         return []
-    # every language's share: what a rare one leaves goes to the others
-    share, left, need = {}, limit, len(counts)
-    for lang, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
-        share[lang] = min(n, max(1, left // need))
-        left, need = left - share[lang], need - 1
+    share = shares(counts, limit)
     # hashes are even: a little more than the share lies below this bound
-    spread = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (1.1 * share[lang] + 50) / n)))))[F.col("lang")]
-    near = rows.filter(F.pmod("h", F.lit(1 << 32)) < spread * float(1 << 32))
-    out = []
-    for lang, own in _by_lang(bounded(near, "lang", 2 * limit + 50 * len(counts), SAMPLE_TOTAL, least=True)).items():
-        total = 0
-        for text in own[: share.get(lang, 0)]:
-            total += len(text)
-            if total > SAMPLE_TOTAL * max(share[lang], 1) // limit + SAMPLE_CHARS:
+    spread = spark.createDataFrame([(lang, min(1.0, (1.1 * share[lang] + 50) / n) * (1 << 32)) for lang, n in counts.items()], "lang string, below double")
+    near = rows.join(F.broadcast(spread), "lang").filter(F.pmod("h", F.lit(1 << 32)) < F.col("below"))
+    # hashes and lengths come first, then the texts that are wanted
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in near.groupBy("h").agg(F.min("lang").alias("lang"), F.max(F.length("text")).alias("n")).collect():
+        sizes.setdefault(r["lang"], []).append((r["h"], r["n"]))
+    wanted = []
+    for lang, own in sorted(sizes.items()):
+        left = total * share[lang] // sum(share.values())
+        for k, (h, n) in enumerate(sorted(own)[: share[lang]]):
+            left -= n
+            if left < 0 and k:  # the first text is taken, whatever its length
                 break
-            out.append((text, lang))
-    return out
-
-
-def _by_lang(found: list[tuple[str, str]]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for text, lang in found:
-        out.setdefault(lang, []).append(text)
-    return dict(sorted(out.items()))
+            wanted.append((h,))
+    chosen = F.broadcast(spark.createDataFrame(wanted, "h long"))
+    found = near.join(chosen, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
+    return [(r["text"], r["lang"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"]))]
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
