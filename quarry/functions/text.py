@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,90 @@ _SPACES = r"\x09-\x0d\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
+#: Lower-case characters that full case folding changes, by Python's rule: to one other character, or to several.
+_CHANGED = {c: c.casefold() for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()}
+_ONE, _MANY = ({c: to for c, to in _CHANGED.items() if (len(to) == 1) == one} for one in (True, False))
+
+
+def _class(characters: Iterable[str], gap: int) -> str:
+    """A regex class of the characters, and of what lies in gaps of up to ``gap`` between them."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if ranges and c - ranges[-1][1] <= gap:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+#: Where a folded character may be: coarse, as few ranges are tested faster.  Where one is that becomes several.
+_MAYBE, _EXPANDS = _class(_CHANGED, 64), _class(_MANY, 1)
+#: Characters that folding gives and lower-casing does not.
+FOLD_GIVES = frozenset("".join(_CHANGED.values()))
+
+
+def may_fold(c: Column) -> Column:
+    """False where ``folded`` is but ``lower``."""
+    return (F.octet_length(c) != F.length(c)) & F.lower(c).rlike(_MAYBE)
+
+
+def _each(c: Column) -> Column:
+    """The characters of a lower-cased text, each as folding gives it."""
+    several = F.create_map(*(F.lit(x) for pair in _MANY.items() for x in pair))
+    one = F.translate(c, "".join(_ONE), "".join(_ONE.values()))
+    return F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(several, x), x))
+
+
+def folded(c: Column) -> Column:
+    """Full case folding: lower case, and every character by itself, wherever it stands, as Python's casefold gives it (``ß`` is ``ss``, a final sigma a sigma)."""
+    low = F.lower(c)
+    one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    return F.when(~may_fold(c), low).when(~low.rlike(_EXPANDS), one).otherwise(F.array_join(_each(low), ""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Numbers that ``running`` sums up together: appending to an array copies it.
+_CHUNK = 256
+
+
+def running(values: Column) -> Column:
+    """The running sums of an array of ints."""
+
+    def sums(own: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(own, start, lambda acc, k: F.struct((acc["at"] + k).alias("at"), F.concat(acc["all"], F.array(acc["at"] + k)).alias("all")), lambda acc: acc["all"])
+
+    def chunked(own: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _CHUNK).cast("int"))
+        chunk = lambda j: F.slice(own, j * _CHUNK + 1, F.lit(_CHUNK))
+        ends = sums(F.transform(numbers, lambda j: F.aggregate(chunk(j), F.lit(0), lambda acc, k: acc + k)), F.lit(0))
+        return let(ends, lambda known: F.flatten(F.transform(numbers, lambda j: sums(chunk(j), F.when(j == 0, 0).otherwise(F.get(known, j - 1))))))
+
+    return let(values, lambda own: F.when(F.size(own) == 0, F.array().cast("array<int>")).otherwise(chunked(own)))
+
+
+#: A noncharacter, which no text holds.
+_FILLER = "\ufdd0"
+#: Characters that folding makes two or three of.
+_LONGER = {n: _class((c for c in map(chr, range(0x110000)) if len(c.casefold()) == n), 1) for n in (2, 3)}
+
+
+def fold_padded(c: Column) -> Column:
+    """The text with fillers behind characters that folding makes several of, so that its offsets are those of the folded text."""
+    for n, kind in _LONGER.items():
+        c = F.regexp_replace(c, f"({kind})", "$1" + _FILLER * (n - 1))
+    return c
+
+
+def unpadded(padded: Column, at: Column) -> Column:
+    """How many characters of the text begin before an offset of its folded text."""
+    return F.length(F.translate(F.substring(padded, F.lit(1), at), _FILLER, ""))
+
+
 def stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
@@ -53,9 +138,9 @@ def for_display(c: Column) -> Column:
 
 
 def normalized_path(c: Column) -> Column:
-    """Separators unified and collapsed, lower case, no trailing separator (ASCII paths; see ``display_path_str``)."""
+    """Separators unified and collapsed, case folded, no trailing separator (see ``display_path_str`` for what else a path may need)."""
     c = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "/", r"\\"), r"(?<!^)\\{2,}", r"\\")
-    c = F.lower(c)
+    c = folded(c)
     return F.when(F.length(c) > 3, F.regexp_replace(c, r"\\+$", "")).otherwise(c)
 
 

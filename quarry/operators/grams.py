@@ -12,9 +12,9 @@ What a file no longer holds stays listed until ``rebuilt``, and so do deleted fi
 an index may say yes where the answer is no, and every hit is verified on its units,
 but never no where it is yes.  ``merged`` makes one generation of many.
 
-Folding is the same for texts and queries, and by character: ``lower`` gives a sigma
-at the end of a word another form, so both forms are one here.  Whatever a search
-finds by folded or by exact text it also finds in what is folded this way.
+Texts and queries are folded in the same way, by character: what a search finds in
+exact, lower-cased or folded text is also there when both sides are folded, wherever
+a word ends.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.text import folded
 from quarry.plans.query import Parsed
 from quarry.sources import store as layout
 from quarry.sources.store import Change, Snapshot, SnapshotStore, number_of
@@ -57,10 +58,6 @@ _CELLS_DDL = "bucket int, block long, codes binary"
 _LISTS_DDL = "bucket int, gram int, block long, n int, ids binary"
 
 
-def folded(value: Column) -> Column:
-    return F.translate(F.lower(value), "ς", "σ")
-
-
 def grams_of(text: bytes) -> np.ndarray:
     """The distinct grams of a folded text, ascending."""
     b = np.frombuffer(text, np.uint8).astype(np.uint32)

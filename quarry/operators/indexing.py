@@ -21,11 +21,11 @@ from pyspark.sql.types import StructField, StructType
 
 from quarry import __version__
 from quarry import model as M
-from quarry.functions.text import fingerprint, mime_category, normalized_path_str
+from quarry.functions.text import fingerprint, folded, mime_category, normalized_path_str
 from quarry.operators import catalog, grams, maintenance
 from quarry.sources import listing
 from quarry.sources.parsers import parse_bytes
-from quarry.sources.store import WHOLE, Change, Damaged, Snapshot, SnapshotStore, number_of, part_of
+from quarry.sources.store import WHOLE, Change, Damaged, Snapshot, SnapshotStore, number_of, part_of, row_sum
 
 #: Bytes of contents that one parsing task reads, about.
 TASK_BYTES = 16 << 20
@@ -68,6 +68,27 @@ def units_change(at: Snapshot, root_id: int, gone: DataFrame, fresh: DataFrame,
     return {"units": (units, "part", parts), grams.TABLE: (lists, column, names + (at.parts(grams.TABLE) if whole else []))}
 
 
+#: Extensions that are told of a part; of more nothing is told.
+_EXTENSIONS = 32
+
+
+def part_facts(files: DataFrame, root_id: int, numbers: list[int]) -> dict[str, dict[str, dict]]:
+    """What the pointer says of parts of ``units``: the bounds of their files' attributes, by which searches leave parts out."""
+    own = files.withColumn("k", number_of(F.col("file_id"))).filter(F.col("k").isin([int(k) for k in numbers]))
+    bounds = [f(c).alias(f"{name}_{c}") for c in ("size_bytes", "modified_time", "normalized_path") for name, f in (("least", F.min), ("most", F.max))]
+    found = own.groupBy("k").agg(*bounds, F.count("modified_time").alias("timed"), F.collect_set("extension").alias("extensions")).collect()  # a row for FILES_PER_PART files
+    out = {}
+    for r in found:
+        facts = {c: [r[f"least_{c}"], r[f"most_{c}"]] for c in ("size_bytes", "modified_time", "normalized_path")}
+        out[f"{root_id}-{r['k']}"] = {"files": facts | ({"extension": sorted(r["extensions"])} if len(r["extensions"]) <= _EXTENSIONS else {})}
+    return {"units": out}
+
+
+def seen_counter(root_id: int) -> str:
+    """The pointer's number of the last run in which all files of a root were seen as they are in ``files``."""
+    return f"seen_run_of_root_{root_id}"
+
+
 class Indexer:
     """Indexes roots into a store; tables files, units, postings, runs, roots, and skips of each root's last run."""
 
@@ -76,15 +97,15 @@ class Indexer:
         self.spark, self.store, self.exclude, self.max_mb, self.docx_headers = spark, store, exclude, max_mb, docx_headers
         self.options = skip_options | {"max_mb": max_mb}
 
-    def root_id(self, root: str, at: Snapshot | None = None) -> tuple[int, DataFrame]:
-        """The id of a root, and the roots table with it."""
+    def root_id(self, root: str, at: Snapshot | None = None) -> tuple[int, DataFrame, bool]:
+        """The id of a root, the roots table with it, and whether it is new there."""
         roots = (at or self.store.snapshot()).table("roots", M.ROOTS)
         known = {r["normalized_path"]: r["root_id"] for r in roots.collect()}  # one row per configured root
         key = normalized_path_str(root)
         if key in known:
-            return known[key], roots
+            return known[key], roots, False
         made = max(known.values(), default=0) + 1
-        return made, roots.unionByName(self.spark.createDataFrame([(made, root, key)], M.ROOTS))
+        return made, roots.unionByName(self.spark.createDataFrame([(made, root, key)], M.ROOTS)), True
 
     def _next(self, counter: str, n: int, at: Snapshot, table: str) -> int:
         """``n`` numbers after the returned one; a store without that counter begins after its table's largest."""
@@ -97,10 +118,9 @@ class Indexer:
         found = []
 
         def build(at: Snapshot) -> Change:
-            root_id, roots = self.root_id(root, at)
+            root_id, roots, new = self.root_id(root, at)
             found[:] = [root_id]
             runs = catalog.run_started(catalog.abandon_running(of_root(at, "runs", M.RUNS, root_id)), root_id, mode, __version__, run_id)
-            new = not at.tables.get("roots") or at.read("roots").filter(F.col("root_id") == root_id).isEmpty()
             return Change({"runs": by_root(at, "runs", M.RUNS, root_id, runs)}, {"roots": roots} if new else {}, reads=frozenset({"roots"} if new else ()))
 
         self.store.update(build)
@@ -155,9 +175,12 @@ class Indexer:
         found = listing.list_files(self.spark, root, hidden=self.options.get("allow_hidden", False), exclude=self.exclude, cancelled=cancelled)
         held.append(found)
         base = normalized_path_str(root) + "\\"
-        scan = listing.scanned(found, root, **self.options).withColumn("root_id", F.lit(root_id)).withColumn("normalized_path", F.concat(F.lit(base), F.lower("relative_path")))
+        scan = listing.scanned(found, root, **self.options).withColumn("root_id", F.lit(root_id)).withColumn("normalized_path", F.concat(F.lit(base), folded(F.col("relative_path"))))
         scan = persisted(scan.withColumn("skip_reason", F.when(F.col("problem").isNull(), F.col("skip_reason")).otherwise(F.col("problem"))))
-        seen = {r["skip_reason"]: r["n"] for r in scan.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each reason
+        reasons = scan.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"), row_sum("root_id", "path", "skip_reason").alias("sum")).collect()  # a row for each reason
+        seen = {r["skip_reason"]: r["n"] for r in reasons}
+        told = {"rows": sum(n for reason, n in seen.items() if reason), "sum": str(int(sum(r["sum"] for r in reasons if r["skip_reason"])))}
+        same_skips = told.items() <= at.tables.get("skips", {}).get(str(root_id), {"rows": 0, "sum": "0"} if "skips" in at.tables else {}).items()
         skips = scan.filter("skip_reason IS NOT NULL").select("root_id", "path", "skip_reason")
         files = of_root(at, "files", M.FILES, root_id)
         if seen.get("unreadable"):
@@ -179,17 +202,19 @@ class Indexer:
             "files_skipped": sum(v for reason, v in seen.items() if reason not in (None, "not_supported", "unreadable")),
         }
 
-        def committed(rows: DataFrame, parts: dict) -> Change:
-            runs = self._finished(at, root_id, run_id, "completed", counts)
-            return Change(parts | {"files": by_root(at, "files", M.FILES, root_id, rows), "skips": by_root(at, "skips", M.SKIPS, root_id, skips), "runs": by_root(at, "runs", M.RUNS, root_id, runs)}, options=grams.OPTIONS)
+        def committed(parts: dict, told: dict | None = None) -> Change:
+            parts["runs"] = by_root(at, "runs", M.RUNS, root_id, self._finished(at, root_id, run_id, "completed", counts))
+            if not same_skips:
+                parts["skips"] = by_root(at, "skips", M.SKIPS, root_id, skips)
+            return Change(parts, options=grams.OPTIONS, counters={seen_counter(root_id): run_id}, told=told or {})
 
-        touched = files.withColumn("last_seen_run_id", F.lit(run_id).cast("long"))
-        if n.keys() <= {"unchanged"}:  # every file is as it was: only the time it was seen moves
-            return committed(touched, {})
-        written = persisted(self._extracted(scan, change, at, n, run_id))
+        if n.keys() <= {"unchanged"}:  # every file is as it was: only the run that saw them moves, in the pointer
+            return committed({})
+        written = persisted(self._extracted(scan, change, at, n, run_id, held))
         states = {r["content_status"]: r["n"] for r in written.groupBy("content_status").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few states
         counts |= {f"files_{c}": states.get(c, 0) for c in ("indexed", "no_text", "failed")}
         checked()
+        touched = files.withColumn("last_seen_run_id", F.lit(run_id).cast("long"))
         same = touched.join(change.filter("change = 'unchanged'").select("normalized_path"), "normalized_path", "left_semi")
         same = same.unionByName(files.join(change.filter("change = 'kept'").select("normalized_path"), "normalized_path", "left_semi"))
         rows = same.unionByName(written.filter("content_status IS NOT NULL").select(*M.FILES.fieldNames()))
@@ -199,16 +224,19 @@ class Indexer:
         number = number_of(F.col("file_id")).alias("k")
         numbers = [r["k"] for r in moved.select(number).union(written.select(number)).distinct().collect()]  # a row for FILES_PER_PART files
         checked()
-        return committed(rows, units_change(at, root_id, moved, fresh, numbers))
+        return committed(units_change(at, root_id, moved, fresh, numbers) | {"files": by_root(at, "files", M.FILES, root_id, rows)}, part_facts(rows, root_id, numbers))
 
-    def _extracted(self, scan: DataFrame, change: DataFrame, at: Snapshot, n: dict, run_id: int) -> DataFrame:
+    def _extracted(self, scan: DataFrame, change: DataFrame, at: Snapshot, n: dict, run_id: int, held: list[DataFrame]) -> DataFrame:
         """A row of ``files`` for each new and changed file, with ``units``.  Each file is opened once, on an executor.
 
         A file that is gone by now gives a row without a state; one that may not be opened is a failed file.
         """
-        new = change.filter("change = 'new'").select("root_id", "normalized_path")
-        after = self._next("file_id", n["new"][0], at, "files") if "new" in n else 0
-        ids = maintenance.numbered(new, after).select("normalized_path", "file_id").unionByName(change.filter("change = 'changed'").select("normalized_path", F.col("old_id").alias("file_id")))
+        ids = change.filter("change = 'changed'").select("normalized_path", F.col("old_id").alias("file_id"))
+        if "new" in n:
+            new = change.filter("change = 'new'").select("normalized_path")
+            numbered, kept = maintenance.in_order(new, self._next("file_id", n["new"][0], at, "files"), n["new"][0])
+            held.append(kept)
+            ids = ids.unionByName(numbered.select("normalized_path", "file_id"))
         dirty = scan.join(ids, "normalized_path").select("file_id", "root_id", "path", "normalized_path", "relative_path", "file_name", "extension", "size_bytes", "created_time", "modified_time")
         return self.parsed(dirty, sum(n.get(c, (0, 0))[0] for c in ("new", "changed")), sum(n.get(c, (0, 0))[1] for c in ("new", "changed")), run_id)
 
@@ -242,7 +270,7 @@ class Indexer:
         rows = spread.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
         status = F.when(F.col("outcome") == "ok", "indexed").when(F.col("outcome") == "no_text", "no_text").when(F.col("outcome") != "missing", "failed")
         return rows.select(
-            "file_id", "root_id", F.col("path").alias("display_path"), "normalized_path", "relative_path", "file_name", F.lower("file_name").alias("file_name_folded"), "extension",
+            "file_id", "root_id", F.col("path").alias("display_path"), "normalized_path", "relative_path", "file_name", folded(F.col("file_name")).alias("file_name_folded"), "extension",
             mime_category(F.col("extension")).alias("mime_category"), "size_bytes", "created_time", "modified_time", fingerprint(F.col("size_bytes"), F.col("modified_time"), F.lit(M.PARSER_VERSION)).alias("fingerprint"),
             status.alias("content_status"), F.lit(M.PARSER_VERSION).alias("parser_version"), F.size("units").alias("unit_count"),
             F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + F.length(u["text"])).alias("char_count"), F.current_timestamp().alias("indexed_at"),
@@ -285,14 +313,14 @@ class Indexer:
         """The root's files and units go; the root and its runs stay."""
 
         def build(at: Snapshot) -> Change:
-            root_id, roots = self.root_id(root, at)
+            root_id, roots, _ = self.root_id(root, at)
             return Change(self._without(at, root_id), {"roots": roots})
 
         self.store.update(build)
 
     def delete_root(self, root: str) -> None:
         def build(at: Snapshot) -> Change:
-            root_id, roots = self.root_id(root, at)
+            root_id, roots, _ = self.root_id(root, at)
             runs = {"runs": by_root(at, "runs", M.RUNS, root_id, self.spark.createDataFrame([], M.RUNS))} if "runs" in at.tables else {}
             return Change(self._without(at, root_id) | runs, {"roots": roots.filter(F.col("root_id") != root_id)})
 

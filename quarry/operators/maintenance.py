@@ -20,9 +20,23 @@ def classify(old: DataFrame, scan: DataFrame, parser_version: int) -> DataFrame:
     return both.select(*_KEY, "old_id", "size_bytes", "modified_time", change.alias("change"))
 
 
-def numbered(rows: DataFrame, after: int) -> DataFrame:
-    """``rows`` with dense file_ids above ``after``."""
-    return _numbered(rows, after)
+#: Rows that a task of ``in_order`` numbers, about.
+NUMBERED_ROWS = 500_000
+
+
+def in_order(rows: DataFrame, after: int, n: int, key: str = "normalized_path") -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with dense file_ids above ``after`` in the order of ``key``, a persisted table to release): neighbours get neighbouring ids.
+
+    ``n``: their number.  Ranges are sampled, so they are held until the ids are used.
+    """
+    tasks = max(1, n // NUMBERED_ROWS, min(n // 1000, rows.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.repartitionByRange(tasks, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()).persist()
+    task, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)  # as that function makes its numbers
+    sizes = dealt.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each task
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_task", (before + after + 1).alias("_start"))
+    found = dealt.withColumn("_task", task).join(F.broadcast(starts), "_task").withColumn("file_id", F.col("_start") + at)
+    return found.drop("_at", "_task", "_start"), dealt
 
 
 def upsert(old: DataFrame, written: DataFrame) -> DataFrame:

@@ -49,6 +49,29 @@ def metadata_filter(f: M.Filters, compat: bool = False) -> Column:
     return all_of(tests)
 
 
+def may_hold(facts: dict | None, f: M.Filters, compat: bool = False) -> bool:
+    """Whether files of these bounds (``indexing.part_facts``) can pass ``metadata_filter``; of unknown ones, yes."""
+    if facts is None:
+        return True
+
+    def apart(name: str, low, high) -> bool:
+        least, most = facts.get(name) or (None, None)
+        if least is None:  # no file has that attribute, or nothing is known
+            return name in facts and (low is not None or high is not None)
+        return low is not None and most < low or high is not None and least > high
+
+    if apart("size_bytes", f.min_size, f.max_size) or apart("modified_time", f.modified_after, f.modified_before):
+        return False
+    if f.extensions and "extension" in facts and not f.extensions & set(facts["extension"]):
+        return False
+    if f.subfolder:
+        folder = normalized_path_str(f.subfolder)
+        if not compat:
+            folder = folder.rstrip("\\")
+        return not apart("normalized_path", folder, folder + chr(0x10FFFF))
+    return True
+
+
 @dataclass
 class Page:
     rows: DataFrame
@@ -87,12 +110,12 @@ class SearchEngine:
             indexed = sum(p.get("rows", 0) for p in at.tables.get("units", {}).values()) >= INDEXED_ROWS
         return cls(at.read("files"), at.read("units"), at, indexed, roots)
 
+    def _filters(self, request: M.Request) -> M.Filters:
+        """A subfolder that lies outside the request's root is ignored."""
+        return within_root(request.filters, self.roots[request.root_id]) if request.root_id in self.roots else request.filters
+
     def _files(self, request: M.Request) -> DataFrame:
-        if request.root_id is None:
-            rows, filters = self.files, request.filters
-        else:
-            rows = self.files.filter(F.col("root_id") == request.root_id)
-            filters = within_root(request.filters, self.roots[request.root_id]) if request.root_id in self.roots else request.filters
+        rows, filters = self.files if request.root_id is None else self.files.filter(F.col("root_id") == request.root_id), self._filters(request)
         return rows.filter(metadata_filter(filters, request.compat)) if filters.active else rows
 
     def _units(self, request: M.Request, parsed: Parsed | None = None) -> DataFrame:
@@ -102,6 +125,8 @@ class SearchEngine:
         if self.at is not None and WHOLE not in (parts := self.at.parts("units")):
             if request.root_id is not None:
                 parts = [p for p in parts if p.startswith(f"{request.root_id}-")]
+            if (filters := self._filters(request)).active:
+                parts = [p for p in parts if may_hold(self.at.tables["units"][p].get("files"), filters, request.compat)]
             if found is not None:
                 parts = found.parts(parts)
             units = self.at.read("units", parts)
@@ -267,4 +292,4 @@ def existence(page: DataFrame, listing: DataFrame) -> DataFrame:
     return page.join(now, "normalized_path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-__all__ = ["Page", "SearchEngine", "Term", "cancel", "cancellable", "existence", "metadata_filter", "search_store", "within_root"]
+__all__ = ["Page", "SearchEngine", "Term", "cancel", "cancellable", "existence", "may_hold", "metadata_filter", "search_store", "within_root"]

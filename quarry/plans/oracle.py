@@ -144,6 +144,23 @@ for _name, _seen in (("row_context", "TRUE"), ("row_context_compat", "b.sequence
 _SPANS = """spans AS (SELECT file_id, sequence, pos, len FROM (
   SELECT file_id, sequence, list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, {n}) = '{t}') AS s, {n} AS len FROM units WHERE contains(lower(text), '{t}')), unnest(s) AS u(pos))"""
 _sql("highlight_spans", "SELECT file_id, sequence, pos - 1 AS start_at, pos + 3 AS end_at FROM spans", _FILES, _UNITS, _SPANS.format(n=4, t="tion"))
+_sql(
+    "glob_spans",
+    """SELECT file_id, sequence, start_at, start_at + length(found[i]) AS end_at FROM (
+  SELECT file_id, sequence, i, found, CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) + list_sum(list_transform([''] || found[1:i - 1], lambda p: length(p))) AS BIGINT) AS start_at
+  FROM (SELECT file_id, sequence, string_split_regex(lower(text), '(?s)th.*?on.*?e') AS pieces, regexp_extract_all(lower(text), '(?s)th.*?on.*?e') AS found
+        FROM units WHERE regexp_matches(lower(text), '(?s)th.*?on.*?e')) x, unnest(range(1, len(found) + 1)) AS u(i)) y""",
+    _FILES, _UNITS,
+)
+_BUDGETS = """budgets AS (SELECT *, row_number() OVER w - 1 AS units_before, CAST(coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before
+  FROM units WINDOW w AS (PARTITION BY file_id ORDER BY sequence))"""
+_sql("budget_cut", "SELECT file_id, sequence, units_before, chars_before, length(text) AS n_chars FROM budgets WHERE units_before < 12 AND chars_before <= 2000", _FILES, _UNITS, _BUDGETS)
+_sql(
+    "truncated_files",
+    """SELECT f.file_id, coalesce(bool_or(NOT ok), false) AS truncated, count(*) FILTER (ok) AS unit_count, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS char_count
+FROM files f LEFT JOIN (SELECT file_id, length(text) AS n, units_before < 12 AND chars_before <= 2000 AS ok FROM budgets) b ON b.file_id = f.file_id GROUP BY f.file_id""",
+    _FILES, _UNITS, _BUDGETS,
+)
 _sql(
     "merged_highlights",
     """SELECT file_id, sequence, CAST(sum(fresh) AS BIGINT) AS n_spans, count(*) AS n_marked FROM (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry import model as M
 from quarry.functions import text as X
-from quarry.operators import catalog, context, grams, maintenance, ranking, snippets
+from quarry.operators import budgets, catalog, context, grams, maintenance, ranking, snippets
 from quarry.operators.search import SearchEngine, existence
 from quarry.plans.oracle import ORACLE_SQL
 from quarry.plans.query import parse
@@ -168,6 +168,29 @@ def highlight_spans(spark, sf_dir):
     return found.select("file_id", "sequence", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
 
 
+@_query
+def glob_spans(spark, sf_dir):
+    """The extents of a wildcard pattern's matches."""
+    units = adapters.units(spark, sf_dir).filter(F.lower("text").rlike("(?s)th.*?on.*?e"))
+    found = units.select("file_id", "sequence", F.explode(snippets.glob_spans(F.col("text"), "*th*on*e*", limit=1 << 20)).alias("s"))
+    return found.select("file_id", "sequence", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
+
+
+@_query
+def budget_cut(spark, sf_dir):
+    """Units under budgets of 12 units and 2,000 characters a file, with what stands before each."""
+    units = adapters.units(spark, sf_dir)
+    left = budgets.with_running(budgets.within(units, 12, 2000))
+    return left.select("file_id", "sequence", "units_before", "chars_before", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def truncated_files(spark, sf_dir):
+    """Every file under the same budgets: cut or not, and what is left of it."""
+    files, _ = budgets.cut(adapters.files(spark, sf_dir).withColumns({"unit_count": F.lit(0), "char_count": F.lit(0).cast("long")}), adapters.units(spark, sf_dir), 12, 2000)
+    return files.select("file_id", "truncated", F.col("unit_count").cast("long").alias("unit_count"), "char_count")
+
+
 @_query
 def merged_highlights(spark, sf_dir):
     units = adapters.units(spark, sf_dir).filter(F.lower("text").contains("th"))

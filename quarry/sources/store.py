@@ -25,10 +25,12 @@ import os
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,8 @@ WHOLE = ""
 LEASE = 24 * 3600
 #: How often ``update`` merges anew after a conflict.
 ATTEMPTS = 8
+#: Tables of one commit that are written at a time.
+WRITERS = 4
 
 #: Steps from a schema version to the next: table name and DataFrame -> DataFrame.
 MIGRATIONS: dict[int, Callable[[str, DataFrame], DataFrame]] = {}
@@ -64,6 +68,11 @@ def part_of(root_id: Column, file_id: Column) -> Column:
     return F.concat_ws("-", root_id.cast("string"), number_of(file_id).cast("string"))
 
 
+def row_sum(*columns: str) -> Column:
+    """An aggregate that does not depend on the rows' order: the sum of their hashes."""
+    return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+
+
 class SchemaTooNew(RuntimeError):
     pass
 
@@ -88,7 +97,8 @@ class Change:
     replace); parts named without rows are gone afterwards, all others stay.
     ``whole``: tables that are replaced whole.  ``reads``: tables that may not have
     changed since the snapshot, beside those that are replaced.  ``options``: of a
-    table's writer.
+    table's writer.  ``counters``: numbers that the pointer itself holds.  ``told``: what
+    the pointer says of a table's parts besides, by part.
     """
 
     parts: dict[str, tuple[DataFrame, str, Iterable[str]]] = field(default_factory=dict)
@@ -96,6 +106,8 @@ class Change:
     partition_by: dict[str, list[str]] = field(default_factory=dict)
     reads: frozenset[str] = frozenset()
     options: dict[str, dict[str, str]] = field(default_factory=dict)
+    counters: dict[str, int] = field(default_factory=dict)
+    told: dict[str, dict[str, dict]] = field(default_factory=dict)
 
 
 class Snapshot:
@@ -234,22 +246,29 @@ class SnapshotStore:
 
     def _written(self, change: Change, version: str) -> tuple[dict[str, dict[str, dict]], dict[str, dict]]:
         """The folders that a change writes, by table and part, with rows and checksum; and the schemas."""
-        made, schemas = {}, {}
-        for name, (df, column, named) in change.parts.items():
-            at, made[name] = f"{version}/{name}", {}
-            if named:
-                df.withColumnRenamed(column, _PART).write.options(**change.options.get(name, {})).partitionBy(_PART).parquet(self.path(at))
-                found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path(at)))]
-                made[name] = {n.removeprefix(f"{_PART}="): {"at": f"{at}/{n}"} for n in found if n.startswith(f"{_PART}=")}
-            schemas[name] = df.drop(column).schema.jsonValue()
-        for name, df in change.whole.items():
-            writer = df.write.options(**change.options.get(name, {}))
+        def part_folders(name: str) -> dict[str, dict]:
+            df, column, named = change.parts[name]
+            at = f"{version}/{name}"
+            if not named:
+                return {}
+            df.withColumnRenamed(column, _PART).write.options(**change.options.get(name, {})).partitionBy(_PART).parquet(self.path(at))
+            found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path(at)))]
+            return {n.removeprefix(f"{_PART}="): {"at": f"{at}/{n}"} for n in found if n.startswith(f"{_PART}=")}
+
+        def whole_folder(name: str) -> dict[str, dict]:
+            writer = change.whole[name].write.options(**change.options.get(name, {}))
             if by := change.partition_by.get(name):
                 writer = writer.partitionBy(*by)
             writer.parquet(self.path(f"{version}/{name}"))
-            made[name], schemas[name] = {WHOLE: {"at": f"{version}/{name}"}}, df.schema.jsonValue()
+            return {WHOLE: {"at": f"{version}/{name}"}}
+
+        # several tables' jobs run side by side: one table alone seldom keeps all executors busy
+        tasks = {name: part_folders for name in change.parts} | {name: whole_folder for name in change.whole}
+        with ThreadPoolExecutor(WRITERS) as pool:
+            made = dict(zip(tasks, pool.map(inheritable_thread_target(self.spark)(lambda name: tasks[name](name)), tasks)))
+        schemas = {name: df.drop(column).schema.jsonValue() for name, (df, column, _) in change.parts.items()} | {name: df.schema.jsonValue() for name, df in change.whole.items()}
         for (table, part), told in self._sums(made, schemas).items():
-            made[table][part] |= told
+            made[table][part] |= told | change.told.get(table, {}).get(part, {})
         return made, schemas
 
     def _sums(self, tables: dict[str, dict[str, dict]], schemas: dict[str, dict]) -> dict[tuple[str, str], dict]:
@@ -262,11 +281,10 @@ class SnapshotStore:
                 df = self.spark.read.schema(schema).parquet(*(self.path(at) for at in own.values()))
                 key = F.element_at(F.split(F.element_at(F.split(F.col("_metadata.file_path"), f"/{table}/"), -1), "/"), 1)
                 label = F.when(key.startswith(f"{_PART}="), F.substring_index(key, "=", -1)).otherwise(WHOLE) if kind == 3 else F.lit(WHOLE)
-                row = F.xxhash64(*schema.fieldNames()).cast("decimal(38,0)")
-                found.append(df.select(F.lit(table).alias("t"), label.alias("p"), row.alias("h")))
+                found.append(df.select(F.lit(table).alias("t"), label.alias("p"), F.xxhash64(*schema.fieldNames()).alias("h")))
         if not found:
             return {}
-        sums = reduce(DataFrame.unionByName, found).groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"))
+        sums = reduce(DataFrame.unionByName, found).groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
         told = {(r["t"], r["p"]): {"rows": r["n"], "sum": str(int(r["h"]))} for r in sums.collect()}  # a row for each part
         return {(t, p): told.get((t, p), {"rows": 0, "sum": "0"}) for t, parts in tables.items() for p in parts}
 
@@ -293,7 +311,7 @@ class SnapshotStore:
             if now.number != base.number and self._touched(change, base, now):
                 raise Conflict(f"{base.number} -> {now.number}")
             stays = {t: {p: at for p, at in now.tables.get(t, {}).items() if t in change.parts and p not in {WHOLE, *change.parts[t][2]}} for t in made}
-            if self._next(now, version, now.tables | {t: stays[t] | parts for t, parts in made.items()}, now.schemas | schemas, now.counters):
+            if self._next(now, version, now.tables | {t: stays[t] | parts for t, parts in made.items()}, now.schemas | schemas, now.counters | change.counters):
                 break
         for old in self._names(_POINTER)[: -1 - _KEPT_POINTERS]:
             self._fs.delete(self._path(self.path(old)), False)

@@ -17,9 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from quarry import model as M
-from quarry.functions.text import extension_of, fingerprint, mime_category, normalized_path_str
+from quarry.functions.text import extension_of, fingerprint, folded, mime_category, normalized_path_str
 from quarry.operators import grams, maintenance
-from quarry.operators.indexing import by_root, of_root, units_change
+from quarry.operators.indexing import by_root, of_root, part_facts, units_change
 from quarry.sources.adapters import lines_of
 from quarry.sources.store import WHOLE, Change, Snapshot, SnapshotStore, number_of
 
@@ -46,7 +46,7 @@ def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 m
 
 def newest(events: DataFrame, base: str) -> DataFrame:
     """The last event of each file: by time, a deletion before a text, then by text."""
-    path = F.concat(F.lit(base.rstrip("\\") + "\\"), F.lower("relative_path"))
+    path = F.concat(F.lit(base.rstrip("\\") + "\\"), folded(F.col("relative_path")))
     last = F.max(F.struct("modified_time", F.col("text").isNotNull().alias("alive"), "text", "relative_path")).alias("e")
     return events.withColumn("normalized_path", path).groupBy("normalized_path").agg(last).select("normalized_path", "e.modified_time", "e.alive", "e.text", "e.relative_path")
 
@@ -72,20 +72,20 @@ def merge(store: SnapshotStore, events: DataFrame, root_id: int, base: str) -> b
         kinds = {(r["alive"], r["known"]): r["n"] for r in fresh.groupBy("alive", F.col("old_id").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n")).collect()}  # four kinds
         if not kinds:
             return None
-        new = fresh.filter("alive AND old_id IS NULL").select(F.lit(root_id).alias("root_id"), "normalized_path")
-        after = 0
+        ids = fresh.select("normalized_path", F.col("old_id").alias("file_id")).filter("file_id IS NOT NULL")
         if n := kinds.get((True, False), 0):
             least = 0 if "file_id" in at.counters or "files" not in at.tables else at.read("files").agg(F.max("file_id")).first()[0] or 0
-            after = store.reserve("file_id", n, least)
-        ids = maintenance.numbered(new, after).select("normalized_path", "file_id")
-        rows = persisted(fresh.join(ids, "normalized_path", "left").withColumn("file_id", F.coalesce("old_id", "file_id")).withColumn("lines", F.when(F.col("alive"), lines_of(F.col("text")))))
+            numbered, kept = maintenance.in_order(fresh.filter("alive AND old_id IS NULL").select("normalized_path"), store.reserve("file_id", n, least), n)
+            held.append(kept)
+            ids = ids.unionByName(numbered.select("normalized_path", "file_id"))
+        rows = persisted(fresh.join(ids, "normalized_path", "left").withColumn("lines", F.when(F.col("alive"), lines_of(F.col("text")))))
         alive = rows.filter("alive")
         name = F.element_at(F.split("relative_path", r"\\"), -1)
         size = F.octet_length(F.col("text").cast("binary")).cast("long")
         has = F.size("lines") > 0
         written = alive.withColumn("file_name", name).withColumn("extension", extension_of(F.col("file_name"))).select(
             "file_id", F.lit(root_id).alias("root_id"), F.concat(F.lit(base.rstrip("\\") + "\\"), "relative_path").alias("display_path"), "normalized_path", "relative_path", "file_name",
-            F.lower("file_name").alias("file_name_folded"), "extension", mime_category(F.col("extension")).alias("mime_category"), size.alias("size_bytes"), F.lit(None).cast("double").alias("created_time"), "modified_time",
+            folded(F.col("file_name")).alias("file_name_folded"), "extension", mime_category(F.col("extension")).alias("mime_category"), size.alias("size_bytes"), F.lit(None).cast("double").alias("created_time"), "modified_time",
             fingerprint(size, F.col("modified_time"), F.lit(M.PARSER_VERSION)).alias("fingerprint"), F.when(has, "indexed").otherwise("no_text").alias("content_status"), F.lit(M.PARSER_VERSION).alias("parser_version"),
             F.size("lines").alias("unit_count"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, u: a + F.length(u["text"])).alias("char_count"), F.current_timestamp().alias("indexed_at"),
             F.lit(0).cast("long").alias("last_seen_run_id"), F.lit("").alias("error_code"), F.lit("").alias("error_message"), F.lit(False).alias("truncated"), F.lit("").alias("warnings"),
@@ -102,7 +102,8 @@ def merge(store: SnapshotStore, events: DataFrame, root_id: int, base: str) -> b
         touched = rows.filter("file_id IS NOT NULL").select(number_of(F.col("file_id")).alias("k"))
         numbers = [r["k"] for r in touched.distinct().collect()]  # a row for FILES_PER_PART files
         parts = {"files": by_root(at, "files", M.FILES, root_id, others.unionByName(written)), "tombstones": by_root(at, "tombstones", TOMBSTONES, root_id, buried.unionByName(dead))}
-        return Change(parts | (units_change(at, root_id, moved, units, numbers) if numbers or WHOLE in at.parts("units") else {}), options=grams.OPTIONS)
+        told = part_facts(others.unionByName(written), root_id, numbers)
+        return Change(parts | (units_change(at, root_id, moved, units, numbers) if numbers or WHOLE in at.parts("units") else {}), options=grams.OPTIONS, told=told)
 
     try:
         return store.update(build) is not None
