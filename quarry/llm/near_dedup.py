@@ -12,12 +12,20 @@ words is one shingle, a text without words the empty set).  Sets of n1 <= n2
 shingles with similarity 4/5 have n2 <= 5/4 n1 and differ in at most
 (n1 + n2) / 9 shingles.  A class of sizes cuts the hashes into ranges.  A set
 allows for D = (n + min(5/4 n, class top)) / 9 differing shingles, each of which
-spoils one range, and has its first D + 1 ranges that are not empty as keys.  Of
-a linked pair, take the set whose D + 1 ranges end first: one of them holds the
-same shingles in both, so both have it as a key, and no pair is lost.  (A set
-with fewer than D + 1 such ranges has all ranges as keys, the empty ones too; two
-such sets agree in one of them.)  Classes double, and a text whose partners may
-lie in the next class has keys there too.
+spoils one range.  Its ranges stand in a row: those with shingles in ascending order,
+then the empty ones.  Two linked sets agree in all ranges but D at most, and those in
+which they agree stand in the same order in both rows; so the l-th of these is among
+the first D + l of either row.  The first D + 1 are a set's keys, and no pair is lost.
+Classes double, and a text whose partners may lie in the next class has keys there
+too.
+
+Crowded buckets: a passage that many texts share fills ranges of many short texts with
+nothing else, and puts them all in one bucket.  A bucket of more than CROWDED rows is
+split by a second agreeing range, one behind the first among the first D + 2, what is
+still crowded by a third, up to LEVELS (a class has so many ranges more than can
+differ).  Few texts are filled by the passage alone in several ranges, so buckets shrink from level
+to level.  What is crowded after the last level is dealt to pairs of blocks of CROWDED
+rows, so no task ever holds more than two blocks.
 
 Large groups: members of a bucket are first checked against its least member and
 their neighbours.  In buckets that these links leave in several components, each
@@ -36,6 +44,7 @@ columns travel along; an empty table gives an empty table.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +65,10 @@ ROUNDS = 4
 LEAST_BITS = 512
 #: Pairs of a bucket that one batch holds.
 PAIRS = 1 << 18
+#: Rows of a bucket that are compared with each other in one task.
+CROWDED = 1024
+#: Agreeing ranges by which buckets are split at most: any class has this many ranges more than can differ.
+LEVELS = 4
 _BATCH_KEYS = 1 << 20
 _KEY_BITS = np.uint64(40)
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -81,23 +94,40 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def keys(own: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingles; two linked sets share one at least."""
+class Ranges(NamedTuple):
+    """A set's ranges in one class, the full ones in ascending order before the empty ones: places in that order, and keys."""
+
+    level: int
+    wanted: int
+    places: np.ndarray
+    keys: np.ndarray
+
+    def first(self, agreeing: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys) of the ranges among which the first so many are that agree with a linked set's."""
+        return self.places[: self.wanted + agreeing - 1], self.keys[: self.wanted + agreeing - 1]
+
+
+def ranges(own: np.ndarray) -> list[Ranges]:
+    """Of a set of shingles that is not empty, in each class in which it may have a partner."""
     n = len(own)
-    if not n:
-        return np.zeros(1, np.uint64)
     level = (n - 1).bit_length()  # sizes up to 2 ** level
     made = []
     for level in (level, level + 1) if n * 5 // 4 > 1 << level else (level,):
         top = 1 << level
-        m, wanted = _ranges(top), differing(n, top) + 1
+        m = _ranges(top)
         at = ((own >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as the hashes are
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        full, empty = at[starts], np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts])
+        sums = np.concatenate([np.add.reduceat(own, starts), np.zeros(len(empty), np.uint64)])
         salt = _PRIMES[:1] * np.uint64(level)  # as an array, which wraps silently
-        made.append(_mixed(np.add.reduceat(own, starts)[:wanted] + salt + at[starts][:wanted] * _PRIMES[1]))
-        if len(starts) < wanted:
-            made.append(_mixed(np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts]) * _PRIMES[1] + salt))
-    return np.concatenate(made)
+        places = np.concatenate([full, empty + np.uint64(m)])
+        made.append(Ranges(level, differing(n, top) + 1, places.astype(np.int64), _mixed(sums + salt + places * _PRIMES[1])))
+    return made
+
+
+def keys(own: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingles; two linked sets share one at least."""
+    return np.concatenate([r.first()[1] for r in ranges(own)]) if len(own) else np.zeros(1, np.uint64)
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -322,6 +352,103 @@ def _may_link(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shard_and_short(key: np.ndarray, bits: int) -> np.ndarray:
+    """What ``_crowded`` calls a bucket: the shard in the high bits, and the key's further bits."""
+    key = key.astype(np.uint64)
+    shard = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
+    return ((shard << _KEY_BITS) | ((key << np.uint64(bits)) >> (np.uint64(64) - _KEY_BITS))).view(np.int64)
+
+
+def _described_ranges(batches):
+    """(row, body) -> (row, what ``_split`` needs of its ranges)."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = []
+        for body in batch.column(1):
+            own = shingles(unpacker.decompress(body.as_py()))
+            found = ranges(own) if len(own) else []
+            head = np.array([x for r in found for x in (r.level, r.wanted)], np.int64)
+            out.append(pack(head, *(x for r in found for x in (r.places, r.keys))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["row", "ranges"])
+
+
+def _split(agreeing: int, shard_bits: int):
+    """(key, row, level, last, ranges) -> (key, row, level, last): the row under each further range that may agree.
+
+    ``level``, ``last``: the class and the range's place that the key came from; at first only the key tells.
+    """
+
+    def out(parts):
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[3])], names=["key", "row", "level", "last"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for key, row, level, last, packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                arrays = unpack(packed)
+                for k, (own_level, wanted) in enumerate(arrays[0].reshape(-1, 2).tolist()):
+                    own = Ranges(own_level, wanted, *arrays[1 + 2 * k : 3 + 2 * k])
+                    if level is None:
+                        places, made = own.first()
+                        came = places[_shard_and_short(made, shard_bits) == key]
+                    else:
+                        came = [last] if own_level == level else []
+                    places, found = own.first(agreeing)
+                    for place in came:
+                        later = places > place
+                        new = _mixed(found[later] + _mixed(np.array([key], np.int64).view(np.uint64)) * _PRIMES[0])
+                        parts.append((new, np.full(len(new), row), np.full(len(new), own_level), places[later]))
+                        held += len(new)
+                if held >= PAIRS:
+                    yield out(parts)
+                    parts, held = [], 0
+        if held:
+            yield out(parts)
+
+    return run
+
+
+def _uncrowded(open_: DataFrame, known: DataFrame, bodies: DataFrame, shards: int) -> DataFrame:
+    """The buckets (key, row) with the crowded ones split; (key, row).
+
+    Rows meet in the same buckets, or in buckets that stand for them, if they can link.
+    """
+
+    def sized(buckets):
+        """With their number of rows; buckets whose rows are all in one component go."""
+        spread = buckets.join(known.select("row", "root"), "row").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
+        return staged(buckets.join(spread.filter("least <> most").select("key", "rows"), "key"), "near-sized-buckets", narrow=True)
+
+    bits = shards.bit_length() - 1
+    now, told, done, used = sized(open_.select("key", "row", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("last"))), None, [], []
+    for agreeing in range(2, LEVELS + 1):
+        used.append(now)
+        done.append(now.filter(F.col("rows") <= CROWDED))
+        crowded = now.filter(F.col("rows") > CROWDED).drop("rows")
+        if crowded.isEmpty():
+            now = None
+            break
+        if told is None:
+            told = staged(bodies.join(crowded.select("row").distinct(), "row", "left_semi").select("row", "body").mapInArrow(_described_ranges, "row long, ranges binary"), "near-ranges")
+        split = crowded.join(told.hint("merge"), "row").select("key", "row", "level", "last", "ranges").mapInArrow(_split(agreeing, bits), "key long, row long, level int, last long")
+        several = staged(split.distinct(), "near-split", narrow=True)
+        now = sized(several)
+        discarded(several)
+    if now is not None:
+        used.append(now)
+        done.append(now.filter(F.col("rows") <= CROWDED))
+        done.append(now.filter(F.col("rows") > CROWDED))
+    whole = reduce(DataFrame.unionByName, done).select("key", "row", "rows")
+    blocks = F.ceil(F.col("rows") / CROWDED).cast("int")
+    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
+    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
+    met = F.when(F.col("rows") > CROWDED, paired).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))
+    out = staged(whole.select("key", "row", F.explode(met).alias("m")).select(F.xxhash64("key", "m.x", "m.y").alias("key"), "row").distinct(), "near-buckets", narrow=True)
+    discarded(*used, *([told] if told is not None else []))
+    return out
+
+
 def _linked(pairs: DataFrame, described: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.  Sizes and sketches come first; then one text of each pair left travels, and meets the other."""
     of = lambda x: described.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -365,11 +492,13 @@ def near_groups(texts: DataFrame, shards: int | None = None) -> DataFrame:
     bodies = staged(texts.join(members, "row", "left_semi").mapInArrow(_bodies, "row long, sketch binary, body binary"), "near-bodies")
     described = staged(bodies.select("row", "sketch").join(prints.select("row", "n"), "row"), "near-described")
     edges = [staged(_linked(first, described, bodies), "near-edges")]
-    checked, rounds = [first], 0
+    checked, rounds, split = [first], 0, None
     all_of = lambda tables: reduce(DataFrame.unionByName, tables)
     while True:
         roots = components(all_of(edges))
         known = staged(described.join(roots, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("root"), "n", "sketch"), "near-known", narrow=True)
+        if split is None:
+            split = buckets = _uncrowded(buckets, known, bodies, n_shards)
         # only buckets whose members aren't all in one component go on
         spread = buckets.join(known.select("row", "root"), "row").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
         open_ = staged(buckets.join(spread.filter("least <> most").select("key"), "key", "left_semi"), "near-open", narrow=True)
@@ -387,7 +516,7 @@ def near_groups(texts: DataFrame, shards: int | None = None) -> DataFrame:
         if last:
             break
         rounds = rounds + 1 if not more.isEmpty() else ROUNDS  # no link any more: what is left comes last
-    discarded(found, bodies, prints, described, *checked)
+    discarded(found, bodies, prints, described, split, *checked)
     roots = components(all_of(edges))
     discarded(*edges)
     return roots

@@ -107,3 +107,86 @@ def test_similar_sets_share_a_key():
         a = np.unique(np.concatenate([both, rng.integers(0, 2**64, cut, dtype=np.uint64)]))
         b = np.unique(np.concatenate([both, rng.integers(0, 2**64, differ - cut, dtype=np.uint64)]))
         assert np.intersect1d(near_dedup.keys(a), near_dedup.keys(b)).size
+
+
+def _chains(own, agreeing):
+    """The keys under which a set stands after so many agreeing ranges, as ``_split`` derives them."""
+    found = set()
+    for r in near_dedup.ranges(own):
+        now = {(r.level, (int(n),), (int(k),)) for n, k in zip(*r.first(1))}
+        for level in range(2, agreeing + 1):
+            places, made = (x.tolist() for x in r.first(level))
+            now = {(r.level, (*at, n), (*ks, k)) for _, at, ks in now for n, k in zip(places, made) if n > at[-1]}
+        found |= now
+    return found
+
+
+def test_linked_sets_agree_in_further_ranges():
+    """Up to LEVELS of them, at the very bound, with empty ranges too."""
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        n = int(rng.integers(1, 40))
+        both = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        differ = len(both) // 4
+        cut = int(rng.integers(0, differ + 1))
+        a = np.unique(np.concatenate([both, rng.integers(0, 2**64, cut, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([both, rng.integers(0, 2**64, differ - cut, dtype=np.uint64)]))
+        for agreeing in range(1, near_dedup.LEVELS + 1):
+            assert _chains(a, agreeing) & _chains(b, agreeing), (len(a), len(b), agreeing)
+
+
+def test_any_class_has_ranges_to_spare():
+    for level in range(21):
+        top = 1 << level
+        assert near_dedup._ranges(top) - near_dedup.differing(top, top) >= near_dedup.LEVELS
+
+
+def _with_passage(n, seed, planted=40):
+    """Short texts that share a passage of 16 words; some have a near copy of their own."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(16)]
+    texts = []
+    for k in range(n):
+        own = [f"u{k}_{i}" for i in range(rng.randint(4, 40))]
+        at = rng.randint(0, len(own))
+        texts.append(own[:at] + passage + own[at:])
+    for k in range(planted):
+        texts.append([*texts[k * 7], "end"] if k % 2 else [*texts[k * 7][:-1], "last"])
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return [(i, " ".join(texts[k])) for i, k in enumerate(order)]
+
+
+def test_a_passage_of_many_short_texts(spark, monkeypatch):
+    """Buckets are split, and the links are those of all pairs."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 48)
+    rows, seen = _with_passage(900, 9), []
+    original = near_dedup._uncrowded
+
+    def watched(*args):
+        out = original(*args)
+        seen.append((args[0].groupBy("key").count().agg({"count": "max"}).first()[0], out.groupBy("key").count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_uncrowded", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = _kept(rows)
+    assert len(want) < len(rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == want
+    ((before, after),) = seen
+    assert before > 3 * 48 and after <= 3 * 48
+
+
+def test_blocks_of_what_stays_crowded(spark, monkeypatch):
+    """Texts that differ in nothing that ranges tell: only blocks bound a task."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 10)
+    monkeypatch.setattr(near_dedup, "LEVELS", 2)
+    rows = _with_passage(250, 12, planted=20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == _kept(rows)
+
+
+def test_null_ids_and_rows_without_words(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (None, None), (5, ""), (6, " \n"), (None, "")]
+    left = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"], (r["text"] or "").strip()) for r in left) == [(3, "a b c d e f g"), (5, "")]
