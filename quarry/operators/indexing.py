@@ -296,7 +296,7 @@ class Indexer:
                 size = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes")).first()
                 again = self.parsed(files.select("file_id", "root_id", F.col("display_path").alias("path"), "normalized_path", "relative_path", "file_name", "extension", "size_bytes", "created_time", "modified_time"), size["n"], size["bytes"] or 0, 0)
                 units = again.select("file_id", "root_id", F.explode("units").alias("u")).select("file_id", "root_id", "u.*").withColumn("unit_id", F.col("file_id") * M.UNIT_STRIDE + F.col("sequence"))
-                return Change({"units": (units.select(*M.UNITS.fieldNames()).withColumn("part", F.lit(part)), "part", [part])})
+                return Change({"units": (units.select(*M.UNITS.fieldNames()).withColumn("part", F.lit(part)), "part", [part])}, told={"units": {part: {k: v for k, v in at.tables["units"][part].items() if k == "files"}}})
 
             self.store.update(build)
         if any(d[0] == grams.TABLE for d in damaged):

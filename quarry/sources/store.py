@@ -110,6 +110,11 @@ class Change:
     told: dict[str, dict[str, dict]] = field(default_factory=dict)
 
 
+def _differ(told: dict, entry: dict) -> bool:
+    """Are rows and checksum not what a part's entry says?"""
+    return any(entry.get(k) != v for k, v in told.items())
+
+
 class Snapshot:
     """One version of all tables; what is read from it stays as it is until ``expire``."""
 
@@ -368,14 +373,14 @@ class SnapshotStore:
         at = at or self.snapshot()
         try:
             sums = self._sums(at.tables, at.schemas)
-            return [(t, p, "changed") for (t, p), told in sums.items() if told.items() - at.tables[t][p].items()]
+            return [(t, p, "changed") for (t, p), told in sums.items() if _differ(told, at.tables[t][p])]
         except (Py4JJavaError, PySparkException):  # some part can't be read: each is tried alone
             bad = []
             for table, parts in at.tables.items():
                 for part, entry in parts.items():
                     try:
                         ((_, told),) = self._sums({table: {part: entry}}, at.schemas).items()
-                        if told.items() - entry.items():
+                        if _differ(told, entry):
                             bad.append((table, part, "changed"))
                     except (Py4JJavaError, PySparkException):
                         bad.append((table, part, "unreadable"))
