@@ -72,11 +72,16 @@ def units_change(at: Snapshot, root_id: int, gone: DataFrame, fresh: DataFrame,
 _EXTENSIONS = 32
 
 
+def part_bounds(files: DataFrame, by: list[str]) -> DataFrame:
+    """The least and the most of the files' sizes, times and paths, and their extensions."""
+    bounds = [f(c).alias(f"{name}_{c}") for c in ("size_bytes", "modified_time", "normalized_path") for name, f in (("least", F.min), ("most", F.max))]
+    return files.groupBy(*by).agg(*bounds, F.collect_set("extension").alias("extensions"))
+
+
 def part_facts(files: DataFrame, root_id: int, numbers: list[int]) -> dict[str, dict[str, dict]]:
     """What the pointer says of parts of ``units``: the bounds of their files' attributes, by which searches leave parts out."""
     own = files.withColumn("k", number_of(F.col("file_id"))).filter(F.col("k").isin([int(k) for k in numbers]))
-    bounds = [f(c).alias(f"{name}_{c}") for c in ("size_bytes", "modified_time", "normalized_path") for name, f in (("least", F.min), ("most", F.max))]
-    found = own.groupBy("k").agg(*bounds, F.count("modified_time").alias("timed"), F.collect_set("extension").alias("extensions")).collect()  # a row for FILES_PER_PART files
+    found = part_bounds(own, ["k"]).collect()  # a row for FILES_PER_PART files
     out = {}
     for r in found:
         facts = {c: [r[f"least_{c}"], r[f"most_{c}"]] for c in ("size_bytes", "modified_time", "normalized_path")}

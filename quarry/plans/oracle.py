@@ -152,6 +152,28 @@ _sql(
         FROM units WHERE regexp_matches(lower(text), '(?s)th.*?on.*?e')) x, unnest(range(1, len(found) + 1)) AS u(i)) y""",
     _FILES, _UNITS,
 )
+_sql(
+    "gram_lists",
+    """SELECT gram, count(*) AS n_files FROM (
+  SELECT DISTINCT file_id, unnest(list_transform(range(1, len(b) - 1), lambda i: ('0x' || b[i] || b[i + 1] || b[i + 2])::BIGINT)) AS gram
+  FROM (SELECT file_id, regexp_extract_all(hex(encode(replace(lower(text), 'ß', 'ss'))), '..') AS b FROM units) x WHERE len(b) > 2) y
+GROUP BY gram""",
+    _FILES, _UNITS,
+)
+_sql("folded_texts", "SELECT doc_id, md5(replace(lower(coalesce(text, '')), 'ß', 'ss')) AS folded_md5, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'ß', '')) AS BIGINT) AS added FROM documents")
+_sql(
+    "part_bounds",
+    """SELECT root_id, file_id // 50 AS part, min(size_bytes) AS least_size_bytes, max(size_bytes) AS most_size_bytes, min(modified_time) AS least_modified_time, max(modified_time) AS most_modified_time,
+  min(normalized_path) AS least_normalized_path, max(normalized_path) AS most_normalized_path, string_agg(DISTINCT extension, ',' ORDER BY extension) AS extensions FROM files GROUP BY root_id, file_id // 50""",
+    _FILES,
+)
+_sql(
+    "newest_events",
+    """SELECT normalized_path, modified_time, alive, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY normalized_path ORDER BY modified_time DESC, alive DESC, text DESC NULLS LAST) AS r FROM (
+    SELECT 'd:' || chr(92) || 'in' || chr(92) || lower(source || chr(92) || 'D' || CAST(doc_id % 700 AS VARCHAR)) AS normalized_path, CAST(doc_id * k % 101 AS DOUBLE) AS modified_time, t IS NOT NULL AS alive, t AS text
+    FROM (SELECT *, unnest([7, 13, 29]) AS k, unnest([text, 'short', NULL]) AS t FROM documents) e) f) g WHERE r = 1""",
+)
 _BUDGETS = """budgets AS (SELECT *, row_number() OVER w - 1 AS units_before, CAST(coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before
   FROM units WINDOW w AS (PARTITION BY file_id ORDER BY sequence))"""
 _sql("budget_cut", "SELECT file_id, sequence, units_before, chars_before, length(text) AS n_chars FROM budgets WHERE units_before < 12 AND chars_before <= 2000", _FILES, _UNITS, _BUDGETS)

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from quarry import model as M
 from quarry.functions import text as X
 from quarry.operators import budgets, catalog, context, grams, maintenance, ranking, snippets
+from quarry.operators.indexing import part_bounds as part_bounds_of
 from quarry.operators.search import SearchEngine, existence
 from quarry.plans.oracle import ORACLE_SQL
 from quarry.plans.query import parse
 from quarry.sources import adapters, listing
 from quarry.sources.store import SnapshotStore, part_of
+from quarry.streaming.refresh import newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _HIT = ["file_id", "match_source", "match_count", "score"]
@@ -123,6 +125,42 @@ def search_with_grams(spark, sf_dir):
     return _shown(SearchEngine.open(_stored(spark, sf_dir), indexed=True).hits(M.Request("ention ther*ing", scope=CONTENT)))
 
 
+@_query
+def gram_lists(spark, sf_dir):
+    """How many files each gram's lists hold."""
+    lists, _, _ = grams.postings(adapters.units(spark, sf_dir))
+    return lists.groupBy(F.col("gram").cast("long").alias("gram")).agg(F.sum(F.col("n").cast("long")).alias("n_files"))
+
+
+@_query
+def folded_texts(spark, sf_dir):
+    """The digest of each whole text, folded, and how many characters folding adds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = X.folded(F.col("text"))
+    return docs.select("doc_id", F.md5(own.cast("binary")).alias("folded_md5"), (F.length(own) - F.length("text")).cast("long").alias("added"))
+
+
+@_query
+def part_bounds(spark, sf_dir):
+    """The bounds of the files' attributes in parts of 50 files, by which searches leave parts out."""
+    files = adapters.files(spark, sf_dir).withColumn("part", F.floor(F.col("file_id") / 50).cast("long"))
+    return part_bounds_of(files, ["root_id", "part"]).select(
+        "root_id", "part", *(f"{end}_{c}" for c in ("size_bytes", "modified_time", "normalized_path") for end in ("least", "most")), F.array_join(F.array_sort("extensions"), ",").alias("extensions")
+    )
+
+
+@_query
+def newest_events(spark, sf_dir):
+    """Three events for each document, of which one is a deletion: the last one of each file."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    events = docs.select(
+        F.lit(1).alias("root_id"), F.concat(F.col("source"), F.lit("\\D"), (F.col("doc_id") % 700).cast("string")).alias("relative_path"),
+        F.explode(F.array(*(F.struct(F.expr(f"CAST(doc_id * {k} % 101 AS DOUBLE)").alias("t"), text.alias("text")) for k, text in ((7, F.col("text")), (13, F.lit("short")), (29, F.lit(None).cast("string")))))).alias("e"),
+    )
+    found = newest(events.select("root_id", "relative_path", F.col("e.t").alias("modified_time"), F.col("e.text").alias("text")), "d:\\in")
+    return found.select("normalized_path", "modified_time", "alive", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query
 def name_scores(spark, sf_dir):
     """Bands of every name that holds the term."""
