@@ -213,7 +213,7 @@ class Indexer:
                 parts["skips"] = by_root(at, "skips", M.SKIPS, root_id, skips)
             return Change(parts, options=grams.OPTIONS, counters={seen_counter(root_id): run_id}, told=told or {})
 
-        if n.keys() <= {"unchanged"}:  # every file is as it was: only the run that saw them moves, in the pointer
+        if n.keys() <= {"unchanged"} and "files" in at.tables:  # every file is as it was: only the run that saw them moves, in the pointer
             return committed({})
         written = persisted(self._extracted(scan, change, at, n, run_id, held))
         states = {r["content_status"]: r["n"] for r in written.groupBy("content_status").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few states

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry import model as M
 from quarry.operators import maintenance
 from quarry.operators.indexing import Indexer
+from quarry.operators.search import search_store
 from quarry.sources import listing
 from quarry.sources import store as store_module
 from quarry.sources.parsers import parse_bytes
@@ -177,3 +178,21 @@ def test_unit_ids_of_long_files_do_not_meet(spark):
     df = spark.createDataFrame([(1, M.MAX_LINES), (2, 1), (3, (1 << 31) - 1), (4, 1)], "file_id long, sequence long")
     assert df.select((F.col("file_id") * M.UNIT_STRIDE + F.col("sequence")).alias("u")).distinct().count() == 4
     assert M.MAX_LINES < M.UNIT_STRIDE and M.MAX_CELLS < M.UNIT_STRIDE
+
+
+def test_an_empty_root_and_a_rebuild(spark, tmp_path):
+    root, store = tmp_path / "docs", SnapshotStore(spark, str(tmp_path / "store"))
+    root.mkdir()
+    index = Indexer(spark, store)
+    assert index.run(str(root))["files_discovered"] == 0
+    assert search_store(store, M.Request("words")).total == search_store(store, M.Request("words"), indexed=True).total == 0
+    _tree(root, ["a.txt", "b.txt"])
+    index.run(str(root))
+    ids = {r["file_name"]: r["file_id"] for r in store.read("files").collect()}
+    row = index.run(str(root), rebuild=True)
+    assert (row["mode"], row["files_discovered"], row["files_indexed"], row["files_deleted"]) == ("rebuild", 2, 2, 0)
+    assert {r["file_name"]: r["file_id"] for r in store.read("files").collect()} == ids  # a file keeps its id
+    assert store.read("units").count() == 2 and search_store(store, M.Request("words", scope=M.Scope.CONTENT), indexed=True).total == 2
+    os.remove(root / "a.txt")
+    os.remove(root / "b.txt")
+    assert index.run(str(root))["files_deleted"] == 2 and store.read("units").count() == 0
