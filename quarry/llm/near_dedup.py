@@ -23,9 +23,11 @@ Crowded buckets: a passage that many texts share fills ranges of many short text
 nothing else, and puts them all in one bucket.  A bucket of more than CROWDED rows is
 split by a second agreeing range, one behind the first among the first D + 2, what is
 still crowded by a third, up to LEVELS (a class has so many ranges more than can
-differ).  Few texts are filled by the passage alone in several ranges, so buckets shrink from level
-to level.  What is crowded after the last level is dealt to pairs of blocks of CROWDED
-rows, so no task ever holds more than two blocks.
+differ).  Few texts are filled by the passage alone in several ranges, so buckets
+shrink from level to level.  Where they don't, or where but CROWDED rows lie outside
+the bucket's largest component, as among near copies, it is dealt to pairs of blocks of
+CROWDED rows instead; rows of that component meet those of others only.  So no task
+ever holds more than two blocks.
 
 Large groups: members of a bucket are first checked against its least member and
 their neighbours.  In buckets that these links leave in several components, each
@@ -373,19 +375,19 @@ def _described_ranges(batches):
 
 
 def _split(agreeing: int, shard_bits: int):
-    """(key, row, level, last, ranges) -> (key, row, level, last): the row under each further range that may agree.
+    """(key, row, level, last, ranges, rows) -> (key, row, level, last, rows): the row under each further range that may agree.
 
     ``level``, ``last``: the class and the range's place that the key came from; at first only the key tells.
     """
 
     def out(parts):
         columns = [np.concatenate(x) for x in zip(*parts)]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[3])], names=["key", "row", "level", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[3]), pa.array(columns[4])], names=["key", "row", "level", "last", "parent"])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            for key, row, level, last, packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for key, row, level, last, packed, rows in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 arrays = unpack(packed)
                 for k, (own_level, wanted) in enumerate(arrays[0].reshape(-1, 2).tolist()):
                     own = Ranges(own_level, wanted, *arrays[1 + 2 * k : 3 + 2 * k])
@@ -398,7 +400,7 @@ def _split(agreeing: int, shard_bits: int):
                     for place in came:
                         later = places > place
                         new = _mixed(found[later] + _mixed(np.array([key], np.int64).view(np.uint64)) * _PRIMES[0])
-                        parts.append((new, np.full(len(new), row), np.full(len(new), own_level), places[later]))
+                        parts.append((new, np.full(len(new), row), np.full(len(new), own_level), places[later], np.full(len(new), rows)))
                         held += len(new)
                 if held >= PAIRS:
                     yield out(parts)
@@ -415,36 +417,41 @@ def _uncrowded(open_: DataFrame, known: DataFrame, bodies: DataFrame, shards: in
     Rows meet in the same buckets, or in buckets that stand for them, if they can link.
     """
 
+    roots = known.select("row", "root")
+
     def sized(buckets):
-        """With their number of rows; buckets whose rows are all in one component go."""
-        spread = buckets.join(known.select("row", "root"), "row").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
-        return staged(buckets.join(spread.filter("least <> most").select("key", "rows"), "key"), "near-sized-buckets", narrow=True)
+        """With their number of rows, their largest component and its rows; buckets whose rows are all in one component go."""
+        counts = buckets.join(roots, "row").groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
+        spread = counts.groupBy("key").agg(F.sum("own").alias("rows"), F.max("own").alias("mains"), F.max_by("root", F.struct("own", "root")).alias("main")).filter("rows > mains")
+        return staged(buckets.join(spread, "key"), "near-sized-buckets", narrow=True)
 
     bits = shards.bit_length() - 1
-    now, told, done, used = sized(open_.select("key", "row", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("last"))), None, [], []
-    for agreeing in range(2, LEVELS + 1):
+    first = open_.select("key", "row", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("parent"))
+    now, told, done, used = sized(first), None, [], []
+    for agreeing in range(2, LEVELS + 2):
+        # what is mostly one component, or has not shrunk to half, is not split: its rows agree, and would only stand under more keys
+        crowded = (F.col("rows") - F.col("mains") > CROWDED) & (F.col("parent").isNull() | (2 * F.col("rows") <= F.col("parent"))) & F.lit(agreeing <= LEVELS)
         used.append(now)
-        done.append(now.filter(F.col("rows") <= CROWDED))
-        crowded = now.filter(F.col("rows") > CROWDED).drop("rows")
-        if crowded.isEmpty():
-            now = None
+        done.append(now.filter(~crowded))
+        now = now.filter(crowded)
+        if now.isEmpty():
             break
         if told is None:
-            told = staged(bodies.join(crowded.select("row").distinct(), "row", "left_semi").select("row", "body").mapInArrow(_described_ranges, "row long, ranges binary"), "near-ranges")
-        split = crowded.join(told.hint("merge"), "row").select("key", "row", "level", "last", "ranges").mapInArrow(_split(agreeing, bits), "key long, row long, level int, last long")
+            told = staged(bodies.join(now.select("row").distinct(), "row", "left_semi").select("row", "body").mapInArrow(_described_ranges, "row long, ranges binary"), "near-ranges")
+        split = now.join(told.hint("merge"), "row").select("key", "row", "level", "last", "ranges", "rows").mapInArrow(_split(agreeing, bits), "key long, row long, level int, last long, parent long")
         several = staged(split.distinct(), "near-split", narrow=True)
         now = sized(several)
         discarded(several)
-    if now is not None:
-        used.append(now)
-        done.append(now.filter(F.col("rows") <= CROWDED))
-        done.append(now.filter(F.col("rows") > CROWDED))
-    whole = reduce(DataFrame.unionByName, done).select("key", "row", "rows")
-    blocks = F.ceil(F.col("rows") / CROWDED).cast("int")
-    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
-    met = F.when(F.col("rows") > CROWDED, paired).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))
-    out = staged(whole.select("key", "row", F.explode(met).alias("m")).select(F.xxhash64("key", "m.x", "m.y").alias("key"), "row").distinct(), "near-buckets", narrow=True)
+    whole = reduce(DataFrame.unionByName, done).select("key", "row", "rows", "mains", "main").distinct()
+    of_main, of_rest = (F.ceil(n / CROWDED).cast("int") for n in (F.col("mains"), F.col("rows") - F.col("mains")))
+    own = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    mains = F.transform(numbers(of_rest), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("x"), own(of_main).alias("y")))
+    apart = F.transform(numbers(of_main), lambda o: F.struct(F.lit(1).alias("kind"), own(of_rest).alias("x"), o.alias("y")))
+    among = F.transform(numbers(of_rest), lambda o: F.struct(F.lit(0).alias("kind"), F.least(own(of_rest), o).alias("x"), F.greatest(own(of_rest), o).alias("y")))
+    dealt = whole.filter(F.col("rows") > CROWDED).join(roots, "row").withColumn("m", F.when(F.col("root") == F.col("main"), mains).otherwise(F.concat(apart, among)))
+    dealt = dealt.select("key", "row", F.explode("m").alias("m")).select(F.xxhash64("key", "m.kind", "m.x", "m.y").alias("key"), "row")
+    out = staged(whole.filter(F.col("rows") <= CROWDED).select("key", "row").unionByName(dealt).distinct(), "near-buckets", narrow=True)
     discarded(*used, *([told] if told is not None else []))
     return out
 
