@@ -89,13 +89,13 @@ class SearchEngine:
     """``files`` and ``units`` as in ``quarry.model``; display_path falls back to normalized_path.
 
     ``at``: the snapshot that both are from; its parts are pruned by root and, where
-    ``indexed``, by the gram index.  ``roots``: the paths of roots by their ids.
+    ``indexed``, by the gram index.
     """
 
-    def __init__(self, files: DataFrame, units: DataFrame, at: Snapshot | None = None, indexed: bool = False, roots: dict[int, str] | None = None):
+    def __init__(self, files: DataFrame, units: DataFrame, at: Snapshot | None = None, indexed: bool = False):
         if "display_path" not in files.columns:
             files = files.withColumn("display_path", F.col("normalized_path"))
-        self.files, self.units, self.at, self.indexed, self.roots = files, units, at, indexed and at is not None, roots or {}
+        self.files, self.units, self.at, self.indexed = files, units, at, indexed and at is not None
 
     @classmethod
     def open(cls, store: SnapshotStore, indexed: bool | None = None) -> SearchEngine:
@@ -105,14 +105,16 @@ class SearchEngine:
         has INDEXED_ROWS rows or more.  The hits are the same.
         """
         at = store.snapshot()
-        roots = {r["root_id"]: r["display_path"] for r in at.read("roots").collect()} if "roots" in at.tables else {}  # one row per configured root
         if indexed is None:
             indexed = sum(p.get("rows", 0) for p in at.tables.get("units", {}).values()) >= INDEXED_ROWS
-        return cls(at.read("files"), at.read("units"), at, indexed, roots)
+        return cls(at.read("files"), at.read("units"), at, indexed)
 
     def _filters(self, request: M.Request) -> M.Filters:
         """A subfolder that lies outside the request's root is ignored."""
-        return within_root(request.filters, self.roots[request.root_id]) if request.root_id in self.roots else request.filters
+        if not request.filters.subfolder or request.root_id is None or self.at is None or "roots" not in self.at.tables:
+            return request.filters
+        root = self.at.read("roots").filter(F.col("root_id") == request.root_id).first()
+        return within_root(request.filters, root["display_path"]) if root is not None else request.filters
 
     def _files(self, request: M.Request) -> DataFrame:
         rows, filters = self.files if request.root_id is None else self.files.filter(F.col("root_id") == request.root_id), self._filters(request)
