@@ -30,8 +30,10 @@ CROWDED rows instead; rows of that component meet those of others only.  So no t
 ever holds more than two blocks.
 
 Large groups: members of a bucket are first checked against its least member and
-their neighbours.  In buckets that these links leave in several components, each
-member then meets the nearest one of another component, round after round (as in
+their neighbours, which are all pairs of up to COVERED members; only larger buckets go
+on.  In those that these links leave in several components, the pairs that are still
+possible come next where they are few, and the bucket is done.  Where they are many, each
+member meets the nearest one of another component, round after round (as in
 Boruvka's algorithm, so a round is linear in the bucket too), until a round finds no
 link; last come the pairs that are still possible.  Near and possible are told by
 sizes and parity sketches: each differing shingle changes one bit of the parities
@@ -63,6 +65,12 @@ SHINGLE = 5
 SHARD_BYTES = 2 << 20
 #: Rounds in which each member meets the nearest one of another component.
 ROUNDS = 4
+#: Members of a bucket whose pairs are all among those with the least one and with neighbours.
+COVERED = 3
+#: Possible pairs for each member up to which a bucket passes them all on at once.
+FEW = 4
+#: Up to this many texts that pairs ask for, their rows are broadcast to pick them; for more, all texts are shuffled.
+PICKED = 500_000
 #: Bits of a sketch at least.
 LEAST_BITS = 512
 #: Pairs of a bucket that one batch holds.
@@ -209,7 +217,7 @@ _FOUND = pa.schema([("kind", pa.string()), ("x", pa.int64()), ("y", pa.int64())]
 
 
 def _crowded(key, group):
-    """A shard's cells -> its buckets (key, row) of several rows, and pairs: each row with the least of its bucket and with its neighbour."""
+    """A shard's cells -> its buckets (key, row) of more than COVERED rows, and pairs: each row with the least of its bucket and with its neighbour."""
     cells = [unpack(x.as_py()) for x in group["payload"]]
     k = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in cells])
     r = np.concatenate([x for _, x in cells])
@@ -225,13 +233,16 @@ def _crowded(key, group):
     least = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
     later = np.flatnonzero(same)
     a, b = _unique_pairs(np.concatenate([r[least[later]], r[later - 1]]), np.concatenate([r[later], r[later]]))
+    starts = np.flatnonzero(~same)
+    large = np.repeat(np.diff(np.append(starts, len(k))) > COVERED, np.diff(np.append(starts, len(k))))
+    k, r = k[large], r[large]
     whole = (k | np.uint64(key[0].as_py() << int(_KEY_BITS))).view(np.int64) if len(k) else k.view(np.int64)
     released()
     return pa.table([pa.array(["bucket"] * len(k) + ["pair"] * len(a), pa.string()), pa.array(np.concatenate([whole, a])), pa.array(np.concatenate([r, b]))], schema=_FOUND)
 
 
 def _groups(batches):
-    """Sorted by key: the further columns of each key's rows, as lists of Arrow arrays' chunks joined."""
+    """Sorted by key: each key with the further columns of its rows, as lists of Arrow arrays' chunks joined."""
     held_key, held = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -240,12 +251,12 @@ def _groups(batches):
         cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if held and key[s] != held_key:
-                yield [pa.concat_arrays(x) for x in zip(*held)]
+                yield int(held_key), [pa.concat_arrays(x) for x in zip(*held)]
                 held = []
             held_key = key[s]
             held.append([c.slice(s, e - s) for c in batch.columns[1:]])
     if held:
-        yield [pa.concat_arrays(x) for x in zip(*held)]
+        yield int(held_key), [pa.concat_arrays(x) for x in zip(*held)]
 
 
 def _batched(pairs):
@@ -294,30 +305,52 @@ def _possible(row: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[b
         yield np.repeat(row[i], len(others)), row[others]
 
 
-def _nearest(row: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]):
-    """Each of one bucket's rows with the one of another root that it may link with and that is nearest."""
+def _few_or_nearest(row: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes], few: int):
+    """(pairs, are these all): the pairs of one bucket's rows with different roots that may link, up to ``few`` a row.
+
+    Of more, each row with the one of another root that it may link with and that is nearest.
+    """
     best, who = np.full(len(row), np.iinfo(np.int64).max), np.full(len(row), -1)
+    held, seen = [], 0
     for i, others, apart in _compared(root, n, sketches):
+        seen += len(others)
+        if seen <= few * len(row):
+            held.append((np.repeat(row[i], len(others)), row[others]))
         k = int(apart.argmin())
         if apart[k] < best[i]:
             best[i], who[i] = apart[k], others[k]
         better = apart < best[others]
         best[others[better]], who[others[better]] = apart[better], i
+    if seen <= few * len(row):
+        return held, True
     has = np.flatnonzero(who >= 0)
-    if len(has):
-        yield row[has], row[who[has]]
+    return [(row[has], row[who[has]])], False
 
 
-def _crossing(pairs_of):
-    """Of each key's rows (row, root, n, sketch): pairs with different roots, as ``pairs_of`` picks them."""
+def _crossing(last: bool, few: int):
+    """Of each key's rows (row, root, n, sketch): pairs (a, b) with different roots, and (key, null) where more may link; in the ``last`` round all pairs."""
 
-    def pairs(batches):
-        for row, root, n, sketches in _groups(batches):
-            row, root, n = (x.to_numpy(zero_copy_only=False) for x in (row, root, n))
-            if not (root == root[0]).all():
-                yield from pairs_of(row, root, n, sketches.to_pylist())
+    def run(batches):
+        more = []
+
+        def pairs():
+            for key, (row, root, n, sketches) in _groups(batches):
+                row, root, n = (x.to_numpy(zero_copy_only=False) for x in (row, root, n))
+                if (root == root[0]).all():
+                    continue
+                if last:
+                    yield from _possible(row, root, n, sketches.to_pylist())
+                    continue
+                found, all_ = _few_or_nearest(row, root, n, sketches.to_pylist(), few)
+                yield from found
+                if not all_:
+                    more.append(key)
+
+        yield from _batched(pairs())
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array(more, pa.int64()), pa.nulls(len(more), pa.int64())], names=["a", "b"])
 
-    return lambda batches: _batched(pairs(batches))
+    return run
 
 
 def _bodies(batches):
@@ -461,8 +494,14 @@ def _linked(pairs: DataFrame, described: DataFrame, bodies: DataFrame) -> DataFr
     of = lambda x: described.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     sized = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").filter("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
     near = staged(sized.select("a", "b", "sa", "sb", F.expr("na + nb").alias("n")).mapInArrow(_may_link, "a long, b long"), "near-sized", narrow=True)
-    of_a, of_b = bodies.select(F.col("row").alias("a"), F.col("body").alias("of_a")), bodies.select(F.col("row").alias("b"), F.col("body").alias("of_b"))
-    met = near.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a")
+
+    def of_pairs(x):
+        """The bodies that the pairs ask for: few of all, so the others stay where they are."""
+        rows = staged(near.select(F.col(x).alias("row")).distinct(), "near-asked", narrow=True)
+        few = rows.count() <= PICKED
+        return bodies.select("row", "body").join(F.broadcast(rows) if few else rows.hint("merge"), "row", "left_semi").select(F.col("row").alias(x), F.col("body").alias(f"of_{x}"))
+
+    met = near.join(of_pairs("b").hint("merge"), "b").join(of_pairs("a").hint("merge"), "a")
     return met.select("a", "b", "of_a", "of_b").mapInArrow(_checked, "a long, b long")
 
 
@@ -499,7 +538,7 @@ def near_groups(texts: DataFrame, shards: int | None = None) -> DataFrame:
     bodies = staged(texts.join(members, "row", "left_semi").mapInArrow(_bodies, "row long, sketch binary, body binary"), "near-bodies")
     described = staged(bodies.select("row", "sketch").join(prints.select("row", "n"), "row"), "near-described")
     edges = [staged(_linked(first, described, bodies), "near-edges")]
-    checked, rounds, split = [first], 0, None
+    checked, used, rounds, split = [first], [], 0, None
     all_of = lambda tables: reduce(DataFrame.unionByName, tables)
     while True:
         roots = components(all_of(edges))
@@ -514,16 +553,19 @@ def near_groups(texts: DataFrame, shards: int | None = None) -> DataFrame:
             break
         dealt = open_.join(known, "row").select("key", "row", "root", "n", "sketch").repartition(n, "key").sortWithinPartitions("key")
         last = rounds == ROUNDS
-        met = dealt.mapInArrow(_crossing(_possible if last else _nearest), "a long, b long").distinct()
-        fresh = staged(met.join(all_of(checked), ["a", "b"], "left_anti"), "near-cross", narrow=True)
-        discarded(known, open_)
+        met = staged(dealt.mapInArrow(_crossing(last, FEW), "a long, b long").distinct(), "near-met", narrow=True)
+        fresh = staged(met.filter("b IS NOT NULL").join(all_of(checked), ["a", "b"], "left_anti"), "near-cross", narrow=True)
+        discarded(known)
         more = staged(_linked(fresh, described, bodies), "near-edges")
         edges.append(more)
         checked.append(fresh)
-        if last:
+        used += [open_, met]
+        left = met.filter("b IS NULL").select(F.col("a").alias("key"))
+        if last or left.isEmpty():
             break
+        buckets = open_.join(left, "key", "left_semi")  # all others are done
         rounds = rounds + 1 if not more.isEmpty() else ROUNDS  # no link any more: what is left comes last
-    discarded(found, bodies, prints, described, split, *checked)
+    discarded(found, bodies, prints, described, split, *checked, *used)
     roots = components(all_of(edges))
     discarded(*edges)
     return roots
