@@ -106,6 +106,10 @@ for _sort in ("name", "type", "size", "modified", "path"):
 _ranked("page_offset", "tion", scope=CONTENT, limit=20, offset=40)
 
 
+#: Parquet files of a part of ``units`` at most, so that their number grows with the parts alone.
+FILES_OF_A_PART = 4
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     """The tables in a store of their own, with units in parts and a gram index, in the folder that the cluster shares."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -114,6 +118,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     store = SnapshotStore(spark, f"{(found or 'file://' + tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/store-{uuid.uuid4().hex}")
     units = adapters.units(spark, sf_dir).withColumn("part", part_of(F.col("root_id"), F.col("file_id")))
     parts = [r["part"] for r in adapters.files(spark, sf_dir).select(part_of(F.col("root_id"), F.col("file_id")).alias("part")).distinct().collect()]  # a row for FILES_PER_PART files
+    units = units.repartition("part", F.pmod("file_id", F.lit(FILES_OF_A_PART)))  # else each task writes a file to each part
     store.replace({"units": (units, "part", parts)}, {"files": adapters.files(spark, sf_dir)})
     grams.rebuilt(store)
     return store

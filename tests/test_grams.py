@@ -1,8 +1,10 @@
 """The gram index: never rules out a hit, reads a few lists, prunes parts, follows runs, refreshes and rebuilds."""
 
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,32 @@ def test_index_follows_the_runs(spark, tmp_path, monkeypatch):
         assert [found(q) for q in ("token3x3", "something", "token1x1", "common")] == want
     index.clear_content(str(root))
     assert found("common") == 0
+
+
+def test_codes_of_all_texts_at_once():
+    """Grams end with their text: empty, null, short and sliced ones too."""
+    texts = ["abcd", "", None, "ab", "xyz", "żółw", "abcabc", "q"]
+    ids = np.array([7, 7, 8, 9, 9, 1 << 20, 7, 3])
+    for start in (0, 3):
+        want = sorted({(int(g) << 32) | int(f) for f, t in zip(ids[start:], texts[start:]) for g in grams.grams_of((t or "").encode())})
+        assert grams.codes_of(ids[start:], pa.array(texts)[start:]).tolist() == want
+    assert not len(grams.codes_of(ids[:2], pa.array(["", None])))
+
+
+def test_parts_have_few_files(spark, tmp_path, monkeypatch):
+    """However many tasks read the documents."""
+    rows = [(i, "de", "s", f"line {i}\nmore attention therapying", 10) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, n_chars long").repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(registry.tempfile, "mkdtemp", lambda **k: str(tmp_path / "made"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2k")
+    try:
+        store = registry._stored(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    entries = store.snapshot().tables["units"]
+    assert store.read("units").count() == sum(2 for i in range(200) if i % 29 and i % 23)
+    for e in entries.values():
+        at = store.path(e["at"]).removeprefix("file://").removeprefix("file:")
+        assert len([f for f in os.listdir(at) if f.endswith(".parquet")]) <= registry.FILES_OF_A_PART
